@@ -1,0 +1,16 @@
+"""Broadcast only what is proven small."""
+
+from pyspark.sql import DataFrame, functions as F
+
+# Configuration tables (maps, systems, users) run to some thousands of rows of 1-2 KB.
+MAX_BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when a counted look proves at most `max_rows` rows; otherwise leave
+    the join to the optimizer (shuffled, with adaptive skew handling). The look stops after
+    `max_rows + 1` rows, and a streaming side is never hinted."""
+    if df.isStreaming:
+        return df
+    few = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if few else df
