@@ -3,9 +3,10 @@ value wrappers, dates and ids."""
 
 from pyspark.sql import Column, functions as F
 
-from changesync.functions.values import _col, decode_str, entries_last_wins, json_str
+from changesync.functions.values import _col, decode_str, entries_last_wins, is_json_str, json_str
 
 DATE_PATTERN = r"\A/Date\((-?\d+)(?:[+-]\d{4})?\)/\n?\z"
+JSON_DATE_PATTERN = r'\A"/Date\(-?\d+(?:[+-]\d{4})?\)/"\z'
 EMPTY_ID_PATTERN = r"\A\s*[{(]?0{8}-?0{4}-?0{4}-?0{4}-?0{12}[)}]?\s*\z"
 
 # Message names by operation, and the fields that carry the company.
@@ -30,21 +31,22 @@ def as_object(value: Column) -> Column:
 
 def get_ci(obj: Column, name: str) -> Column:
     """First member whose name equals `name` ignoring case; SQL null when there is none."""
-    names = F.transform(F.map_keys(obj), lambda k: F.lower(k))
-    return F.get(F.map_values(obj), (F.array_position(names, F.lit(name.lower())) - 1).cast("int"))
-
-
-def has_ci(obj: Column, name: str) -> Column:
-    return F.coalesce(F.exists(F.map_keys(obj), lambda k: F.lower(k) == name.lower()), F.lit(False))
+    hits = F.filter(F.map_entries(obj), lambda e: F.lower(e["key"]) == name.lower())
+    return F.get(hits, F.lit(0))["value"]
 
 
-def string_of(value: Column) -> Column:
-    """Text of a JSON string; null for every other kind."""
-    return decode_str(F.to_json(value))
+def members_ci(obj: Column) -> Column:
+    """MAP<STRING,VARIANT> column → MAP<STRING,STRING>: lower-case name → JSON text, the first
+    of names that differ only in case kept. For reading many members of one object."""
+    names = F.transform(F.map_keys(obj), lambda k: F.lower(k))
+    texts = F.transform(F.map_values(obj), lambda v: F.to_json(v))
+    first = F.array_distinct(names)
+    return F.map_from_arrays(first, F.transform(first, lambda k: F.get(texts, (F.array_position(names, k) - 1).cast("int"))))
 
 
-def get_string(obj: Column, name: str) -> Column:
-    return string_of(get_ci(obj, name))
+def has_ci(names: Column, name: str) -> Column:
+    """Whether a list of lower-case member names holds `name`."""
+    return F.array_contains(names, name.lower())
 
 
 def operation_of(message_name) -> Column:
@@ -79,9 +81,10 @@ def pairs(array_value: Column) -> Column:
     without a string key or without a value member are left out."""
     objects = F.transform(array_value.try_cast("ARRAY<VARIANT>"), as_object)
     read = F.transform(
-        objects, lambda o: F.struct(get_string(o, "key").alias("key"), get_ci(o, "value").alias("value"))
+        objects, lambda o: F.struct(F.to_json(get_ci(o, "key")).alias("key"), get_ci(o, "value").alias("value"))
     )
-    return F.filter(read, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+    usable = F.filter(read, lambda p: is_json_str(p["key"]) & p["value"].isNotNull())
+    return F.transform(usable, lambda p: F.struct(decode_str(p["key"]).alias("key"), p["value"].alias("value")))
 
 
 def find_parameter(root: Column, name: str) -> Column:
@@ -95,22 +98,29 @@ def _unwrap(value: Column) -> Column:
     return F.coalesce(get_ci(obj, "Value"), get_ci(obj, "Id"), value)
 
 
-def flat_value(value: Column) -> Column:
-    """Unwrapped VARIANT → JSON text, with `/Date(ms)/` strings as ISO instants."""
-    text = F.to_json(value)
-    inner = decode_str(text)
-    is_date = F.coalesce(inner.rlike(DATE_PATTERN), F.lit(False))
-    return F.when(is_date, json_str(iso_instant(parse_date(inner)))).otherwise(text)
-
-
-def attributes(target: Column) -> Column:
-    """`Attributes` list of the target → body map. `{Value: …}` and `{Id: …}` wrappers are
-    reduced to what they hold; the last of equal keys wins."""
-    items = pairs(get_ci(as_object(target), "Attributes"))
+def unwrap_values(items: Column) -> Column:
+    """ARRAY<STRUCT<key, value VARIANT>> with `{Value: …}` and `{Id: …}` wrappers reduced to
+    what they hold, down to MAX_WRAPPER_DEPTH levels."""
     for _ in range(MAX_WRAPPER_DEPTH):
         items = F.transform(items, lambda p: F.struct(p["key"].alias("key"), _unwrap(p["value"]).alias("value")))
-    items = F.transform(items, lambda p: F.struct(p["key"].alias("key"), flat_value(p["value"]).alias("value")))
-    return F.coalesce(entries_last_wins(items), F.expr("CAST(map() AS MAP<STRING,STRING>)"))
+    return items
+
+
+def date_as_iso(text: Column) -> Column:
+    """JSON text, with a `"/Date(ms)/"` string turned into the ISO instant it means."""
+    return F.when(text.rlike(JSON_DATE_PATTERN), json_str(iso_instant(parse_date(decode_str(text))))).otherwise(text)
+
+
+def attribute_entries(target_obj: Column) -> Column:
+    """`Attributes` list of the target object → ARRAY<STRUCT<key, value>> of JSON text."""
+    items = unwrap_values(pairs(get_ci(target_obj, "Attributes")))
+    texts = F.transform(items, lambda p: F.struct(p["key"].alias("key"), F.to_json(p["value"]).alias("value")))
+    return F.transform(texts, lambda p: F.struct(p["key"].alias("key"), date_as_iso(p["value"]).alias("value")))
+
+
+def attribute_map(entries: Column) -> Column:
+    """Attribute entries column → body map; the last of equal keys wins."""
+    return F.coalesce(entries_last_wins(entries), F.expr("CAST(map() AS MAP<STRING,STRING>)"))
 
 
 def company_of(data) -> Column:

@@ -1,4 +1,8 @@
-"""JSON-encoded scalar values: encode, decode, canonicalise, hash."""
+"""JSON-encoded scalar values: encode, decode, canonicalise, hash.
+
+Lambdas of higher-order functions are interpreted and share nothing, so an argument that is
+used more than once should be a column or a lambda variable, not a computed expression.
+"""
 
 from pyspark.sql import Column, functions as F
 
@@ -12,10 +16,7 @@ def _col(c: Column | str) -> Column:
 def json_str(text: Column | str) -> Column:
     """Plain text → JSON string literal."""
     text = _col(text)
-    packed = F.to_json(F.array(text))
-    escaped = F.substring(packed, F.lit(2), F.length(packed) - 2)
-    quoted = F.concat(F.lit('"'), text, F.lit('"'))
-    return F.when(text.rlike(r'^[^"\\\p{Cntrl}]*$'), quoted).otherwise(escaped)
+    return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
 def is_json_str(value: Column | str) -> Column:
@@ -74,10 +75,11 @@ def variant_values(raw: Column) -> Column:
 
 
 def entries_last_wins(entries: Column) -> Column:
-    """ARRAY<STRUCT<key,value>> → map, the last of equal keys kept."""
+    """ARRAY<STRUCT<key,value>> column → map, the last of equal keys kept."""
     n = F.size(entries)
     last = F.filter(
         entries,
         lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]),
     )
-    return F.map_from_entries(last)
+    unique = F.size(F.array_distinct(F.transform(entries, lambda e: e["key"]))) == n
+    return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(last))

@@ -3,14 +3,13 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changesync.functions.values import _col, project_hash
-from changesync.operators.sizing import broadcast_if_small
 
 
 def flag_identity_echo(events: DataFrame, integration_users: DataFrame) -> DataFrame:
     """Add `identity_echo`: the change was made by one of our own accounts (`user_id`,
     ignoring case)."""
     users = integration_users.select(F.lower("user_id").alias("_user")).distinct().withColumn("_ours", F.lit(True))
-    joined = events.join(broadcast_if_small(users), F.lower("originating_user_id") == F.col("_user"), "left")
+    joined = events.join(users, F.lower("originating_user_id") == F.col("_user"), "left")
     return joined.withColumn("identity_echo", F.coalesce("_ours", F.lit(False))).drop("_user", "_ours")
 
 

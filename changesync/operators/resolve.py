@@ -22,6 +22,7 @@ from changesync.operators import prefix
 from changesync.operators.targets import BY_KEY
 from changesync.schema import CREATED, DELETED, DISCARDED, ECHO, FAILED, UPDATED
 from changesync.session import checkpoint
+from changesync.storage import materialize
 
 ORDER = ["arrival_seq", "map_name"]
 CHUNK = ["link_key", "bucket"]
@@ -95,7 +96,7 @@ def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = Tru
     keep = rows.columns
     inside = Window.partitionBy(*CHUNK).orderBy(*ORDER).rowsBetween(*prefix.BEFORE)
     flagged = _flags(rows).withColumn("_h", F.coalesce(F.max("_links").over(inside), F.lit(False)))
-    summaries = _chunk_summaries(flagged, fold_rows)
+    summaries = materialize(_chunk_summaries(flagged, fold_rows), "chunks")
 
     reached = F.when(F.col("carry_link"), F.max(F.when(F.col("_sound"), F.col("_at"))).over(inside)).otherwise(
         F.max(F.when(F.col("_links") | (F.col("_sound") & F.col("_h")), F.col("_at"))).over(inside)
@@ -108,7 +109,8 @@ def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = Tru
     quick = _verdict(scanned if not content_echo else scanned.filter(~F.col("contested")), F.col("_seen_at"), F.lit(False))
     out = quick.select(*keep, "verdict", "has_link")
     if content_echo:
-        folded = _fold(scanned.filter("contested"), keep)
+        split = bool(summaries.filter("contested AND fold_chunk > 0").limit(1).count())
+        folded = _fold(scanned.filter("contested"), keep, split)
         out = out.unionByName(folded)
     return out.withColumn("error", F.when(F.col("verdict") == FAILED, _reason()))
 
@@ -143,24 +145,15 @@ def _initial_state() -> Column:
     ).cast(FOLD_STATE)
 
 
-def _state_after_row() -> Column:
-    gone = F.col("operation") == "Delete"
-    return F.struct(
-        F.lit(True).alias("has_link"), F.col("target_system").alias("written_to"),
-        F.when(gone, F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array_sort(F.map_keys("mapped"))).alias("fields"),
-        F.when(gone, F.lit("")).otherwise(payload_hash("mapped")).alias("hash"),
-        F.col("_at").alias("at"),
-    ).cast(FOLD_STATE)
-
-
-def _fold(rows: DataFrame, keep: list[str]) -> DataFrame:
+def _fold(rows: DataFrame, keep: list[str], split: bool) -> DataFrame:
     keyed = rows.withColumns({
         "_key_error": F.col("key_error").isNotNull(),
-        "_after": F.when(F.col("_sound"), _state_after_row()),
+        "_fields": F.when(F.col("operation") == "Delete", F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array_sort(F.map_keys("mapped"))),
+        "_hash": F.when(F.col("operation") == "Delete", F.lit("")).otherwise(payload_hash("mapped")),
         "_in": _initial_state(),
         "_has_link_scan": F.col("has_link"),
     })
-    if _has_long_link(rows):
+    if split:
         keyed = _with_chunk_states(keyed)
     ordered = keyed.repartition("link_key", "fold_chunk").sortWithinPartitions("link_key", "fold_chunk", *ORDER)
     work = [c for c in _FOLD_INPUT if c not in keep]
@@ -169,10 +162,6 @@ def _fold(rows: DataFrame, keep: list[str]) -> DataFrame:
     return ordered.mapInArrow(_row_verdicts(keep), schema)
 
 
-def _has_long_link(rows: DataFrame) -> bool:
-    return bool(rows.select("fold_chunk").filter("fold_chunk > 0").limit(1).count())
-
-
 def _with_chunk_states(keyed: DataFrame) -> DataFrame:
     """Replace `_in` of later chunks by the state the chunk before leaves.
 
@@ -187,7 +176,11 @@ def _with_chunk_states(keyed: DataFrame) -> DataFrame:
     narrow = checkpoint(keyed.select(*_FOLD_INPUT).join(long_links, "link_key", "left_semi"))
     along = Window.partitionBy("link_key").orderBy("fold_chunk")
 
-    winner = F.struct(F.col("_at"), *ORDER, F.col("_after").alias("state"))
+    after = F.struct(
+        F.lit(True).alias("has_link"), F.col("target_system").alias("written_to"), F.col("_fields").alias("fields"),
+        F.col("_hash").alias("hash"), F.col("_at").alias("at"),
+    ).cast(FOLD_STATE)
+    winner = F.struct(F.col("_at"), *ORDER, after.alias("state"))
     wins = F.col("_sound") & (F.col("_has_link_scan") | F.col("_links"))
     per_chunk = narrow.groupBy(*key).agg(
         F.max_by(winner, F.struct("_at", *ORDER)).filter(wins).alias("w"), F.first("_in").alias("initial")
@@ -219,56 +212,61 @@ def _with_chunk_states(keyed: DataFrame) -> DataFrame:
     return keyed.join(exact, key, "left").withColumn("_in", F.coalesce("_exact", "_in")).drop("_exact")
 
 
-_FOLD_INPUT = [
-    "link_key", "fold_chunk", "arrival_seq", "map_name", "identity_echo", "_sound", "_links", "_key_error",
-    "source_system", "operation", "_at", "_after", "data", "_in", "_has_link_scan",
+_FOLD_READ = [
+    "link_key", "fold_chunk", "identity_echo", "_sound", "_links", "_key_error", "source_system", "target_system",
+    "operation", "_at", "_hash",
 ]
-_FOLD_READ = ["link_key", "fold_chunk", "identity_echo", "_sound", "_links", "_key_error", "source_system", "operation", "_at", "_after", "_in"]
+_FOLD_INPUT = [*_FOLD_READ, "arrival_seq", "map_name", "_fields", "data", "_in", "_has_link_scan"]
 
 
 def _json_str(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)
 
 
-def _projected_hash(data: list[tuple[str, str]], fields: list[str]) -> str:
-    body = dict(data)
+def _projected_hash(data: list[tuple[str, str]] | None, fields: list[str]) -> str:
+    body = dict(data or [])
     text = "{" + ",".join(f"{_json_str(k)}:{body.get(k, 'null')}" for k in sorted(fields)) + "}"
     return hashlib.sha256(text.encode()).hexdigest().upper()
 
 
 def _replay(batches: Iterator[pa.RecordBatch]):
-    """Walk sorted rows, yielding per batch the rows' (key, verdict, has_link, state after)."""
+    """Walk sorted rows, yielding per batch the rows' (key, verdict, has_link before and after,
+    state after). A state is (written_to, fields, hash, at), its fields read when needed."""
     key, has_link, state = None, False, None
     for batch in batches:
         cols = [batch.column(n).to_pylist() for n in _FOLD_READ]
-        data = batch.column("data")
+        data, fields, initial = batch.column("data"), batch.column("_fields"), batch.column("_in")
         out = []
-        for i, (link, chunk, ours, sound, links, key_error, source, op, at, after, start) in enumerate(zip(*cols)):
-            if (link, chunk) != key:
-                key, has_link = (link, chunk), start["has_link"]
-                state = start if start["at"] is not None else None
+        for i, (link, chunk, ours, sound, _, key_error, source, target, op, at, digest) in enumerate(zip(*cols)):
+            if key is None or link != key[0] or chunk != key[1]:
+                key, start = (link, chunk), initial[i].as_py()
+                has_link = start["has_link"]
+                state = (start["written_to"], start["fields"], start["hash"], start["at"]) if start["at"] is not None else None
             before = has_link
             if ours or (
-                state is not None
-                and (state["written_to"] or "").lower() == source.lower()
-                and _projected_hash(data[i].as_py() or [], state["fields"] or []) == state["hash"]
+                state is not None and state[2] and state[0].lower() == source.lower()
+                and _projected_hash(data[i].as_py(), _plain(state[1])) == state[2]
             ):
                 verdict = ECHO
-            elif state is not None and at < state["at"]:
+            elif state is not None and at < state[3]:
                 verdict = DISCARDED
             elif not sound or (not has_link and key_error):
                 verdict = FAILED
             elif op == "Delete":
                 verdict = DELETED
                 if has_link:
-                    state = after
+                    state = (target, fields[i], digest, at)
             else:
                 verdict = UPSERTED
-                has_link, state = True, after
+                has_link, state = True, (target, fields[i], digest, at)
             out.append((key, verdict, before, has_link, state))
         yield batch, out
 
 
+def _plain(value):
+    return value.as_py() if isinstance(value, pa.Scalar) else value
+
+
 def _row_verdicts(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, out in _replay(batches):
@@ -287,10 +285,14 @@ def _chunk_finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ("hash", pa.string()), ("at", pa.int64()),
     ])
 
+    def final(has_link, state):
+        written_to, fields, digest, at = state or (None, None, None, None)
+        return {"has_link": has_link, "written_to": written_to, "fields": _plain(fields), "hash": digest, "at": at}
+
     def emit(items):
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.int64()),
-             pa.array([s for _, s in items], kind)],
+            [pa.array([k[0] for k, _, _ in items], pa.string()), pa.array([k[1] for k, _, _ in items], pa.int64()),
+             pa.array([final(h, s) for _, h, s in items], kind)],
             names=["link_key", "fold_chunk", "new_final"],
         )
 
@@ -300,8 +302,7 @@ def _chunk_finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for key, _, _, has_link, state in out:
             if last is not None and last[0] != key:
                 done.append(last)
-            blank = {"has_link": has_link, "written_to": None, "fields": None, "hash": None, "at": None}
-            last = (key, {**state, "has_link": has_link} if state is not None else blank)
+            last = (key, has_link, state)
         if done:
             yield emit(done)
     if last is not None:
@@ -315,15 +316,15 @@ def outcomes(settled: DataFrame) -> DataFrame:
     """Add `outcome`. A by_id target reports Updated for every known id; a by_key target
     reports Created whenever the record is not there, so also after a delete."""
     by_key = F.col("upsert_mode") == BY_KEY
+
+    def named(rows, present):
+        written = F.when(present, F.lit(UPDATED)).otherwise(F.lit(CREATED))
+        return rows.withColumn("outcome", F.when(F.col("verdict") == UPSERTED, written).otherwise(F.col("verdict")))
+
     wrote = F.col("verdict").isin(UPSERTED, DELETED)
     last = F.struct(*ORDER, (F.col("verdict") == UPSERTED).alias("present"))
     scanned = prefix.running_before(
-        settled, ["link_key", "target_system"], ORDER, {"_last": ("max", F.when(wrote & by_key, last))}
+        settled.filter(by_key), ["link_key", "target_system"], ORDER, {"_last": ("max", F.when(wrote, last))}
     )
-    present = F.when(by_key, F.coalesce("_last.present", "target_exists")).otherwise(F.col("has_link") | F.col("target_exists"))
-    return scanned.withColumn(
-        "outcome",
-        F.when(F.col("verdict") != UPSERTED, F.col("verdict"))
-        .when(present, F.lit(UPDATED))
-        .otherwise(F.lit(CREATED)),
-    ).drop("_last")
+    keyed = named(scanned, F.coalesce("_last.present", "target_exists")).drop("_last")
+    return named(settled.filter(~by_key), F.col("has_link") | F.col("target_exists")).unionByName(keyed)

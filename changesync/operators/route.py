@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changesync.functions.keys import pair_key
-from changesync.operators.sizing import broadcast_if_small
 
 ACTIVE = "Active"
 
@@ -29,7 +28,7 @@ def route_events(events: DataFrame, maps: DataFrame) -> DataFrame:
     """One row per event and active map of its source; events no map wants drop out."""
     keyed = active_maps(maps)
     on = (F.lower("source_system") == F.col("_route_system")) & (F.lower("entity_name") == F.col("_route_entity"))
-    return events.join(broadcast_if_small(keyed), on, "inner").drop("_route_system", "_route_entity")
+    return events.join(keyed, on, "inner").drop("_route_system", "_route_entity")
 
 
 def passes_company(companies="companies", company="company", operation="operation") -> Column:
@@ -47,4 +46,4 @@ def company_filter(routed: DataFrame) -> DataFrame:
 def with_unknown_systems(maps: DataFrame, systems: DataFrame, column: str = "target_system") -> DataFrame:
     """Maps naming a system nobody registered. `systems` has one column, `system`."""
     known = systems.select(F.lower("system").alias("_known")).distinct()
-    return maps.join(broadcast_if_small(known), F.lower(column) == F.col("_known"), "left_anti")
+    return maps.join(known, F.lower(column) == F.col("_known"), "left_anti")

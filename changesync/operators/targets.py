@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changesync.functions.keys import key_segment
 from changesync.functions.values import NULL, _col, json_str
-from changesync.operators.sizing import broadcast_if_small
+from changesync.operators.mapping import CompiledMaps
 
 BY_ID, BY_KEY = "by_id", "by_key"
 COMPANY_KEY = "dataAreaId"
@@ -46,8 +46,17 @@ def with_mode(df: DataFrame, modes: dict[str, str]) -> DataFrame:
     return df.withColumn("upsert_mode", mode)
 
 
-def with_key_segment(rows: DataFrame) -> DataFrame:
+def company_fallback(name: str) -> Column | None:
+    """The company column for the company field of a by_key target."""
+    if name.lower() != COMPANY_KEY.lower():
+        return None
+    return F.when((F.col("upsert_mode") == BY_KEY) & (F.col("company") != ""), json_str(F.col("company")))
+
+
+def with_key_segment(rows: DataFrame, compiled: CompiledMaps | None = None) -> DataFrame:
     """Add `key_segment` and `key_error` (exclusive) from the mapped body."""
+    if compiled is not None:
+        return compiled.key_segment(rows, company_fallback)
     by_key = F.col("upsert_mode") == BY_KEY
     parts = F.when(by_key, key_parts(company="company")).otherwise(key_parts())
     out = rows.withColumn("_parts", parts)
@@ -60,11 +69,11 @@ def target_index(targets: DataFrame, maps: DataFrame, modes: dict[str, str]) ->
     """`probe_key` → (`matches`, `match_id`): by_id records under each map's integration key,
     by_key records under their id."""
     wanted = with_mode(
-        maps.select("map_name", "target_system", "target_entity", "integration_key").distinct(), modes
+        maps.select("map_name", "target_system", "target_entity", "integration_key"), modes
     )
     by_id = wanted.filter(F.col("upsert_mode") == BY_ID)
     on = (F.lower("system") == F.lower("target_system")) & (F.lower("entity_name") == F.lower("target_entity"))
-    keyed = targets.join(broadcast_if_small(by_id), on).withColumn("_parts", key_parts(fields="fields"))
+    keyed = targets.join(by_id, on).withColumn("_parts", key_parts(fields="fields"))
     keyed = keyed.filter(key_problem("integration_key", F.col("_parts")).isNull())
     ids = keyed.select(id_probe("map_name", key_segment("_parts")).alias("probe_key"), "record_id")
 

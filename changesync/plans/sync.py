@@ -15,6 +15,7 @@ from changesync.functions.text import MAX_ERROR_LENGTH, truncate
 from changesync.functions.transforms import Transforms
 from changesync.functions.values import payload_hash
 from changesync.operators import echo, mapping, prefix, resolve, route, targets, xref as links
+from changesync.operators.targets import BY_KEY
 from changesync.schema import CREATED, DELETED, FAILED, UPDATED
 from changesync.storage import materialize
 
@@ -39,11 +40,16 @@ class SyncResult:
     failures: DataFrame
 
 
-def route_and_map(events: DataFrame, maps: DataFrame, xref: DataFrame, users: DataFrame, config: SyncConfig) -> DataFrame:
+def route_and_map(
+    events: DataFrame, maps: DataFrame, xref: DataFrame, users: DataFrame, config: SyncConfig,
+    compiled: mapping.CompiledMaps | None = None,
+) -> DataFrame:
     """One row per event and admitted map, with its link and mapped body."""
     routed = route.company_filter(route.route_events(events, maps))
+    if compiled is not None:
+        routed = routed.drop("fields")
     linked = echo.flag_identity_echo(links.lookup(routed, xref), users)
-    mapped = mapping.map_fields(linked, transforms=config.transforms)
+    mapped = mapping.map_fields(linked, transforms=config.transforms) if compiled is None else compiled.map_fields(linked)
     known = F.lower("target_system").isin([s.lower() for s in config.systems])
     unknown = F.when(~known, F.concat(F.lit("no system registered as '"), F.col("target_system"), F.lit("'")))
     return mapped.withColumn("system_error", unknown).drop("companies", "fields")
@@ -86,8 +92,9 @@ def with_link_key(rows: DataFrame) -> DataFrame:
 
 
 def prepare(events, maps, xref, target, users, config: SyncConfig) -> DataFrame:
-    mapped = route_and_map(events, maps, xref, users, config)
-    keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems))
+    compiled = mapping.CompiledMaps.load(route.active_maps(maps), config.transforms)
+    mapped = route_and_map(events, maps, xref, users, config, compiled)
+    keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
     index = targets.target_index(target, route.active_maps(maps), config.systems)
     resolved = materialize(targets.resolve_targets(keyed, index), "resolved")
     return prefix.with_bucket(with_link_key(resolved), span=config.bucket_span)
@@ -150,8 +157,10 @@ def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_
     """Run one batch. `events` carry CHANGE_EVENT and bus columns; `xref`, `target`, `users`
     are the tables laid out in `schema`. Nothing is written; the result holds what to write."""
     ready = prepare(events, maps, xref, target, users, config)
-    settled = resolve.settle(ready, config.fold_rows, config.content_echo)
-    rows = materialize(resolve.outcomes(settled), "outcomes")
+    settled = materialize(resolve.settle(ready, config.fold_rows, config.content_echo), "settled")
+    rows = resolve.outcomes(settled)
+    if BY_KEY in config.systems.values():
+        rows = materialize(rows, "outcomes")
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
     return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures)

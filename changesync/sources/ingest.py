@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changesync.functions import payload as p
 from changesync.functions.text import MAX_LOGGED_PAYLOAD, truncate
-from changesync.functions.values import _col
+from changesync.functions.values import _col, decode_str
 
 class PayloadParser(Protocol):
     """A system plugs in by recognising its payloads and turning them into events."""
@@ -26,38 +26,44 @@ class ContextParser:
     """Execution-context payloads: an envelope, a message name, and the record's attributes
     as key/value pairs under the input parameter `Target`."""
 
+    # Envelope members, in order of preference.
+    TIMES = ("EventTimeIso8601", "EventTime", "OperationCreatedOn")
+    USERS = ("InitiatingUserAzureActiveDirectoryObjectId", "InitiatingUserAADObjectId", "UserId")
+    ROOT_STRINGS = ("MessageName", "PrimaryEntityName", "PrimaryEntityId", "CorrelationId", *TIMES, *USERS)
+    TARGET_STRINGS = ("LogicalName", "Id")
+
     def __init__(self, system_name: str = "erp") -> None:
         self.system_name = system_name
 
     def sniff(self, raw: Column) -> Column:
         root = p.as_object(F.try_parse_json(_col(raw)))
-        shape = p.has_ci(root, "MessageName") & p.has_ci(root, "InputParameters")
-        return F.coalesce(root.isNotNull() & (p.has_ci(root, "BusinessEventId") | shape), F.lit(False))
+        names = F.transform(F.map_keys(root), lambda k: F.lower(k))
+        shape = p.has_ci(names, "MessageName") & p.has_ci(names, "InputParameters")
+        return F.coalesce(p.has_ci(names, "BusinessEventId") | shape, F.lit(False))
 
     def parse(self, df: DataFrame, raw: str) -> DataFrame:
         before = df.columns
         root, target = F.col("_root"), F.col("_target")
         step = df.withColumn("_root", p.as_object(F.try_parse_json(F.col(raw))))
-        step = step.withColumn("_target", p.find_parameter(root, "Target"))
+        step = step.withColumns({"_target": p.find_parameter(root, "Target"), "_members": p.members_ci(root)})
+        step = step.withColumn("_target_obj", p.as_object(target))
         step = step.withColumns({
-            "_target_obj": p.as_object(target),
-            "_data": p.attributes(target),
-            "_message": p.get_string(root, "MessageName"),
+            "_entries": p.attribute_entries(F.col("_target_obj")), "_target_members": p.members_ci(F.col("_target_obj")),
         })
-        obj = F.col("_target_obj")
+        # One column per member, first as JSON text and then as string: nothing is computed twice.
+        texts = {f"_j_{n}": F.try_element_at("_members", F.lit(n.lower())) for n in self.ROOT_STRINGS}
+        texts |= {f"_j_T{n}": F.try_element_at("_target_members", F.lit(n.lower())) for n in self.TARGET_STRINGS}
+        step = step.withColumns({**texts, "_data": p.attribute_map(F.col("_entries"))})
+        step = step.withColumns({f"_s_{t[3:]}": decode_str(t) for t in texts})
         step = step.withColumns({
-            "_operation": p.operation_of("_message"),
-            "_entity": F.coalesce(p.get_string(root, "PrimaryEntityName"), p.get_string(obj, "LogicalName")),
-            "_record": p.first_useful_id(p.get_string(root, "PrimaryEntityId"), p.get_string(obj, "Id")),
-            "_occurred": F.coalesce(*[
-                p.parse_date(p.get_string(root, n)) for n in ("EventTimeIso8601", "EventTime", "OperationCreatedOn")
-            ]),
-            "_user": p.first_useful_id(*[
-                p.get_string(root, n)
-                for n in ("InitiatingUserAzureActiveDirectoryObjectId", "InitiatingUserAADObjectId", "UserId")
-            ]),
+            "_message": F.col("_s_MessageName"),
+            "_operation": p.operation_of("_s_MessageName"),
+            "_entity": F.coalesce("_s_PrimaryEntityName", "_s_TLogicalName"),
+            "_record": p.first_useful_id("_s_PrimaryEntityId", "_s_TId"),
+            "_occurred": F.coalesce(*[p.parse_date(f"_s_{n}") for n in self.TIMES]),
+            "_user": p.first_useful_id(*[f"_s_{n}" for n in self.USERS]),
             # A payload without a correlation gets one from its text, so a retried task gives the same.
-            "_correlation": F.coalesce(p.first_useful_id(p.get_string(root, "CorrelationId")), F.md5(F.col(raw))),
+            "_correlation": F.coalesce(p.first_useful_id("_s_CorrelationId"), F.md5(F.col(raw))),
         })
         error = F.when(F.col(raw).isNotNull(), F.coalesce(
             F.when(root.isNull(), F.lit("payload is not a JSON object")),

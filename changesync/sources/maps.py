@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changesync.functions.text import is_blank, trim_ws
 from changesync.schema import ENTITY_MAP_DOCUMENT
-from changesync.operators.sizing import broadcast_if_small
 
 
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +98,7 @@ def with_kind(maps: DataFrame) -> DataFrame:
 def runnable(maps: DataFrame, requests: DataFrame) -> DataFrame:
     """Run requests (`map_name`, `scheduled_for`) whose map still exists, is active and scheduled."""
     ready = maps.filter((F.lower("status") == "active") & is_scheduled()).select(F.col("name").alias("map_name"))
-    return requests.join(broadcast_if_small(ready), "map_name", "left_semi")
+    return requests.join(ready, "map_name", "left_semi")
 
 
 def complete_fields(fields="fields"):

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input of fewer splits than cores (one small file) is spread over them; anything
+    larger already has splits enough and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- change events ----------------------------------------------------------------------
 
 _EVENT_COLUMNS = """
@@ -39,7 +46,7 @@ _EVENT_COLUMNS = """
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change events of users: `erp` accounts and `crm` contacts, arriving out of order."""
-    base = table(spark, sf_dir, "events").withColumn("pk", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
+    base = spread(table(spark, sf_dir, "events")).withColumn("pk", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
     at = F.col("ts").cast("timestamp")
     late = F.make_dt_interval(secs=((F.col("event_id") * 7919) % 600).cast("decimal(18,6)"))
     out = base.withColumn("occurred_at", at).withColumn("enqueued_at", at + late).selectExpr(
