@@ -45,14 +45,18 @@ class ContextParser:
         before = df.columns
         root, target = F.col("_root"), F.col("_target")
         step = df.withColumn("_root", p.as_object(F.try_parse_json(F.col(raw))))
-        step = step.withColumns({"_target": p.find_parameter(root, "Target"), "_members": p.members_ci(root)})
+        step = step.withColumns({
+            "_target": p.find_parameter(root, "Target"),
+            "_names": F.transform(F.map_keys(root), lambda k: F.lower(k)), "_values": F.map_values(root),
+        })
         step = step.withColumn("_target_obj", p.as_object(target))
         step = step.withColumns({
-            "_entries": p.attribute_entries(F.col("_target_obj")), "_target_members": p.members_ci(F.col("_target_obj")),
+            "_entries": p.attribute_entries(F.col("_target_obj")),
+            "_t_names": F.transform(F.map_keys("_target_obj"), lambda k: F.lower(k)), "_t_values": F.map_values("_target_obj"),
         })
         # One column per member, first as JSON text and then as string: nothing is computed twice.
-        texts = {f"_j_{n}": F.try_element_at("_members", F.lit(n.lower())) for n in self.ROOT_STRINGS}
-        texts |= {f"_j_T{n}": F.try_element_at("_target_members", F.lit(n.lower())) for n in self.TARGET_STRINGS}
+        texts = {f"_j_{n}": p.member_text("_names", "_values", n) for n in self.ROOT_STRINGS}
+        texts |= {f"_j_T{n}": p.member_text("_t_names", "_t_values", n) for n in self.TARGET_STRINGS}
         step = step.withColumns({**texts, "_data": p.attribute_map(F.col("_entries"))})
         step = step.withColumns({f"_s_{t[3:]}": decode_str(t) for t in texts})
         step = step.withColumns({
@@ -120,14 +124,22 @@ def parse_events(df: DataFrame, parsers: Sequence[PayloadParser], raw: str = "ra
     return out.select(*base, F.coalesce(*events).alias("event"), F.coalesce(unknown, *errors).alias("error"))
 
 
+def _where(parsed: DataFrame, condition: Column) -> DataFrame:
+    """Filter after parsing. Left to itself, the optimizer would push the condition to the scan
+    and parse everything a second time inside it; a filter does not move below a column that
+    is not deterministic."""
+    held = parsed.withColumn("_task", F.spark_partition_id())
+    return held.filter(condition & (F.col("_task") >= 0)).drop("_task")
+
+
 def accepted(parsed: DataFrame, *keep: str) -> DataFrame:
     """The normalised events, with the columns of `keep` carried along."""
-    return parsed.filter(F.col("error").isNull()).select(*keep, "event.*")
+    return _where(parsed, F.col("error").isNull()).select(*keep, "event.*")
 
 
 def quarantine(parsed: DataFrame, *keep: str, raw: str = "raw") -> DataFrame:
     """Payloads that left the flow: whole text for replay, a prefix for reading, the reason."""
-    return parsed.filter(F.col("error").isNotNull()).select(
+    return _where(parsed, F.col("error").isNotNull()).select(
         *keep, raw, truncate(raw, MAX_LOGGED_PAYLOAD).alias("payload_prefix"), "error"
     )
 

@@ -77,9 +77,9 @@ EV = f"WITH {a.EV}"
 READABLE = "pk NOT IN (7, 8, 9, 10, 11)"
 # What the parser must read from the payload of an event. Dates other than ISO carry milliseconds.
 READ = f"""{EV}, read AS (
-  SELECT *, CASE WHEN source_system = 'crm' OR pk % 3 = 0 THEN epoch_us(occurred_at) ELSE epoch_ms(occurred_at) * 1000 END AS at_us,
+  SELECT *, CASE WHEN source_system = 'crm' OR pk % 3 = 0 THEN epoch_us(occurred_at) ELSE epoch_us(occurred_at) // 1000 * 1000 END AS at_us,
     CASE WHEN source_system = 'crm' THEN NULL ELSE company END AS read_company,
-    strftime(make_timestamp(epoch_ms(occurred_at) * 1000), '%Y-%m-%dT%H:%M:%S') AS sec, epoch_ms(occurred_at) % 1000 AS ms
+    strftime(make_timestamp(epoch_us(occurred_at) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S') AS sec, epoch_us(occurred_at) // 1000 % 1000 AS ms
   FROM ev
 ), bodies AS (
   SELECT *, CASE WHEN source_system = 'crm' THEN '{{}}' ELSE '{{' ||
@@ -183,7 +183,7 @@ def fn_flatten(spark, sf_dir):
     return read.select("event_id", *[F.try_element_at("data", F.lit(n)).alias(n) for n in ("k", "ref", "amount")])
 
 
-@workload("fn_dates", f"""{EV} SELECT event_id, epoch_ms(occurred_at) * 1000 AS wire_us, epoch_us(occurred_at) AS iso_us,
+@workload("fn_dates", f"""{EV} SELECT event_id, epoch_us(occurred_at) // 1000 * 1000 AS wire_us, epoch_us(occurred_at) AS iso_us,
   CAST(NULL AS BIGINT) AS junk_us, epoch_us(occurred_at) AS first_us FROM ev""")
 def fn_dates(spark, sf_dir):
     e = a.events(spark, sf_dir).selectExpr("event_id", f"{_DATE} AS wire", f"{_ISO} AS iso", "'soon ' || event_id AS junk")
