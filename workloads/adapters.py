@@ -46,7 +46,17 @@ _EVENT_COLUMNS = """
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change events of users: `erp` accounts and `crm` contacts, arriving out of order."""
-    base = spread(table(spark, sf_dir, "events")).withColumn("pk", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
+    return events_of(spread(table(spark, sf_dir, "events")))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return events_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def events_of(rows: DataFrame) -> DataFrame:
+    base = rows.withColumn("pk", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
     at = F.col("ts").cast("timestamp")
     late = F.make_dt_interval(secs=((F.col("event_id") * 7919) % 600).cast("decimal(18,6)"))
     out = base.withColumn("occurred_at", at).withColumn("enqueued_at", at + late).selectExpr(

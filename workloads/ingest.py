@@ -218,9 +218,9 @@ def publish_changes(spark, sf_dir):
     return dedupe.envelope(a.events(spark, sf_dir)).select("event_id", "session_id", "message_id", "correlation_id")
 
 
-def deliveries(spark, sf_dir) -> DataFrame:
-    """Every event delivered, and the purchases a second time, nine minutes later."""
-    once = dedupe.envelope(a.events(spark, sf_dir))
+def deliveries_of(events: DataFrame) -> DataFrame:
+    """Every event delivered, and those of larger amounts a second time, nine minutes later."""
+    once = dedupe.envelope(events)
     late = F.make_dt_interval(mins=F.lit(9))
     twice = F.when(F.col("amount") > 4000, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     many = once.withColumn("copy", F.explode(twice))
@@ -232,7 +232,7 @@ def deliveries(spark, sf_dir) -> DataFrame:
 
 @workload("dedupe_batch", f"{EV} SELECT {MESSAGE_ID} AS message_id, event_id, arrival_seq, 1 AS delivery_count FROM evd")
 def dedupe_batch(spark, sf_dir):
-    first = dedupe.first_of_duplicates(deliveries(spark, sf_dir))
+    first = dedupe.first_of_duplicates(deliveries_of(a.events(spark, sf_dir)))
     return first.select("message_id", "event_id", "arrival_seq", "delivery_count")
 
 

@@ -1,21 +1,31 @@
 """The pipeline end to end: outcomes, history, link state, target."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from changesync.functions.keys import pair_key
+from changesync.operators import dedupe
+from changesync.plans.load import loaded_links
 from changesync.plans.sync import SyncConfig, SyncResult, sync_batch
+from changesync.schema import TARGET_ROW, XREF_ROW
+from changesync.session import ensure_checkpoint_dir
+from changesync.storage import KeyedTable
+from changesync.streaming.pipeline import SyncTables, sync_stream
 from workloads import adapters as a
 from workloads.registry import workload
 
 
-def run_batch(spark: SparkSession, sf_dir: str, **config) -> SyncResult:
+def run_batch(spark: SparkSession, sf_dir: str, xref: DataFrame | None = None, **config) -> SyncResult:
     return sync_batch(
-        a.sync_events(spark, sf_dir), a.maps(spark), a.xref(spark, sf_dir), a.target(spark, sf_dir),
-        a.integration_users(spark), SyncConfig(a.SYSTEMS, **config), F.col("enqueued_at"),
+        a.sync_events(spark, sf_dir), a.maps(spark), a.xref(spark, sf_dir) if xref is None else xref,
+        a.target(spark, sf_dir), a.integration_users(spark), SyncConfig(a.SYSTEMS, **config), F.col("enqueued_at"),
     )
 
 
 # One row per event and map, grouped by link, replayed in arrival order.
-REPLAY = f"""WITH RECURSIVE {a.EV}, {a.MAPS}, {a.ROUTED}, {a.LINKS}, seg AS (
+def replay(links: str) -> str:
+    return f"""WITH RECURSIVE {a.EV}, {a.MAPS}, {a.ROUTED}, {links}, seg AS (
   SELECT c_custkey AS u, c_mktsegment FROM customer
 ), rows AS (
   SELECT r.*, s.c_mktsegment, r.map_name <> 'm3' AND l.u IS NOT NULL AS link0,
@@ -66,6 +76,9 @@ REPLAY = f"""WITH RECURSIVE {a.EV}, {a.MAPS}, {a.ROUTED}, {a.LINKS}, seg AS (
 )"""
 
 
+REPLAY = replay(a.LINKS)
+
+
 @workload("sync_outcomes", f"{REPLAY} SELECT map_name, outcome, count(*) AS n FROM hist GROUP BY ALL")
 def sync_outcomes(spark, sf_dir) -> DataFrame:
     return run_batch(spark, sf_dir).history.groupBy("map_name", "outcome").agg(F.count("*").alias("n"))
@@ -76,3 +89,53 @@ def link_fold(spark, sf_dir) -> DataFrame:
     rows = run_batch(spark, sf_dir).rows
     known = F.when(F.col("outcome").isin("Created", "Updated") | (F.col("has_link") & (F.col("outcome") != "Failed")), F.col("counterpart"))
     return rows.select("correlation_id", "map_name", "outcome", F.col("has_link").alias("had_link"), known.alias("target_record_id"))
+
+
+@workload("outcomes", f"{REPLAY} SELECT map_name, operation, outcome, target_record_id IS NOT NULL AS has_target, count(*) AS n FROM hist GROUP BY ALL")
+def outcomes(spark, sf_dir) -> DataFrame:
+    found = run_batch(spark, sf_dir).history.withColumn("has_target", F.col("target_record_id").isNotNull())
+    return found.groupBy("map_name", "operation", "outcome", "has_target").agg(F.count("*").alias("n"))
+
+
+@workload("history_rows", f"""{REPLAY} SELECT map_name, epoch_us(processed_at) AS processed_us, outcome, operation, source_system, source_record_id,
+  target_system, target_record_id, company, epoch_us(occurred_at) AS occurred_us, error, delivery_count, correlation_id FROM hist""")
+def history_rows(spark, sf_dir) -> DataFrame:
+    h = run_batch(spark, sf_dir).history
+    micros = {"processed_at": "processed_us", "occurred_at": "occurred_us"}
+    return h.select(*[F.unix_micros(c).alias(micros[c]) if c in micros else F.col(c) for c in h.columns])
+
+
+# Everything copied to the CRM before the events drain: one link per customer, dated by the copy.
+LOADED = """links AS (SELECT c_custkey AS u, TRUE AS has_state, FALSE AS tomb,
+    upper(sha256('{"k":' || (c_nationkey % 4) || ',"ref":"R' || c_custkey || '"}')) AS hash, TIMESTAMP '2024-01-08' + to_days(c_nationkey % 10) AS lw_at
+  FROM customer)"""
+
+
+@workload("cutover_drain", f"{replay(LOADED)} SELECT map_name, outcome, count(*) AS n FROM hist GROUP BY ALL")
+def cutover_drain(spark, sf_dir) -> DataFrame:
+    """Bulk copy of the customers, then the backlog of events: those older than the copy lose."""
+    copied = a.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("a-"), "c_custkey").alias("record_id_a"), F.concat(F.lit("c-"), "c_custkey").alias("record_id_b"),
+        F.create_map(F.lit("k"), (F.col("c_nationkey") % 4).cast("string"), F.lit("ref"), F.concat(F.lit('"R'), "c_custkey", F.lit('"'))).alias("fields"),
+        F.expr("TIMESTAMP '2024-01-08 00:00:00' + make_dt_interval(c_nationkey % 10)").alias("changed_at"),
+    )
+    pair = pair_key(F.lit("erp"), F.lit("Accounts"), F.lit("crm"), F.lit("contact"))
+    links = loaded_links(copied, pair, "erp", "crm", F.current_timestamp())
+    return run_batch(spark, sf_dir, links).history.groupBy("map_name", "outcome").agg(F.count("*").alias("n"))
+
+
+@workload("stream_pipeline", f"{REPLAY} SELECT map_name, outcome, count(*) AS n FROM hist GROUP BY ALL")
+def stream_pipeline(spark, sf_dir) -> DataFrame:
+    """The same events as a stream, through duplicate detection and `foreachBatch`, with link and
+    target tables on disk; what the history then holds."""
+    root = f"{ensure_checkpoint_dir(spark)}/flow-{uuid.uuid4().hex}"
+    tables = SyncTables(f"{root}/xref", f"{root}/target", f"{root}/history", f"{root}/dead")
+    KeyedTable(spark, tables.xref, XREF_ROW).write(a.xref(spark, sf_dir), 0)
+    KeyedTable(spark, tables.target, TARGET_ROW).write(a.target(spark, sf_dir), 0)
+    changes = dedupe.envelope(a.event_stream(spark, sf_dir).select(*a.CORE)).drop("session_id")
+    query = sync_stream(
+        changes, lambda: a.maps(spark), a.integration_users(spark), tables, SyncConfig(a.SYSTEMS), f"{root}/offsets",
+        available_now=True,
+    )
+    query.awaitTermination()
+    return spark.read.parquet(tables.history).groupBy("map_name", "outcome").agg(F.count("*").alias("n"))
