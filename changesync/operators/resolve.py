@@ -183,7 +183,7 @@ def _with_chunk_states(keyed: DataFrame) -> DataFrame:
     winner = F.struct(F.col("_at"), *ORDER, after.alias("state"))
     wins = F.col("_sound") & (F.col("_has_link_scan") | F.col("_links"))
     per_chunk = narrow.groupBy(*key).agg(
-        F.max_by(winner, F.struct("_at", *ORDER)).filter(wins).alias("w"), F.first("_in").alias("initial")
+        F.max_by(winner, F.when(wins, F.struct("_at", *ORDER))).alias("w"), F.first("_in").alias("initial")
     )
     best = F.max_by("w", F.struct("w._at", "w.arrival_seq", "w.map_name")).over(along.rowsBetween(*prefix.BEFORE))
     guessed = per_chunk.withColumn("best", best).select(
