@@ -91,29 +91,30 @@ def find_parameter(root: Column, name: str) -> Column:
     return F.get(matches, F.lit(0))["value"]
 
 
-def _unwrap(value: Column) -> Column:
-    obj = as_object(value)
-    return F.coalesce(get_ci(obj, "Value"), get_ci(obj, "Id"), value)
+def _unwrap(text: Column) -> Column:
+    obj = as_object(F.try_parse_json(text))
+    inner = F.coalesce(F.to_json(get_ci(obj, "Value")), F.to_json(get_ci(obj, "Id")), text)
+    return F.when(F.startswith(text, F.lit("{")), inner).otherwise(text)
 
 
-def unwrap_values(items: Column) -> Column:
-    """ARRAY<STRUCT<key, value VARIANT>> with `{Value: …}` and `{Id: …}` wrappers reduced to
-    what they hold, down to MAX_WRAPPER_DEPTH levels."""
-    for _ in range(MAX_WRAPPER_DEPTH):
-        items = F.transform(items, lambda p: F.struct(p["key"].alias("key"), _unwrap(p["value"]).alias("value")))
-    return items
-
-
-def date_as_iso(text: Column) -> Column:
+def _date_as_iso(text: Column) -> Column:
     """JSON text, with a `"/Date(ms)/"` string turned into the ISO instant it means."""
-    return F.when(text.rlike(JSON_DATE_PATTERN), json_str(iso_instant(parse_date(decode_str(text))))).otherwise(text)
+    is_date = F.startswith(text, F.lit('"/Date(')) & text.rlike(JSON_DATE_PATTERN)
+    return F.when(is_date, json_str(iso_instant(parse_date(decode_str(text))))).otherwise(text)
 
 
 def attribute_entries(target_obj: Column) -> Column:
-    """`Attributes` list of the target object → ARRAY<STRUCT<key, value>> of JSON text."""
-    items = unwrap_values(pairs(get_ci(target_obj, "Attributes")))
-    texts = F.transform(items, lambda p: F.struct(p["key"].alias("key"), F.to_json(p["value"]).alias("value")))
-    return F.transform(texts, lambda p: F.struct(p["key"].alias("key"), date_as_iso(p["value"]).alias("value")))
+    """`Attributes` list of the target object → ARRAY<STRUCT<key, value>> of JSON text, with
+    `{Value: …}` and `{Id: …}` wrappers reduced to what they hold, down to MAX_WRAPPER_DEPTH
+    levels, and dates as ISO instants."""
+
+    def each(items, fn):
+        return F.transform(items, lambda p: F.struct(p["key"].alias("key"), fn(p["value"]).alias("value")))
+
+    items = each(pairs(get_ci(target_obj, "Attributes")), F.to_json)
+    for _ in range(MAX_WRAPPER_DEPTH):
+        items = each(items, _unwrap)
+    return each(items, _date_as_iso)
 
 
 def attribute_map(entries: Column) -> Column:

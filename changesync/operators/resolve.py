@@ -96,13 +96,15 @@ def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = Tru
     keep = rows.columns
     inside = Window.partitionBy(*CHUNK).orderBy(*ORDER).rowsBetween(*prefix.BEFORE)
     flagged = _flags(rows).withColumn("_h", F.coalesce(F.max("_links").over(inside), F.lit(False)))
-    summaries = materialize(_chunk_summaries(flagged, fold_rows), "chunks")
-
-    reached = F.when(F.col("carry_link"), F.max(F.when(F.col("_sound"), F.col("_at"))).over(inside)).otherwise(
-        F.max(F.when(F.col("_links") | (F.col("_sound") & F.col("_h")), F.col("_at"))).over(inside)
-    )
-    joined = flagged.join(summaries, CHUNK, "inner")
-    scanned = joined.withColumns({
+    # What was reached inside the chunk, if the link existed at its start and if it did not.
+    # Written once: the summary reads a few columns of it, and the rows need no second shuffle.
+    chunked = materialize(flagged.withColumns({
+        "_linked_at": F.max(F.when(F.col("_sound"), F.col("_at"))).over(inside),
+        "_unlinked_at": F.max(F.when(F.col("_links") | (F.col("_sound") & F.col("_h")), F.col("_at"))).over(inside),
+    }), "chunked")
+    summaries = materialize(_chunk_summaries(chunked, fold_rows), "summaries")
+    reached = F.when(F.col("carry_link"), F.col("_linked_at")).otherwise(F.col("_unlinked_at"))
+    scanned = chunked.join(summaries, CHUNK, "inner").withColumns({
         "has_link": F.col("carry_link") | F.col("_h"),
         "_seen_at": F.greatest("carry_at", reached),
     })

@@ -8,6 +8,7 @@ The same function serves a batch job and `foreachBatch`.
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from changesync.functions.keys import idempotency_key
@@ -15,7 +16,6 @@ from changesync.functions.text import MAX_ERROR_LENGTH, truncate
 from changesync.functions.transforms import Transforms
 from changesync.functions.values import payload_hash
 from changesync.operators import echo, mapping, prefix, resolve, route, targets, xref as links
-from changesync.operators.targets import BY_KEY
 from changesync.schema import CREATED, DELETED, FAILED, UPDATED
 from changesync.storage import materialize
 
@@ -39,6 +39,14 @@ class SyncResult:
     link_updates: DataFrame
     failures: DataFrame
 
+    def persist(self) -> "SyncResult":
+        """Keep the outcome rows on disk while several results are read; call `unpersist` after."""
+        self.rows.persist(StorageLevel.DISK_ONLY)
+        return self
+
+    def unpersist(self) -> None:
+        self.rows.unpersist()
+
 
 def route_and_map(
     events: DataFrame, maps: DataFrame, xref: DataFrame, users: DataFrame, config: SyncConfig,
@@ -159,8 +167,6 @@ def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_
     ready = prepare(events, maps, xref, target, users, config)
     settled = materialize(resolve.settle(ready, config.fold_rows, config.content_echo), "settled")
     rows = resolve.outcomes(settled)
-    if BY_KEY in config.systems.values():
-        rows = materialize(rows, "outcomes")
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
     return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures)

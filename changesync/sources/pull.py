@@ -1,13 +1,13 @@
 """Pulling records from a source table instead of waiting for its events."""
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from changesync.functions.keys import key_segment
+from changesync.functions.keys import literal
 from changesync.functions.payload import iso_instant
 from changesync.functions.values import NULL, decode_str, json_str
 
@@ -79,11 +79,10 @@ def value_json(field: T.StructField) -> Column:
     return F.coalesce(text, F.lit(NULL))
 
 
-def body_of_columns(table: DataFrame) -> DataFrame:
-    """Table rows → `data`, annotations (`@…`) left out."""
+def body_of_columns(table: DataFrame) -> Column:
+    """The columns of a table row as a body, annotations (`@…`) left out."""
     fields = [f for f in table.schema.fields if not f.name.startswith("@")]
-    entries = F.map_from_arrays(F.array(*[F.lit(f.name) for f in fields]), F.array(*[value_json(f) for f in fields]))
-    return table.select(entries.alias("data"))
+    return F.map_from_arrays(F.array(*[F.lit(f.name) for f in fields]), F.array(*[value_json(f) for f in fields]))
 
 
 def explode_pages(pages: DataFrame, column: str = "page") -> DataFrame:
@@ -94,37 +93,58 @@ def explode_pages(pages: DataFrame, column: str = "page") -> DataFrame:
     return records.select(F.transform_values(members, lambda _, v: F.to_json(v)).alias("data"))
 
 
-def _member(name: str) -> Column:
+def _staged(df: DataFrame, entity: Entity, member) -> DataFrame:
+    """Add the JSON text of the entity's key, time and company members as plain columns, so
+    that each is read once."""
+    wanted = {f"_key_{i}": k for i, k in enumerate(entity.key_fields)}
+    if entity.modified_field:
+        wanted["_modified"] = entity.modified_field
+    if entity.company_field:
+        wanted["_company"] = entity.company_field
+    return df.withColumns({c: F.nullif(member(name), F.lit(NULL)) for c, name in wanted.items()})
+
+
+def _member_of_body(name: str) -> Column:
     hits = F.filter(F.map_entries("data"), lambda e: F.lower(e["key"]) == name.lower())
-    return F.nullif(F.get(hits, F.size(hits) - 1)["value"], F.lit(NULL))
+    return F.try_element_at(hits, F.lit(-1))["value"]
+
+
+def _member_of_table(table: DataFrame):
+    fields = {f.name.lower(): f for f in table.schema.fields}
+    return lambda name: value_json(fields[name.lower()]) if name.lower() in fields else F.lit(None).cast("string")
 
 
 def record_id(entity: Entity) -> Column:
-    """Canonical id of a pulled record, the same a write to that entity would use. A record
-    without a key value stops the pull."""
-    def part(k):
+    """Canonical id of a staged record, the same a write to that entity would use: key parts in
+    case-insensitive order. A record without a key value stops the pull."""
+    parts = []
+    for i, k in sorted(enumerate(entity.key_fields), key=lambda p: p[1].upper()):
         missing = F.raise_error(F.lit(f"a pulled {entity.name} record has no value for key '{k}'")).cast("string")
-        return F.struct(F.lit(k).alias("name"), F.coalesce(_member(k), missing).alias("value"))
-
-    return key_segment(F.array(*[part(k) for k in entity.key_fields]))
+        parts.append(F.concat(F.lit(f"{k}="), literal(F.col(f"_key_{i}")), F.when(F.col(f"_key_{i}").isNull(), missing).otherwise(F.lit(""))))
+    return F.concat_ws(",", *parts)
 
 
 def to_events(records: DataFrame, entity: Entity, pulled_at: Column) -> DataFrame:
-    """Pulled bodies → change events. The operation is always Update (the write decides), and
-    a record without a readable modification time changed when it was pulled."""
-    modified = decode_str(_member(entity.modified_field)).try_cast("timestamp") if entity.modified_field else F.lit(None).cast("timestamp")
-    company = decode_str(_member(entity.company_field)) if entity.company_field else F.lit(None).cast("string")
-    identity = record_id(entity)
-    return records.select(
+    """Pulled bodies (`data`) → change events."""
+    return _events(_staged(records, entity, _member_of_body), entity, pulled_at)
+
+
+def _events(staged: DataFrame, entity: Entity, pulled_at: Column) -> DataFrame:
+    """The operation is always Update (the write decides), and a record without a readable
+    modification time changed when it was pulled."""
+    modified = decode_str("_modified").try_cast("timestamp") if entity.modified_field else F.lit(None).cast("timestamp")
+    company = decode_str("_company") if entity.company_field else F.lit(None).cast("string")
+    named = staged.withColumns({"source_record_id": record_id(entity), "occurred_at": F.coalesce(modified, pulled_at)})
+    return named.select(
         F.lit(entity.system).alias("source_system"),
         F.lit(entity.name).alias("entity_name"),
-        identity.alias("source_record_id"),
+        "source_record_id",
         F.lit("Update").alias("operation"),
-        F.coalesce(modified, pulled_at).alias("occurred_at"),
+        "occurred_at",
         company.alias("company"),
         "data",
         F.lit(None).cast("string").alias("originating_user_id"),
-        F.md5(F.concat_ws("|", F.lit(entity.name), identity, F.coalesce(modified, pulled_at).cast("string"))).alias("correlation_id"),
+        F.md5(F.concat_ws("|", F.lit(entity.name), "source_record_id", F.col("occurred_at").cast("string"))).alias("correlation_id"),
     )
 
 
@@ -132,17 +152,22 @@ def pull_changes(
     table: DataFrame, entity: Entity, pulled_at: Column, token: str = "", companies: Sequence[str] = (), keys_only: bool = False
 ) -> DataFrame:
     """Records changed since `token` (all of them when empty) as change events."""
-    return to_events(body_of_columns(scan(table, entity, token, companies, keys_only)), entity, pulled_at)
+    records = scan(table, entity, token, companies, keys_only)
+    staged = _staged(records.withColumn("data", body_of_columns(records)), entity, _member_of_table(records))
+    return _events(staged, entity, pulled_at)
 
 
 def live_keys(table: DataFrame, entity: Entity) -> DataFrame:
     """Distinct lower-case ids of every record of the entity, whatever its company: absence
     has to be absolute."""
     keys = scan(table, entity, keys_only=True).distinct()
-    return body_of_columns(keys).select(F.lower(record_id(entity)).alias("record_id")).distinct()
+    only_keys = replace(entity, modified_field=None, company_field=None)
+    return _staged(keys, only_keys, _member_of_table(keys)).select(F.lower(record_id(entity)).alias("record_id")).distinct()
 
 
 def export_entity(table: DataFrame, entity: Entity, partitions: int | None = None) -> DataFrame:
     """Whole entity for an initial load: `record_id` and `data`, spread evenly by id."""
-    out = body_of_columns(table).select(record_id(entity).alias("record_id"), "data")
+    only_keys = replace(entity, modified_field=None, company_field=None)
+    staged = _staged(table.withColumn("data", body_of_columns(table)), only_keys, _member_of_table(table))
+    out = staged.select(record_id(entity).alias("record_id"), "data")
     return out.repartition(partitions, "record_id") if partitions else out

@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from changesync.functions import keys, payload, text, values
+from changesync.functions import keys, text, values
+from changesync.functions.transforms import Transforms
 from changesync.operators import echo, mapping, route, targets, xref as links
 from changesync.operators.resolve import lww_discards
 from changesync.operators.targets import create_body, update_body
@@ -243,8 +244,9 @@ def lww_snapshot(spark, sf_dir):
 def m3_rows(spark, sf_dir) -> DataFrame:
     """Events through map m3, with their key."""
     m3 = a.maps(spark).filter("name = 'm3'")
-    rows = mapping.map_fields(route.route_events(a.sync_events(spark, sf_dir), m3))
-    return targets.with_key_segment(targets.with_mode(rows, a.SYSTEMS))
+    compiled = mapping.CompiledMaps.load(route.active_maps(m3), Transforms())
+    rows = compiled.map_fields(route.route_events(a.sync_events(spark, sf_dir), m3))
+    return targets.with_key_segment(targets.with_mode(rows, a.SYSTEMS), compiled)
 
 
 M3_BODY = """'{' || CASE WHEN has_amount THEN '"amount":' || coalesce(CAST(amount AS VARCHAR), 'null') || ',' ELSE '' END

@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, functions as F
 
 from changesync.functions.values import canonical_json
+from changesync.functions.transforms import Transforms
 from changesync.operators import route, targets, xref as links
+from changesync.operators.mapping import CompiledMaps
+from changesync.schema import FIELD_MAP
 from changesync.sources import catalog, maps as map_store, watermarks
 from workloads import adapters as a
 from workloads.registry import workload
@@ -144,12 +147,15 @@ def resolve_integration_key(spark, sf_dir):
     wanted = F.when(F.col("l_returnflag") == "R", F.lit("NONE")).otherwise(F.col("p_type"))
     rows = a.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("lines").alias("map_name"), F.lit("erp").alias("target_system"),
-        F.lit("Parts").alias("target_entity"), F.array(F.lit("type"), F.lit("name")).alias("integration_key"), body(wanted).alias("mapped"),
+        F.lit("Parts").alias("target_entity"), body(wanted).alias("mapped"),
         F.lit(None).cast("string").alias("map_error"), F.lit(None).cast("string").alias("link_target_id"), F.lit(None).cast("string").alias("company"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("arrival_seq"))
-    config = rows.select("map_name", "target_system", "target_entity", "integration_key").limit(1)
+    config = spark.range(1).select(
+        F.lit("lines").alias("map_name"), F.lit("erp").alias("target_system"), F.lit("Parts").alias("target_entity"),
+        F.array(F.lit("type"), F.lit("name")).alias("integration_key"), F.lit(None).cast(f"ARRAY<{FIELD_MAP}>").alias("fields"))
+    compiled = CompiledMaps.load(config, Transforms())
     found = targets.resolve_targets(
-        targets.with_key_segment(targets.with_mode(rows, {})), targets.target_index(snapshot, config, {}))
+        targets.with_key_segment(targets.with_mode(rows, {}), compiled), targets.target_index(snapshot, config, {}))
     exact = F.col("target_exists") & F.col("key_error").isNull()
     return found.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("target_exists").alias("found"),
