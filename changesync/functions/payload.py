@@ -1,7 +1,7 @@
 """Reading change payloads held as VARIANT: case-insensitive members, key/value lists,
 value wrappers, dates and ids."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from changesync.functions.values import _col, decode_str, entries_last_wins, is_json_str, json_str
 
@@ -103,23 +103,27 @@ def _date_as_iso(text: Column) -> Column:
     return F.when(is_date, json_str(iso_instant(parse_date(decode_str(text))))).otherwise(text)
 
 
-def attribute_entries(target_obj: Column) -> Column:
-    """`Attributes` list of the target object → ARRAY<STRUCT<key, value>> of JSON text, with
-    `{Value: …}` and `{Id: …}` wrappers reduced to what they hold, down to MAX_WRAPPER_DEPTH
-    levels, and dates as ISO instants."""
+def with_attributes(df: DataFrame, target: str, name: str) -> DataFrame:
+    """Add `name`, the body held by the `Attributes` list of the object column `target`.
+
+    `{Value: …}` and `{Id: …}` wrappers are reduced to what they hold, down to
+    MAX_WRAPPER_DEPTH levels; dates become ISO instants; the last of equal keys wins. Each
+    level is a column of its own and idle where nothing is wrapped.
+    """
 
     def each(items, fn):
         return F.transform(items, lambda p: F.struct(p["key"].alias("key"), fn(p["value"]).alias("value")))
 
-    items = each(pairs(get_ci(target_obj, "Attributes")), F.to_json)
-    for _ in range(MAX_WRAPPER_DEPTH):
-        items = each(items, _unwrap)
-    return each(items, _date_as_iso)
-
+    def where(holds, fn):
+        items = F.col("_items")
+        return F.when(F.exists(items, lambda p: holds(p["value"])), each(items, fn)).otherwise(items)
 
-def attribute_map(entries: Column) -> Column:
-    """Attribute entries column → body map; the last of equal keys wins."""
-    return F.coalesce(entries_last_wins(entries), F.expr("CAST(map() AS MAP<STRING,STRING>)"))
+    step = df.withColumn("_items", each(pairs(get_ci(F.col(target), "Attributes")), F.to_json))
+    for _ in range(MAX_WRAPPER_DEPTH):
+        step = step.withColumn("_items", where(lambda text: F.startswith(text, F.lit("{")), _unwrap))
+    step = step.withColumn("_items", where(lambda text: F.startswith(text, F.lit('"/Date(')), _date_as_iso))
+    body = F.coalesce(entries_last_wins(F.col("_items")), F.expr("CAST(map() AS MAP<STRING,STRING>)"))
+    return step.withColumn(name, body).drop("_items")
 
 
 def company_of(data) -> Column:

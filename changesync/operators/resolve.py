@@ -21,8 +21,7 @@ from changesync.functions.values import payload_hash
 from changesync.operators import prefix
 from changesync.operators.targets import BY_KEY
 from changesync.schema import CREATED, DELETED, DISCARDED, ECHO, FAILED, UPDATED
-from changesync.session import checkpoint
-from changesync.storage import materialize
+from changesync.storage import Scratch
 
 ORDER = ["arrival_seq", "map_name"]
 CHUNK = ["link_key", "bucket"]
@@ -87,22 +86,25 @@ def _chunk_summaries(rows: DataFrame, fold_rows: int) -> DataFrame:
     )
 
 
-def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = True) -> DataFrame:
+def settle(
+    rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = True, scratch: Scratch | None = None
+) -> DataFrame:
     """Add `verdict` (an outcome, or `Upserted`), `has_link` (before the row) and `error`.
 
     Needs: link_key, bucket, arrival_seq, map_name, source/target_system, operation,
     occurred_at, data, mapped, identity_echo, system_error, map_error, key_error, link.
     """
     keep = rows.columns
+    scratch = scratch or Scratch(rows.sparkSession)
     inside = Window.partitionBy(*CHUNK).orderBy(*ORDER).rowsBetween(*prefix.BEFORE)
     flagged = _flags(rows).withColumn("_h", F.coalesce(F.max("_links").over(inside), F.lit(False)))
     # What was reached inside the chunk, if the link existed at its start and if it did not.
     # Written once: the summary reads a few columns of it, and the rows need no second shuffle.
-    chunked = materialize(flagged.withColumns({
+    chunked = scratch.keep(flagged.withColumns({
         "_linked_at": F.max(F.when(F.col("_sound"), F.col("_at"))).over(inside),
         "_unlinked_at": F.max(F.when(F.col("_links") | (F.col("_sound") & F.col("_h")), F.col("_at"))).over(inside),
     }), "chunked")
-    summaries = materialize(_chunk_summaries(chunked, fold_rows), "summaries")
+    summaries = scratch.keep(_chunk_summaries(chunked, fold_rows), "summaries")
     reached = F.when(F.col("carry_link"), F.col("_linked_at")).otherwise(F.col("_unlinked_at"))
     scanned = chunked.join(summaries, CHUNK, "inner").withColumns({
         "has_link": F.col("carry_link") | F.col("_h"),
@@ -112,7 +114,7 @@ def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = Tru
     out = quick.select(*keep, "verdict", "has_link")
     if content_echo:
         split = bool(summaries.filter("contested AND fold_chunk > 0").limit(1).count())
-        folded = _fold(scanned.filter("contested"), keep, split)
+        folded = _fold(scanned.filter("contested"), keep, scratch if split else None)
         out = out.unionByName(folded)
     return out.withColumn("error", F.when(F.col("verdict") == FAILED, _reason()))
 
@@ -147,7 +149,8 @@ def _initial_state() -> Column:
     ).cast(FOLD_STATE)
 
 
-def _fold(rows: DataFrame, keep: list[str], split: bool) -> DataFrame:
+def _fold(rows: DataFrame, keep: list[str], scratch: Scratch | None) -> DataFrame:
+    """Verdicts by folding; `scratch` is given when some link is longer than a chunk."""
     keyed = rows.withColumns({
         "_key_error": F.col("key_error").isNotNull(),
         "_fields": F.when(F.col("operation") == "Delete", F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array_sort(F.map_keys("mapped"))),
@@ -155,8 +158,8 @@ def _fold(rows: DataFrame, keep: list[str], split: bool) -> DataFrame:
         "_in": _initial_state(),
         "_has_link_scan": F.col("has_link"),
     })
-    if split:
-        keyed = _with_chunk_states(keyed)
+    if scratch is not None:
+        keyed = _with_chunk_states(keyed, scratch)
     ordered = keyed.repartition("link_key", "fold_chunk").sortWithinPartitions("link_key", "fold_chunk", *ORDER)
     work = [c for c in _FOLD_INPUT if c not in keep]
     ordered = ordered.select(*keep, *work)
@@ -164,7 +167,7 @@ def _fold(rows: DataFrame, keep: list[str], split: bool) -> DataFrame:
     return ordered.mapInArrow(_row_verdicts(keep), schema)
 
 
-def _with_chunk_states(keyed: DataFrame) -> DataFrame:
+def _with_chunk_states(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """Replace `_in` of later chunks by the state the chunk before leaves.
 
     First prediction: the last winner of the prefix scan, right unless a content echo was in
@@ -175,7 +178,7 @@ def _with_chunk_states(keyed: DataFrame) -> DataFrame:
     """
     key = ["link_key", "fold_chunk"]
     long_links = keyed.filter("fold_chunk > 0").select("link_key").distinct()
-    narrow = checkpoint(keyed.select(*_FOLD_INPUT).join(long_links, "link_key", "left_semi"))
+    narrow = scratch.keep(keyed.select(*_FOLD_INPUT).join(long_links, "link_key", "left_semi"), "long")
     along = Window.partitionBy("link_key").orderBy("fold_chunk")
 
     after = F.struct(
@@ -194,7 +197,8 @@ def _with_chunk_states(keyed: DataFrame) -> DataFrame:
         .otherwise(F.col("initial")).alias("assumed"),
         "initial",
     )
-    states = checkpoint(guessed.withColumn("final", F.lit(None).cast(FOLD_STATE)).withColumn("stale", F.lit(True)))
+    guessed = guessed.withColumn("final", F.lit(None).cast(FOLD_STATE)).withColumn("stale", F.lit(True))
+    states = scratch.keep(guessed, "states")
     while True:
         todo = states.filter("stale").select(*key, "assumed")
         work = narrow.drop("_in").join(todo.withColumnRenamed("assumed", "_in"), key, "inner")
@@ -202,12 +206,11 @@ def _with_chunk_states(keyed: DataFrame) -> DataFrame:
         finals = work.mapInArrow(_chunk_finals, f"link_key STRING, fold_chunk BIGINT, new_final {FOLD_STATE}")
         merged = states.join(finals, key, "left").withColumn("final", F.coalesce("new_final", "final"))
         nxt = F.coalesce(F.lag("final").over(along), F.col("initial"))
-        states = checkpoint(
-            merged.withColumn("next", nxt).select(
-                *key, F.col("next").alias("assumed"), "initial", "final",
-                (~F.col("next").eqNullSafe(F.col("assumed"))).alias("stale"),
-            )
+        merged = merged.withColumn("next", nxt).select(
+            *key, F.col("next").alias("assumed"), "initial", "final",
+            (~F.col("next").eqNullSafe(F.col("assumed"))).alias("stale"),
         )
+        states = scratch.keep(merged, "states")
         if not states.filter("stale").limit(1).count():
             break
     exact = states.select(*key, F.col("assumed").alias("_exact"))

@@ -17,7 +17,7 @@ from changesync.functions.transforms import Transforms
 from changesync.functions.values import payload_hash
 from changesync.operators import echo, mapping, prefix, resolve, route, targets, xref as links
 from changesync.schema import CREATED, DELETED, FAILED, UPDATED
-from changesync.storage import materialize
+from changesync.storage import Scratch
 
 
 @dataclass
@@ -38,14 +38,17 @@ class SyncResult:
     writes: DataFrame
     link_updates: DataFrame
     failures: DataFrame
+    scratch: Scratch
 
     def persist(self) -> "SyncResult":
-        """Keep the outcome rows on disk while several results are read; call `unpersist` after."""
+        """Keep the outcome rows on disk while several results are read; call `close` after."""
         self.rows.persist(StorageLevel.DISK_ONLY)
         return self
 
-    def unpersist(self) -> None:
+    def close(self) -> None:
+        """Free what the batch left behind. Its results cannot be read any more."""
         self.rows.unpersist()
+        self.scratch.delete()
 
 
 def route_and_map(
@@ -99,12 +102,12 @@ def with_link_key(rows: DataFrame) -> DataFrame:
     return bound.unionByName(free).drop("_side", "_other")
 
 
-def prepare(events, maps, xref, target, users, config: SyncConfig) -> DataFrame:
+def prepare(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch) -> DataFrame:
     compiled = mapping.CompiledMaps.load(route.active_maps(maps), config.transforms)
     mapped = route_and_map(events, maps, xref, users, config, compiled)
     keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
     index = targets.target_index(target, route.active_maps(maps), config.systems)
-    resolved = materialize(targets.resolve_targets(keyed, index), "resolved")
+    resolved = scratch.keep(targets.resolve_targets(keyed, index), "resolved")
     return prefix.with_bucket(with_link_key(resolved), span=config.bucket_span)
 
 
@@ -163,13 +166,15 @@ def link_updates(rows: DataFrame) -> DataFrame:
 
 def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_at=None) -> SyncResult:
     """Run one batch. `events` carry CHANGE_EVENT and bus columns; `xref`, `target`, `users`
-    are the tables laid out in `schema`. Nothing is written; the result holds what to write."""
-    ready = prepare(events, maps, xref, target, users, config)
-    settled = materialize(resolve.settle(ready, config.fold_rows, config.content_echo), "settled")
+    are the tables laid out in `schema`. Only intermediate tables are written; the result holds what to
+    write, and `close` removes them."""
+    scratch = Scratch(events.sparkSession)
+    ready = prepare(events, maps, xref, target, users, config, scratch)
+    settled = scratch.keep(resolve.settle(ready, config.fold_rows, config.content_echo, scratch), "settled")
     rows = resolve.outcomes(settled)
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
-    return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures)
+    return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures, scratch)
 
 
 def apply_result(result: SyncResult, xref: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,13 +51,12 @@ class ContextParser:
         })
         step = step.withColumn("_target_obj", p.as_object(target))
         step = step.withColumns({
-            "_entries": p.attribute_entries(F.col("_target_obj")),
             "_t_names": F.transform(F.map_keys("_target_obj"), lambda k: F.lower(k)), "_t_values": F.map_values("_target_obj"),
         })
         # One column per member, first as JSON text and then as string: nothing is computed twice.
         texts = {f"_j_{n}": p.member_text("_names", "_values", n) for n in self.ROOT_STRINGS}
         texts |= {f"_j_T{n}": p.member_text("_t_names", "_t_values", n) for n in self.TARGET_STRINGS}
-        step = step.withColumns({**texts, "_data": p.attribute_map(F.col("_entries"))})
+        step = p.with_attributes(step.withColumns(texts), "_target_obj", "_data")
         step = step.withColumns({f"_s_{t[3:]}": decode_str(t) for t in texts})
         step = step.withColumns({
             "_message": F.col("_s_MessageName"),

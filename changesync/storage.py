@@ -13,13 +13,41 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from changesync.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and read it back: lineage
-    is cut, lost executors cost nothing, and later reads prune columns."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _files(spark: SparkSession, folder: str):
+    """(file system, path constructor) of a folder, whatever store it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+class Scratch:
+    """Intermediate tables of one batch, in the shared checkpoint folder.
+
+    Writing a result and reading it back cuts lineage, costs nothing when executors are
+    lost, and lets later readers prune columns. `delete` when the batch is done.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{ensure_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
+        self._count = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._count += 1
+        path = f"{self.root}/{self._count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def delete(self) -> None:
+        fs, path = _files(self.spark, self.root)
+        fs.delete(path(self.root), True)
+
+
+def merge_rows(df: DataFrame, table: str, keys: list[str]) -> None:
+    """Upsert into a catalog table whose format has MERGE, instead of a whole new version."""
+    on = [F.col(f"source.{k}").eqNullSafe(F.col(f"target.{k}")) for k in keys]
+    condition = on[0]
+    for c in on[1:]:
+        condition &= c
+    df.alias("source").mergeInto(table, condition).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 
 class KeyedTable:
@@ -28,20 +56,17 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def _committed(self) -> list[int]:
+        """Versions that were finished: one empty marker file each, so a commit is one create."""
+        fs, path = _files(self.spark, self.root)
+        folder = path(f"{self.root}/_commits")
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def version(self) -> int | None:
-        """Newest committed version. The pointer is one empty file per commit, so moving it
-        is a single atomic create on any store."""
-        fs, path = self._fs()
-        root = path(f"{self.root}/_commits")
-        if not fs.exists(root):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return max((int(n) for n in names if n.isdigit()), default=None)
+        return max(self._committed(), default=None)
 
     def read(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
@@ -52,18 +77,13 @@ class KeyedTable:
     def before(self, batch_id: int) -> DataFrame:
         """The state a batch starts from: the newest version older than it, so a repeated
         batch sees what its first run saw."""
-        fs, path = self._fs()
-        root = path(f"{self.root}/_commits")
-        if not fs.exists(root):
-            return self.spark.createDataFrame([], self.schema)
-        older = [int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()]
-        older = [v for v in older if v < batch_id]
+        older = [v for v in self._committed() if v < batch_id]
         return self.read(max(older)) if older else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         columns = self.spark.createDataFrame([], self.schema).columns
         df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
-        fs, path = self._fs()
+        fs, path = _files(self.spark, self.root)
         fs.create(path(f"{self.root}/_commits/{batch_id}"), True).close()
 
 

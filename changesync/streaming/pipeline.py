@@ -48,7 +48,7 @@ def sync_stream(
         new_target = targets.apply_writes(old_target, targets.net_writes(result.writes))
         target.write(new_target, batch_id + 1)
         xref.write(links.save(old_links, result.link_updates, "save_order"), batch_id + 1)
-        result.unpersist()
+        result.close()
 
     writer = dedupe.drop_stream_duplicates(changes).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

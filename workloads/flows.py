@@ -81,26 +81,26 @@ def initial_export(spark, sf_dir):
 # --- scheduled runs ---------------------------------------------------------------------
 
 ACCOUNTS = pull.Entity("erp", "Accounts", ("u",), "changed", "company")
-URGENT = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
+FINISHED = "o_orderstatus = 'F'"
 
 
 def accounts(spark, sf_dir) -> DataFrame:
-    """The source still knows the customers of finished urgent orders."""
-    return a.table(spark, sf_dir, "orders").filter(URGENT).selectExpr(
-        "o_custkey AS u", "o_orderdate AS changed", "o_orderpriority || o_orderstatus || (o_custkey % 3) AS company")
+    """The source still knows the customers of finished orders."""
+    return a.table(spark, sf_dir, "orders").filter(FINISHED).selectExpr(
+        "o_custkey AS u", "o_orderdate AS changed", "o_orderpriority AS company")
 
 
 def account_links(spark, sf_dir) -> DataFrame:
     return a.links(spark, sf_dir).withColumn("record_id_a", F.concat(F.lit("U="), F.substring("record_id_a", 3, 20))).withColumn("lookup_key", F.col("record_id_a"))
 
 
-@workload("live_keys", f"SELECT DISTINCT 'u=' || o_custkey AS record_id FROM orders WHERE {URGENT}")
+@workload("live_keys", f"SELECT DISTINCT 'u=' || o_custkey AS record_id FROM orders WHERE {FINISHED}")
 def live_keys(spark, sf_dir):
     return pull.live_keys(accounts(spark, sf_dir), ACCOUNTS)
 
 
 GONE = f"""SELECT 'U=' || u AS source_record_id, 'Delete' AS operation, epoch_us({RUN_AT}) AS at_us, CAST(NULL AS VARCHAR) AS company
-  FROM links WHERE NOT (has_state AND tomb) AND u NOT IN (SELECT o_custkey FROM orders WHERE {URGENT})"""
+  FROM links WHERE NOT (has_state AND tomb) AND u NOT IN (SELECT o_custkey FROM orders WHERE {FINISHED})"""
 
 
 @workload("deletes_by_absence", f"WITH {a.LINKS} {GONE}")
@@ -111,15 +111,15 @@ def deletes_by_absence(spark, sf_dir):
 
 def run(spark, sf_dir) -> scheduled.ScheduledRun:
     document = """{"name": "nightly", "sourceSystem": "erp", "sourceEntity": "Accounts", "targetSystem": "crm", "targetEntity": "contact", "fields": [],
-      "companies": ["1-URGENTF0", "1-URGENTF2"], "schedule": {"cron": "0 0 6 * * *", "mode": "incremental", "detectDeletes": true}}"""
+      "companies": ["1-URGENT", "2-HIGH"], "schedule": {"cron": "0 0 6 * * *", "mode": "incremental", "detectDeletes": true}}"""
     docs = spark.range(1).select(F.lit(document).alias("document"))
     nightly = map_store.parse_maps(docs).first()
     return scheduled.scheduled_run(nightly, accounts(spark, sf_dir), ACCOUNTS, account_links(spark, sf_dir), TOKEN, F.expr(RUN_AT))
 
 
-CHANGED = f"FROM orders WHERE {URGENT} AND o_custkey % 3 <> 1 AND o_orderdate >= TIMESTAMP '1998-01-01'"
+CHANGED = f"FROM orders WHERE {FINISHED} AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1998-01-01'"
 RUN = f"""WITH {a.LINKS}, published AS (SELECT 'u=' || o_custkey AS source_record_id, 'Update' AS operation, epoch_us(o_orderdate) AS at_us,
-  o_orderpriority || o_orderstatus || (o_custkey % 3) AS company {CHANGED} UNION ALL {GONE})"""
+  o_orderpriority AS company {CHANGED} UNION ALL {GONE})"""
 
 
 @workload("scheduled_run", f"{RUN} SELECT * FROM published")

@@ -164,14 +164,14 @@ def fn_find_parameter(spark, sf_dir):
     return found.withColumn("v", F.to_json(p.get_ci(F.col("t"), "id"))).select("event_id", decode_str("v").alias("target_id"))
 
 
-def _entries(spark, sf_dir) -> DataFrame:
+def _bodies(spark, sf_dir) -> DataFrame:
     found = _roots(spark, sf_dir).withColumn("t", p.as_object(p.find_parameter(F.col("root"), "Target")))
-    return found.withColumn("entries", p.attribute_entries(F.col("t")))
+    return p.with_attributes(found, "t", "data")
 
 
 @workload("fn_attributes", f"""{READ} SELECT event_id, CASE WHEN source_system = 'erp' AND pk NOT IN (7, 8, 10) THEN body ELSE '{{}}' END AS data FROM bodies""")
 def fn_attributes(spark, sf_dir):
-    read = _entries(spark, sf_dir).withColumn("data", p.attribute_map(F.col("entries")))
+    read = _bodies(spark, sf_dir)
     return read.select("event_id", canonical_json("data").alias("data"))
 
 
@@ -179,7 +179,7 @@ def fn_attributes(spark, sf_dir):
   CASE WHEN ok AND has_amount THEN coalesce(CAST(amount AS VARCHAR), 'null') END AS amount
   FROM (SELECT *, source_system = 'erp' AND pk NOT IN (7, 8, 10) AS ok FROM ev)""")
 def fn_flatten(spark, sf_dir):
-    read = _entries(spark, sf_dir).withColumn("data", p.attribute_map(F.col("entries")))
+    read = _bodies(spark, sf_dir)
     return read.select("event_id", *[F.try_element_at("data", F.lit(n)).alias(n) for n in ("k", "ref", "amount")])
 
 
