@@ -152,25 +152,27 @@ def net_writes(plan: DataFrame) -> DataFrame:
     Aggregates by (record, field) before it gathers a record, so a record with any number
     of writes reaches one task only as one value per field.
     """
-    record = ["target_system", "target_entity", "record_id"]
+    record = ["_system", "_entity", "record_id"]
     marks = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
     body = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    parts = plan.select(
-        *record, "write_order",
+    parts = _target_keys(plan, "target_system", "target_entity").select(
+        *record, "target_system", "target_entity", "write_order",
         (F.col("operation") == "Delete").alias("gone"),
         F.explode(F.when(F.col("operation") == "Delete", marks).otherwise(F.concat(marks, body))).alias("part"),
     )
     latest = parts.groupBy(*record, F.col("part.key").alias("key"), "gone").agg(
-        F.max_by("part.value", "write_order").alias("value"), F.max("write_order").alias("at")
+        F.max_by("part.value", "write_order").alias("value"), F.max("write_order").alias("at"),
+        F.min("target_system").alias("target_system"), F.min("target_entity").alias("target_entity"),
     )
     items = latest.groupBy(*record).agg(
         F.max(F.when(F.col("gone"), F.col("at"))).alias("gone_at"),
         F.max("at").alias("write_order"),
+        F.min("target_system").alias("target_system"), F.min("target_entity").alias("target_entity"),
         F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value", "at"))).alias("items"),
     )
     kept = F.filter("items", lambda i: F.col("gone_at").isNull() | (i["at"] > F.col("gone_at")))
     return items.select(
-        *record,
+        "target_system", "target_entity", "record_id",
         F.map_from_entries(F.transform(kept, lambda i: F.struct(i["key"].alias("key"), i["value"].alias("value")))).alias("fields"),
         F.coalesce(F.col("gone_at") == F.col("write_order"), F.lit(False)).alias("deleted"),
         F.col("gone_at").isNotNull().alias("wiped"),
