@@ -16,10 +16,14 @@ from workloads import adapters as a
 from workloads.registry import workload
 
 
+# Arrival numbers of the adapter step by 600 per event; a bucket should hold about a million events.
+BUCKET_SPAN = 600 * 1_000_000
+
+
 def run_batch(spark: SparkSession, sf_dir: str, xref: DataFrame | None = None, **config) -> SyncResult:
     return sync_batch(
         a.sync_events(spark, sf_dir), a.maps(spark), a.xref(spark, sf_dir) if xref is None else xref,
-        a.target(spark, sf_dir), a.integration_users(spark), SyncConfig(a.SYSTEMS, **config), F.col("enqueued_at"),
+        a.target(spark, sf_dir), a.integration_users(spark), SyncConfig(a.SYSTEMS, bucket_span=BUCKET_SPAN, **config), F.col("enqueued_at"),
     )
 
 
@@ -134,7 +138,7 @@ def stream_pipeline(spark, sf_dir) -> DataFrame:
     KeyedTable(spark, tables.target, TARGET_ROW).write(a.target(spark, sf_dir), 0)
     changes = dedupe.envelope(a.event_stream(spark, sf_dir).select(*a.CORE)).drop("session_id")
     query = sync_stream(
-        changes, lambda: a.maps(spark), a.integration_users(spark), tables, SyncConfig(a.SYSTEMS), f"{root}/offsets",
+        changes, lambda: a.maps(spark), a.integration_users(spark), tables, SyncConfig(a.SYSTEMS, bucket_span=BUCKET_SPAN), f"{root}/offsets",
         available_now=True,
     )
     query.awaitTermination()
