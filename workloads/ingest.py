@@ -184,12 +184,13 @@ def fn_flatten(spark, sf_dir):
 
 
 @workload("fn_dates", f"""{EV} SELECT event_id, epoch_us(occurred_at) // 1000 * 1000 AS wire_us, epoch_us(occurred_at) AS iso_us,
-  CAST(NULL AS BIGINT) AS junk_us, epoch_us(occurred_at) AS first_us FROM ev""")
+  FALSE AS junk_read, epoch_us(occurred_at) AS first_us FROM ev""")
 def fn_dates(spark, sf_dir):
     e = a.events(spark, sf_dir).selectExpr("event_id", f"{_DATE} AS wire", f"{_ISO} AS iso", "'soon ' || event_id AS junk")
     first = F.coalesce(*[p.parse_date(c) for c in ("junk", "iso", "wire")])
     return e.select(
-        "event_id", *[F.unix_micros(p.parse_date(c)).alias(f"{c}_us") for c in ("wire", "iso", "junk")],
+        "event_id", *[F.unix_micros(p.parse_date(c)).alias(f"{c}_us") for c in ("wire", "iso")],
+        p.parse_date("junk").isNotNull().alias("junk_read"),
         F.unix_micros(first).alias("first_us"),
     )
 
@@ -246,7 +247,7 @@ def session_order(spark, sf_dir):
 @workload("lww_running_max", f"""{EV}, w AS (
   SELECT event_id, occurred_at, max(occurred_at) OVER (PARTITION BY source_system, source_record_id ORDER BY arrival_seq
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ev)
-  SELECT event_id, epoch_us(seen) AS seen_us, coalesce(occurred_at < seen, FALSE) AS discarded FROM w""")
+  SELECT event_id, coalesce(epoch_us(seen), 0) AS seen_us, coalesce(occurred_at < seen, FALSE) AS discarded FROM w""")
 def lww_running_max(spark, sf_dir):
     from changesync.operators.resolve import lww_discards
 
@@ -254,4 +255,4 @@ def lww_running_max(spark, sf_dir):
     seen = prefix.running_before(
         chunked, ["source_system", "source_record_id"], ["arrival_seq"], {"seen": ("max", F.col("occurred_at"))}
     )
-    return seen.select("event_id", F.unix_micros("seen").alias("seen_us"), lww_discards("occurred_at", "seen").alias("discarded"))
+    return seen.select("event_id", F.coalesce(F.unix_micros("seen"), F.lit(0)).alias("seen_us"), lww_discards("occurred_at", "seen").alias("discarded"))
