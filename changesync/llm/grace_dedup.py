@@ -88,20 +88,22 @@ def _rank(doc_id: int | None, row: int) -> tuple:
     return doc_id is None, doc_id or 0, row
 
 
-def prepare(docs: DataFrame) -> DataFrame:
+def prepare(docs: DataFrame, row: str | None = None) -> DataFrame:
     """One narrow row per document, and the content with one row of each text of a batch."""
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 33
+        first_row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in W.slices(batch):
+                rows = part.column("row") if row else pa.array(np.arange(first_row, first_row + part.num_rows))
+                numbers = rows.to_pylist()
                 raw, ends = W.plain(part.column("text"))
                 raw, ids = raw.tobytes(), part.column("doc_id").to_pylist()
                 shas, contents, sizes, best, count = [], [], [], {}, {}
                 for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                     content = normal(raw[a:b])
                     sha = hashlib.sha256(content).digest()
-                    rank = _rank(ids[i], row + i)
+                    rank = _rank(ids[i], numbers[i])
                     if sha not in best or rank < best[sha][0]:
                         best[sha] = (rank, i)
                     count[sha] = count.get(sha, 0) + 1
@@ -110,14 +112,16 @@ def prepare(docs: DataFrame) -> DataFrame:
                     sizes.append(len(content))
                 first = [best[s][1] == i for i, s in enumerate(shas)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(shas))), pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes, pa.int64()),
+                    [rows, pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes, pa.int64()),
                      pa.array([c if f else None for c, f in zip(contents, first)], pa.binary()),
                      pa.array([count[s] if f else None for s, f in zip(shas, first)], pa.int64())],
                     ["row", "doc_id", "sha", "bytes", "content", "rows"],
                 )
-                row += len(shas)
+                first_row += part.num_rows
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.col(row).alias("row")] if row else [])
+    )
     return source.mapInArrow(run, ROW)
 
 
@@ -171,15 +175,17 @@ def classes(records: DataFrame, scratch: Scratch, most: int = BUCKET_BYTES) -> D
         depth += 1
 
 
-def dedup(docs: DataFrame, most: int = BUCKET_BYTES) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+def dedup(docs: DataFrame, most: int = BUCKET_BYTES, row: str | None = None) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, row.
 
+    `row` names a column of distinct longs that stands for the row in the result; without it rows
+    are numbered as they are read.
     A null text counts as empty, so all null and empty texts are one group. Of equal texts the
     row with the smallest doc_id stays, a null doc_id being larger than any; of repeated rows
     with that doc_id exactly one is kept. Other columns are ignored. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(prepare(docs), "rows")
+    rows = scratch.keep(prepare(docs, row), "rows")
     records = rows.filter(F.col("content").isNotNull()).select("row", "doc_id", "sha", "content", "rows")
     groups = classes(records, scratch, most)
     # A group can be a third of all rows: the join is by a unique right side, which adaptive

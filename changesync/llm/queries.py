@@ -4,13 +4,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from changesync.llm import best_fit, bottom_k, grace_dedup, token_files, tokens
+from changesync.llm import (
+    best_fit, bottom_k, grace_dedup, jaccard_join, line_dedup, maxent_lm, mixing, token_files, tokens, toxicity, viterbi_count,
+)
 from changesync.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -27,6 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir)).drop("row")
+
+
 @query("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark).root}/tokens"
@@ -35,6 +42,90 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.global_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, how = documents(spark, sf_dir), toxicity.Settings()
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), how)
+    scored = toxicity.score(docs.select("doc_id", "text"), model, how)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= how.threshold).cast("int").alias("predicted"),
+        "passages",
+    )
+
+
+def _share_sql(rows: str, out: str, family: str, name: str, keys: str) -> str:
+    """Steps that split a family's budget by weight, children that fill up first."""
+    order = f"PARTITION BY {family} ORDER BY cap / w, {name}"
+    return f"""
+    {rows}_1 AS (
+        SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+               sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {rows}
+    ), {rows}_2 AS (SELECT *, cap * ws <= (budget - caps) * w AS filled FROM {rows}_1),
+    {rows}_3 AS (
+        SELECT *, sum(CASE WHEN filled THEN cap ELSE 0 END) OVER (PARTITION BY {family}) AS taken,
+               sum(CASE WHEN filled THEN 0 ELSE w END) OVER (PARTITION BY {family}) AS open FROM {rows}_2
+    ), {out} AS (
+        SELECT {keys}, CASE WHEN filled THEN cap ELSE least(cap, (budget - taken) * w // greatest(open, 1)) END AS budget FROM {rows}_3
+    )"""
+
+
+# Tree budgets by integer shares, family by family, then each leaf's prefix of its seeded pass.
+MIXING_SQL = f"""
+    WITH doc AS (
+        SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens
+        FROM documents
+    ), dom AS (SELECT *, 'domain' || ((instr('0123456789abcdef', md5(source)[1:1]) - 1) % 4) AS domain FROM doc),
+    leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * 2 AS cap FROM dom GROUP BY ALL),
+    total AS (SELECT least(sum(tokens) * 80 // 100, sum(cap)) AS budget FROM leaf),
+    d AS (
+        SELECT 0 AS root, domain, sum(cap) AS cap, (SELECT budget FROM total) AS budget,
+               CASE domain WHEN 'domain0' THEN 40 WHEN 'domain1' THEN 30 WHEN 'domain2' THEN 20 ELSE 10 END AS w
+        FROM leaf GROUP BY domain
+    ), {_share_sql("d", "domains", "root", "domain", "domain")}, l AS (
+        SELECT domain, lang, sum(cap) AS cap, any_value(domains.budget) AS budget,
+               CASE lang WHEN 'en' THEN 50 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 ELSE 10 END AS w
+        FROM leaf JOIN domains USING (domain) GROUP BY domain, lang
+    ), {_share_sql("l", "langs", "domain", "lang", "domain, lang")}, s AS (
+        SELECT leaf.*, langs.budget, 10 AS w FROM leaf JOIN langs USING (domain, lang)
+    ), {_share_sql("s", "leaves", "domain, lang", "source", "domain, lang, source, tokens AS held")}, plan AS (
+        SELECT domain, lang, source, (budget // held)::BIGINT AS whole_copies, budget % held AS rest FROM leaves WHERE held > 0
+    ), placed AS (
+        SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY digest RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  - sum(tokens) OVER (PARTITION BY domain, lang, source, digest) AS start
+        FROM (SELECT dom.*, whole_copies, rest, md5('7|' || (whole_copies + 1) || '|' || doc_id) AS digest FROM dom JOIN plan USING (domain, lang, source))
+    )
+    SELECT doc_id, domain, lang, source, tokens, whole_copies, least(tokens, greatest(0, rest - start))::BIGINT AS extra_tokens FROM placed
+    UNION ALL
+    SELECT doc_id, domain, lang, source, tokens, 0, 0 FROM dom ANTI JOIN plan USING (domain, lang, source)
+"""
+
+
+@query("op4_mixing", MIXING_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", mixing.n_tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    taken = mixing.select(docs, tokens=F.col("words"))
+    return taken.select(
+        "doc_id", "domain", F.coalesce("lang", F.lit(mixing.UNKNOWN)).alias("lang"), F.coalesce("source", F.lit(mixing.UNKNOWN)).alias("source"),
+        "tokens", "whole_copies", "extra_tokens",
+    )
+
+
+@query("op5_maxent_lm")
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(documents(spark, sf_dir))
+
+
+@query("op6_viterbi_count")
+def op6_viterbi_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_count.count_tokens(documents(spark, sf_dir), tokens.public_path(PIECES))
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @query("op8_best_fit")
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = best_fit.packed(documents(spark, sf_dir), tokens.public_path(WORD_BPE), end_id=0)
