@@ -1,0 +1,37 @@
+"""The pipeline's stages on tables with known copies."""
+
+from collections import Counter
+
+import corpus_pipeline
+from changesync.llm import best_fit
+
+
+def test_stages(spark, awkward, nothing, tmp_path, clash):
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "doc_id LONG, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [s.__name__ for _, s in corpus_pipeline.STAGES] == ["drop_toxic", "drop_copies", "drop_near_copies", "mix_sources", "pack_sequences"]
+    for table in (clash(awkward), nothing):
+        docs = table
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{table.count()}-{i}"
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if i < 4:
+                assert docs.columns == table.columns, name
+        assert docs.filter(f"offset + length > {best_fit.Packing().tokens}").count() == 0
+
+
+def test_one_row_of_each_copy_stays(spark, awkward, tmp_path):
+    awkward.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    kept = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert len({r.text for r in kept}) == len(kept)
+    assert Counter(r.doc_id for r in kept)[3] == 1
+    near = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    prose = [r for r in near if r.text and "lazy dog while" in r.text]
+    assert sorted(r.doc_id for r in prose) == [0, 2]  # the twice repeated prose has few shingles more
+
+
+def test_whole_run(spark, small, tmp_path):
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in small.collect()}
