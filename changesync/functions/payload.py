@@ -21,7 +21,7 @@ MESSAGE_NAMES = {
 COMPANY_FIELDS = ("dataareaid", "mserp_dataareaid")
 
 OBJECT = "MAP<STRING,VARIANT>"
-MAX_WRAPPER_DEPTH = 4
+PLAIN_WRAPPER_DEPTH = 2
 
 
 def as_object(value: Column) -> Column:
@@ -97,6 +97,13 @@ def _unwrap(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("{")), inner).otherwise(text)
 
 
+def _unwrap_all(text: Column) -> Column:
+    """As many levels as the value can have: no more than it has braces."""
+    braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    levels = F.when(braces > 0, F.sequence(F.lit(1), braces)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
+    return F.aggregate(levels, text, lambda inner, _: _unwrap(inner))
+
+
 def _date_as_iso(text: Column) -> Column:
     """JSON text, with a `"/Date(ms)/"` string turned into the ISO instant it means."""
     is_date = F.startswith(text, F.lit('"/Date(')) & text.rlike(JSON_DATE_PATTERN)
@@ -106,9 +113,9 @@ def _date_as_iso(text: Column) -> Column:
 def with_attributes(df: DataFrame, target: str, name: str) -> DataFrame:
     """Add `name`, the body held by the `Attributes` list of the object column `target`.
 
-    `{Value: …}` and `{Id: …}` wrappers are reduced to what they hold, down to
-    MAX_WRAPPER_DEPTH levels; dates become ISO instants; the last of equal keys wins. Each
-    level is a column of its own and idle where nothing is wrapped.
+    `{Value: …}` and `{Id: …}` wrappers are reduced to what they hold, however deep; dates become
+    ISO instants; the last of equal keys wins. The first levels are columns of their own and
+    idle where nothing is wrapped; what is wrapped deeper goes through a loop per value.
     """
 
     def each(items, fn):
@@ -119,8 +126,8 @@ def with_attributes(df: DataFrame, target: str, name: str) -> DataFrame:
         return F.when(F.exists(items, lambda p: holds(p["value"])), each(items, fn)).otherwise(items)
 
     step = df.withColumn("_items", each(pairs(get_ci(F.col(target), "Attributes")), F.to_json))
-    for _ in range(MAX_WRAPPER_DEPTH):
-        step = step.withColumn("_items", where(lambda text: F.startswith(text, F.lit("{")), _unwrap))
+    for unwrap in [_unwrap] * PLAIN_WRAPPER_DEPTH + [_unwrap_all]:
+        step = step.withColumn("_items", where(lambda text: F.startswith(text, F.lit("{")), unwrap))
     step = step.withColumn("_items", where(lambda text: F.startswith(text, F.lit('"/Date(')), _date_as_iso))
     body = F.coalesce(entries_last_wins(F.col("_items")), F.expr("CAST(map() AS MAP<STRING,STRING>)"))
     return step.withColumn(name, body).drop("_items")

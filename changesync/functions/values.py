@@ -19,6 +19,14 @@ def json_str(text: Column | str) -> Column:
     return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
+def json_number(text: Column | str) -> Column:
+    """Number text → the one JSON form equal numbers have: `1.50` and `1.5`, `1.0E10` and
+    `10000000000` come out alike. Text that is no JSON number becomes a string."""
+    text = _col(text)
+    plain = F.when(text.rlike(r"E\d"), text.try_cast("decimal(38,9)").cast("string"))
+    return F.coalesce(F.to_json(F.try_parse_json(F.coalesce(plain, text))), json_str(text))
+
+
 def is_json_str(value: Column | str) -> Column:
     return F.startswith(_col(value), F.lit('"'))
 

@@ -1,6 +1,6 @@
 """The sync history: an append-only log, read newest first."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from changesync.functions.keys import sanitize_partition
 from changesync.functions.text import MAX_ERROR_LENGTH, truncate
@@ -26,12 +26,32 @@ def append(history: DataFrame, path: str) -> None:
     to_append(history).write.mode("append").partitionBy("map_partition").parquet(path)
 
 
-def page(history: DataFrame, map_name: str, before=None, size: int = PAGE_SIZE) -> DataFrame:
-    """Newest rows of a map, strictly before the cursor; `maybe_more` when the page is full."""
+# A page goes on after the last row of the one before, by these columns: a whole batch has one
+# processing time, so the time alone would lose rows.
+CURSOR = ("processed_at", "correlation_id", "source_record_id", "delivery_count")
+
+
+def _after(cursor: Row) -> Column:
+    """Rows that follow the cursor: older, or as old and later in the order of the other columns."""
+    out = F.lit(False)
+    for name in reversed(CURSOR[1:]):
+        out = (F.col(name) > F.lit(cursor[name])) | ((F.col(name) == F.lit(cursor[name])) & out)
+    at = F.lit(cursor["processed_at"]).cast("timestamp")
+    return (F.col("processed_at") < at) | ((F.col("processed_at") == at) & out)
+
+
+def page(history: DataFrame, map_name: str, before: Column | Row | None = None, size: int = PAGE_SIZE) -> DataFrame:
+    """Newest rows of a map; `maybe_more` when the page is full. `before` is the last row of the
+    page before, or a time that all rows must be older than. Of a stored log only the map's
+    own partitions are read."""
     rows = history.filter(F.col("map_name") == map_name)
-    if before is not None:
+    if "map_partition" in history.columns:
+        rows = rows.filter(F.col("map_partition") == sanitize_partition(F.lit(map_name)))
+    if isinstance(before, Row):
+        rows = rows.filter(_after(before))
+    elif before is not None:
         rows = rows.filter(F.col("processed_at") < before)
-    top = rows.orderBy(F.col("processed_at").desc(), "correlation_id").limit(size)
+    top = rows.orderBy(F.col("processed_at").desc(), *CURSOR[1:]).limit(size)
     return top.withColumn("maybe_more", F.count("*").over(Window.partitionBy("map_name")) == size)
 
 
@@ -60,6 +80,7 @@ def csv_columns(history: DataFrame) -> DataFrame:
 
 def write_csv(history: DataFrame, path: str) -> None:
     writer = csv_columns(history).write.mode("overwrite").option("header", True)
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n").csv(path)
 
 

@@ -5,7 +5,6 @@ generated expressions, the fast path for the usual tens of maps. `map_fields` re
 field list from the row it was routed with, so any number of maps shares one plan.
 """
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,6 +32,7 @@ def _steps(data: Column, fields: Column, transforms: Transforms) -> Column:
     translated = F.transform(found, lambda s: F.struct(
         *[s[n].alias(n) for n in ("source", "key", "transform", "default", "value")],
         (s["value_map"].isNotNull() & (s["value"] != NULL)).alias("coded"),
+        F.map_contains_key(s["value_map"], text_of(s["value"])).alias("known"),
         F.try_element_at(s["value_map"], text_of(s["value"])).alias("translated"),
     ))
 
@@ -40,7 +40,7 @@ def _steps(data: Column, fields: Column, transforms: Transforms) -> Column:
         absent = s["value"].isNull()
         coded = F.coalesce(s["coded"], F.lit(False))
         error = F.when(
-            coded & s["translated"].isNull() & s["default"].isNull(),
+            coded & ~F.coalesce(s["known"], F.lit(False)) & s["default"].isNull(),
             F.concat(F.lit("no translation for '"), s["source"], F.lit("' value "), s["value"]),
         ).when(
             ~absent & s["transform"].isNotNull() & ~transforms.is_registered(s["transform"]),
@@ -48,7 +48,7 @@ def _steps(data: Column, fields: Column, transforms: Transforms) -> Column:
         )
         return F.struct(
             s["key"].alias("key"),
-            F.when(absent, s["default"]).when(coded, F.coalesce(json_str(s["translated"]), s["default"]))
+            F.when(absent, s["default"]).when(coded, F.when(s["known"], F.coalesce(json_str(s["translated"]), F.lit(NULL))).otherwise(s["default"]))
             .otherwise(s["value"]).alias("value"),
             F.when(~absent, F.lower(s["transform"])).alias("transform"),
             (absent & s["default"].isNull()).alias("omitted"),
@@ -130,7 +130,7 @@ class CompiledMaps:
         has_default = f["default_value"] not in (None, NULL)
         mapped, error = value, None
         if f["value_map"] is not None:
-            pairs = [F.lit(x) for k, v in f["value_map"].items() for x in (k, json.dumps(v, ensure_ascii=False))]
+            pairs = [x for k, v in f["value_map"].items() for x in (F.lit(k), F.lit(NULL) if v is None else json_str(F.lit(v)))]
             known = F.try_element_at(F.create_map(*pairs), text_of(value)) if pairs else F.lit(None).cast("string")
             mapped = F.when(value == NULL, value).otherwise(F.coalesce(known, default))
             if not has_default:

@@ -31,6 +31,13 @@ def latency(history: DataFrame) -> DataFrame:
     )
 
 
+def dead_letters(dead: DataFrame) -> DataFrame:
+    """Depth of the dead letters per map and source: letters, distinct records, the oldest change."""
+    return dead.groupBy("map_name", "source_system").agg(
+        F.count("*").alias("letters"), F.count_distinct("entity_name", "source_record_id").alias("records"), F.min("occurred_at").alias("oldest"),
+    )
+
+
 def latency_percentiles(history: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """Approximate quantiles; mergeable sketches, so no group is gathered."""
     spent = F.unix_millis("processed_at") - F.unix_millis("occurred_at")

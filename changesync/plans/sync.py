@@ -12,11 +12,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from changesync.functions.keys import idempotency_key
-from changesync.functions.text import MAX_ERROR_LENGTH, truncate
 from changesync.functions.transforms import Transforms
 from changesync.functions.values import payload_hash
 from changesync.operators import echo, mapping, prefix, resolve, route, targets, xref as links
-from changesync.schema import CREATED, DELETED, FAILED, UPDATED
+from changesync.schema import CREATED, DELETED, EVENT_COLUMNS, FAILED, UPDATED
 from changesync.storage import Scratch
 
 
@@ -45,6 +44,10 @@ class SyncResult:
         self.rows.persist(StorageLevel.DISK_ONLY)
         return self
 
+    def dead_letters(self) -> DataFrame:
+        """Failed attempts: the whole event as it came, the map it failed in and the whole reason."""
+        return self.failures.select(*EVENT_COLUMNS, "map_name", "error")
+
     def close(self) -> None:
         """Free what the batch left behind. Its results cannot be read any more."""
         self.rows.unpersist()
@@ -119,7 +122,7 @@ def history_rows(rows: DataFrame, processed_at) -> DataFrame:
     return rows.select(
         "map_name", processed_at.alias("processed_at"), "outcome", "operation", "source_system", "source_record_id",
         "target_system", known.alias("target_record_id"), "company", "occurred_at",
-        truncate("error", MAX_ERROR_LENGTH).alias("error"), "delivery_count", "correlation_id",
+        "error", "delivery_count", "correlation_id",
     )
 
 

@@ -16,6 +16,9 @@ CHANGE_EVENT = (
 # Arrival columns the message bus stamps on a published event.
 BUS_COLUMNS = "arrival_seq BIGINT, enqueued_at TIMESTAMP, delivery_count INT"
 
+# What a failed event must keep to run again.
+EVENT_COLUMNS = [c.split(":")[0].split()[0] for c in f"{CHANGE_EVENT}, {BUS_COLUMNS}".split(", ")]
+
 FIELD_MAP = (
     "STRUCT<source: STRING, target: STRING, transform: STRING, value_map: MAP<STRING,STRING>, "
     "default_value: STRING>"

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from changesync.functions import payload as p
 from changesync.functions.text import MAX_LOGGED_PAYLOAD, truncate
 from changesync.functions.values import _col, decode_str
+from changesync.schema import EVENT_COLUMNS
+
 
 class PayloadParser(Protocol):
     """A system plugs in by recognising its payloads and turning them into events."""
@@ -143,6 +145,13 @@ def quarantine(parsed: DataFrame, *keep: str, raw: str = "raw") -> DataFrame:
     )
 
 
+def replay_events(dead_letters: DataFrame) -> DataFrame:
+    """Failed events as input again, one delivery more, once each whatever the number of maps
+    they failed in. Maps that took them before absorb the repeat."""
+    once = dead_letters.dropDuplicates(["source_system", "entity_name", "source_record_id", "arrival_seq"])
+    return once.withColumn("delivery_count", F.col("delivery_count") + 1).select(*EVENT_COLUMNS)
+
+
 def replay(dead_letters: DataFrame, raw: str = "raw") -> DataFrame:
     """Dead letters as input again. Deduplication and last-writer-wins absorb repeats."""
     return dead_letters.select(*[c for c in dead_letters.columns if c not in ("payload_prefix", "error")])

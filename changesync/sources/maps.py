@@ -1,6 +1,6 @@
 """Entity maps: reading, versioning, validating and writing their JSON documents."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changesync.functions.text import is_blank, trim_ws
 from changesync.schema import ENTITY_MAP_DOCUMENT
@@ -52,8 +52,8 @@ def from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def to_documents(maps: DataFrame) -> DataFrame:
-    """`name` and `document`, the camelCase JSON text of each map."""
+def _document() -> Column:
+    """The camelCase document of a map."""
     fields = F.transform(
         "fields",
         lambda f: F.struct(
@@ -68,18 +68,23 @@ def to_documents(maps: DataFrame) -> DataFrame:
             F.col("schedule.detect_deletes").alias("detectDeletes"),
         ),
     )
-    document = F.to_json(F.struct(
+    return F.struct(
         "name", F.col("source_system").alias("sourceSystem"), F.col("source_entity").alias("sourceEntity"),
         F.col("target_system").alias("targetSystem"), F.col("target_entity").alias("targetEntity"),
         "direction", "status", "companies", fields.alias("fields"),
         F.col("integration_key").alias("integrationKey"), "version", schedule.alias("schedule"),
-    ))
-    return maps.select("name", document.alias("document"))
+    )
+
+
+def to_documents(maps: DataFrame) -> DataFrame:
+    """`name` and `document`, the JSON text of each map."""
+    return maps.select("name", F.to_json(_document()).alias("document"))
 
 
 def write_maps(maps: DataFrame, path: str) -> None:
-    """Map documents as JSON lines files under `path`."""
-    to_documents(maps).select("document").write.mode("overwrite").text(path)
+    """The folder that `read_maps` reads: one JSON file per map."""
+    writer = maps.select(_document().alias("d")).select("d.*").write.mode("overwrite")
+    writer.option("maxRecordsPerFile", 1).json(path)
 
 
 def get_map(maps: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from changesync.functions.keys import literal
 from changesync.functions.payload import iso_instant
-from changesync.functions.values import NULL, decode_str, json_str
+from changesync.functions.values import NULL, decode_str, json_number, json_str
 
 
 @dataclass(frozen=True)
@@ -59,12 +59,15 @@ def scan(
         bound = F.lit(since.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(kind if isinstance(kind, T.TimestampNTZType) else "timestamp")
         table = table.filter(F.col(entity.modified_field) >= bound)
     if companies:
+        if entity.company_field is None:
+            raise ValueError(f"entity {entity.name} has no company field: it cannot be pulled by company")
         table = table.filter(F.col(entity.company_field).isin(list(companies)))
     return table.select(*entity.key_fields) if keys_only else table
 
 
 def value_json(field: T.StructField) -> Column:
-    """A typed column as JSON text; null becomes the JSON null."""
+    """A typed column as JSON text; null becomes the JSON null, bytes base64 text. Numbers take
+    the form that payload numbers have; those JSON has none for (NaN, infinities) are strings."""
     c, kind = F.col(f"`{field.name}`"), field.dataType
     if isinstance(kind, T.StringType):
         text = json_str(c)
@@ -72,10 +75,16 @@ def value_json(field: T.StructField) -> Column:
         text = json_str(iso_instant(c))
     elif isinstance(kind, T.DateType):
         text = json_str(c.cast("string"))
-    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+    elif isinstance(kind, T.BooleanType):
         text = c.cast("string")
-    else:
+    elif isinstance(kind, T.NumericType):
+        text = json_number(c.cast("string"))
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         text = F.to_json(c)
+    elif isinstance(kind, T.BinaryType):
+        text = json_str(F.base64(c))
+    else:
+        text = json_str(c.cast("string"))
     return F.coalesce(text, F.lit(NULL))
 
 

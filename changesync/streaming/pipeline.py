@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from changesync.operators import dedupe, xref as links, targets
+from changesync.operators import dedupe, history as log, xref as links, targets
 from changesync.plans.sync import SyncConfig, sync_batch
 from changesync.sources import ingest
 from changesync.schema import TARGET_ROW, XREF_ROW
@@ -43,12 +43,14 @@ def sync_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         old_links, old_target = xref.before(batch_id + 1), target.before(batch_id + 1)
         result = sync_batch(batch, maps(), old_links, old_target, users, config).persist()
-        append_partitioned(result.history, tables.history, batch_id, "map_name")
-        append_partitioned(result.failures.select("map_name", "correlation_id", "source_system", "entity_name", "source_record_id", "error"), tables.dead_letters, batch_id)
-        new_target = targets.apply_writes(old_target, targets.net_writes(result.writes))
-        target.write(new_target, batch_id + 1)
-        xref.write(links.save(old_links, result.link_updates, "save_order"), batch_id + 1)
-        result.close()
+        try:
+            append_partitioned(log.to_append(result.history), tables.history, batch_id, "map_partition")
+            append_partitioned(result.dead_letters(), tables.dead_letters, batch_id)
+            new_target = targets.apply_writes(old_target, targets.net_writes(result.writes))
+            target.write(new_target, batch_id + 1)
+            xref.write(links.save(old_links, result.link_updates, "save_order"), batch_id + 1)
+        finally:
+            result.close()
 
     writer = dedupe.drop_stream_duplicates(changes).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

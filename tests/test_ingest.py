@@ -16,6 +16,7 @@ def payload(**changes):
         {"key": "Limit", "value": {"__type": "Money", "Value": 1500.50}}, {"key": "Blocked", "value": {"Value": 0}},
         {"key": "Invoice", "value": {"Id": "inv-1", "LogicalName": "x"}}, {"key": "Changed", "value": "/Date(1719999999000)/"},
         {"key": "Memo", "value": None}, {"key": "Deep", "value": {"Value": {"Value": {"Id": True}}}},
+        {"key": "Deeper", "value": {"Value": {"Id": {"Value": {"Value": {"Value": {"Id": {"Value": {"Value": {"Value": {"Value": 7}}}}}}}}}}},
         {"key": "Raw", "value": {"a": [1, 2]}}, {"key": "Account", "value": "C-2"}, {"value": "no key"}, {"key": 5, "value": 1},
     ], "Id": "id-from-target", "LogicalName": "entity_from_target"}
     doc = {
@@ -38,7 +39,7 @@ def test_full_payload(spark):
     assert (e["company"], e["originating_user_id"], e["correlation_id"], e["us"]) == ("co1", "u-1", "c-1", 1720000000000)
     assert e["data"] == {
         "Account": '"C-2"', "dataAreaId": '"co1"', "Limit": "1500.5", "Blocked": "0", "Invoice": '"inv-1"',
-        "Changed": '"2024-07-03T09:46:39+00:00"', "Memo": "null", "Deep": "true", "Raw": '{"a":[1,2]}',
+        "Changed": '"2024-07-03T09:46:39+00:00"', "Memo": "null", "Deep": "true", "Deeper": "7", "Raw": '{"a":[1,2]}',
     }
 
 
@@ -87,3 +88,8 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sorted(r["source_record_id"] for r in batch.collect()) == ["r0", "r1", "r2"]
+
+
+def test_a_repeated_member_name_is_readable(spark):
+    raw = payload().replace('"MessageName": "Create"', '"MessageName": "Update", "MessageName": "Create"')
+    assert ingest.accepted(parse(spark, raw)).first()["operation"] == "Create"

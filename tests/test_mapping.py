@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changesync.functions.transforms import Transforms
 from changesync.operators import mapping
+from changesync.schema import FIELD_MAP
 from changesync.sources.maps import parse_maps
 
 
@@ -78,3 +79,18 @@ def test_own_transforms(spark):
     t.register_python("bang", lambda v: json.dumps(json.loads(v) * 2))
     fields = [f("a", "x", transform="bang"), f("b", "y"), f("c", "z", transform="bang")]
     assert run(spark, fields, {"a": "4", "b": "5", "c": "6"}, t) == ({"x": "8", "y": "5", "z": "12"}, None)
+
+
+def test_both_forms_agree_on_nulls_and_control_characters(spark):
+    translations = {"1": None, "2": "a\u001fb\n", "3": "x"}
+    field = [("a", "t", None, translations, None), ("a", "u", None, translations, '"d"')]
+    row = spark.createDataFrame([("m", f, {"a": v}, ["k"]) for f in (field[:1], field) for v in ("1", "2", "3", "4", "null")],
+                                f"map_name STRING, fields ARRAY<{FIELD_MAP}>, data MAP<STRING,STRING>, integration_key ARRAY<STRING>")
+    for width in (1, 2):
+        part = row.filter(F.size("fields") == width)
+        compiled = mapping.CompiledMaps.load(part.limit(1), Transforms())
+        by_row = sorted(map(str, mapping.map_fields(part).select("data", "mapped", "map_error").collect()))
+        by_plan = sorted(map(str, compiled.map_fields(part).select("data", "mapped", "map_error").collect()))
+        assert by_row == by_plan
+    written = {r["data"]["a"]: r["mapped"] for r in mapping.map_fields(row.filter(F.size("fields") == 1)).collect()}
+    assert written == {"1": {"t": "null"}, "2": {"t": '"a\\u001Fb\\n"'}, "3": {"t": '"x"'}, "4": None, "null": {"t": "null"}}

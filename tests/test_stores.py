@@ -88,11 +88,14 @@ def source(spark, *rows):
 
 def entity_map(mode, deletes=True, companies=(), scheduled_map=True):
     schedule = {"mode": mode, "detect_deletes": deletes, "cron": "0 0 * * * *"} if scheduled_map else None
-    return {"name": "m", "companies": list(companies), "schedule": schedule}
+    pair = {"source_system": "ERP", "source_entity": "Accounts", "target_system": "crm", "target_entity": "contact"}
+    return {"name": "m", "companies": list(companies), "schedule": schedule, **pair}
 
 
 def pair_links(spark, *ids):
-    rows = [("p", "erp", f"id='{i}'", "crm", f"C{i}", s) for i, s in ids]
+    """Links of the map's pair, and one of another pair with the same source."""
+    rows = [("crm:contact|erp:accounts", "erp", f"id='{i}'", "crm", f"C{i}", s) for i, s in ids]
+    rows.append(("crm:lead|erp:orders", "erp", "no='O1'", "crm", "L1", LIVE))
     return link_table(spark, *rows)
 
 
@@ -110,6 +113,33 @@ def test_incremental_run(spark):
     assert done.watermark.first()["token"] == "2024-05-01T10:00:00.0000000+00:00"
     s = done.summary().first()
     assert (s["published"], s["deletes"]) == (1, 1)
+    with pytest.raises(ValueError, match="pulls from system"):
+        other = pull.Entity("crm", "Accounts", ("id",), "changed", "company")
+        scheduled.scheduled_run(entity_map("incremental"), table, other, pair_links(spark), "", at())
+
+
+def test_a_growing_source_never_moves_the_watermark_past_a_change(spark, tmp_path):
+    path = f"{tmp_path}/live"
+    source(spark, ("A", "2024-05-01T10:00:00+00:00", "co1")).write.parquet(path)
+    run = scheduled.scheduled_run(entity_map("incremental", False), spark.read.parquet(path), ENTITY, pair_links(spark), "", at())
+    source(spark, ("B", "2024-05-09T10:00:00+00:00", "co1")).write.mode("append").parquet(path)
+    steps = []
+    run.publish(lambda e: steps.append([r["source_record_id"] for r in e.collect()]), lambda w: steps.append(w.first()["token"]))
+    assert steps == [["id='A'"], "2024-05-01T10:00:00.0000000+00:00"]
+    again = scheduled.scheduled_run(entity_map("incremental", False), spark.read.parquet(path), ENTITY, pair_links(spark), steps[1], at())
+    with pytest.raises(RuntimeError):
+        again.publish(lambda e: (_ for _ in ()).throw(RuntimeError("bus down")), lambda w: steps.append("saved"))
+    assert len(steps) == 2
+
+
+def test_values_of_every_type(spark):
+    row = spark.sql("""SELECT CAST(1.50 AS DECIMAL(5,2)) AS a, CAST(1e10 AS DOUBLE) AS b, CAST('NaN' AS DOUBLE) AS c, X'00FF' AS d, DATE '2024-01-02' AS e,
+      true AS f, array(1, 2) AS g, CAST(NULL AS INT) AS h, CAST('Infinity' AS FLOAT) AS i, INTERVAL '1' DAY AS j, 100.0D AS k""")
+    got = row.select(pull.body_of_columns(row).alias("m")).first()["m"]
+    want = {"a": "1.5", "b": "10000000000", "c": '"NaN"', "d": '"AP8="', "e": '"2024-01-02"', "f": "true", "g": "[1,2]", "h": "null", "i": '"Infinity"', "k": "100"}
+    assert {k: v for k, v in got.items() if k != "j"} == want and got["j"].startswith('"')
+    payload = spark.sql("""SELECT transform_values(CAST(parse_json('{"a":1.50,"b":10000000000,"k":100.0}') AS MAP<STRING,VARIANT>), (k, v) -> to_json(v)) AS m""").first()["m"]
+    assert payload == {k: want[k] for k in payload}
 
 
 def test_no_changes_keep_the_watermark_and_full_export_saves_none(spark):
@@ -155,10 +185,21 @@ def test_history(spark, tmp_path):
     nxt = history.page(h, "m/1", before=F.expr("TIMESTAMP '2024-01-01 00:03:00'"), size=4).collect()
     assert [r["correlation_id"] for r in nxt] == ["c2", "c1", "c0"] and not nxt[0]["maybe_more"]
     assert history.page(h, "none").count() == 0
+    tied = h.withColumn("processed_at", F.lit(T).cast("timestamp"))
+    seen, cursor = [], None
+    while rows_ := history.page(tied, "m/1", cursor, size=2).collect():
+        seen += [r["correlation_id"] for r in rows_]
+        cursor = rows_[-1]
+    assert seen == ["c0", "c1", "c2", "c3", "c4"]
     assert [(r["outcome"], r["entries"]) for r in history.summary(h).collect()] == [("Created", 4), ("Failed", 1)]
     history.append(h, f"{tmp_path}/log")
     stored = spark.read.parquet(f"{tmp_path}/log").filter("outcome = 'Failed'").first()
     assert stored["map_partition"] == "m_1" and len(stored["error"]) == 4001
+    blank = h.filter("outcome = 'Created'").withColumn("source_record_id", F.lit("  id 1  "))
+    history.write_csv(blank, f"{tmp_path}/blanks")
+    assert {r[0].split(",")[4] for r in spark.read.text(f"{tmp_path}/blanks").collect()} == {"  id 1  ", "sourceRecordId"}
+    plan = history.page(spark.read.parquet(f"{tmp_path}/log"), "m/1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(map_partition" in plan
     history.write_csv(h, f"{tmp_path}/csv")
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{tmp_path}/csv")
     assert back.columns == list(history.CSV_COLUMNS)
@@ -176,6 +217,10 @@ def test_maps_round_trip(spark, tmp_path):
     assert json.loads(maps.to_documents(read).first()["document"]) == doc
     assert read.select(maps.violations()).first()[0] == []
     assert maps.get_map(read, "gone").count() == 0
+    both = read.unionByName(read.withColumn("name", F.lit("n")))
+    maps.write_maps(both, f"{tmp_path}/out")
+    again = maps.read_maps(spark, f"{tmp_path}/out")
+    assert sorted(r["document"] for r in maps.to_documents(again).collect()) == sorted(r["document"] for r in maps.to_documents(both).collect())
     assert maps.delete_maps(read, spark.createDataFrame([("zzz",)], "name STRING")).count() == 1
 
 

@@ -72,7 +72,7 @@ def pull_to_events(spark, sf_dir):
     return _pulled(pull.to_events(pull.explode_pages(order_pages(spark, sf_dir)), PAGE_ENTITY, F.expr(RUN_AT)))
 
 
-@workload("initial_export", """SELECT 'c_custkey=' || c_custkey AS record_id, '{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS data FROM customer""")
+@workload("initial_export", """SELECT 'c_custkey=' || c_custkey AS record_id, '{"c_acctbal":' || CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS data FROM customer""")
 def initial_export(spark, sf_dir):
     entity = pull.Entity("erp", "Customers", ("c_custkey",))
     return pull.export_entity(a.table(spark, sf_dir, "customer"), entity).select("record_id", canonical_json("data").alias("data"))
@@ -91,7 +91,10 @@ def accounts(spark, sf_dir) -> DataFrame:
 
 
 def account_links(spark, sf_dir) -> DataFrame:
-    return a.links(spark, sf_dir).withColumn("record_id_a", F.concat(F.lit("U="), F.substring("record_id_a", 3, 20))).withColumn("lookup_key", F.col("record_id_a"))
+    """The links of the pair, and of another one that knows records of its own."""
+    own = a.links(spark, sf_dir).withColumn("record_id_a", F.concat(F.lit("U="), F.substring("record_id_a", 3, 20)))
+    other = own.withColumns({"pair_key": F.lit("dw:lead|erp:accounts"), "record_id_a": F.concat(F.lit("lead-"), "record_id_a"), "system_b": F.lit("dw")})
+    return own.unionByName(other).withColumn("lookup_key", F.col("record_id_a"))
 
 
 @workload("live_keys", f"SELECT DISTINCT 'u=' || o_custkey AS record_id FROM orders WHERE {FINISHED}")
@@ -106,15 +109,18 @@ GONE = f"""SELECT 'U=' || u AS source_record_id, 'Delete' AS operation, epoch_us
 @workload("deletes_by_absence", f"WITH {a.LINKS} {GONE}")
 def deletes_by_absence(spark, sf_dir):
     live = pull.live_keys(accounts(spark, sf_dir), ACCOUNTS)
-    return _pulled(scheduled.deletes_by_absence(account_links(spark, sf_dir), live, "erp", "Accounts", F.expr(RUN_AT)))
+    pair = scheduled.pair_of(nightly(spark))
+    return _pulled(scheduled.deletes_by_absence(account_links(spark, sf_dir), live, pair, "erp", "Accounts", F.expr(RUN_AT)))
 
 
-def run(spark, sf_dir) -> scheduled.ScheduledRun:
+def nightly(spark):
     document = """{"name": "nightly", "sourceSystem": "erp", "sourceEntity": "Accounts", "targetSystem": "crm", "targetEntity": "contact", "fields": [],
       "companies": ["1-URGENT", "2-HIGH"], "schedule": {"cron": "0 0 6 * * *", "mode": "incremental", "detectDeletes": true}}"""
-    docs = spark.range(1).select(F.lit(document).alias("document"))
-    nightly = map_store.parse_maps(docs).first()
-    return scheduled.scheduled_run(nightly, accounts(spark, sf_dir), ACCOUNTS, account_links(spark, sf_dir), TOKEN, F.expr(RUN_AT))
+    return map_store.parse_maps(spark.range(1).select(F.lit(document).alias("document"))).first()
+
+
+def run(spark, sf_dir) -> scheduled.ScheduledRun:
+    return scheduled.scheduled_run(nightly(spark), accounts(spark, sf_dir), ACCOUNTS, account_links(spark, sf_dir), TOKEN, F.expr(RUN_AT))
 
 
 CHANGED = f"FROM orders WHERE {FINISHED} AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1998-01-01'"
@@ -199,6 +205,20 @@ def history_page_next(spark, sf_dir):
     return page.select("correlation_id", F.unix_micros("processed_at").alias("processed_us"), "maybe_more")
 
 
+_TIED = HISTORY.replace("enqueued_at AS processed_at", "date_trunc('day', enqueued_at) AS processed_at")
+
+
+@workload("history_page_tied", f"""{_TIED} SELECT correlation_id, epoch_us(processed_at) AS processed_us, TRUE AS maybe_more FROM hist WHERE map_name = 'm/1'
+  ORDER BY processed_at DESC, correlation_id, source_record_id, delivery_count LIMIT 50 OFFSET 50""")
+def history_page_tied(spark, sf_dir):
+    """The second page of the stored log, where whole days have one processing time."""
+    path = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    log.append(history(spark, sf_dir).withColumn("processed_at", F.date_trunc("day", "processed_at")), path)
+    stored = spark.read.parquet(path)
+    last = log.page(stored, "m/1").tail(1)[0]
+    return log.page(stored, "m/1", last).select("correlation_id", F.unix_micros("processed_at").alias("processed_us"), "maybe_more")
+
+
 # --- metrics ----------------------------------------------------------------------------
 
 @workload("metrics_rates", f"""{HISTORY} SELECT map_name, count(*) AS attempts, count(*) FILTER (WHERE outcome = 'EchoSuppressed') AS echoes,

@@ -1,5 +1,7 @@
 """Links, targets, watermarks, maps and catalogs as keyed tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from changesync.functions.values import canonical_json
@@ -7,6 +9,7 @@ from changesync.functions.transforms import Transforms
 from changesync.operators import route, targets, xref as links
 from changesync.operators.mapping import CompiledMaps
 from changesync.schema import FIELD_MAP
+from changesync.session import ensure_checkpoint_dir
 from changesync.sources import catalog, maps as map_store, watermarks
 from workloads import adapters as a
 from workloads.registry import workload
@@ -232,7 +235,10 @@ TARGET = "CASE WHEN p_size = 3 THEN 'erp' WHEN p_size < 20 THEN 'crm' ELSE 'Lake
   CASE WHEN p_brand LIKE '%1' THEN 'paused' ELSE 'active' END AS status, 'oneWay' AS direction, p_brand || ',all' AS companies, 3 AS n_fields,
   CASE WHEN p_size > 30 THEN p_size ELSE 1 END AS version, CASE WHEN p_type = 'ECONOMY' THEN 'incremental' END AS mode FROM part""")
 def maps_all(spark, sf_dir):
-    return part_maps(spark, sf_dir).select(
+    """Written to a folder of documents and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/maps-{uuid.uuid4().hex}"
+    map_store.write_maps(part_maps(spark, sf_dir), path)
+    return map_store.read_maps(spark, path).select(
         "name", "source_entity", "target_system", "status", "direction", F.array_join("companies", ",").alias("companies"),
         F.size("fields").alias("n_fields"), "version", F.col("schedule.mode").alias("mode"))
 

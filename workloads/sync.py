@@ -5,11 +5,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changesync.functions.keys import pair_key
-from changesync.operators import dedupe
+from changesync.functions.values import canonical_json
+from changesync.operators import dedupe, metrics
 from changesync.plans.load import loaded_links
 from changesync.plans.sync import SyncConfig, SyncResult, sync_batch
 from changesync.schema import TARGET_ROW, XREF_ROW
 from changesync.session import ensure_checkpoint_dir
+from changesync.sources import ingest
 from changesync.storage import KeyedTable
 from changesync.streaming.pipeline import SyncTables, sync_stream
 from workloads import adapters as a
@@ -109,6 +111,24 @@ def history_rows(spark, sf_dir) -> DataFrame:
     return h.select(*[F.unix_micros(c).alias(micros[c]) if c in micros else F.col(c) for c in h.columns])
 
 
+@workload("metrics_dead_letters", f"""{REPLAY} SELECT map_name, source_system, count(*) AS letters, count(DISTINCT source_record_id) AS records,
+  epoch_us(min(occurred_at)) AS oldest_us FROM hist WHERE outcome = 'Failed' GROUP BY ALL""")
+def metrics_dead_letters(spark, sf_dir) -> DataFrame:
+    depth = metrics.dead_letters(run_batch(spark, sf_dir).dead_letters())
+    return depth.select("map_name", "source_system", "letters", "records", F.unix_micros("oldest").alias("oldest_us"))
+
+
+@workload("dlq_failed_events", f"""{REPLAY} SELECT DISTINCT correlation_id, source_system, source_record_id, operation, epoch_us(occurred_at) AS at_us, company,
+  delivery_count + 1 AS delivery_count, data_json AS data FROM hist WHERE outcome = 'Failed'""")
+def dlq_failed_events(spark, sf_dir) -> DataFrame:
+    """Failed events go through ingestion again whole, once each."""
+    again = ingest.replay_events(run_batch(spark, sf_dir).dead_letters())
+    return again.select(
+        "correlation_id", "source_system", "source_record_id", "operation", F.unix_micros("occurred_at").alias("at_us"), "company", "delivery_count",
+        canonical_json("data").alias("data"),
+    )
+
+
 # Everything copied to the CRM before the events drain: one link per customer, dated by the copy.
 LOADED = """links AS (SELECT c_custkey AS u, TRUE AS has_state, FALSE AS tomb,
     upper(sha256('{"k":' || (c_nationkey % 4) || ',"ref":"R' || c_custkey || '"}')) AS hash, TIMESTAMP '2024-01-08' + to_days(c_nationkey % 10) AS lw_at
