@@ -42,7 +42,7 @@ class Join:
     sketch_bits: int = 20  # 8 MB of counters, whatever the size of the data
     map_bits: int = 2048  # of the parity bit map of a set
     centres: int = 3  # per list
-    block: int = 128  # members of a list that are compared at a time
+    block: int = 512  # members of a list that are compared at a time
 
     def needed(self, n):
         """Overlap that a set of n must have with any set it links to."""
@@ -219,9 +219,10 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join, scra
     return scratch.keep(found.withColumn("link", _enough(how, F.col("overlap"), F.col("n"), F.col("m"))), "verified")
 
 
-def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b) of one list and different classes that neither sizes, bit maps nor the
-    distances to the list's first centre rule out, and that were not compared yet."""
+def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFrame, how: Join, most_each: int, scratch: Scratch) -> DataFrame:
+    """(a, b, more): pairs of one list and different classes that neither sizes, bit maps nor the
+    distances to the list's first centre rule out. Of a set and the members of one class, the
+    `most_each` likeliest; `more` says that there are others."""
     labelled = lists.filter("members > 2").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     centre = labelled.groupBy("token").agg(
         F.min(F.struct(F.xxhash64("rep", F.lit(0)).alias("draw"), "rep")).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")
@@ -257,13 +258,20 @@ def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFr
             if not np.isnan(d[x]):
                 ys = ys[~(np.abs(d[ys] - d[x]) > reach)]
             most = (n[x] + n[ys] - np.bitwise_count(bits[ys] ^ bits[x]).sum(axis=1, dtype=np.int64)) // 2
-            ys = ys[_enough(how, most, n[x], n[ys])]
-            out.extend((min(rep[x], rep[y]), max(rep[x], rep[y])) for y in ys.tolist())
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = dealt.groupBy("token", "i", "j").applyInArrow(run, "a LONG, b LONG").distinct()
-    return scratch.keep(found.join(known.select("a", "b"), ["a", "b"], "left_anti"), "leftovers")
+            fits = _enough(how, most, n[x], n[ys])
+            ys, most = ys[fits], most[fits]
+            if not len(ys):
+                continue
+            order = np.lexsort((ys, -most, root[ys]))
+            ys = ys[order]
+            first = np.flatnonzero(np.concatenate([[True], root[ys][1:] != root[ys][:-1]]))
+            rank = np.arange(len(ys)) - np.repeat(first, np.diff(np.append(first, len(ys))))
+            more = bool((rank >= most_each).any())
+            out.extend((min(rep[x], rep[y]), max(rep[x], rep[y]), more) for y in ys[rank < most_each].tolist())
+        a, b, more = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+
+    return scratch.keep(dealt.groupBy("token", "i", "j").applyInArrow(run, "a LONG, b LONG, more BOOLEAN"), "leftovers")
 
 
 def classes(docs: DataFrame, how: Join = Join(), row: str | None = None) -> DataFrame:
@@ -285,10 +293,18 @@ def classes(docs: DataFrame, how: Join = Join(), row: str | None = None) -> Data
     lists = index(reps, scratch)
     known = verified(docs, reps, stars(lists, how), how, scratch)
     roots = components(known.filter("link").select("a", "b"), scratch)
-    rest = leftovers(lists, roots, reps, known, how, scratch)
-    if not rest.isEmpty():
-        known = known.unionByName(verified(docs, reps, rest, how, scratch))
-        roots = components(known.filter("link").select("a", "b"), scratch)
+    # Two near classes need one link, not all: first the likeliest pairs, more of them only
+    # where classes stay apart, until every pair left was compared.
+    most_each = 1
+    while True:
+        found = leftovers(lists, roots, reps, known, how, most_each, scratch)
+        rest = scratch.keep(found.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            known = known.unionByName(verified(docs, reps, rest, how, scratch))
+            roots = components(known.filter("link").select("a", "b"), scratch)
+        if found.filter("more").isEmpty():
+            break
+        most_each *= 8
     return _membership(every, copies, roots, known.filter("link"), scratch)
 
 
