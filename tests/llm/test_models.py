@@ -100,8 +100,10 @@ def test_classes_and_words_make_a_distribution():
     how = maxent_lm.Settings(classes=6, features_log2=4)
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(size=(16, 6)).astype(np.float32), rng.normal(size=6).astype(np.float32)
-    p = np.exp(maxent_lm._log_softmax(maxent_lm._logits(rng.integers(0, 16, (20, 3)), weights, bias)))
+    z = maxent_lm._logits(list(rng.integers(0, 16, (3, 20))), weights, bias)
+    p = maxent_lm._softmax(z)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and how.cells == 16
+    assert np.allclose(maxent_lm._log_chosen(z, np.full(20, 2)), np.log(p[:, 2]), atol=1e-5)
     counts = np.array([5, 1, 2])  # of the known words of a class: with one unit for the unknown they sum to 1
     assert math.isclose(((counts + 1) / (counts.sum() + 3 + 1)).sum() + 1 / (counts.sum() + 4), 1)
 
