@@ -114,7 +114,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         first = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 4):
                 lines, _ = _lines(part.column("text"))
                 h, g = lines.identity()
                 halves = lines.halves()
@@ -141,7 +141,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 4):
                 lines, flat = _lines(part.column("text"))
                 h, g = lines.identity()
                 yield pa.RecordBatch.from_arrays([_longs(h), _longs(g), flat.cast(pa.string())], ["h", "g", "text"])
@@ -178,14 +178,13 @@ def one_edit(a: list, b: list) -> bool:
     return a[same + (len(a) > len(b)) :] == b[same + (len(b) > len(a)) :]
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+def near_lines(docs: DataFrame, every: DataFrame, lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """(h, g, earlier): distinct lines with the place of the earliest line that is one edit away,
     where that comes before the line's own first place."""
-    long_ = lines.filter(F.col("words") >= min_words)
-    halves = long_.select("h", "g", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("_n")).filter("_n > 1").select("half")
+    halves = every.filter(F.col("words") >= min_words).select("h", "g", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi")).filter("_lo <> _hi").select("half")
     close = halves.join(shared, "half", "left_semi").select("h", "g").distinct()
-    texts = scratch.keep(_texts(docs, long_.select("h", "g", "first").join(close, ["h", "g"])), "texts")
+    texts = scratch.keep(_texts(docs, lines.join(close, ["h", "g"])), "texts")
 
     every = _neighbourhoods(texts)
     met = every.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
@@ -223,9 +222,9 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     every = scratch.keep(occurrences(docs).withColumn("place", _place()), "occurrences")
     filled = every.filter("words > 0")
-    lines = filled.groupBy("h", "g").agg(F.min("place").alias("first"), F.min("words").alias("words"), F.min("halves").alias("halves"))
+    lines = filled.groupBy("h", "g").agg(F.min("place").alias("first"))
     lines = scratch.keep(lines, "lines")
-    near = near_lines(docs, lines, min_words, scratch)
+    near = near_lines(docs, filled, lines, min_words, scratch)
     best = lines.select("h", "g", "first").join(near, ["h", "g"], "left").select("h", "g", F.coalesce("earlier", "first").alias("best"))
     # A frequent line is a hot key of a join with a unique right side, which adaptive execution splits.
     out = filled.select("place", "h", "g").join(best, ["h", "g"]).select("place", "best")
