@@ -1,21 +1,41 @@
 """Running aggregates over the arrival order of a key, without one task per key.
 
 A plain window puts all rows of a key into one task, which a key holding a third of the
-data would sink. Here the arrival sequence is cut into buckets of fixed width, so a
-(key, bucket) chunk is bounded whatever the skew: windows run inside chunks, one summary
-row per chunk is combined along the key, and the carried value is joined back per chunk.
+data would sink. Here the arrival sequence is cut at quantiles of the data into buckets of
+about equally many rows, so a (key, bucket) chunk is bounded whatever the skew: windows run
+inside chunks, one summary row per chunk is combined along the key, and the carried value is
+joined back per chunk. A table of no more rows than a bucket holds is not cut at all.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Width of a bucket in arrival sequence numbers; bounds the rows of one chunk.
-BUCKET_SPAN = 1_000_000
+# Rows of a bucket, which bounds the rows of one chunk; buckets beyond MAX_BUCKETS get larger.
+BUCKET_ROWS = 1_000_000
+MAX_BUCKETS = 1024
 
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def with_bucket(df: DataFrame, seq: str = "arrival_seq", span: int = BUCKET_SPAN) -> DataFrame:
-    return df.withColumn("bucket", F.floor(F.col(seq) / F.lit(span)).cast("bigint"))
+def borders(df: DataFrame, seq: str = "arrival_seq", rows: int = BUCKET_ROWS) -> list[int]:
+    """First sequence numbers of the second and later buckets of about `rows` rows each."""
+    buckets = min(MAX_BUCKETS, -(-df.count() // rows))
+    if buckets < 2:
+        return []
+    at = [i / buckets for i in range(1, buckets)]
+    return sorted(set(df.agg(F.percentile_approx(seq, at, 4 * buckets)).first()[0]))
+
+
+def _bucket_of(seq: Column, cuts: list[int], first: int = 0) -> Column:
+    """Number of cuts up to `seq`, by halving, so that a row compares a few times only."""
+    if not cuts:
+        return F.lit(first).cast("bigint")
+    half = len(cuts) // 2
+    return F.when(seq < cuts[half], _bucket_of(seq, cuts[:half], first)).otherwise(_bucket_of(seq, cuts[half + 1 :], first + half + 1))
+
+
+def with_bucket(df: DataFrame, seq: str = "arrival_seq", rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add `bucket`, monotone in `seq`. Reads the sequence numbers of `df` to find the borders."""
+    return df.withColumn("bucket", _bucket_of(F.col(seq), borders(df, seq, rows)))
 
 
 def running_before(

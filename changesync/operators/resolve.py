@@ -67,6 +67,7 @@ def _chunk_summaries(rows: DataFrame, fold_rows: int) -> DataFrame:
         F.min(source).alias("min_source"),
         F.max(source).alias("max_source"),
         F.max((source == F.lower("_state0.written_to_system")).cast("int")).alias("from_written"),
+        F.max((source == F.lower("target_system")).cast("int")).alias("inside"),
         F.count("*").alias("n"),
     )
     link = Window.partitionBy("link_key")
@@ -75,7 +76,7 @@ def _chunk_summaries(rows: DataFrame, fold_rows: int) -> DataFrame:
         "carry_link": (F.greatest(F.max("link0").over(link), F.coalesce(F.max("any_link").over(along), F.lit(0))) == 1),
         "at0": F.max("at0").over(link),
         "contested": (F.min("min_source").over(link) != F.max("max_source").over(link))
-        | (F.max("from_written").over(link) == 1),
+        | (F.max("from_written").over(link) == 1) | (F.max("inside").over(link) == 1),
         "fold_chunk": F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / fold_rows).cast("bigint"),
     })
     reached = F.when(F.col("carry_link"), F.col("max_linked")).otherwise(F.col("max_unlinked"))
@@ -318,18 +319,27 @@ def _chunk_finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def outcomes(settled: DataFrame) -> DataFrame:
-    """Add `outcome`. A by_id target reports Updated for every known id; a by_key target
-    reports Created whenever the record is not there, so also after a delete."""
+    """Add `outcome`. Whether a write creates depends on the target record, which several links
+    may share: a by_id target reports Updated for every known id, and Created for the first
+    write to an unknown one; a by_key target reports Created whenever the record is not there,
+    so also after a delete."""
     by_key = F.col("upsert_mode") == BY_KEY
+    upserted = F.col("verdict") == UPSERTED
+    record = ["target_system", "target_entity", "_record"]
+    rows = settled.withColumn("_record", F.coalesce(F.lower("counterpart"), "link_key"))
 
     def named(rows, present):
         written = F.when(present, F.lit(UPDATED)).otherwise(F.lit(CREATED))
-        return rows.withColumn("outcome", F.when(F.col("verdict") == UPSERTED, written).otherwise(F.col("verdict")))
+        return rows.withColumn("outcome", F.when(upserted, written).otherwise(F.col("verdict")))
 
     wrote = F.col("verdict").isin(UPSERTED, DELETED)
-    last = F.struct(*ORDER, (F.col("verdict") == UPSERTED).alias("present"))
-    scanned = prefix.running_before(
-        settled.filter(by_key), ["link_key", "target_system"], ORDER, {"_last": ("max", F.when(wrote, last))}
-    )
+    last = F.struct(*ORDER, upserted.alias("present"))
+    scanned = prefix.running_before(rows.filter(by_key), record, ORDER, {"_last": ("max", F.when(wrote, last))})
     keyed = named(scanned, F.coalesce("_last.present", "target_exists")).drop("_last")
-    return named(settled.filter(~by_key), F.col("has_link") | F.col("target_exists")).unionByName(keyed)
+
+    by_id = rows.filter(~by_key)
+    unknown = upserted & ~F.col("has_link") & ~F.col("target_exists")
+    born = by_id.filter(unknown).groupBy(*record).agg(F.min(F.struct(*ORDER)).alias("_born"))
+    by_id = by_id.join(born, record, "left")
+    by_id = named(by_id, ~unknown | (F.col("_born") < F.struct(*ORDER))).drop("_born")
+    return by_id.unionByName(keyed).drop("_record")

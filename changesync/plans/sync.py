@@ -25,7 +25,7 @@ class SyncConfig:
 
     systems: dict[str, str]
     transforms: Transforms = field(default_factory=Transforms)
-    bucket_span: int = prefix.BUCKET_SPAN
+    bucket_rows: int = prefix.BUCKET_ROWS
     fold_rows: int = resolve.FOLD_ROWS
     content_echo: bool = True
 
@@ -74,35 +74,52 @@ def _side(system: str, record_id: str):
 
 
 def with_link_key(rows: DataFrame) -> DataFrame:
-    """Add `link_key` and `counterpart`, shared by both sides of a link.
+    """Add `link_key` and `counterpart`: the link whose state a row meets, and the record it writes.
 
-    A stored link names itself. Records without one are paired by the target their first
-    sound write resolves to, so the two directions of a new pair meet in one group.
+    A stored link names itself. A record without one is linked by its first sound write (its
+    claim) to the target record that resolves to; several records may claim the same target,
+    and each keeps the state of its own link. The claimed side belongs to the link that was
+    saved last before the row. Where two sides claim each other they share one link.
+    Needs `bucket`.
     """
     stored = F.lower(F.concat_ws("|", "pair_key", "link.system_a", "link.record_id_a"))
     rows = rows.withColumn("_side", _side("source_system", "source_record_id"))
     rows = rows.withColumn("_other", F.when(F.col("resolved_id").isNotNull(), _side("target_system", "resolved_id")))
-    pairable = (
+    sound = rows.filter(
         F.col("link").isNull() & F.col("_other").isNotNull() & ~F.col("identity_echo") & F.col("system_error").isNull()
         & F.col("map_error").isNull() & F.col("key_error").isNull() & (F.col("operation") != "Delete")
     )
-    order = F.struct(*resolve.ORDER)
-    claims = rows.filter(pairable).groupBy("_side").agg(
-        F.min_by(F.struct("_other", "resolved_id", "source_record_id"), order).alias("c"), F.min(order).alias("at")
-    )
-    # Each claim speaks for both of its sides: from the claimer's view, and seen from the claimed.
-    views = F.array(
-        F.struct(F.col("_side").alias("side"), F.least("_side", "c._other").alias("key"), F.col("c.resolved_id").alias("id"), F.lit(0).alias("rank"), "at"),
-        F.struct(F.col("c._other").alias("side"), F.least("_side", "c._other").alias("key"), F.col("c.source_record_id").alias("id"), F.lit(1).alias("rank"), "at"),
-    )
-    canon = (
-        claims.select(F.explode(views).alias("v")).groupBy(F.col("v.side").alias("_claimed"))
-        .agg(F.min("v.key").alias("_key"), F.min_by("v.id", F.struct("v.rank", "v.at")).alias("_id"))
-    )
-    free = rows.filter(F.col("link").isNull()).join(canon, F.col("_side") == F.col("_claimed"), "left").drop("_claimed")
-    free = free.withColumn("link_key", F.coalesce("_key", "_side")).withColumn("counterpart", F.coalesce("_id", "resolved_id")).drop("_key", "_id")
+    links_of = _claims(sound)
+    # A claim touches the other side with each of its rows; the last touch before a row counts.
+    touches = sound.select("_side", "_other", "source_record_id", *resolve.ORDER, "bucket").join(links_of.select("_side", "_claimed", "_key"), "_side")
+    touch = F.struct(*resolve.ORDER, "_key", F.col("source_record_id").alias("id"))
+    touches = touches.filter("_other = _claimed").select(F.col("_other").alias("_side"), *resolve.ORDER, "bucket", touch.alias("_touch"))
+    touched = touches.select("_side").distinct()
+    free = rows.filter(F.col("link").isNull())
+    asked = free.join(touched, "_side", "left_semi").select("_side", *resolve.ORDER, "bucket", F.lit(None).cast(touches.schema["_touch"].dataType).alias("_touch"))
+    seen = prefix.running_before(asked.unionByName(touches), ["_side"], resolve.ORDER, {"_last": ("max", F.col("_touch"))})
+    seen = seen.filter(F.col("_touch").isNull() & F.col("_last").isNotNull()).select("_side", *resolve.ORDER, "_last")
+    free = free.join(links_of.drop("_claimed"), "_side", "left").join(seen, ["_side", *resolve.ORDER], "left")
+    free = free.withColumns({
+        "link_key": F.coalesce("_last._key", "_key", "_side"), "counterpart": F.coalesce("_last.id", "_id", "resolved_id"),
+    })
     bound = rows.filter(F.col("link").isNotNull()).withColumn("link_key", stored).withColumn("counterpart", F.col("link_target_id"))
-    return bound.unionByName(free).drop("_side", "_other")
+    columns = [c for c in rows.columns if c not in ("_side", "_other")] + ["link_key", "counterpart"]
+    return bound.select(*columns).unionByName(free.select(*columns))
+
+
+def _claims(sound: DataFrame) -> DataFrame:
+    """(_side, _claimed, _id, _key): the first claim of each side, and the name of its link, the
+    side that claimed first. A side that another one had claimed before has a link already and
+    claims nothing, unless the two claim each other."""
+    order = F.struct(*resolve.ORDER)
+    first = sound.groupBy("_side").agg(F.min_by(F.struct("_other", "resolved_id"), order).alias("c"), F.min(order).alias("at"))
+    first = first.select("_side", F.col("c._other").alias("_claimed"), F.col("c.resolved_id").alias("_id"), "at")
+    back = first.select(F.col("_side").alias("_claimed"), F.col("_claimed").alias("_side"), F.col("at").alias("_back"))
+    by_other = first.groupBy(F.col("_claimed").alias("_side")).agg(F.min("at").alias("_taken"))
+    out = first.join(back, ["_side", "_claimed"], "left").join(by_other, "_side", "left")
+    out = out.filter(F.col("_back").isNotNull() | F.col("_taken").isNull() | (F.col("at") < F.col("_taken")))
+    return out.select("_side", "_claimed", "_id", F.when(F.col("_back") < F.col("at"), F.col("_claimed")).otherwise(F.col("_side")).alias("_key"))
 
 
 def prepare(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch) -> DataFrame:
@@ -111,7 +128,7 @@ def prepare(events, maps, xref, target, users, config: SyncConfig, scratch: Scra
     keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
     index = targets.target_index(target, route.active_maps(maps), config.systems)
     resolved = scratch.keep(targets.resolve_targets(keyed, index), "resolved")
-    return prefix.with_bucket(with_link_key(resolved), span=config.bucket_span)
+    return with_link_key(prefix.with_bucket(resolved, rows=config.bucket_rows))
 
 
 def history_rows(rows: DataFrame, processed_at) -> DataFrame:
@@ -127,11 +144,16 @@ def history_rows(rows: DataFrame, processed_at) -> DataFrame:
 
 
 def write_plan(rows: DataFrame) -> DataFrame:
-    """The write commands, one per accepted row, in write order."""
+    """The write commands, one per accepted row, in write order. Where the key addresses the
+    record, an update leaves the key fields alone and a create names the company."""
+    by_key = F.col("upsert_mode") == targets.BY_KEY
+    body = F.when(by_key & (F.col("outcome") == UPDATED), targets.update_body()).when(
+        by_key & (F.col("outcome") == CREATED), targets.create_body()
+    ).otherwise(F.col("mapped"))
     return rows.filter(F.col("outcome").isin(CREATED, UPDATED, DELETED)).select(
         "target_system", "target_entity",
         F.col("counterpart").alias("record_id"),
-        "operation", F.col("mapped").alias("fields"), "integration_key", "company",
+        "operation", body.alias("fields"), "integration_key", "company",
         idempotency_key().alias("idempotency_key"), "correlation_id", "outcome",
         F.struct(*resolve.ORDER).alias("write_order"),
     )

@@ -55,6 +55,47 @@ def test_create_writes_target_and_link(spark):
     assert saved[0]["state"]["written_to_system"] == "crm" and saved[0]["state"]["last_writer_at"].replace(tzinfo=timezone.utc) == NOW
 
 
+@pytest.mark.parametrize("names", [("erp", "crm"), ("crm", "erp")])
+@pytest.mark.parametrize("mode", ["by_id", "by_key"])
+@pytest.mark.parametrize("second", [5, -5])
+def test_records_that_share_a_key_keep_links_of_their_own(spark, names, mode, second):
+    """The second record resolves to what the first one created: Updated, whatever the systems
+    are called and however old its change is; their links do not meet."""
+    source, target = names
+    shared = {**MAP, "sourceSystem": source, "targetSystem": target}
+    events = [
+        event(1, system=source, record="A"), event(2, at=NOW + timedelta(minutes=second), system=source, record="B", correlation="c-2"),
+        event(3, at=NOW + timedelta(minutes=second - 1), system=source, record="B", correlation="c-3"),
+        event(4, at=NOW + timedelta(minutes=1), system=source, record="A", correlation="c-4"),
+    ]
+    rows, links, after = run(spark, events, maps=(shared,), modes={source: "by_id", target: mode}, apply=True)
+    assert [r["outcome"] for r in rows] == ["Created", "Updated", "DiscardedByLastWriterWins", "Updated"]
+    assert len({r["target_record_id"] for r in rows}) == 1 and after.count() == 1
+    assert links.count() == 3  # a row per source record and one for the target, of the link saved last
+
+
+def test_by_key_writes_follow_the_key_and_company_rules(spark):
+    keyed = {**MAP, "integrationKey": ["dataAreaId", "name"]}
+    rows, links, after = run(spark, [event(company="usmf")], maps=(keyed,), modes={"erp": "by_id", "crm": "by_key"}, apply=True)
+    created = after.first()
+    assert rows[0]["outcome"] == "Created" and created["record_id"] == "dataAreaId='usmf',name='Contoso'"
+    assert created["fields"] == {"name": '"Contoso"', "dataAreaId": '"usmf"'}
+    old = [("crm", "account", "name='Old'", {"name": '"Old"', "x": "1"})]
+    more = {**MAP, "fields": [*MAP["fields"], {"source": "X", "target": "x"}]}
+    linked = (PAIR, "erp", "REC-1", "crm", "name='Old'", None)
+    rows, links, after = run(spark, [event(data={"Name": '"Contoso"', "X": "2"})], links=[linked], target=old, maps=(more,),
+                             modes={"erp": "by_id", "crm": "by_key"}, apply=True)
+    assert rows[0]["outcome"] == "Updated" and [(r["record_id"], r["fields"]) for r in after.collect()] == [("name='Old'", {"name": '"Old"', "x": "2"})]
+
+
+def test_content_echo_inside_one_system(spark):
+    same = {"fields": [{"source": "Name", "target": "Name"}], "integrationKey": ["Name"]}
+    there = {**MAP, **same, "name": "there", "targetSystem": "erp", "targetEntity": "copies"}
+    events = [event(1), event(2, at=NOW + timedelta(minutes=1), correlation="c-2")]
+    rows = run(spark, events, maps=(there,), modes={"erp": "by_id"})
+    assert [r["outcome"] for r in rows] == ["Created", "EchoSuppressed"]
+
+
 def test_key_match_ambiguity_and_missing_key(spark):
     one = [("crm", "account", "T-7", {"name": '"Contoso"'})]
     assert [(r["outcome"], r["target_record_id"]) for r in run(spark, [event()], target=one)] == [("Updated", "T-7")]

@@ -69,7 +69,7 @@ def frame(spark, rows, links):
 ])
 def test_settle_equals_replay(spark, seed, n, groups, hot, echoes, span, fold_rows):
     rows, links = sample(seed, n, groups, hot, echoes)
-    ready = prefix.with_bucket(frame(spark, rows, links), span=span)
+    ready = prefix.with_bucket(frame(spark, rows, links), rows=span)
     got = {
         (r["arrival_seq"], r["map_name"]): (r["verdict"], r["has_link"])
         for r in resolve.settle(ready, fold_rows).select("arrival_seq", "map_name", "verdict", "has_link").collect()
@@ -82,7 +82,7 @@ def test_far_future_write_blocks_every_later_chunk(spark):
     rows, links = sample(9, 200, 1, True, 0.5)
     links["g0"] = (True, None)
     rows[0].update(at=10_000, ours=False, map_error=None, mapped={"k": "9"}, data={"k": "9"}, operation="Update", source="a", target="b", map_name="ab")
-    ready = prefix.with_bucket(frame(spark, rows, links), span=10)
+    ready = prefix.with_bucket(frame(spark, rows, links), rows=10)
     got = {(r["arrival_seq"], r["map_name"]): (r["verdict"], r["has_link"])
            for r in resolve.settle(ready, 10).select("arrival_seq", "map_name", "verdict", "has_link").collect()}
     assert got == replay(rows, links)
@@ -97,7 +97,7 @@ def test_echo_chain_across_chunks(spark):
         r.update(ours=False, map_error=None, key_error=None, data={"k": "1"}, mapped={"k": "1"}, operation="Update", at=i,
                  source="b" if i else "a", target="a" if i else "b", map_name="ba" if i else "ab")
     rows[-1].update(data={"k": "2"}, mapped={"k": "2"})
-    ready = prefix.with_bucket(frame(spark, rows, links), span=5)
+    ready = prefix.with_bucket(frame(spark, rows, links), rows=5)
     got = {(r["arrival_seq"], r["map_name"]): (r["verdict"], r["has_link"])
            for r in resolve.settle(ready, 5).select("arrival_seq", "map_name", "verdict", "has_link").collect()}
     want = replay(rows, links)
@@ -106,7 +106,7 @@ def test_echo_chain_across_chunks(spark):
 
 
 def test_running_before_equals_window(spark):
-    df = prefix.with_bucket(spark.range(500).selectExpr("id AS arrival_seq", "id % 3 AS g", "(id * 37) % 101 AS v"), span=17)
+    df = prefix.with_bucket(spark.range(500).selectExpr("id AS arrival_seq", "id % 3 AS g", "(id * 37) % 101 AS v"), rows=17)
     got = prefix.running_before(df, ["g"], ["arrival_seq"], {"m": ("max", F.col("v")), "s": ("sum", F.col("v"))})
     seen = {}
     for r in sorted(got.collect(), key=lambda r: r["arrival_seq"]):

@@ -240,7 +240,7 @@ def dedupe_batch(spark, sf_dir):
 @workload("session_order", f"""{EV} SELECT event_id, row_number() OVER (PARTITION BY source_system, entity_name, source_record_id ORDER BY arrival_seq) AS position FROM ev""")
 def session_order(spark, sf_dir):
     sessions = dedupe.envelope(a.events(spark, sf_dir))
-    chunked = prefix.with_bucket(sessions, span=200_000)
+    chunked = prefix.with_bucket(sessions)
     return prefix.position(chunked, ["session_id"], ["arrival_seq"]).select("event_id", "position")
 
 
@@ -251,7 +251,7 @@ def session_order(spark, sf_dir):
 def lww_running_max(spark, sf_dir):
     from changesync.operators.resolve import lww_discards
 
-    chunked = prefix.with_bucket(a.events(spark, sf_dir), span=200_000)
+    chunked = prefix.with_bucket(a.events(spark, sf_dir))
     seen = prefix.running_before(
         chunked, ["source_system", "source_record_id"], ["arrival_seq"], {"seen": ("max", F.col("occurred_at"))}
     )
