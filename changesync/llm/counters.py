@@ -1,20 +1,20 @@
-"""Sums of fixed-size arrays that every task fills, along a tree of tasks."""
+"""Sums and unions of fixed-size arrays that every task fills, along a tree of tasks."""
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 
-def tree_sum(parts: DataFrame, dtype: str) -> np.ndarray | None:
-    """The sum of the one binary column of `parts`, each an array of `dtype` of one size.
-    None if there are no rows. The driver gets a few partial sums, whatever the number of tasks."""
+def tree_sum(parts: DataFrame, dtype: str, combine=np.add) -> np.ndarray | None:
+    """The sum (or what `combine` makes) of the one binary column of `parts`, each an array of
+    `dtype` of one size. None if there are no rows. The driver gets a few partial results,
+    whatever the number of tasks."""
     arrays = parts.rdd.map(lambda r: np.frombuffer(bytes(r[0]), dtype))
     if not arrays.getNumPartitions():
         return None
-    total = arrays.treeAggregate(None, _add, _add, depth=3)
-    return total
 
+    def both(a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        return combine(a, b)
 
-def _add(a, b):
-    if a is None or b is None:
-        return b if a is None else a
-    return a + b
+    return arrays.treeAggregate(None, both, both, depth=3)

@@ -2,7 +2,9 @@
 
 1. Token evidence: log-odds of toxic against clean training texts with an informative Dirichlet
    prior (the pooled frequencies), for a word and for its beginnings of 3 to 6 letters, since
-   toxic stems come in many forms. Counters live in a hash space of fixed size. Evidence is
+   toxic stems come in many forms. What counts is the number of different contexts (the words
+   before and after), so a text copied thirty times is no stronger evidence than once. Contexts
+   are counted by small bit maps, 64 bits per bucket of a hash space of fixed size. Evidence is
    shrunk by a multiple of its standard error; a token takes its strongest kind.
 2. Scan: with a small drift subtracted, the linear-time scan finds all maximal scoring segments.
 3. Calibration: for clean texts the best segment of n tokens follows an extreme-value law,
@@ -120,35 +122,57 @@ def _training(docs: DataFrame, labels: DataFrame, how: Settings) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("_toxic").alias("toxic"))
 
 
+def distinct(bits: np.ndarray) -> np.ndarray:
+    """Linear counting: the number of different contexts behind 64-bit maps. A full map stands
+    for any larger number."""
+    empty = 64 - np.bitwise_count(bits).astype(float)
+    return 64 * np.log(64 / np.maximum(empty, 0.5))
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n1: float, n0: float, how: Settings) -> np.ndarray:
-    """Shrunk log-odds per bucket, from its counts and the numbers of tokens."""
+    """Shrunk log-odds per bucket, from its counts and their totals. A bucket whose clean map is
+    full is a common one and says nothing."""
     pooled = (toxic + clean + 0.01) / (n1 + n0)
     a, b = toxic + how.prior * n1 * pooled, clean + how.prior * n0 * pooled
     n1, n0 = (1 + how.prior) * n1, (1 + how.prior) * n0
     delta = np.log(a / np.maximum(n1 - a, 1)) - np.log(b / np.maximum(n0 - b, 1))
     error = np.sqrt(1 / a + 1 / b)
-    return (np.sign(delta) * np.maximum(np.abs(delta) - how.errors * error, 0)).astype(np.float32)
+    sure = np.sign(delta) * np.maximum(np.abs(delta) - how.errors * error, 0)
+    return np.where(clean < 64 * np.log(128) - 1, sure, 0.0).astype(np.float32)
+
+
+def _contexts(split: W.Words) -> np.ndarray:
+    """A number from 0 to 63 for the words around each token of a text."""
+    hashes = W.hash_words(split.dictionary)[split.codes] if len(split.codes) else np.empty(0, np.uint64)
+    before, after = np.roll(hashes, 1), np.roll(hashes, -1)
+    inner = split.offsets[:-1][np.diff(split.offsets) > 0]
+    before[inner] = 1
+    after[split.offsets[1:][np.diff(split.offsets) > 0] - 1] = 2
+    return (W.mix(before * np.uint64(3) + after) >> np.uint64(58)).astype(np.int64)
 
 
 def _counted(training: DataFrame, how: Settings) -> np.ndarray | None:
+    """Context maps of all buckets, clean ones first. None without training texts."""
     size = 1 << how.buckets_log2
 
     def run(batches):
-        total = np.zeros(2 * size + 2)
+        total = np.zeros(2 * size, np.uint64)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 4):
                 split = W.split(part.column("text"))
                 toxic = part.column("toxic").to_numpy()[split.rows()]
-                at = _buckets(split.dictionary, how)
+                at, context = _buckets(split.dictionary, how), _contexts(split)
                 for kind in (0, 1):
-                    n = np.bincount(split.codes[toxic == kind], minlength=len(at))
-                    total[2 * size + kind] += n.sum()
+                    mine = toxic == kind
+                    met = np.zeros((len(at), 64), np.uint8)
+                    met[split.codes[mine], context[mine]] = 1
+                    bits = np.packbits(met, axis=1).view(np.uint64).ravel()
                     for k in range(at.shape[1]):
                         there = at[:, k] >= 0
-                        total[kind * size : (kind + 1) * size] += np.bincount(at[there, k], weights=n[there], minlength=size)
+                        np.bitwise_or.at(total, kind * size + at[there, k], bits[there])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    return tree_sum(training.mapInArrow(run, "total BINARY"), "<f8")
+    return tree_sum(training.mapInArrow(run, "total BINARY"), "<u8", np.bitwise_or)
 
 
 LAMBDAS = np.geomspace(0.05, 3, 60)
@@ -158,10 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Model
     """Learn from the labelled texts; None if they are not of both kinds."""
     spark, size = docs.sparkSession, 1 << how.buckets_log2
     training = _training(docs, labels, how)
-    total = _counted(training, how)
-    if total is None or not total[-1] or not total[-2]:
+    maps = _counted(training, how)
+    if maps is None or not maps[:size].any() or not maps[size:].any():
         return None
-    weights = log_odds(total[size : 2 * size], total[:size], total[-1], total[-2], how)
+    clean, toxic = distinct(maps[:size]), distinct(maps[size:])
+    weights = log_odds(toxic, clean, toxic.sum(), clean.sum(), how)
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches):
