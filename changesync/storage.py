@@ -6,6 +6,8 @@ version, which makes a restarted batch exactly-once. A table format with MERGE c
 the same deltas instead.
 """
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,16 +21,30 @@ def _files(spark: SparkSession, folder: str):
     return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+# Scratch folders not deleted yet, with what it takes to delete them.
+_open: dict = {}
+
+
+@atexit.register
+def _delete_left_overs() -> None:
+    """Results that were handed out lazily keep their scratch tables until the program ends."""
+    for root, (fs, path) in list(_open.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone by now
+            fs.delete(path(root), True)
+
+
 class Scratch:
     """Intermediate tables of one batch, in the shared checkpoint folder.
 
     Writing a result and reading it back cuts lineage, costs nothing when executors are
-    lost, and lets later readers prune columns. `delete` when the batch is done.
+    lost, and lets later readers prune columns. `delete` when the batch is done; what is
+    left goes when the program ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{ensure_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
         self._count = 0
+        _open[self.root] = _files(spark, self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
@@ -37,7 +53,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def delete(self) -> None:
-        fs, path = _files(self.spark, self.root)
+        fs, path = _open.pop(self.root, None) or _files(self.spark, self.root)
         fs.delete(path(self.root), True)
 
 

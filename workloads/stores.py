@@ -112,25 +112,31 @@ NET = """WITH w AS (
   ), state AS (SELECT record_id, '{' || string_agg('"' || f || '":' || v, ',' ORDER BY f) || '}' AS fields FROM kept GROUP BY record_id)"""
 
 
+# The rows of the other systems, which no write names.
+OTHERS = """(SELECT 'a-' || c_custkey AS record_id, '{"ref":"R' || c_custkey || '"}' AS fields FROM customer
+  UNION ALL SELECT 'ref=''R' || c_custkey || '''', '{"ref":"R' || c_custkey || '","segment":"AUTOMOBILE"}' FROM customer WHERE c_mktsegment = 'AUTOMOBILE')"""
+
+
 def after_writes(spark, sf_dir) -> DataFrame:
-    contacts = a.target(spark, sf_dir).filter("system = 'crm'")
-    return targets.apply_writes(contacts, targets.net_writes(order_writes(spark, sf_dir)))
+    return targets.apply_writes(a.target(spark, sf_dir), targets.net_writes(order_writes(spark, sf_dir)))
 
 
-@workload("target_upsert", f"{NET} SELECT record_id, fields FROM state")
+@workload("target_upsert", f"{NET} SELECT record_id, fields FROM state UNION ALL SELECT * FROM {OTHERS}")
 def target_upsert(spark, sf_dir):
     return after_writes(spark, sf_dir).select("record_id", canonical_json("fields").alias("fields"))
 
 
-@workload("target_upsert_created", f"""{NET} SELECT record_id, record_id LIKE 'n-%' AS created, record_id IN (SELECT record_id FROM w) AS written FROM state""")
+@workload("target_upsert_created", f"""{NET} SELECT record_id, record_id LIKE 'n-%' AS created, record_id IN (SELECT record_id FROM w) AS written FROM state
+  UNION ALL SELECT record_id, FALSE, FALSE FROM {OTHERS}""")
 def target_upsert_created(spark, sf_dir):
     return after_writes(spark, sf_dir).select("record_id", "created", "written")
 
 
-@workload("target_delete", f"""{NET} SELECT 'c-' || c_custkey AS record_id FROM customer WHERE 'c-' || c_custkey NOT IN (SELECT record_id FROM w WHERE gone)""")
+@workload("target_delete", f"""{NET} SELECT 'c-' || c_custkey AS record_id FROM customer WHERE 'c-' || c_custkey NOT IN (SELECT record_id FROM w WHERE gone)
+  UNION ALL SELECT record_id FROM {OTHERS}""")
 def target_delete(spark, sf_dir):
     deletes = order_writes(spark, sf_dir).filter("operation = 'Delete'")
-    return targets.apply_deletes(a.target(spark, sf_dir).filter("system = 'crm'"), deletes).select("record_id")
+    return targets.apply_deletes(a.target(spark, sf_dir), deletes).select("record_id")
 
 
 @workload("resolve_integration_key", """WITH n AS (SELECT p_name, p_type, count(*) AS n, min(p_partkey) AS id FROM part GROUP BY ALL)
