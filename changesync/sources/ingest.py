@@ -12,18 +12,23 @@ from changesync.schema import EVENT_COLUMNS
 
 
 class PayloadParser(Protocol):
-    """A system plugs in by recognising its payloads and turning them into events."""
+    """A system plugs in by recognising its payloads and turning them into events. The text was
+    read already: `root` is its JSON object (MAP<STRING,VARIANT>), null for anything else."""
 
     system_name: str
 
-    def sniff(self, raw: Column) -> Column:
+    def sniff(self, root: Column) -> Column:
         """True when the payload has this system's shape; never fails, false on junk."""
 
-    def parse(self, df: DataFrame, raw: str) -> DataFrame:
+    def parse(self, df: DataFrame, raw: str, root: str) -> DataFrame:
         """Add `event` (the CHANGE_EVENT struct) and `error` (null when readable) for the
         payload text in column `raw`; both null where that text is null."""
 
 
+def root_of(raw: str) -> Column:
+    return p.as_object(F.try_parse_json(_col(raw)))
+
+
 class ContextParser:
     """Execution-context payloads: an envelope, a message name, and the record's attributes
     as key/value pairs under the input parameter `Target`."""
@@ -37,17 +42,15 @@ class ContextParser:
     def __init__(self, system_name: str = "erp") -> None:
         self.system_name = system_name
 
-    def sniff(self, raw: Column) -> Column:
-        root = p.as_object(F.try_parse_json(_col(raw)))
+    def sniff(self, root: Column) -> Column:
         names = F.transform(F.map_keys(root), lambda k: F.lower(k))
         shape = p.has_ci(names, "MessageName") & p.has_ci(names, "InputParameters")
         return F.coalesce(p.has_ci(names, "BusinessEventId") | shape, F.lit(False))
 
-    def parse(self, df: DataFrame, raw: str) -> DataFrame:
+    def parse(self, df: DataFrame, raw: str, root: str) -> DataFrame:
         before = df.columns
-        root, target = F.col("_root"), F.col("_target")
-        step = df.withColumn("_root", p.as_object(F.try_parse_json(F.col(raw))))
-        step = step.withColumns({
+        root, target = F.col(root), F.col("_target")
+        step = df.withColumns({
             "_target": p.find_parameter(root, "Target"),
             "_names": F.transform(F.map_keys(root), lambda k: F.lower(k)), "_values": F.map_values(root),
         })
@@ -104,20 +107,23 @@ def read_raw(spark: SparkSession, path: str, streaming: bool = False) -> DataFra
 
 def select_parser(df: DataFrame, parsers: Sequence[PayloadParser], raw: str = "raw") -> DataFrame:
     """Add `parser`: the first registered parser that recognises the payload, else null."""
-    chosen = F.coalesce(*[F.when(q.sniff(F.col(raw)), F.lit(q.system_name)) for q in parsers])
-    return df.withColumn("parser", chosen)
+    return _select(df.withColumn("_root", root_of(raw)), parsers).drop("_root")
+
+
+def _select(df: DataFrame, parsers: Sequence[PayloadParser]) -> DataFrame:
+    return df.withColumn("parser", F.coalesce(*[F.when(q.sniff(F.col("_root")), F.lit(q.system_name)) for q in parsers]))
 
 
 def parse_events(df: DataFrame, parsers: Sequence[PayloadParser], raw: str = "raw") -> DataFrame:
-    """Add `parser`, `event` and `error`; a payload no parser knows is an error too. One pass
-    over the input whatever the number of parsers."""
-    out = select_parser(df, parsers, raw)
-    base = out.columns
+    """Add `parser`, `event` and `error`; a payload no parser knows is an error too. The JSON text
+    is read once, whatever the number of parsers."""
+    base = [*df.columns, "parser"]
+    out = _select(df.withColumn("_root", root_of(raw)), parsers)
     events, errors = [], []
     for i, q in enumerate(parsers):
-        own = f"_raw_{i}"
-        out = out.withColumn(own, F.when(F.col("parser") == q.system_name, F.col(raw)))
-        out = q.parse(out, own).withColumnsRenamed({"event": f"_event_{i}", "error": f"_error_{i}"})
+        mine = F.col("parser") == q.system_name
+        out = out.withColumns({f"_raw_{i}": F.when(mine, F.col(raw)), f"_root_{i}": F.when(mine, F.col("_root"))})
+        out = q.parse(out, f"_raw_{i}", f"_root_{i}").withColumnsRenamed({"event": f"_event_{i}", "error": f"_error_{i}"})
         events.append(F.col(f"_event_{i}"))
         errors.append(F.col(f"_error_{i}"))
     known = ", ".join(q.system_name for q in parsers)

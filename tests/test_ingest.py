@@ -70,7 +70,7 @@ def test_errors_are_quarantined(spark, raw, reason):
 def test_sniffing_and_prefix(spark):
     df = spark.createDataFrame(
         [(payload(),), ('{"messagename": "x", "INPUTPARAMETERS": []}',), ('{"MessageName": "x"}',), ("[1]",), ("x" * 700,), (None,)], "raw STRING")
-    sniffed = df.select(ingest.ContextParser().sniff(F.col("raw")).alias("s"))
+    sniffed = df.select(ingest.ContextParser().sniff(ingest.root_of("raw")).alias("s"))
     assert [r["s"] for r in sniffed.collect()] == [True, True, False, False, False, False]
     long = ingest.quarantine(parse(spark, "x" * 700)).first()
     assert len(long["payload_prefix"]) == 601 and long["payload_prefix"].endswith("…") and len(long["raw"]) == 700
@@ -93,3 +93,10 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_a_repeated_member_name_is_readable(spark):
     raw = payload().replace('"MessageName": "Create"', '"MessageName": "Update", "MessageName": "Create"')
     assert ingest.accepted(parse(spark, raw)).first()["operation"] == "Create"
+
+
+def test_the_text_is_read_once_whatever_the_number_of_parsers(spark):
+    df = spark.createDataFrame([(payload(),)], "raw STRING")
+    parsers = [ingest.ContextParser(n) for n in ("a", "b", "c")]
+    plan = ingest.parse_events(df, parsers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(raw#") == 1

@@ -47,14 +47,14 @@ class FlatParser:
 
     system_name = "crm"
 
-    def sniff(self, raw: Column) -> Column:
-        root = p.as_object(F.try_parse_json(raw))
+    def sniff(self, root: Column) -> Column:
         return F.coalesce(F.map_contains_key(root, F.lit("entity")) & F.map_contains_key(root, F.lit("op")), F.lit(False))
 
-    def parse(self, df: DataFrame, raw: str) -> DataFrame:
+    def parse(self, df: DataFrame, raw: str, root: str) -> DataFrame:
         keep = df.columns
-        body = F.from_json(raw, "entity STRING, id STRING, op STRING, at TIMESTAMP, user STRING, correlation STRING")
-        b = df.withColumn("_b", body)
+        text = lambda n: F.try_variant_get(F.try_element_at(F.col(root), F.lit(n)), "$", "string")
+        members = [text(n).alias(n) for n in ("entity", "id", "op", "user", "correlation")]
+        b = df.withColumn("_b", F.struct(*members, text("at").try_cast("timestamp").alias("at")))
         event = F.struct(
             F.lit(self.system_name).alias("source_system"), F.col("_b.entity").alias("entity_name"),
             F.col("_b.id").alias("source_record_id"), F.col("_b.op").alias("operation"), F.col("_b.at").alias("occurred_at"),
@@ -98,7 +98,7 @@ def ingest_raw(spark, sf_dir):
 
 @workload("sniff_payload", f"{EV} SELECT event_id, source_system = 'erp' AND pk NOT IN (7, 10) AS erp FROM ev")
 def sniff_payload(spark, sf_dir):
-    return payloads(spark, sf_dir).select("event_id", PARSERS[0].sniff(F.col("raw")).alias("erp"))
+    return payloads(spark, sf_dir).select("event_id", PARSERS[0].sniff(ingest.root_of("raw")).alias("erp"))
 
 
 @workload("parser_select", f"{EV} SELECT event_id, CASE WHEN pk NOT IN (7, 10) THEN source_system END AS parser FROM ev")
