@@ -74,9 +74,10 @@ def _share(nodes: DataFrame, family: list[str], name: str, weight: Column) -> Da
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """`leaves` (domain, lang, source, tokens) with `budget`."""
     leaves = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
-    total = leaves.agg(F.sum("tokens").alias("all"), F.sum("cap").alias("most"))
-    total = total.select(F.least(F.expr(f"`all` * {mix.budget_percent} div 100"), "most").alias("budget"))
-    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).crossJoin(F.broadcast(total)).withColumn("_root", F.lit(0))  # one row
+    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("_tokens")).withColumn("_root", F.lit(0))
+    root = Window.partitionBy("_root")
+    domains = domains.withColumns({"_all": F.sum("_tokens").over(root), "_most": F.sum("cap").over(root)})
+    domains = domains.withColumn("budget", F.least(F.expr(f"_all * {mix.budget_percent} div 100"), "_most"))
     domains = _share(domains, ["_root"], "domain", _weight(mix.domains, "domain", mix.other)).select("domain", "budget")
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain")
     langs = _share(langs, ["domain"], "lang", _weight(mix.langs, "lang", mix.other)).select("domain", "lang", "budget")
