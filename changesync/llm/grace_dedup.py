@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from changesync.llm import words as W
 from changesync.storage import Scratch
 
-BUCKET_BYTES = 64 << 20  # contents an open-addressing table may hold
+BUCKET_BYTES = 32 << 20  # contents an open-addressing table may hold
 
 
 ROW = "row LONG, doc_id LONG, sha BINARY, bytes LONG, content BINARY, rows LONG"

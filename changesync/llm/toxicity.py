@@ -158,7 +158,7 @@ def _counted(training: DataFrame, how: Settings) -> np.ndarray | None:
     def run(batches):
         total = np.zeros(2 * size, np.uint64)
         for batch in batches:
-            for part in W.slices(batch, most=W.SLICE_BYTES // 4):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 2):
                 split = W.split(part.column("text"))
                 toxic = part.column("toxic").to_numpy()[split.rows()]
                 at, context = _buckets(split.dictionary, how), _contexts(split)
@@ -185,21 +185,23 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Model
     maps = _counted(training, how)
     if maps is None or not maps[:size].any() or not maps[size:].any():
         return None
-    clean, toxic = distinct(maps[:size]), distinct(maps[size:])
-    weights = log_odds(toxic, clean, toxic.sum(), clean.sum(), how)
+    parts = [slice(at, at + (1 << 16)) for at in range(0, size, 1 << 16)]
+    n0, n1 = (sum(distinct(half[p]).sum() for p in parts) for half in (maps[:size], maps[size:]))
+    weights = np.concatenate([log_odds(distinct(maps[size:][p]), distinct(maps[:size][p]), n1, n0, how) for p in parts])
+    del maps
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 2):
                 split = W.split(part.column("text"))
-                token = np.exp(np.outer(_token_scores(split.dictionary, shared.value, how), LAMBDAS))
+                token = _token_scores(split.dictionary, shared.value, how)
                 rows = split.rows()
                 found = [(n, [s for _, _, s in segs]) for n, segs in _scan(part.column("text"), shared.value, how)]
                 # Sums over the tokens of the part's clean texts, with its first row.
                 clean = part.column("toxic").to_numpy()[rows] == 0
                 uses = np.bincount(split.codes[clean], minlength=len(split.dictionary))
-                moment = [uses @ token] + [np.zeros(len(LAMBDAS))] * (len(found) - 1)
+                moment = [np.array([uses @ np.exp(x * token) for x in LAMBDAS])] + [np.zeros(len(LAMBDAS))] * (len(found) - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64())),
                      part.column("toxic").cast(pa.int32()), pa.array([int(uses.sum())] + [0] * (len(found) - 1), pa.int64()),
@@ -214,10 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Model
     best = F.coalesce(F.array_max("scores"), F.lit(0.0))
     docs_, weight = scanned.filter("toxic = 0 AND n > 0").agg(F.count("*"), F.sum(F.col("n") * F.exp(-F.lit(lam) * best))).first()
     k = docs_ / weight if docs_ else 1.0
-    # At most max_training_rows rows of two numbers.
-    sample = scanned.select("n", "scores", "toxic").toPandas()
-    x = np.array([_features(n, list(s), lam, k) for n, s in zip(sample["n"], sample["scores"])])
-    return Model(weights, lam, float(k), _logistic(x, sample["toxic"].to_numpy(float)))
+    # At most max_training_rows rows of three numbers.
+    chance = F.log(F.greatest(F.lit(float(k)) * F.greatest("n", F.lit(1)), F.lit(1e-9)))
+    excess = F.aggregate("scores", F.lit(0.0), lambda total, s: total + F.greatest(F.lit(0.0), s * F.lit(lam) - chance))
+    sample = scanned.select(F.log1p(excess).alias("sum"), F.least(F.lit(30.0), best * F.lit(lam) - chance).alias("best"), "toxic").toPandas()
+    return Model(weights, lam, float(k), _logistic(sample[["sum", "best"]].to_numpy(float), sample["toxic"].to_numpy(float)))
 
 
 def _features(n: int, scores: list[float], lam: float, k: float) -> tuple[float, float]:
@@ -259,7 +262,7 @@ def score(docs: DataFrame, model: Model | None, how: Settings = Settings(), scor
     def run(batches):
         m = shared.value
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 2):
                 scores, found = [], []
                 if m is None:
                     scores, found = [0.0] * part.num_rows, [[]] * part.num_rows

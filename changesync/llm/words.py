@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 16 << 20  # text held in split form at a time, unless one text alone is longer
+SLICE_BYTES = 8 << 20  # text held in split form at a time, unless one text alone is longer
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
