@@ -12,6 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+# Workers live on from task to task. The system's allocator gives freed buffers back to the
+# machine; Arrow's own pool keeps them, and a few idle workers then hold most of an executor.
+pa.set_memory_pool(pa.system_memory_pool())
+
 SLICE_BYTES = 8 << 20  # text held in split form at a time, unless one text alone is longer
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
