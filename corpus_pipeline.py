@@ -12,6 +12,7 @@ from changesync.session import configure
 from changesync.storage import Scratch
 
 ROW = "__row"
+NEAR = jaccard_join.Join(width=5, percent=80)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +32,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts linked by shared shingles, the row with the smallest doc_id stays;
-    texts without words are alike in having none, and each stays."""
+    """Of each class of texts linked by five-word shingles at a Jaccard similarity of 0.8 or more, the
+    row with the smallest doc_id stays; texts without words are alike in having none, and each stays."""
     configure(spark)
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    decided = jaccard_join.classes(rows, row=ROW)
+    decided = jaccard_join.classes(rows, NEAR, row=ROW)
     return rows.join(decided.filter("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 

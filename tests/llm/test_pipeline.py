@@ -35,3 +35,13 @@ def test_one_row_of_each_copy_stays(spark, awkward, tmp_path):
 def test_whole_run(spark, small, tmp_path):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in small.collect()}
+
+
+def test_near_copies_between_80_and_85_percent_go(spark):
+    base = [f"w{i}" for i in range(400)]
+    appended = base + [f"new{i}" for i in range(80)]
+    replaced = base[:100] + [f"other{i}" for i in range(35)] + base[135:]
+    apart = base + [f"more{i}" for i in range(110)]  # 0.783 of the first text, 0.675 of the second
+    rows = [(i, " ".join(t)) for i, t in enumerate((base, appended, replaced, apart))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id LONG, text STRING"), "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3]
