@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each one operator over all rows before it.
 
 A stage takes the table of documents that the one before wrote. Where an operator's decisions
-are joined back, rows are known by monotonically_increasing_id(), which a stored table gives
-alike each time it is read, so rows with equal or null doc_ids stay apart.
+are joined back, the rows are numbered and written once, and both the operator and the join read
+that table, so rows with equal or null doc_ids stay apart however the reads are split.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,10 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("__toxicity") < how.threshold).select(*docs.columns)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with the column ROW, as a written table: every read of it has the same numbers."""
+    return Scratch(configure(spark)).keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the row with the smallest doc_id stays."""
-    configure(spark)
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = _numbered(spark, docs)
     decided = grace_dedup.dedup(rows, row=ROW)
     return rows.join(decided.filter("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
@@ -34,8 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts linked by five-word shingles at a Jaccard similarity of 0.8 or more, the
     row with the smallest doc_id stays; texts without words are alike in having none, and each stays."""
-    configure(spark)
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = _numbered(spark, docs)
     decided = jaccard_join.classes(rows, NEAR, row=ROW)
     return rows.join(decided.filter("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 

@@ -45,3 +45,23 @@ def test_near_copies_between_80_and_85_percent_go(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate((base, appended, replaced, apart))]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id LONG, text STRING"), "").collect()
     assert sorted(r.doc_id for r in kept) == [0, 3]
+
+
+def test_decisions_hit_their_rows_when_splits_change(spark, tmp_path):
+    texts = [f"copy {i % 10} " * 20 if i < 40 else f"own{i} text{i} of{i} row{i} and{i} more{i}" for i in range(80)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(8, "doc_id").write.parquet(f"{tmp_path}/in")
+    want = [*range(10), *range(40, 80)]
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    try:
+        for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+            out = stage(spark, spark.read.parquet(f"{tmp_path}/in"), "")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            assert sorted(r.doc_id for r in out.collect()) == want, stage.__name__
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.set(k, usual[k]) if k in usual else spark.conf.unset(k)
