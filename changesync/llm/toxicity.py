@@ -3,9 +3,10 @@
 1. Token evidence: log-odds of toxic against clean training texts with an informative Dirichlet
    prior (the pooled frequencies), for a word and for its beginnings of 3 to 6 letters, since
    toxic stems come in many forms. What counts is the number of different contexts (the words
-   before and after), so a text copied thirty times is no stronger evidence than once. Contexts
-   are counted by small bit maps, 64 bits per bucket of a hash space of fixed size. Evidence is
-   shrunk by a multiple of its standard error; a token takes its strongest kind.
+   before and after), so a text copied thirty times is no stronger evidence than once. The
+   different (label, bucket, context) are counted exactly, dealt by context so that a frequent
+   bucket is spread over all tasks. Evidence is shrunk by a multiple of its standard error; a
+   token takes its strongest kind.
 2. Scan: with a small drift subtracted, the linear-time scan finds all maximal scoring segments.
 3. Calibration: for clean texts the best segment of n tokens follows an extreme-value law,
    P(S >= x) = 1 - exp(-K n exp(-lambda x)). lambda solves E exp(lambda s) = 1 over clean tokens,
@@ -24,6 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changesync.llm import words as W
@@ -122,57 +124,65 @@ def _training(docs: DataFrame, labels: DataFrame, how: Settings) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("_toxic").alias("toxic"))
 
 
-def distinct(bits: np.ndarray) -> np.ndarray:
-    """Linear counting: the number of different contexts behind 64-bit maps. A full map stands
-    for any larger number."""
-    empty = 64 - np.bitwise_count(bits).astype(float)
-    return 64 * np.log(64 / np.maximum(empty, 0.5))
-
-
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n1: float, n0: float, how: Settings) -> np.ndarray:
-    """Shrunk log-odds per bucket, from its counts and their totals. A bucket whose clean map is
-    full is a common one and says nothing."""
+    """Shrunk log-odds per bucket, from its counts and their totals."""
     pooled = (toxic + clean + 0.01) / (n1 + n0)
     a, b = toxic + how.prior * n1 * pooled, clean + how.prior * n0 * pooled
     n1, n0 = (1 + how.prior) * n1, (1 + how.prior) * n0
     delta = np.log(a / np.maximum(n1 - a, 1)) - np.log(b / np.maximum(n0 - b, 1))
     error = np.sqrt(1 / a + 1 / b)
-    sure = np.sign(delta) * np.maximum(np.abs(delta) - how.errors * error, 0)
-    return np.where(clean < 64 * np.log(128) - 1, sure, 0.0).astype(np.float32)
+    return (np.sign(delta) * np.maximum(np.abs(delta) - how.errors * error, 0)).astype(np.float32)
 
 
 def _contexts(split: W.Words) -> np.ndarray:
-    """A number from 0 to 63 for the words around each token of a text."""
+    """A 64-bit hash of the words around each token of a text."""
     hashes = W.hash_words(split.dictionary)[split.codes] if len(split.codes) else np.empty(0, np.uint64)
     before, after = np.roll(hashes, 1), np.roll(hashes, -1)
     inner = split.offsets[:-1][np.diff(split.offsets) > 0]
     before[inner] = 1
     after[split.offsets[1:][np.diff(split.offsets) > 0] - 1] = 2
-    return (W.mix(before * np.uint64(3) + after) >> np.uint64(58)).astype(np.int64)
+    return W.mix(before * np.uint64(3) + after)
+
+
+SHARDS = 64  # groups that contexts are dealt to; a training sample of any size is bounded
 
 
 def _counted(training: DataFrame, how: Settings) -> np.ndarray | None:
-    """Context maps of all buckets, clean ones first. None without training texts."""
-    size = 1 << how.buckets_log2
+    """The number of different contexts of all buckets, clean ones first. None without training texts."""
+    size, rest = 1 << how.buckets_log2, np.uint64(63 - how.buckets_log2)  # bits of a key: label and bucket, then the context
 
-    def run(batches):
-        total = np.zeros(2 * size, np.uint64)
+    def keys(batches):
         for batch in batches:
             for part in W.slices(batch, most=W.SLICE_BYTES // 2):
                 split = W.split(part.column("text"))
-                toxic = part.column("toxic").to_numpy()[split.rows()]
-                at, context = _buckets(split.dictionary, how), _contexts(split)
-                for kind in (0, 1):
-                    mine = toxic == kind
-                    met = np.zeros((len(at), 64), np.uint8)
-                    met[split.codes[mine], context[mine]] = 1
-                    bits = np.packbits(met, axis=1).view(np.uint64).ravel()
-                    for k in range(at.shape[1]):
-                        there = at[:, k] >= 0
-                        np.bitwise_or.at(total, kind * size + at[there, k], bits[there])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-    return tree_sum(training.mapInArrow(run, "total BINARY"), "<u8", np.bitwise_or)
+                label = part.column("toxic").to_numpy()[split.rows()].astype(np.int64) * size
+                at, context = _buckets(split.dictionary, how), _contexts(split) >> np.uint64(64 - int(rest))
+                shard = (context & np.uint64(SHARDS - 1)).astype(np.uint8)
+                order = np.argsort(shard, kind="stable")
+                ends = np.cumsum(np.bincount(shard, minlength=SHARDS)).tolist()
+                for i, (a, b) in enumerate(zip([0, *ends], ends)):
+                    mine = order[a:b]
+                    bucket = at[split.codes[mine]]
+                    found = ((bucket + label[mine, None]).astype(np.uint64) << rest) | context[mine, None]
+                    found = np.unique(found[bucket >= 0])
+                    if len(found):
+                        packed = zstandard.compress(np.diff(found, prepend=np.uint64(0)).astype("<u8").tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["shard", "keys"])
+
+    def count(table: pa.Table) -> pa.Table:
+        met = np.empty(0, np.uint64)
+        waiting, held = [], 0
+        for packed in [*table.column("keys").to_pylist(), None]:
+            if packed is not None:
+                waiting.append(np.cumsum(np.frombuffer(zstandard.decompress(packed), "<u8"), dtype=np.uint64))
+                held += len(waiting[-1])
+            if packed is None or held > max(1 << 20, len(met)):  # merged as they come: copies never pile up
+                met, waiting, held = np.unique(np.concatenate([met, *waiting])), [], 0
+        total = np.bincount((met >> rest).astype(np.int64), minlength=2 * size)
+        return pa.table({"total": pa.array([total.astype("<i4").tobytes()], pa.binary())})
+
+    dealt = training.mapInArrow(keys, "shard INT, keys BINARY")
+    return tree_sum(dealt.groupBy("shard").applyInArrow(count, "total BINARY"), "<i4")
 
 
 LAMBDAS = np.geomspace(0.05, 3, 60)
@@ -182,13 +192,13 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Model
     """Learn from the labelled texts; None if they are not of both kinds."""
     spark, size = docs.sparkSession, 1 << how.buckets_log2
     training = _training(docs, labels, how)
-    maps = _counted(training, how)
-    if maps is None or not maps[:size].any() or not maps[size:].any():
+    counts = _counted(training, how)
+    if counts is None or not counts[:size].any() or not counts[size:].any():
         return None
+    n0, n1 = (float(half.sum(dtype=np.int64)) for half in (counts[:size], counts[size:]))
     parts = [slice(at, at + (1 << 16)) for at in range(0, size, 1 << 16)]
-    n0, n1 = (sum(distinct(half[p]).sum() for p in parts) for half in (maps[:size], maps[size:]))
-    weights = np.concatenate([log_odds(distinct(maps[size:][p]), distinct(maps[:size][p]), n1, n0, how) for p in parts])
-    del maps
+    weights = np.concatenate([log_odds(counts[size:][p], counts[:size][p], n1, n0, how) for p in parts])
+    del counts
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches):

@@ -66,6 +66,26 @@ def test_toxicity_of_awkward_tables(spark, awkward, nothing, clash):
     assert {r.score for r in toxicity.score(awkward, None).collect()} == {0.0}
 
 
+def test_common_words_keep_their_evidence(spark):
+    """A word in hundreds of clean contexts, and in many more toxic ones for their number, counts."""
+    rng = random.Random(8)
+    some = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(8))
+    rows = [(i, f"{some()} zorgle {some()}" if i % 14 == 0 or (i % 2 and i % 3) else some(), i % 2) for i in range(12_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id LONG, text STRING")
+    how = toxicity.Settings()
+    clean = {t for i, t, k in rows if not k and "zorgle" in t and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(clean) > 500
+    model = toxicity.fit(docs, spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id LONG, toxic INT"), how)
+    assert model.weights[toxicity.xxhash.xxh3_64_intdigest("zorgle", 0) & ((1 << how.buckets_log2) - 1)] > 0.5
+    # The counts are exact, whatever their size: against plain sets.
+    training = spark.createDataFrame([(t, k) for _, t, k in rows], "text STRING, toxic INT")
+    counts = toxicity._counted(training, how)
+    seen = {(k, ws[j - 1] if j else None, ws[j + 1] if j + 1 < len(ws) else None) for _, t, k in rows for ws in [t.split()] for j, w in enumerate(ws) if w == "zorgle"}
+    at = toxicity.xxhash.xxh3_64_intdigest("zorgle", 0) & ((1 << how.buckets_log2) - 1)
+    for kind in (0, 1):
+        assert counts[kind * (1 << how.buckets_log2) + at] == sum(s[0] == kind for s in seen) > 200
+
+
 def lm_words(text):
     return [*(text or "").encode().lower().split(), None]
 
