@@ -116,6 +116,12 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert all(r.score <= 0 for r in got)
 
 
+def test_language_model_has_its_classes(spark):
+    how = maxent_lm.Settings()
+    blocks = maxent_lm.coded(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), how).select("kinds").collect()
+    assert len({k for r in blocks for k in r.kinds}) == how.classes - 1 >= 31
+
+
 def test_classes_and_words_make_a_distribution():
     how = maxent_lm.Settings(classes=6, features_log2=4)
     rng = np.random.default_rng(0)
