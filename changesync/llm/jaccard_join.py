@@ -16,9 +16,13 @@ components), with no link between different texts lost.
 5. What is left of a list, pairs of different classes, is compared block by block of bounded
    size. The members of a block stand in the order of their sizes, so that a set skips from the
    first position whose size it cannot link to.
+6. Once the classes are known, the links of each set are counted: linked sets are of one class, so
+   every two blocks of a class meet once. Distances to the first member decide what they can
+   (too far apart, or near enough to the same set), the other pairs are intersected whole.
 
 Comparisons first bound the overlap by the parity of bit maps (exact: it never drops a link),
-then intersect the whole sets. A group of thousands of near copies costs stars, not all pairs.
+then intersect the whole sets. Classes need stars, not all pairs; the counts of step 6 leave a
+block as one number per set, so no table holds a row per pair of a large group.
 """
 
 from dataclasses import dataclass
@@ -42,7 +46,8 @@ class Join:
     sketch_bits: int = 20  # 8 MB of counters, whatever the size of the data
     map_bits: int = 2048  # of the parity bit map of a set
     centres: int = 3  # per list
-    block: int = 512  # members of a list that are compared at a time
+    block: int = 512  # members of a list or class that are compared at a time
+    block_elements: int = 1 << 20  # of the sets in a block of a class, on average
 
     def needed(self, n):
         """Overlap that a set of n must have with any set it links to."""
@@ -211,12 +216,12 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a LONG, b LONG, overlap LONG, n LONG, m LONG")
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
-    """(a, b, overlap, n, m, link) of the pairs that their bit maps do not rule out."""
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b, overlap, n, m, link) of the pairs that their bit maps do not rule out, and their sets."""
     likely = scratch.keep(by_bit_map(pairs, reps, how), "likely")
     sets = scratch.keep(whole_sets(docs, reps, likely, how), "sets")
     found = overlaps(likely, sets)
-    return scratch.keep(found.withColumn("link", _enough(how, F.col("overlap"), F.col("n"), F.col("m"))), "verified")
+    return scratch.keep(found.withColumn("link", _enough(how, F.col("overlap"), F.col("n"), F.col("m"))), "verified"), sets
 
 
 def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFrame, how: Join, most_each: int, scratch: Scratch) -> DataFrame:
@@ -274,14 +279,70 @@ def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFr
     return scratch.keep(dealt.groupBy("token", "i", "j").applyInArrow(run, "a LONG, b LONG, more BOOLEAN"), "leftovers")
 
 
+def _count_links(own: np.ndarray, sets: list[np.ndarray], across: bool, how: Join) -> np.ndarray:
+    """How many of the others each set links to; with `across`, of those with another `own`."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    n, own = np.array([len(sets[i]) for i in order]), own[order]
+    _, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.cumsum(n) - n
+    mark, counts, reach = np.zeros(int(flat.max()) + 1, bool), np.zeros(len(n), np.int64), 1 - how.percent / 100
+
+    def common(x, ys):
+        """Overlaps of a set with several."""
+        mine = flat[starts[x] : starts[x] + n[x]]
+        mark[mine] = True
+        found = np.add.reduceat(mark[flat[W.spread(starts[ys], n[ys])]], np.cumsum(n[ys]) - n[ys], dtype=np.int64)
+        mark[mine] = False
+        return found
+
+    with_first = common(0, np.arange(len(n)))
+    d = 1 - with_first / (n + n[0] - with_first)
+    for x in range(len(n)):
+        ys = np.arange(x + 1, int(np.searchsorted(n, n[x] * 100 // how.percent, side="right")))
+        if across:
+            ys = ys[own[ys] != own[x]]
+        ys = ys[np.abs(d[ys] - d[x]) <= reach + 1e-9]
+        sure = d[ys] + d[x] <= reach - 1e-9
+        linked, ys = ys[sure], ys[~sure]
+        if len(ys):
+            linked = np.concatenate([linked, ys[_enough(how, common(x, ys), n[x], n[ys])]])
+        counts[x] += len(linked)
+        counts[linked] += 1
+    out = np.empty(len(n), np.int64)
+    out[order] = counts
+    return out
+
+
+def link_counts(roots: DataFrame, sets: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
+    """(rep, n_links): the exact number of sets that each set of a class links to."""
+    members = sets.join(roots.withColumnRenamed("node", "rep"), "rep").withColumn("n", F.length("elements") / 8)
+    members = scratch.keep(members.select("rep", "root", "n", "elements"), "class-members")
+    size = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    # A class of two has one link.
+    two = members.select("rep", "root").join(size.filter("members = 2").select("root"), "root").select("rep", F.lit(1).cast("long").alias("n_links"))
+    parts = F.greatest(F.ceil(F.col("members") / how.block), F.ceil(F.col("total") / how.block_elements)).cast("int")
+    rows = members.join(size.filter("members > 2").select("root", parts.alias("blocks")), "root")
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "elements")
+
+    def run(key, table):
+        sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+        counts = _count_links(table.column("own").to_numpy(), sets, key[1].as_py() != key[2].as_py(), how)
+        return pa.table({"rep": table.column("rep"), "n_links": pa.array(counts, pa.int64())})
+
+    counted = dealt.groupBy("root", "i", "j").applyInArrow(run, "rep LONG, n_links LONG").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    return scratch.keep(counted.unionByName(two), "link-counts")
+
+
 def classes(docs: DataFrame, how: Join = Join(), row: str | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): row, doc_id, n_shingles, component_id, n_links, kept.
 
     `row` names a column of distinct longs that stands for the row in the result; without it rows
     are numbered as they are read. `kept` marks one row of each class, that of the smallest doc_id.
     component_id is the smallest doc_id of the connected component, null doc_ids apart (a class
-    of null doc_ids alone has none). n_links counts the links to different sets that were
-    compared, at least one if there are any. A null text is empty; a text without words has no
+    of null doc_ids alone has none). n_links is the number of different sets that the
+    row's set links to. A null text is empty; a text without words has no
     shingles, links with nothing and has its own doc_id. Repeated rows are linked copies. An
     empty table gives an empty one; other columns are ignored.
     """
@@ -291,7 +352,7 @@ def classes(docs: DataFrame, how: Join = Join(), row: str | None = None) -> Data
     rep_rows = every.join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
     reps = scratch.keep(rep_rows.withColumnRenamed("row", "rep"), "reps")
     lists = index(reps, scratch)
-    known = verified(docs, reps, stars(lists, how), how, scratch)
+    known, sets = verified(docs, reps, stars(lists, how), how, scratch)
     roots = components(known.filter("link").select("a", "b"), scratch)
     # Two near classes need one link, not all: first the likeliest pairs, more of them only
     # where classes stay apart, until every pair left was compared.
@@ -300,17 +361,17 @@ def classes(docs: DataFrame, how: Join = Join(), row: str | None = None) -> Data
         found = leftovers(lists, roots, reps, known, how, most_each, scratch)
         rest = scratch.keep(found.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            known = known.unionByName(verified(docs, reps, rest, how, scratch))
+            again, more_sets = verified(docs, reps, rest, how, scratch)
+            known, sets = known.unionByName(again), sets.unionByName(more_sets.join(sets.select("rep"), "rep", "left_anti"))
             roots = components(known.filter("link").select("a", "b"), scratch)
         if found.filter("more").isEmpty():
             break
         most_each *= 8
-    return _membership(every, copies, roots, known.filter("link"), scratch)
+    return _membership(every, copies, roots, link_counts(roots, sets, how, scratch), scratch)
 
 
 def _membership(every: DataFrame, copies: DataFrame, roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
+    of = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
     of = of.select("sig", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = every.select("row", "doc_id", F.col("n").alias("n_shingles"), "sig").join(of, "sig", "left")
     rows = scratch.keep(rows.withColumn("root", F.coalesce("root", "row")).drop("sig"), "members")

@@ -73,6 +73,18 @@ def test_near_copies(spark):
     check(docs, jaccard_join.Join(centres=1, block=4, sketch_bits=4, map_bits=64))
 
 
+def test_links_of_each_set(spark):
+    """Every link between different sets counts, in large groups and over blocks of a class."""
+    docs = near_copies(spark)
+    rows = docs.collect()
+    sets = [frozenset(shingle_set(r.text)) for r in rows]
+    different = set(sets)
+    want = {r.doc_id: sum(s != t and 100 * len(s & t) >= 85 * len(s | t) for t in different) for r, s in zip(rows, sets)}
+    assert max(want.values()) > 10
+    for how in (jaccard_join.Join(), jaccard_join.Join(centres=1, block=4, sketch_bits=4, map_bits=64), jaccard_join.Join(block_elements=500)):
+        assert {r.doc_id: r.n_links for r in jaccard_join.classes(docs, how).collect()} == want
+
+
 def test_awkward(awkward, clash, nothing):
     check(clash(awkward))
     check(nothing)
