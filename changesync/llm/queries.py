@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changesync.llm import (
-    best_fit, bottom_k, grace_dedup, jaccard_join, line_dedup, maxent_lm, mixing, token_files, tokens, toxicity, viterbi_count,
+    best_fit, bottom_k, fill_in_middle, grace_dedup, jaccard_join, line_dedup, maxent_lm, mixing, token_files, tokens, toxicity, viterbi_count,
 )
 from changesync.storage import Scratch
 
@@ -145,3 +145,28 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.dedup(documents(spark, sf_dir)).drop("row")
+
+
+@query("op13_fill_in_middle", """
+    WITH t AS (
+        SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+    ), d AS (
+        SELECT *, ('0x' || h[1:8])::UBIGINT % (n + 1) AS a, ('0x' || h[9:16])::UBIGINT % (n + 1) AS b,
+               CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::UBIGINT % 100 >= 90 THEN 'plain'
+                    WHEN ('0x' || h[25:32])::UBIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t
+    ), c AS (SELECT *, least(a, b)::BIGINT AS x, greatest(a, b)::BIGINT AS y FROM d), p AS (
+        SELECT *, substring(text, 1, x) AS prefix, substring(text, x + 1, y - x) AS middle, substring(text, y + 1, n - y) AS suffix FROM c
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = fill_in_middle.Middle()
+    rows = fill_in_middle.restore(fill_in_middle.transform(documents(spark, sf_dir), how), how)
+    return rows.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
