@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changesync.llm import (
-    best_fit, bottom_k, fill_in_middle, grace_dedup, jaccard_join, line_dedup, maxent_lm, mixing, token_files, tokens, toxicity, viterbi_count,
+    best_fit, bottom_k, fill_in_middle, grace_dedup, jaccard_join, line_dedup, maxent_lm, merkle, mixing, token_files, tokens, toxicity, viterbi_count,
 )
 from changesync.storage import Scratch
 
@@ -170,3 +170,66 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values) + ")"
+
+
+def _crc32_sql(digits: str) -> str:
+    """CRC-32 of ASCII text bit by bit; DuckDB has no such function."""
+    return f"""xor(list_reduce(
+        flatten(list_transform(range(1, length({digits}) + 1), lambda i: [ascii({digits}[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+        lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(xor(c, x) >> 1, 3988292384) ELSE xor(c, x) >> 1 END, 4294967295::BIGINT
+    ), 4294967295)"""
+
+
+def _climb_sql(tree: str, rows: str, out: str, start: str) -> str:
+    """Steps that fold the nodes `rows` up one of the trees, with the siblings met on the way."""
+    return f"""
+    {out} AS (
+        SELECT id, source, 0 AS level, {start} AS pos, node, proof FROM {rows}
+        UNION ALL
+        SELECT id, w.source, w.level + 1, w.pos // 16, sha256(array_to_string(r.ds[: w.pos % 16] || [w.node] || r.ds[w.pos % 16 + 2 :], '')),
+               w.proof || array_to_string(r.ds[: w.pos % 16] || r.ds[w.pos % 16 + 2 :], '')
+        FROM {out} w JOIN runs r ON r.tree = {tree} AND r.level = w.level AND r.run = w.pos // 16 AND ({tree} = 1 OR r.source IS NOT DISTINCT FROM w.source)
+    )"""
+
+
+_RISE = "sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16"
+
+# Levels of both trees, their runs of 16 as lists, and every leaf climbing first to its subroot, then to the root.
+MERKLE_SQL = f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+               CASE WHEN {_crc32_sql("(doc_id::VARCHAR)")} % 5 = 0 THEN {_leaf_sql(f"translate(text, '{merkle.CAPITALS}', '{merkle.CAPITALS.lower()}')")} END AS claimed
+        FROM documents
+    ), t0 AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves
+    ), t AS (
+        SELECT 0 AS level, source, pos, leaf AS digest, n FROM t0
+        UNION ALL SELECT level + 1, source, pos // 16, {_RISE} FROM t WHERE n > 1 GROUP BY level, source, pos // 16
+    ), subs AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (
+        SELECT 0 AS level, place AS pos, subroot AS digest, n FROM subs
+        UNION ALL SELECT level + 1, pos // 16, {_RISE} FROM u WHERE n > 1 GROUP BY level, pos // 16
+    ), runs AS (
+        SELECT 0 AS tree, level, source, pos // 16 AS run, list(digest ORDER BY pos) AS ds FROM t WHERE n > 1 GROUP BY level, source, pos // 16
+        UNION ALL SELECT 1, level, NULL, pos // 16, list(digest ORDER BY pos) FROM u WHERE n > 1 GROUP BY level, pos // 16
+    ), start AS (SELECT row_number() OVER () AS id, *, coalesce(claimed, leaf) AS node, '' AS proof FROM t0),
+    {_climb_sql("0", "start", "w", "pos")},
+    mid AS (
+        SELECT w.id, w.source, subs.place, arg_max(w.node, w.level) AS node, arg_max(w.proof, w.level) AS proof
+        FROM w JOIN subs ON subs.source IS NOT DISTINCT FROM w.source GROUP BY ALL
+    ), {_climb_sql("1", "mid", "x", "place")},
+    ends AS (SELECT id, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM x GROUP BY id),
+    root AS (SELECT digest AS root FROM u WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(ends.proof) AS proof_sha256, ends.node AS folded_root, ends.node = root AS verified
+    FROM start JOIN ends USING (id) JOIN subs ON subs.source IS NOT DISTINCT FROM start.source CROSS JOIN root
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), merkle.FIELDS, merkle.lowered_leaf())
