@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changesync.llm import (
-    best_fit, bottom_k, fill_in_middle, grace_dedup, jaccard_join, line_dedup, maxent_lm, merkle, mixing, token_files, tokens, toxicity, viterbi_count,
+    best_fit, bottom_k, fill_in_middle, grace_dedup, harmonic, jaccard_join, line_dedup, maxent_lm, merkle, mixing, token_files, tokens, toxicity, viterbi_count,
 )
 from changesync.storage import Scratch
 
@@ -147,6 +147,12 @@ def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.dedup(documents(spark, sf_dir)).drop("row")
 
 
+@query("op11_harmonic")
+def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = harmonic.packed(documents(spark, sf_dir), tokens.public_path(WORD_BPE), end_id=2)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query("op13_fill_in_middle", """
     WITH t AS (
         SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
