@@ -17,8 +17,9 @@ components), with no link between different texts lost.
    size. The members of a block stand in the order of their sizes, so that a set skips from the
    first position whose size it cannot link to.
 6. Once the classes are known, the links of each set are counted: linked sets are of one class, so
-   every two blocks of a class meet once. Distances to the first member decide what they can
-   (too far apart, or near enough to the same set), the other pairs are intersected whole.
+   every two blocks of a class meet once. A set goes there as its difference from the centre of its
+   class. Distances to the centre decide what they can (too far apart, or near enough to it); for
+   the other pairs the overlap follows from the two differences alone.
 
 Comparisons first bound the overlap by the parity of bit maps (exact: it never drops a link),
 then intersect the whole sets. Classes need stars, not all pairs; the counts of step 6 leave a
@@ -137,12 +138,15 @@ def index(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """(token, rep, n, members): the lists with at least two sets, one of equal lists."""
     postings = reps.select("rep", "n", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
-    live = scratch.keep(postings.join(shared, "token"), "postings")
+    passing = Scratch(reps.sparkSession)
+    live = passing.keep(postings.join(shared, "token"), "postings")
     prints = live.groupBy("token", "members").agg(
         F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2")
     )
     one = prints.groupBy("f1", "f2", "members").agg(F.min("token").alias("token")).select("token")
-    return scratch.keep(live.join(one, "token", "left_semi"), "lists")
+    lists = scratch.keep(live.join(one, "token", "left_semi"), "lists")
+    passing.delete()
+    return lists
 
 
 def stars(lists: DataFrame, how: Join) -> DataFrame:
@@ -279,24 +283,31 @@ def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFr
     return scratch.keep(dealt.groupBy("token", "i", "j").applyInArrow(run, "a LONG, b LONG, more BOOLEAN"), "leftovers")
 
 
-def _count_links(own: np.ndarray, sets: list[np.ndarray], across: bool, how: Join) -> np.ndarray:
-    """How many of the others each set links to; with `across`, of those with another `own`."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    n, own = np.array([len(sets[i]) for i in order]), own[order]
-    _, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    starts = np.cumsum(n) - n
-    mark, counts, reach = np.zeros(int(flat.max()) + 1, bool), np.zeros(len(n), np.int64), 1 - how.percent / 100
+def _count_links(own: np.ndarray, n: np.ndarray, c: np.ndarray, diffs: list[np.ndarray], across: bool, how: Join) -> np.ndarray:
+    """How many of the others each set links to; with `across`, of those with another `own`.
+
+    A set is known by its size and what it differs in from the centre of its class (of c elements):
+    |x ^ y| is the size of the difference of the differences, so equal parts are never compared.
+    """
+    order = np.argsort(n, kind="stable")
+    n, c, own, diffs = n[order], c[order], own[order], [diffs[i] for i in order]
+    size = np.array([len(d) for d in diffs])
+    _, flat = np.unique(np.concatenate(diffs), return_inverse=True)
+    starts = np.cumsum(size) - size
+    mark, counts, reach = np.zeros(len(flat) + 1, bool), np.zeros(len(n), np.int64), 1 - how.percent / 100
+    before = np.concatenate([[0], np.cumsum(size)])
 
     def common(x, ys):
         """Overlaps of a set with several."""
-        mine = flat[starts[x] : starts[x] + n[x]]
+        mine = flat[starts[x] : starts[x] + size[x]]
         mark[mine] = True
-        found = np.add.reduceat(mark[flat[W.spread(starts[ys], n[ys])]], np.cumsum(n[ys]) - n[ys], dtype=np.int64)
+        hits = np.concatenate([[0], np.cumsum(mark[flat[W.spread(starts[ys], size[ys])]])])
         mark[mine] = False
-        return found
+        ends = np.cumsum(size[ys])
+        apart = size[x] + size[ys] - 2 * (hits[ends] - hits[ends - size[ys]])
+        return (n[x] + n[ys] - apart) // 2
 
-    with_first = common(0, np.arange(len(n)))
-    d = 1 - with_first / (n + n[0] - with_first)
+    d = 2 * size / (n + c + size)  # distance to the centre
     for x in range(len(n)):
         ys = np.arange(x + 1, int(np.searchsorted(n, n[x] * 100 // how.percent, side="right")))
         if across:
@@ -313,36 +324,58 @@ def _count_links(own: np.ndarray, sets: list[np.ndarray], across: bool, how: Joi
     return out
 
 
+def _differences(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """(rep, root, n, c, diff): each member's difference from the centre of its class, of c elements."""
+
+    def run(batches):
+        for batch in batches:
+            xs, cs = (W.values(batch.column(c)) for c in ("elements", "centre"))
+            diffs = [np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(xs, cs)]
+            sizes = [pa.array([len(v) // 8 for v in vs], pa.int64()) for vs in (xs, cs)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), batch.column("root"), *sizes, pa.array(diffs, pa.binary())], ["rep", "root", "n", "c", "diff"]
+            )
+
+    both = members.join(centres.withColumnRenamed("elements", "centre"), "root").select("rep", "root", "elements", "centre")
+    return both.mapInArrow(run, "rep LONG, root LONG, n LONG, c LONG, diff BINARY")
+
+
 def link_counts(roots: DataFrame, sets: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
-    """(rep, n_links): the exact number of sets that each set of a class links to."""
-    members = sets.join(roots.withColumnRenamed("node", "rep"), "rep").withColumn("n", F.length("elements") / 8)
-    members = scratch.keep(members.select("rep", "root", "n", "elements"), "class-members")
-    size = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    """(rep, n_links): the exact number of sets that each set of a class links to. Of each set only
+    its difference from the centre of its class goes to the blocks."""
+    of = roots.select(F.col("node").alias("rep"), "root")
+    size = of.groupBy("root").agg(F.count("*").alias("members"))
     # A class of two has one link.
-    two = members.select("rep", "root").join(size.filter("members = 2").select("root"), "root").select("rep", F.lit(1).cast("long").alias("n_links"))
-    parts = F.greatest(F.ceil(F.col("members") / how.block), F.ceil(F.col("total") / how.block_elements)).cast("int")
-    rows = members.join(size.filter("members > 2").select("root", parts.alias("blocks")), "root")
+    two = of.join(size.filter("members = 2").select("root"), "root").select("rep", F.lit(1).cast("long").alias("n_links"))
+    large = of.join(size.filter("members > 2").select("root"), "root")
+    centres = sets.join(large.filter("rep = root").select("rep"), "rep").select(F.col("rep").alias("root"), "elements")
+    members = scratch.keep(_differences(sets.join(large, "rep"), centres), "differences")
+
+    totals = members.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.length("diff") / 8).alias("total"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / how.block), F.ceil(F.col("total") / how.block_elements)).cast("int")
+    rows = members.join(totals.select("root", parts.alias("blocks")), "root")
     own = F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "elements")
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c", "diff")
 
     def run(key, table):
-        sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
-        counts = _count_links(table.column("own").to_numpy(), sets, key[1].as_py() != key[2].as_py(), how)
+        diffs = [np.frombuffer(e, np.uint64) for e in table.column("diff").to_pylist()]
+        own, n, c = (table.column(x).to_numpy() for x in ("own", "n", "c"))
+        counts = _count_links(own, n, c, diffs, key[1].as_py() != key[2].as_py(), how)
         return pa.table({"rep": table.column("rep"), "n_links": pa.array(counts, pa.int64())})
 
     counted = dealt.groupBy("root", "i", "j").applyInArrow(run, "rep LONG, n_links LONG").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     return scratch.keep(counted.unionByName(two), "link-counts")
 
 
-def classes(docs: DataFrame, how: Join = Join(), row: str | None = None) -> DataFrame:
+def classes(docs: DataFrame, how: Join = Join(), row: str | None = None, count_links: bool = True) -> DataFrame:
     """One row per row of `docs` (doc_id, text): row, doc_id, n_shingles, component_id, n_links, kept.
 
     `row` names a column of distinct longs that stands for the row in the result; without it rows
     are numbered as they are read. `kept` marks one row of each class, that of the smallest doc_id.
     component_id is the smallest doc_id of the connected component, null doc_ids apart (a class
     of null doc_ids alone has none). n_links is the number of different sets that the
-    row's set links to. A null text is empty; a text without words has no
+    row's set links to, null without `count_links`. A null text is empty; a text without words has no
     shingles, links with nothing and has its own doc_id. Repeated rows are linked copies. An
     empty table gives an empty one; other columns are ignored.
     """
@@ -367,17 +400,19 @@ def classes(docs: DataFrame, how: Join = Join(), row: str | None = None) -> Data
         if found.filter("more").isEmpty():
             break
         most_each *= 8
-    return _membership(every, copies, roots, link_counts(roots, sets, how, scratch), scratch)
+    return _membership(every, copies, roots, link_counts(roots, sets, how, scratch) if count_links else None, scratch)
 
 
-def _membership(every: DataFrame, copies: DataFrame, roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    of = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    of = of.select("sig", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+def _membership(every: DataFrame, copies: DataFrame, roots: DataFrame, links: DataFrame | None, scratch: Scratch) -> DataFrame:
+    none = F.lit(None if links is None else 0).cast("long")
+    of = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    of = of.withColumn("n_links", none) if links is None else of.join(links, "rep", "left")
+    of = of.select("sig", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", none).alias("n_links"))
     rows = every.select("row", "doc_id", F.col("n").alias("n_shingles"), "sig").join(of, "sig", "left")
     rows = scratch.keep(rows.withColumn("root", F.coalesce("root", "row")).drop("sig"), "members")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")  # a class may be large: combined before the shuffle
     lowest = rows.groupBy("root").agg(F.min(rank).alias("low"))
     return rows.join(lowest, "root").select(
-        "row", "doc_id", "n_shingles", F.col("low.doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "row", "doc_id", "n_shingles", F.col("low.doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"),
         (F.col("row") == F.col("low.row")).alias("kept"),
     )
