@@ -57,6 +57,22 @@ class Scratch:
         fs.delete(path(self.root), True)
 
 
+class Lease:
+    """The scratch folders that are opened while it is entered, to be deleted together."""
+
+    def __enter__(self) -> "Lease":
+        self._before, self._mine = set(_open), set()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._mine = set(_open) - self._before
+
+    def delete(self) -> None:
+        for root in self._mine & set(_open):
+            fs, path = _open.pop(root)
+            fs.delete(path(root), True)
+
+
 def merge_rows(df: DataFrame, table: str, keys: list[str]) -> None:
     """Upsert into a catalog table whose format has MERGE, instead of a whole new version."""
     on = [F.col(f"source.{k}").eqNullSafe(F.col(f"target.{k}")) for k in keys]

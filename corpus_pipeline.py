@@ -2,19 +2,43 @@
 
 A stage takes the table of documents that the one before wrote. Where an operator's decisions
 are joined back, the rows are numbered and written once, and both the operator and the join read
-that table, so rows with equal or null doc_ids stay apart however the reads are split.
+that table, so rows with equal or null doc_ids stay apart however the reads are split. A stage
+frees the scratch tables of the one before, whose result is the table it takes.
 """
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changesync.llm import best_fit, grace_dedup, jaccard_join, mixing, tokens, toxicity
 from changesync.session import configure
-from changesync.storage import Scratch
+from changesync.storage import Lease, Scratch
 
 ROW = "__row"
 NEAR = jaccard_join.Join(width=5, percent=80)
 
 
+# By data folder, the scratch tables of the stage that ran last.
+_left: dict[str, Lease] = {}
+
+
+def _freeing(stage):
+    """The stage takes what the one before has written, so that one's scratch tables can go."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if sf_dir in _left:
+            _left.pop(sf_dir).delete()
+        with Lease() as mine:
+            out = stage(spark, docs, sf_dir)
+        if stage is not pack_sequences.__wrapped__:  # its result is handed out unwritten
+            _left[sf_dir] = mine
+        return out
+
+    return run
+
+
+@_freeing
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled texts of `docs`; a document at or above the threshold goes."""
     how = toxicity.Settings()
@@ -28,6 +52,7 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return Scratch(configure(spark)).keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+@_freeing
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the row with the smallest doc_id stays."""
     rows = _numbered(spark, docs)
@@ -35,20 +60,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(decided.filter("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
+@_freeing
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts linked by five-word shingles at a Jaccard similarity of 0.8 or more, the
     row with the smallest doc_id stays; texts without words are alike in having none, and each stays."""
     rows = _numbered(spark, docs)
-    decided = jaccard_join.classes(rows, NEAR, row=ROW)
+    decided = jaccard_join.classes(rows, NEAR, row=ROW, count_links=False)
     return rows.join(decided.filter("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
+@_freeing
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: each document as often as its leaf's budget takes it."""
     configure(spark)
     return mixing.mixed(docs)
 
 
+@_freeing
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of the mixture with its place in a training sequence."""
     configure(spark)
