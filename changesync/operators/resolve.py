@@ -1,23 +1,26 @@
 """Outcome of every routed event: echo, last-writer-wins, failure, delete or upsert.
 
-Each link is a small state machine over its events in arrival order. Two exact ways:
+Each link is a small state machine over its events in arrival order. Two exact ways, both in JVM
+expressions:
 
 * prefix scan — the state a row sees is a running maximum of change times plus a running
   "has a link", both associative, so links of any size split into bounded chunks;
 * fold — only for links where a content echo is possible at all (events from both systems,
-  or from the system written last). Sorted rows stream through Arrow batches with the
-  state carried along; a link longer than a chunk is folded chunk by chunk in parallel
-  from predicted states, and chunks whose prediction was wrong run again.
+  or from the system written last). A chunk of at most `fold_rows` rows is folded as one array.
+
+A link longer than a chunk is folded as a scan of state functions. What a chunk does to the state
+that enters it depends on that state only by whether the first row that can act takes it for an
+echo; the state met must then have been written in one of the link's field sets and hash to what
+the row holds there. So a chunk is a function of one class of states per field set and one for
+all others. The functions of a link are applied one after the other, which gives the state that enters every
+chunk, and then all chunks are folded at once: a fixed number of steps, however long the link is
+and whatever it holds. That a late row is discarded is assumed in the functions and checked after:
+chunks entered by another state than was assumed are folded again until none is left.
 """
 
-import hashlib
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from changesync.functions.values import payload_hash
+from changesync.functions.values import payload_hash, project_hash
 from changesync.operators import prefix
 from changesync.operators.targets import BY_KEY
 from changesync.schema import CREATED, DELETED, DISCARDED, ECHO, FAILED, UPDATED
@@ -25,12 +28,13 @@ from changesync.storage import Scratch
 
 ORDER = ["arrival_seq", "map_name"]
 CHUNK = ["link_key", "bucket"]
+PIECE = [*CHUNK, "piece"]
 UPSERTED = "Upserted"
 
-# Rows of one link folded by one task; longer links are cut.
-FOLD_ROWS = 500_000
+# Rows of one link folded as one array.
+FOLD_ROWS = 4_096
 
-FOLD_STATE = "STRUCT<has_link: BOOLEAN, written_to: STRING, fields: ARRAY<STRING>, hash: STRING, at: BIGINT>"
+STATE = "STRUCT<has: BOOLEAN, w: STRING, fields: ARRAY<STRING>, hash: STRING, at: BIGINT, row: BIGINT>"
 
 
 def micros(ts) -> Column:
@@ -42,33 +46,43 @@ def lww_discards(occurred_at, last_writer_at) -> Column:
     return F.coalesce(F.col(occurred_at) < F.col(last_writer_at), F.lit(False))
 
 
-def _flags(rows: DataFrame) -> DataFrame:
-    """What a row can do, apart from the state it meets."""
+def _facts(rows: DataFrame, content_echo: bool) -> DataFrame:
+    """What decides about a row, apart from the state it meets."""
     sound = ~F.col("identity_echo") & F.col("system_error").isNull() & F.col("map_error").isNull()
-    return rows.withColumns({
-        "_sound": sound,
-        "_links": sound & F.col("key_error").isNull() & (F.col("operation") != "Delete"),
-        "_link0": F.col("link").isNotNull(),
-        "_state0": F.col("link.state"),
-        "_at": micros("occurred_at"),
-    })
+    gone = F.col("operation") == "Delete"
+    state = F.col("link.state")
+    body = []
+    if content_echo:
+        body = [
+            F.when(~F.col("identity_echo"), F.map_entries("data")).alias("data"),
+            F.when(gone, F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array_sort(F.map_keys("mapped"))).alias("fields"),
+            F.when(gone, F.lit("")).otherwise(payload_hash("mapped")).alias("hash"),
+            F.when(F.col("link").isNotNull(), F.struct(
+                F.lit(True).alias("has"), F.lower(state["written_to_system"]).alias("w"), state["written_fields"].alias("fields"),
+                state["written_payload_hash"].alias("hash"), micros(state["last_writer_at"]).alias("at"), F.lit(None).cast("bigint").alias("row"),
+            ).cast(STATE)).alias("start"),
+        ]
+    return rows.select(
+        "_row", *CHUNK, *ORDER, F.lower("source_system").alias("source"), F.lower("target_system").alias("target"), F.col("identity_echo").alias("ours"),
+        sound.alias("sound"), gone.alias("gone"), F.coalesce("system_error", "map_error").alias("broken"), "key_error",
+        (sound & F.col("key_error").isNull() & ~gone).alias("links"), F.col("link").isNotNull().alias("link0"),
+        F.lower(state["written_to_system"]).alias("w0"), micros(state["last_writer_at"]).alias("at0"), micros("occurred_at").alias("at"), *body,
+    )
 
 
-def _chunk_summaries(rows: DataFrame, fold_rows: int) -> DataFrame:
+def _chunk_summaries(rows: DataFrame) -> DataFrame:
     """Per (link, bucket): the state carried in, and whether the link needs the fold."""
-    other = ~F.col("identity_echo")
-    source = F.when(other, F.lower("source_system"))
+    source = F.when(~F.col("ours"), F.col("source"))
     summary = rows.groupBy(*CHUNK).agg(
-        F.max(F.col("_links").cast("int")).alias("any_link"),
-        F.max(F.when(F.col("_sound"), F.col("_at"))).alias("max_linked"),
-        F.max(F.when(F.col("_links") | (F.col("_sound") & F.col("_h")), F.col("_at"))).alias("max_unlinked"),
-        F.max(F.col("_link0").cast("int")).alias("link0"),
-        F.max(micros("_state0.last_writer_at")).alias("at0"),
+        F.max(F.col("links").cast("int")).alias("any_link"),
+        F.max(F.when(F.col("sound"), F.col("at"))).alias("max_linked"),
+        F.max(F.when(F.col("links") | (F.col("sound") & F.col("_h")), F.col("at"))).alias("max_unlinked"),
+        F.max(F.col("link0").cast("int")).alias("link0"),
+        F.max("at0").alias("at0"),
         F.min(source).alias("min_source"),
         F.max(source).alias("max_source"),
-        F.max((source == F.lower("_state0.written_to_system")).cast("int")).alias("from_written"),
-        F.max((source == F.lower("target_system")).cast("int")).alias("inside"),
-        F.count("*").alias("n"),
+        F.max((source == F.col("w0")).cast("int")).alias("from_written"),
+        F.max((source == F.col("target")).cast("int")).alias("inside"),
     )
     link = Window.partitionBy("link_key")
     along = link.orderBy("bucket").rowsBetween(*prefix.BEFORE)
@@ -77,242 +91,190 @@ def _chunk_summaries(rows: DataFrame, fold_rows: int) -> DataFrame:
         "at0": F.max("at0").over(link),
         "contested": (F.min("min_source").over(link) != F.max("max_source").over(link))
         | (F.max("from_written").over(link) == 1) | (F.max("inside").over(link) == 1),
-        "fold_chunk": F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / fold_rows).cast("bigint"),
     })
     reached = F.when(F.col("carry_link"), F.col("max_linked")).otherwise(F.col("max_unlinked"))
     carried = carried.withColumn("_reached", reached)
     return carried.select(
-        *CHUNK, "carry_link", F.coalesce("contested", F.lit(False)).alias("contested"), "fold_chunk",
+        *CHUNK, "carry_link", F.coalesce("contested", F.lit(False)).alias("contested"),
         F.greatest("at0", F.max("_reached").over(along)).alias("carry_at"),
     )
 
 
-def settle(
-    rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = True, scratch: Scratch | None = None
-) -> DataFrame:
-    """Add `verdict` (an outcome, or `Upserted`), `has_link` (before the row) and `error`.
+def verdicts(rows: DataFrame, scratch: Scratch, fold_rows: int = FOLD_ROWS, content_echo: bool = True) -> DataFrame:
+    """(_row, verdict, has_link, error) of every row: the verdict is an outcome or `Upserted`, has_link says
+    whether the row found a link, error why it failed.
 
-    Needs: link_key, bucket, arrival_seq, map_name, source/target_system, operation,
+    Needs: _row (distinct), link_key, bucket, arrival_seq, map_name, source/target_system, operation,
     occurred_at, data, mapped, identity_echo, system_error, map_error, key_error, link.
     """
-    keep = rows.columns
-    scratch = scratch or Scratch(rows.sparkSession)
-    inside = Window.partitionBy(*CHUNK).orderBy(*ORDER).rowsBetween(*prefix.BEFORE)
-    flagged = _flags(rows).withColumn("_h", F.coalesce(F.max("_links").over(inside), F.lit(False)))
+    arrival = Window.partitionBy(*CHUNK).orderBy(*ORDER)
+    inside = arrival.rowsBetween(*prefix.BEFORE)
+    flagged = _facts(rows, content_echo).withColumn("_h", F.coalesce(F.max("links").over(inside), F.lit(False)))
     # What was reached inside the chunk, if the link existed at its start and if it did not.
-    # Written once: the summary reads a few columns of it, and the rows need no second shuffle.
     chunked = scratch.keep(flagged.withColumns({
-        "_linked_at": F.max(F.when(F.col("_sound"), F.col("_at"))).over(inside),
-        "_unlinked_at": F.max(F.when(F.col("_links") | (F.col("_sound") & F.col("_h")), F.col("_at"))).over(inside),
+        "_linked_at": F.max(F.when(F.col("sound"), F.col("at"))).over(inside),
+        "_unlinked_at": F.max(F.when(F.col("links") | (F.col("sound") & F.col("_h")), F.col("at"))).over(inside),
+        "piece": F.floor((F.row_number().over(arrival) - 1) / fold_rows).cast("bigint"),
     }), "chunked")
-    summaries = scratch.keep(_chunk_summaries(chunked, fold_rows), "summaries")
+    summaries = scratch.keep(_chunk_summaries(chunked), "summaries")
     reached = F.when(F.col("carry_link"), F.col("_linked_at")).otherwise(F.col("_unlinked_at"))
     scanned = chunked.join(summaries, CHUNK, "inner").withColumns({
-        "has_link": F.col("carry_link") | F.col("_h"),
-        "_seen_at": F.greatest("carry_at", reached),
+        "has_link": F.col("carry_link") | F.col("_h"), "seen_at": F.greatest("carry_at", reached),
     })
-    quick = _verdict(scanned if not content_echo else scanned.filter(~F.col("contested")), F.col("_seen_at"), F.lit(False))
-    out = quick.select(*keep, "verdict", "has_link")
-    if content_echo:
-        split = bool(summaries.filter("contested AND fold_chunk > 0").limit(1).count())
-        folded = _fold(scanned.filter("contested"), keep, scratch if split else None)
-        out = out.unionByName(folded)
-    return out.withColumn("error", F.when(F.col("verdict") == FAILED, _reason()))
-
+    result = ["_row", "verdict", "has_link", "broken", "key_error"]
+    quick = scanned if not content_echo else scanned.filter(~F.col("contested"))
+    out = quick.withColumn("verdict", _verdict(quick, F.lit(False), F.col("seen_at"), F.col("has_link"))).select(*result)
+    if content_echo and summaries.filter("contested").limit(1).count():
+        out = out.unionByName(_fold(scanned.filter("contested"), scratch).select(*result))
+    reason = F.coalesce("broken", F.when(~F.col("has_link"), F.col("key_error")))
+    return out.select("_row", "verdict", "has_link", F.when(F.col("verdict") == FAILED, reason).alias("error"))
 
-def _reason() -> Column:
-    return F.coalesce("system_error", "map_error", F.when(~F.col("has_link"), F.col("key_error")))
 
-
-def _verdict(rows: DataFrame, seen_at: Column, echo: Column) -> DataFrame:
-    failed = F.col("system_error").isNotNull() | F.col("map_error").isNotNull() | (
-        ~F.col("has_link") & F.col("key_error").isNotNull()
-    )
-    return rows.withColumn(
-        "verdict",
-        F.when(F.col("identity_echo") | echo, F.lit(ECHO))
-        .when(F.coalesce(F.col("_at") < seen_at, F.lit(False)), F.lit(DISCARDED))
-        .when(failed, F.lit(FAILED))
-        .when(F.col("operation") == "Delete", F.lit(DELETED))
-        .otherwise(F.lit(UPSERTED)),
+def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """`rows` with `verdict`, `has_link` and `error` (see `verdicts`), which need no `_row` here."""
+    scratch = scratch or Scratch(rows.sparkSession)
+    numbered = scratch.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return numbered.join(verdicts(numbered, scratch, fold_rows, content_echo), "_row").drop("_row")
+
+
+def _verdict(item, echo: Column, state_at: Column, has_link: Column) -> Column:
+    """`item` gives the facts of a row by name: a table, or an element of an array."""
+    return (
+        F.when(item["ours"] | echo, F.lit(ECHO))
+        .when(F.coalesce(item["at"] < state_at, F.lit(False)), F.lit(DISCARDED))
+        .when(~item["sound"] | (~has_link & item["key_error"].isNotNull()), F.lit(FAILED))
+        .when(item["gone"], F.lit(DELETED))
+        .otherwise(F.lit(UPSERTED))
     )
 
 
 # --- fold -----------------------------------------------------------------------------
 
 
-def _initial_state() -> Column:
-    s = F.col("_state0")
+def _with(value: Column, use) -> Column:
+    """`use` of a value that is computed once: lambdas share nothing else."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _state(has, w, fields, hash_, at, row) -> Column:
     return F.struct(
-        F.col("_link0").alias("has_link"), s["written_to_system"].alias("written_to"),
-        s["written_fields"].alias("fields"), s["written_payload_hash"].alias("hash"),
-        micros(s["last_writer_at"]).alias("at"),
-    ).cast(FOLD_STATE)
-
-
-def _fold(rows: DataFrame, keep: list[str], scratch: Scratch | None) -> DataFrame:
-    """Verdicts by folding; `scratch` is given when some link is longer than a chunk."""
-    keyed = rows.withColumns({
-        "_key_error": F.col("key_error").isNotNull(),
-        "_fields": F.when(F.col("operation") == "Delete", F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array_sort(F.map_keys("mapped"))),
-        "_hash": F.when(F.col("operation") == "Delete", F.lit("")).otherwise(payload_hash("mapped")),
-        "_in": _initial_state(),
-        "_has_link_scan": F.col("has_link"),
-    })
-    if scratch is not None:
-        keyed = _with_chunk_states(keyed, scratch)
-    ordered = keyed.repartition("link_key", "fold_chunk").sortWithinPartitions("link_key", "fold_chunk", *ORDER)
-    work = [c for c in _FOLD_INPUT if c not in keep]
-    ordered = ordered.select(*keep, *work)
-    schema = ordered.select(*keep).schema.add("verdict", "string").add("has_link", "boolean")
-    return ordered.mapInArrow(_row_verdicts(keep), schema)
-
-
-def _with_chunk_states(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Replace `_in` of later chunks by the state the chunk before leaves.
-
-    First prediction: the last winner of the prefix scan, right unless a content echo was in
-    play. Then fold all such chunks, hand each one's final state to the next, and fold again
-    only where that differs from what was assumed, until nothing differs. A chunk is exact
-    once the one before it is, so this ends after at most as many rounds as chunks; in
-    practice a state is overwritten within a chunk and one or two rounds do.
-    """
-    key = ["link_key", "fold_chunk"]
-    long_links = keyed.filter("fold_chunk > 0").select("link_key").distinct()
-    narrow = scratch.keep(keyed.select(*_FOLD_INPUT).join(long_links, "link_key", "left_semi"), "long")
-    along = Window.partitionBy("link_key").orderBy("fold_chunk")
-
-    after = F.struct(
-        F.lit(True).alias("has_link"), F.col("target_system").alias("written_to"), F.col("_fields").alias("fields"),
-        F.col("_hash").alias("hash"), F.col("_at").alias("at"),
-    ).cast(FOLD_STATE)
-    winner = F.struct(F.col("_at"), *ORDER, after.alias("state"))
-    wins = F.col("_sound") & (F.col("_has_link_scan") | F.col("_links"))
-    per_chunk = narrow.groupBy(*key).agg(
-        F.max_by(winner, F.when(wins, F.struct("_at", *ORDER))).alias("w"), F.first("_in").alias("initial")
+        has.alias("has"), w.alias("w"), fields.alias("fields"), hash_.alias("hash"), at.cast("bigint").alias("at"), row.cast("bigint").alias("row"),
+    ).cast(STATE)
+
+
+def _met(state: Column, item: Column) -> Column:
+    """The verdict on a row that meets a state."""
+    same = project_hash(F.map_from_entries(item["data"]), state["fields"]) == state["hash"]
+    echo = F.when((state["hash"] != "") & (state["w"] == item["source"]), same)
+    return _verdict(item, F.coalesce(echo, F.lit(False)), state["at"], state["has"])
+
+
+def _after(state: Column, item: Column, verdict: Column) -> Column:
+    wrote = (verdict == UPSERTED) | ((verdict == DELETED) & state["has"])
+    return F.when(wrote, _state(F.lit(True), item["target"], item["fields"], item["hash"], item["at"], item["_row"])).otherwise(state)
+
+
+def _final(items: str, start: Column) -> Column:
+    """The state that `items` leave."""
+    return F.aggregate(items, start, lambda s, i: _with(_met(s, i), lambda v: _after(s, i, v)))
+
+
+def _walk(items: str, start: Column) -> Column:
+    """Every item's row and verdict, and whether it found a link."""
+    done = F.expr("CAST(array() AS ARRAY<STRUCT<_row: BIGINT, verdict: STRING, has_link: BOOLEAN, broken: STRING, key_error: STRING>>)")
+
+    def step(a, i):
+        return _with(_met(a["s"], i), lambda v: F.struct(
+            _after(a["s"], i, v).alias("s"),
+            F.concat(a["done"], F.array(F.struct(
+                i["_row"].alias("_row"), v.alias("verdict"), a["s"]["has"].alias("has_link"), i["broken"].alias("broken"), i["key_error"].alias("key_error"),
+            ))).alias("done"),
+        ))
+
+    return F.aggregate(items, F.struct(start.alias("s"), done.alias("done")), step, lambda a: a["done"])
+
+
+_ITEM = [*ORDER, "_row", "source", "target", "ours", "sound", "gone", "broken", "key_error", "links", "at", "seen_at", "has_link", "data", "fields", "hash"]
+
+
+def _fold(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_row, verdict, has_link, broken, key_error) of the rows of contested links."""
+    none = F.expr(f"CAST(NULL AS {STATE})")
+    pieces = scratch.keep(rows.groupBy(*PIECE).agg(
+        F.array_sort(F.collect_list(F.struct(*_ITEM))).alias("items"), F.first("start", ignorenulls=True).alias("start"),
+    ), "pieces")
+    per_link = Window.partitionBy("link_key")
+    starts = pieces.groupBy("link_key").agg(F.first("start", ignorenulls=True).alias("start"), F.count("*").alias("parts"))
+    fresh = _state(F.lit(False), none["w"], none["fields"], none["hash"], none["at"], none["row"])
+    starts = scratch.keep(starts.select("link_key", F.coalesce("start", fresh).alias("start"), "parts"), "starts")
+    whole = pieces.drop("start").join(starts, "link_key")
+    folded = whole.filter("parts = 1").select(F.explode(_walk("items", F.col("start"))).alias("r")).select("r.*")
+    if not starts.filter("parts > 1").limit(1).count():
+        return folded
+    long = whole.filter("parts > 1")
+    entered = _entered(long.select(*PIECE, "items", "start"), scratch)
+    split = long.select(*PIECE, "items").join(entered, PIECE).select(F.explode(_walk("items", F.col("entering"))).alias("r"))
+    return folded.unionByName(split.select("r.*"))
+
+
+def _functions(long: DataFrame) -> DataFrame:
+    """Per piece its function: what it makes of a state that its head, the first row that can act,
+    takes for an echo, one entry per field set the link was written in, and of any other (an entry
+    without hash). An entry whose `out` has no row passes the state on."""
+    writes = long.select("link_key", F.explode("items").alias("i")).filter("i.sound AND NOT i.gone")
+    sets = writes.select("link_key", F.struct(F.col("i.target").alias("w"), F.col("i.fields").alias("fields")).alias("s"))
+    known = long.select("link_key", F.struct("start.w", "start.fields").alias("s")).filter("s.fields IS NOT NULL")
+    shapes = sets.unionByName(known).groupBy("link_key").agg(F.collect_set("s").alias("shapes"))
+    can_act = F.filter(
+        "items", lambda i: i["sound"] & (i["has_link"] | i["links"]) & F.coalesce(i["at"] >= F.get("items", F.lit(0))["seen_at"], F.lit(True))
     )
-    best = F.max_by("w", F.struct("w._at", "w.arrival_seq", "w.map_name")).over(along.rowsBetween(*prefix.BEFORE))
-    guessed = per_chunk.withColumn("best", best).select(
-        *key,
-        F.when(F.col("best").isNotNull() & F.coalesce(F.col("best._at") >= F.col("initial.at"), F.lit(True)), F.col("best.state"))
-        .otherwise(F.col("initial")).alias("assumed"),
-        "initial",
-    )
-    guessed = guessed.withColumn("final", F.lit(None).cast(FOLD_STATE)).withColumn("stale", F.lit(True))
-    states = scratch.keep(guessed, "states")
+    ready = long.join(shapes, "link_key", "left").withColumns({"head": F.get(can_act, F.lit(0)), "seen": F.get("items", F.lit(0))["seen_at"]})
+    none = F.expr(f"CAST(NULL AS {STATE})")
+    other = _state(F.get("items", F.lit(0))["has_link"], none["w"], none["fields"], none["hash"], F.col("seen"), none["row"])
+    mine = F.filter(F.coalesce("shapes", F.expr("array()")), lambda s: s["w"] == F.col("head.source"))
+    echoed = F.transform(mine, lambda s: _state(
+        F.lit(True), s["w"], s["fields"], project_hash(F.map_from_entries(F.col("head.data")), s["fields"]), F.col("seen"), none["row"],
+    ))
+    classes = ready.select(*PIECE, "items", F.concat(F.array(other), F.coalesce(echoed, F.expr(f"CAST(array() AS ARRAY<{STATE}>)"))).alias("classes"))
+    return classes.select(*PIECE, F.transform("classes", lambda c: F.struct(
+        c["w"].alias("w"), c["fields"].alias("fields"), c["hash"].alias("hash"), _final("items", c).alias("out"),
+    )).alias("does"))
+
+
+def _entered(long: DataFrame, scratch: Scratch) -> DataFrame:
+    """(link_key, bucket, piece, entering): the state that enters each piece of the long links."""
+    kind = f"ARRAY<STRUCT<bucket: BIGINT, piece: BIGINT, entering: {STATE}>>"
+    does = scratch.keep(_functions(long), "functions")
+    start = long.groupBy("link_key").agg(F.first("start").alias("start"))
+    lined = does.groupBy("link_key").agg(F.array_sort(F.collect_list(F.struct("bucket", "piece", "does"))).alias("line")).join(start, "link_key")
+
+    def apply(a, p):
+        s = a["s"]
+        known = F.filter(p["does"], lambda d: (d["hash"] == s["hash"]) & (d["w"] == s["w"]) & (d["fields"] == s["fields"]))
+        out = F.coalesce(F.get(known, F.lit(0)), F.get(p["does"], F.lit(0)))["out"]
+        return _with(out, lambda o: F.struct(
+            F.when(o["row"].isNull(), s).otherwise(o).alias("s"),
+            F.concat(a["in"], F.array(F.struct(p["bucket"].alias("bucket"), p["piece"].alias("piece"), s.alias("entering")))).alias("in"),
+        ))
+
+    walked = F.aggregate("line", F.struct(F.col("start").alias("s"), F.expr(f"CAST(array() AS {kind})").alias("in")), apply, lambda a: a["in"])
+    states = lined.select("link_key", F.explode(walked).alias("p")).select("link_key", "p.*").withColumns({
+        "left": F.lit(None).cast(STATE), "stale": F.lit(True),
+    })
+    states = scratch.keep(states, "entering")
+    along = Window.partitionBy("link_key").orderBy("bucket", "piece")
+    pieces = long.select(*PIECE, "items", "start")
     while True:
-        todo = states.filter("stale").select(*key, "assumed")
-        work = narrow.drop("_in").join(todo.withColumnRenamed("assumed", "_in"), key, "inner")
-        work = work.repartition(*key).sortWithinPartitions(*key, *ORDER).select(*_FOLD_INPUT)
-        finals = work.mapInArrow(_chunk_finals, f"link_key STRING, fold_chunk BIGINT, new_final {FOLD_STATE}")
-        merged = states.join(finals, key, "left").withColumn("final", F.coalesce("new_final", "final"))
-        nxt = F.coalesce(F.lag("final").over(along), F.col("initial"))
-        merged = merged.withColumn("next", nxt).select(
-            *key, F.col("next").alias("assumed"), "initial", "final",
-            (~F.col("next").eqNullSafe(F.col("assumed"))).alias("stale"),
+        todo = states.filter("stale").select(*PIECE, "entering")
+        done = pieces.drop("start").join(todo, PIECE).select(*PIECE, _final("items", F.col("entering")).alias("made"))
+        merged = states.join(done, PIECE, "left").join(start, "link_key").withColumn("left", F.coalesce("made", "left"))
+        true = F.coalesce(F.lag("left").over(along), F.col("start"))
+        merged = merged.withColumn("true", true).select(
+            *PIECE, F.col("true").alias("entering"), "left", (~F.col("true").eqNullSafe(F.col("entering"))).alias("stale"),
         )
-        states = scratch.keep(merged, "states")
+        states = scratch.keep(merged, "entering")
         if not states.filter("stale").limit(1).count():
-            break
-    exact = states.select(*key, F.col("assumed").alias("_exact"))
-    return keyed.join(exact, key, "left").withColumn("_in", F.coalesce("_exact", "_in")).drop("_exact")
-
-
-_FOLD_READ = [
-    "link_key", "fold_chunk", "identity_echo", "_sound", "_links", "_key_error", "source_system", "target_system",
-    "operation", "_at", "_hash",
-]
-_FOLD_INPUT = [*_FOLD_READ, "arrival_seq", "map_name", "_fields", "data", "_in", "_has_link_scan"]
-
-
-def _json_str(text: str) -> str:
-    return json.dumps(text, ensure_ascii=False)
-
-
-def _projected_hash(data: list[tuple[str, str]] | None, fields: list[str]) -> str:
-    body = dict(data or [])
-    text = "{" + ",".join(f"{_json_str(k)}:{body.get(k, 'null')}" for k in sorted(fields)) + "}"
-    return hashlib.sha256(text.encode()).hexdigest().upper()
-
-
-def _replay(batches: Iterator[pa.RecordBatch]):
-    """Walk sorted rows, yielding per batch the rows' (key, verdict, has_link before and after,
-    state after). A state is (written_to, fields, hash, at), its fields read when needed."""
-    key, has_link, state = None, False, None
-    for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in _FOLD_READ]
-        data, fields, initial = batch.column("data"), batch.column("_fields"), batch.column("_in")
-        out = []
-        for i, (link, chunk, ours, sound, _, key_error, source, target, op, at, digest) in enumerate(zip(*cols)):
-            if key is None or link != key[0] or chunk != key[1]:
-                key, start = (link, chunk), initial[i].as_py()
-                has_link = start["has_link"]
-                state = (start["written_to"], start["fields"], start["hash"], start["at"]) if start["at"] is not None else None
-            before = has_link
-            if ours or (
-                state is not None and state[2] and state[0].lower() == source.lower()
-                and _projected_hash(data[i].as_py(), _plain(state[1])) == state[2]
-            ):
-                verdict = ECHO
-            elif state is not None and at < state[3]:
-                verdict = DISCARDED
-            elif not sound or (not has_link and key_error):
-                verdict = FAILED
-            elif op == "Delete":
-                verdict = DELETED
-                if has_link:
-                    state = (target, fields[i], digest, at)
-            else:
-                verdict = UPSERTED
-                has_link, state = True, (target, fields[i], digest, at)
-            out.append((key, verdict, before, has_link, state))
-        yield batch, out
-
-
-def _plain(value):
-    return value.as_py() if isinstance(value, pa.Scalar) else value
-
-
-def _row_verdicts(keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in _replay(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep]
-                + [pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.bool_())],
-                names=[*keep, "verdict", "has_link"],
-            )
-
-    return run
-
-
-def _chunk_finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([
-        ("has_link", pa.bool_()), ("written_to", pa.string()), ("fields", pa.list_(pa.string())),
-        ("hash", pa.string()), ("at", pa.int64()),
-    ])
-
-    def final(has_link, state):
-        written_to, fields, digest, at = state or (None, None, None, None)
-        return {"has_link": has_link, "written_to": written_to, "fields": _plain(fields), "hash": digest, "at": at}
-
-    def emit(items):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _, _ in items], pa.string()), pa.array([k[1] for k, _, _ in items], pa.int64()),
-             pa.array([final(h, s) for _, h, s in items], kind)],
-            names=["link_key", "fold_chunk", "new_final"],
-        )
-
-    last = None
-    for _, out in _replay(batches):
-        done = []
-        for key, _, _, has_link, state in out:
-            if last is not None and last[0] != key:
-                done.append(last)
-            last = (key, has_link, state)
-        if done:
-            yield emit(done)
-    if last is not None:
-        yield emit([last])
+            return states.select(*PIECE, "entering")
 
 
 # --- created or updated ---------------------------------------------------------------

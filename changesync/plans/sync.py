@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from changesync.functions.keys import idempotency_key
 from changesync.functions.transforms import Transforms
 from changesync.functions.values import payload_hash
-from changesync.operators import echo, mapping, prefix, resolve, route, targets, xref as links
+from changesync.operators import echo, mapping, ownership, prefix, resolve, route, targets, xref as links
 from changesync.schema import CREATED, DELETED, EVENT_COLUMNS, FAILED, UPDATED
 from changesync.storage import Scratch
 
@@ -69,66 +69,35 @@ def route_and_map(
     return mapped.withColumn("system_error", unknown).drop("companies", "fields")
 
 
-def _side(system: str, record_id: str):
-    return F.lower(F.concat_ws("|", F.col("pair_key"), F.col(system), F.col(record_id)))
+# What decides about a row, apart from the wide rest of it.
+FACTS = [
+    "_row", *resolve.ORDER, "pair_key", "source_system", "source_record_id", "target_system", "target_entity", "operation", "occurred_at", "data", "mapped",
+    "identity_echo", "system_error", "map_error", "key_error", "upsert_mode", "link", "link_target_id", "resolved_id", "target_exists",
+]
+DECIDED = ["_row", "link_key", "counterpart", "link", "target_exists", "verdict", "has_link", "error", "outcome"]
 
 
-def with_link_key(rows: DataFrame) -> DataFrame:
-    """Add `link_key` and `counterpart`: the link whose state a row meets, and the record it writes.
+def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(one row per event and admitted map, up to the record it resolves to; the target index).
+    The rows are wide and written once, with a number; all that follows works on a few columns."""
+    active = route.active_maps(maps)
+    compiled = mapping.CompiledMaps.load(active, config.transforms)
+    mapped = route_and_map(events, maps, xref, users, config, compiled)
+    keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
+    index = targets.target_index(target, active, config.systems)
+    resolved = targets.resolve_targets(keyed, index).withColumn("_row", F.monotonically_increasing_id())
+    return scratch.keep(resolved, "resolved"), index
 
-    A stored link names itself. A record without one is linked by its first sound write (its
-    claim) to the target record that resolves to; several records may claim the same target,
-    and each keeps the state of its own link. The claimed side belongs to the link that was
-    saved last before the row. Where two sides claim each other they share one link.
-    Needs `bucket`.
-    """
-    stored = F.lower(F.concat_ws("|", "pair_key", "link.system_a", "link.record_id_a"))
-    rows = rows.withColumn("_side", _side("source_system", "source_record_id"))
-    rows = rows.withColumn("_other", F.when(F.col("resolved_id").isNotNull(), _side("target_system", "resolved_id")))
-    sound = rows.filter(
-        F.col("link").isNull() & F.col("_other").isNotNull() & ~F.col("identity_echo") & F.col("system_error").isNull()
-        & F.col("map_error").isNull() & F.col("key_error").isNull() & (F.col("operation") != "Delete")
-    )
-    links_of = _claims(sound)
-    # A claim touches the other side with each of its rows; the last touch before a row counts.
-    touches = sound.select("_side", "_other", "source_record_id", *resolve.ORDER, "bucket").join(links_of.select("_side", "_claimed", "_key"), "_side")
-    touch = F.struct(*resolve.ORDER, "_key", F.col("source_record_id").alias("id"))
-    touches = touches.filter("_other = _claimed").select(F.col("_other").alias("_side"), *resolve.ORDER, "bucket", touch.alias("_touch"))
-    touched = touches.select("_side").distinct()
-    free = rows.filter(F.col("link").isNull())
-    asked = free.join(touched, "_side", "left_semi").select("_side", *resolve.ORDER, "bucket", F.lit(None).cast(touches.schema["_touch"].dataType).alias("_touch"))
-    seen = prefix.running_before(asked.unionByName(touches), ["_side"], resolve.ORDER, {"_last": ("max", F.col("_touch"))})
-    seen = seen.filter(F.col("_touch").isNull() & F.col("_last").isNotNull()).select("_side", *resolve.ORDER, "_last")
-    free = free.join(links_of.drop("_claimed"), "_side", "left").join(seen, ["_side", *resolve.ORDER], "left")
-    free = free.withColumns({
-        "link_key": F.coalesce("_last._key", "_key", "_side"), "counterpart": F.coalesce("_last.id", "_id", "resolved_id"),
-    })
-    bound = rows.filter(F.col("link").isNotNull()).withColumn("link_key", stored).withColumn("counterpart", F.col("link_target_id"))
-    columns = [c for c in rows.columns if c not in ("_side", "_other")] + ["link_key", "counterpart"]
-    return bound.select(*columns).unionByName(free.select(*columns))
-
-
-def _claims(sound: DataFrame) -> DataFrame:
-    """(_side, _claimed, _id, _key): the first claim of each side, and the name of its link, the
-    side that claimed first. A side that another one had claimed before has a link already and
-    claims nothing, unless the two claim each other."""
-    order = F.struct(*resolve.ORDER)
-    first = sound.groupBy("_side").agg(F.min_by(F.struct("_other", "resolved_id"), order).alias("c"), F.min(order).alias("at"))
-    first = first.select("_side", F.col("c._other").alias("_claimed"), F.col("c.resolved_id").alias("_id"), "at")
-    back = first.select(F.col("_side").alias("_claimed"), F.col("_claimed").alias("_side"), F.col("at").alias("_back"))
-    by_other = first.groupBy(F.col("_claimed").alias("_side")).agg(F.min("at").alias("_taken"))
-    out = first.join(back, ["_side", "_claimed"], "left").join(by_other, "_side", "left")
-    out = out.filter(F.col("_back").isNotNull() | F.col("_taken").isNull() | (F.col("at") < F.col("_taken")))
-    return out.select("_side", "_claimed", "_id", F.when(F.col("_back") < F.col("at"), F.col("_claimed")).otherwise(F.col("_side")).alias("_key"))
 
+def decide(resolved: DataFrame, index: DataFrame, config: SyncConfig, scratch: Scratch) -> DataFrame:
+    """The DECIDED columns of every resolved row, written."""
+    def verdicts(rows, scratch):
+        return resolve.verdicts(rows, scratch, config.fold_rows, config.content_echo)
 
-def prepare(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch) -> DataFrame:
-    compiled = mapping.CompiledMaps.load(route.active_maps(maps), config.transforms)
-    mapped = route_and_map(events, maps, xref, users, config, compiled)
-    keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
-    index = targets.target_index(target, route.active_maps(maps), config.systems)
-    resolved = scratch.keep(targets.resolve_targets(keyed, index), "resolved")
-    return with_link_key(prefix.with_bucket(resolved, rows=config.bucket_rows))
+    facts = prefix.with_bucket(resolved.select(*FACTS), rows=config.bucket_rows)
+    owned = scratch.keep(ownership.with_links(facts, index, verdicts, scratch), "owned")
+    settled = owned.drop("data", "mapped").join(verdicts(owned, scratch), "_row")
+    return scratch.keep(resolve.outcomes(settled).select(*DECIDED), "decided")
 
 
 def history_rows(rows: DataFrame, processed_at) -> DataFrame:
@@ -194,9 +163,9 @@ def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_
     are the tables laid out in `schema`. Only intermediate tables are written; the result holds what to
     write, and `close` removes them."""
     scratch = Scratch(events.sparkSession)
-    ready = prepare(events, maps, xref, target, users, config, scratch)
-    settled = scratch.keep(resolve.settle(ready, config.fold_rows, config.content_echo, scratch), "settled")
-    rows = resolve.outcomes(settled)
+    resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch)
+    decided = decide(resolved, index, config, scratch)
+    rows = resolved.drop("link", "target_exists").join(decided, "_row").drop("_row")
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
     return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures, scratch)

@@ -37,3 +37,35 @@ def replay(rows: list[dict], links: dict) -> dict:
             })
         out[(r["arrival_seq"], r["map_name"])] = (verdict, exists)
     return out
+
+
+def replay_sides(events: list[dict], links: list[tuple], resolve: dict, pair: str = "") -> list[tuple]:
+    """The store as it lies: every link under both sides, each save overwriting both. `events` in arrival
+    order with system, record, at, ours, data (own names), mapped (the other side's), other; `links`
+    as (side, side, state); `resolve` side → the record its key leads to. Returns (outcome, record written)."""
+    store, out = {}, []
+
+    def save(one, two, state):
+        store[one] = store[two] = (one, two, state)
+
+    for one, two, state in links:
+        save(one, two, state)
+    for e in events:
+        side = (e["system"], e["record"])
+        link = store.get(side)
+        state = link and link[2]
+        far = None
+        if link:
+            far = link[1] if link[0] == side else link[0]
+        echo = e["ours"]
+        if not echo and state and state["hash"] and state["written_to"] == e["system"]:
+            echo = canonical_hash({f: e["data"].get(f, "null") for f in state["fields"]}) == state["hash"]
+        if echo:
+            out.append(("EchoSuppressed", far and far[1]))
+        elif state and e["at"] < state["at"]:
+            out.append(("DiscardedByLastWriterWins", far and far[1]))
+        else:
+            far = far or (e["other"], resolve[side])
+            save(side, far, {"written_to": e["other"], "fields": sorted(e["mapped"]), "hash": canonical_hash(e["mapped"]), "at": e["at"]})
+            out.append(("Updated", far[1]))
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from changesync.operators import prefix, resolve
 from changesync.schema import SYNC_STATE
+from changesync.storage import Scratch
 from replay import canonical_hash, replay
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -114,3 +115,20 @@ def test_running_before_equals_window(spark):
         assert r["m"] == (max(before) if before else None)
         assert r["s"] == sum(before)
         before.append(r["v"])
+
+
+def test_steps_do_not_grow_with_an_echo_only_link(spark):
+    """The state functions of a link's chunks are applied in one step: as many tables for 12 chunks as for 60."""
+    kept = []
+    for n in (60, 300):
+        rows, links = sample(11, n, 1, True, 1.0)
+        links["g0"] = (True, None)
+        for i, r in enumerate(rows):
+            r.update(ours=False, map_error=None, key_error=None, data={"k": "1"}, mapped={"k": "1"}, operation="Update", at=i,
+                     source="b" if i else "a", target="a" if i else "b", map_name="ba" if i else "ab")
+        scratch = Scratch(spark)
+        found = resolve.settle(prefix.with_bucket(frame(spark, rows, links), rows=1000), 5, scratch=scratch)
+        assert found.filter("verdict = 'EchoSuppressed'").count() == n - 1
+        assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+        kept.append(scratch._count)
+    assert kept[0] == kept[1]
