@@ -15,43 +15,67 @@ CSV_COLUMNS = (
 )
 
 
+# Rows come newest first. A whole batch has one processing time and a record may be attempted many
+# times in one transaction, so the stored row number ends the order: no two rows are equal in it.
+# The columns, and what stands for null in them.
+ORDER = {"newest_first": 0, "correlation_id": "", "source_record_id": "", "delivery_count": -1, "row_id": ""}
+
+
+def _newest_first() -> Column:
+    """A number that falls as time goes on."""
+    return F.lit(1 << 62) - F.unix_micros("processed_at")
+
+
 def to_append(history: DataFrame) -> DataFrame:
-    """Rows as stored: long errors cut, and the folder-safe `map_partition` they live under."""
+    """Rows as stored: long errors cut, the folder-safe `map_partition` and the `day` they live under,
+    and what orders them, `newest_first` and a `row_id` of their own."""
     return history.withColumns({
-        "error": truncate("error", MAX_ERROR_LENGTH), "map_partition": sanitize_partition("map_name"),
+        "error": truncate("error", MAX_ERROR_LENGTH), "map_partition": sanitize_partition("map_name"), "day": F.to_date("processed_at"),
+        "newest_first": _newest_first(), "row_id": F.expr("uuid()"),
     })
 
 
 def append(history: DataFrame, path: str) -> None:
-    to_append(history).write.mode("append").partitionBy("map_partition").parquet(path)
+    """Append to the log, by map and day; files hold disjoint stretches of time, so their statistics
+    tell a reader which ones a page needs."""
+    rows = to_append(history).repartitionByRange("map_partition", "newest_first").sortWithinPartitions("map_partition", "newest_first")
+    rows.write.mode("append").partitionBy("map_partition", "day").parquet(path)
 
 
-# A page goes on after the last row of the one before, by these columns: a whole batch has one
-# processing time, so the time alone would lose rows.
-CURSOR = ("processed_at", "correlation_id", "source_record_id", "delivery_count")
+def _place(rows: DataFrame) -> list[Column]:
+    """The order columns, without nulls. Rows that were never stored have no number of their own."""
+    absent = {"newest_first": _newest_first(), "row_id": F.lit("")}
+    return [F.coalesce(F.col(c) if c in rows.columns else absent[c], F.lit(none)) for c, none in ORDER.items()]
 
 
-def _after(cursor: Row) -> Column:
-    """Rows that follow the cursor: older, or as old and later in the order of the other columns."""
+def _after(rows: DataFrame, cursor: Row) -> Column:
+    """Rows that follow the cursor."""
+    given = cursor.asDict()
     out = F.lit(False)
-    for name in reversed(CURSOR[1:]):
-        out = (F.col(name) > F.lit(cursor[name])) | ((F.col(name) == F.lit(cursor[name])) & out)
-    at = F.lit(cursor["processed_at"]).cast("timestamp")
-    return (F.col("processed_at") < at) | ((F.col("processed_at") == at) & out)
+    for column, (name, none) in reversed(list(zip(_place(rows), ORDER.items()))):
+        if name == "newest_first":
+            at = F.lit(1 << 62) - F.unix_micros(F.lit(cursor["processed_at"]).cast("timestamp"))
+            exact = F.col(name) if name in rows.columns else column
+            return (exact >= at) & ((column > at) | ((column == at) & out))
+        at = F.lit(none if given.get(name) is None else given[name])
+        out = (column > at) | ((column == at) & out)
+    return out
 
 
 def page(history: DataFrame, map_name: str, before: Column | Row | None = None, size: int = PAGE_SIZE) -> DataFrame:
     """Newest rows of a map; `maybe_more` when the page is full. `before` is the last row of the
-    page before, or a time that all rows must be older than. Of a stored log only the map's
-    own partitions are read."""
+    page before, or a time that all rows must be older than. Of a stored log only the map's own
+    folders up to the day of `before` are read, and a walk from page to page meets every row once; of
+    rows that were never stored, those equal in all order columns cannot be told apart."""
     rows = history.filter(F.col("map_name") == map_name)
     if "map_partition" in history.columns:
         rows = rows.filter(F.col("map_partition") == sanitize_partition(F.lit(map_name)))
-    if isinstance(before, Row):
-        rows = rows.filter(_after(before))
-    elif before is not None:
-        rows = rows.filter(F.col("processed_at") < before)
-    top = rows.orderBy(F.col("processed_at").desc(), *CURSOR[1:]).limit(size)
+    if before is not None:
+        time = F.lit(before["processed_at"]).cast("timestamp") if isinstance(before, Row) else before
+        if "day" in history.columns:
+            rows = rows.filter(F.col("day") <= F.to_date(time))
+        rows = rows.filter(_after(rows, before) if isinstance(before, Row) else F.col("processed_at") < before)
+    top = rows.orderBy(*_place(rows)).limit(size)
     return top.withColumn("maybe_more", F.count("*").over(Window.partitionBy("map_name")) == size)
 
 

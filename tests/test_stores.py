@@ -206,6 +206,25 @@ def test_history(spark, tmp_path):
     assert back.filter("outcome = 'Failed'").first()["error"].startswith('said "no", twice\nx')
 
 
+def test_a_walk_over_tied_rows_meets_each_once(spark, tmp_path):
+    """One record, one transaction, one processing time, no delivery counts: only the stored row number differs."""
+    rows = [("m/1", T, "Failed", "Update", "erp", "r", "crm", None, None, T, str(i), None, "c") for i in range(120)]
+    older = [("m/1", datetime(2023, 1, 1, tzinfo=timezone.utc), "Created", "Update", "erp", "r", "crm", None, None, T, "old", 1, None)]
+    history.append(spark.createDataFrame(rows + older, HISTORY), f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    seen, cursor, more = [], None, True
+    while more:
+        page = history.page(stored, "m/1", cursor).collect()
+        seen += [r["error"] for r in page]
+        cursor, more = page[-1], page[-1]["maybe_more"]
+    assert sorted(seen) == sorted([str(i) for i in range(120)] + ["old"]) and seen[-1] == "old"
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = history.page(stored, "m/1", cursor)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "day" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "GreaterThanOrEqual(newest_first" in scan
+
+
 def test_maps_round_trip(spark, tmp_path):
     doc = {"name": "m", "sourceSystem": "erp", "sourceEntity": "e", "targetSystem": "crm", "targetEntity": "f", "direction": "oneWay",
            "status": "paused", "companies": ["x"], "integrationKey": ["k"], "version": 8,

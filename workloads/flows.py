@@ -219,6 +219,28 @@ def history_page_tied(spark, sf_dir):
     return log.page(stored, "m/1", last).select("correlation_id", F.unix_micros("processed_at").alias("processed_us"), "maybe_more")
 
 
+@workload("history_walk", f"""{HISTORY} SELECT epoch_us(occurred_at) AS occurred_us, company, target_record_id FROM hist WHERE map_name = 'm/1'""")
+def history_walk(spark, sf_dir):
+    """The stored log walked to its end, over rows that are equal in all that the caller knows them by."""
+    path = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    same = {"processed_at": F.expr(CURSOR), "correlation_id": F.lit("c"), "source_record_id": F.lit("r"), "delivery_count": F.lit(None).cast("int")}
+    log.append(history(spark, sf_dir).withColumns(same), path)
+    stored = spark.read.parquet(path)
+    size = stored.count() // 4 + 1
+    pages, last = [], None
+    while True:
+        found = log.page(stored, "m/1", last, size)
+        pages.append(found)
+        tail = found.orderBy("row_id").tail(1)
+        if not tail or not tail[0]["maybe_more"]:
+            break
+        last = tail[0]
+    out = pages[0]
+    for more in pages[1:]:
+        out = out.unionByName(more)
+    return out.select(F.unix_micros("occurred_at").alias("occurred_us"), "company", "target_record_id")
+
+
 # --- metrics ----------------------------------------------------------------------------
 
 @workload("metrics_rates", f"""{HISTORY} SELECT map_name, count(*) AS attempts, count(*) FILTER (WHERE outcome = 'EchoSuppressed') AS echoes,
