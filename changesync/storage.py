@@ -1,16 +1,18 @@
-"""Keyed tables on plain Parquet: immutable versions, one per batch id, and a pointer.
+"""Keyed tables on plain Parquet: copy-on-write buckets, and a manifest per batch id.
 
-Parquet has no MERGE, so a table is a folder of versions `v=<batch>`; a batch writes its
-whole new version and then moves the pointer. Running a batch id again overwrites the same
-version, which makes a restarted batch exactly-once. A table format with MERGE can take
-the same deltas instead.
+Parquet has no MERGE, so a batch writes the buckets it changes under `v=<batch>` and then puts a
+manifest in place that names the files of every bucket. Running a batch id again overwrites the
+same files and manifest, which makes a restarted batch exactly-once. A table format with MERGE
+can take the same deltas instead.
 """
 
 import atexit
 import contextlib
+import json
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changesync.session import ensure_checkpoint_dir
 
@@ -73,23 +75,22 @@ class Lease:
             fs.delete(path(root), True)
 
 
-def merge_rows(df: DataFrame, table: str, keys: list[str]) -> None:
-    """Upsert into a catalog table whose format has MERGE, instead of a whole new version."""
-    on = [F.col(f"source.{k}").eqNullSafe(F.col(f"target.{k}")) for k in keys]
-    condition = on[0]
-    for c in on[1:]:
-        condition &= c
-    df.alias("source").mergeInto(table, condition).whenMatched().updateAll().whenNotMatched().insertAll().merge()
-
-
 class KeyedTable:
-    """A versioned table under `root`; `schema` is used while nothing was written yet."""
+    """A versioned table under `root`; `schema` is used while nothing was written yet.
+
+    Rows lie in `buckets` by the hash of their `key` (ignoring case; the first column if not
+    given). A version is a manifest that names, for each bucket, the batch that wrote it last, so
+    an update writes the buckets it touches and shares all others with the version before.
+    Versions older than the newest `keep` are removed with what only they refer to.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: Sequence[str] = (), buckets: int = 64, keep: int = 3) -> None:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.columns = spark.createDataFrame([], schema).columns
+        self.key, self.buckets, self.keep = list(key) or self.columns[:1], buckets, keep
 
     def _committed(self) -> list[int]:
-        """Versions that were finished: one empty marker file each, so a commit is one create."""
+        """Versions that were finished: one manifest each, which a rename puts in place whole."""
         fs, path = _files(self.spark, self.root)
         folder = path(f"{self.root}/_commits")
         if not fs.exists(folder):
@@ -97,26 +98,93 @@ class KeyedTable:
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
         return sorted(int(n) for n in names if n.isdigit())
 
+    def _manifest(self, version: int | None) -> dict[int, int]:
+        """bucket → batch that wrote it."""
+        if version is None:
+            return {}
+        fs, path = _files(self.spark, self.root)
+        stream = fs.open(path(f"{self.root}/_commits/{version}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        found = json.loads(text)
+        self.buckets = found["buckets"]  # fixed when the table was first written
+        return {int(b): v for b, v in found["written"].items()}
+
     def version(self) -> int | None:
         return max(self._committed(), default=None)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version is None:
+    def _older(self, batch_id: int) -> int | None:
+        """The version a batch starts from: the newest one older than it, so a repeated batch sees what
+        its first run saw."""
+        return max((v for v in self._committed() if v < batch_id), default=None)
+
+    def _read(self, manifest: dict[int, int]) -> DataFrame:
+        if not manifest:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={version}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/v={v}/bucket={b}" for b, v in sorted(manifest.items())])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._read(self._manifest(self.version() if version is None else version))
 
     def before(self, batch_id: int) -> DataFrame:
-        """The state a batch starts from: the newest version older than it, so a repeated
-        batch sees what its first run saw."""
-        older = [v for v in self._committed() if v < batch_id]
-        return self.read(max(older)) if older else self.spark.createDataFrame([], self.schema)
+        """The state a batch starts from."""
+        return self._read(self._manifest(self._older(batch_id)))
+
+    def _bucket(self, key: Sequence[str]) -> Column:
+        return F.pmod(F.xxhash64(*[F.lower(F.col(c).cast("string")) for c in key]), F.lit(self.buckets)).cast("int")
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        columns = self.spark.createDataFrame([], self.schema).columns
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+        """A whole new version."""
+        self._commit(batch_id, {}, self._put(df, batch_id, self.buckets))
+
+    def update(self, changes: DataFrame, batch_id: int, merge: Callable[[DataFrame], DataFrame], key: Sequence[str] = ()) -> None:
+        """A version in which the buckets of `changes` (found by `key`, the table's own if not given) hold what
+        `merge` makes of their old rows. `merge` must keep rows of other keys and add none."""
+        manifest = self._manifest(self._older(batch_id))
+        touched = {r["b"] for r in changes.select(self._bucket(key or self.key).alias("b")).distinct().collect()}  # at most `buckets`
+        written = set()
+        if touched:
+            old = self._read({b: v for b, v in manifest.items() if b in touched})
+            written = self._put(merge(old), batch_id, len(touched))
+        self._commit(batch_id, {b: v for b, v in manifest.items() if b not in touched}, written)
+
+    def _put(self, df: DataFrame, batch_id: int, parts: int) -> set[int]:
+        """Write the rows by bucket; returns the buckets that have any."""
+        rows = df.select(*self.columns, self._bucket(self.key).alias("bucket")).repartition(parts, "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v={batch_id}")
+        fs, path = _files(self.spark, self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/v={batch_id}"))]
+        return {int(n.split("=")[1]) for n in names if n.startswith("bucket=")}
+
+    def _commit(self, batch_id: int, kept: dict[int, int], written: set[int]) -> None:
         fs, path = _files(self.spark, self.root)
-        fs.create(path(f"{self.root}/_commits/{batch_id}"), True).close()
+        draft, final = path(f"{self.root}/_commits/.{uuid.uuid4().hex}"), path(f"{self.root}/_commits/{batch_id}")
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps({"buckets": self.buckets, "written": kept | dict.fromkeys(written, batch_id)}).encode()))
+        stream.close()
+        fs.delete(final, False)  # of a run of this batch that ended early
+        fs.rename(draft, final)
+        self._remove_old(fs, path)
+
+    def _remove_old(self, fs, path) -> None:
+        versions = self._committed()
+        live = {(v, b) for version in versions[-self.keep :] for b, v in self._manifest(version).items()}
+        for version in versions[: -self.keep]:
+            fs.delete(path(f"{self.root}/_commits/{version}"), False)
+        newest = versions[-1]
+        for folder in fs.listStatus(path(self.root)):
+            name = folder.getPath().getName()
+            if not name.startswith("v=") or int(name[2:]) > newest:
+                continue
+            version, gone = int(name[2:]), 0
+            inside = [s.getPath() for s in fs.listStatus(folder.getPath()) if s.getPath().getName().startswith("bucket=")]
+            for bucket in inside:
+                if (version, int(bucket.getName().split("=")[1])) not in live:
+                    gone += fs.delete(bucket, True)
+            if gone == len(inside):
+                fs.delete(folder.getPath(), True)
 
 
 def append_partitioned(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:

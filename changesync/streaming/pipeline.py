@@ -3,7 +3,7 @@
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from changesync.operators import dedupe, history as log, xref as links, targets
@@ -21,6 +21,13 @@ class SyncTables:
     target: str
     history: str
     dead_letters: str
+    buckets: int = 64  # of the link and target tables, when they are first written
+
+    def links(self, spark: SparkSession) -> KeyedTable:
+        return KeyedTable(spark, self.xref, XREF_ROW, ["lookup_key"], self.buckets)
+
+    def records(self, spark: SparkSession) -> KeyedTable:
+        return KeyedTable(spark, self.target, TARGET_ROW, ["system", "entity_name", "record_id"], self.buckets)
 
 
 def publish_changes(raw: DataFrame, parsers: Sequence[ingest.PayloadParser], keep: Sequence[str]) -> DataFrame:
@@ -35,10 +42,11 @@ def sync_stream(
     """Start the sync. Maps are read anew for every batch, so an edit takes effect on the next.
 
     One writer per batch; batch `n` reads the state left by the newest batch before it and
-    writes version `n`, so a batch that runs again writes the same.
+    writes version `n`, so a batch that runs again writes the same. It rewrites the buckets of the
+    links and records it changes; the others pass into the new version as they lie.
     """
     spark = changes.sparkSession
-    xref, target = KeyedTable(spark, tables.xref, XREF_ROW), KeyedTable(spark, tables.target, TARGET_ROW)
+    xref, target = tables.links(spark), tables.records(spark)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         old_links, old_target = xref.before(batch_id + 1), target.before(batch_id + 1)
@@ -46,9 +54,10 @@ def sync_stream(
         try:
             append_partitioned(log.to_append(result.history), tables.history, batch_id, "map_partition")
             append_partitioned(result.dead_letters(), tables.dead_letters, batch_id)
-            new_target = targets.apply_writes(old_target, targets.net_writes(result.writes))
-            target.write(new_target, batch_id + 1)
-            xref.write(links.save(old_links, result.link_updates, "save_order"), batch_id + 1)
+            writes = result.scratch.keep(targets.net_writes(result.writes), "writes")
+            target.update(writes, batch_id + 1, lambda old: targets.apply_writes(old, writes), ("target_system", "target_entity", "record_id"))
+            saves = result.scratch.keep(result.link_updates, "saves")
+            xref.update(links.mirrors(saves), batch_id + 1, lambda old: links.save(old, saves, "save_order"))
         finally:
             result.close()
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from changesync.operators import dedupe
 from changesync.plans.sync import SyncConfig, apply_result, sync_batch
-from changesync.schema import BUS_COLUMNS, CHANGE_EVENT, TARGET_ROW, XREF_LINK, XREF_ROW
+from changesync.schema import BUS_COLUMNS, CHANGE_EVENT, TARGET_ROW, XREF_LINK
 from changesync.operators import xref
 from changesync.sources.maps import parse_maps
-from changesync.storage import KeyedTable
 from changesync.streaming.pipeline import SyncTables, sync_stream
 from workloads import adapters as a
 
@@ -153,8 +152,8 @@ def test_by_key_target_reports_created_after_delete(spark):
 
 def _seeded(spark, root):
     tables = SyncTables(f"{root}/xref", f"{root}/target", f"{root}/history", f"{root}/dead")
-    KeyedTable(spark, tables.xref, XREF_ROW).write(a.xref(spark, DATA), 0)
-    KeyedTable(spark, tables.target, TARGET_ROW).write(a.target(spark, DATA), 0)
+    tables.links(spark).write(a.xref(spark, DATA), 0)
+    tables.records(spark).write(a.target(spark, DATA), 0)
     return tables
 
 
@@ -174,8 +173,8 @@ def test_stream_in_batches_equals_one_batch(spark, tmp_path):
     assert sorted(map(str, live.select(cols).collect())) == sorted(map(str, once.history.select(cols).collect()))
 
     want_links, want_target = apply_result(once, a.xref(spark, DATA), a.target(spark, DATA))
-    got_links = KeyedTable(spark, tables.xref, XREF_ROW).read()
-    got_target = KeyedTable(spark, tables.target, TARGET_ROW).read()
+    got_links = tables.links(spark).read()
+    got_target = tables.records(spark).read()
     shown = ["lookup_key", "record_id_a", "record_id_b", F.to_json("state").alias("s")]
     assert sorted(map(str, got_links.select(shown).collect())) == sorted(map(str, want_links.select(shown).collect()))
 

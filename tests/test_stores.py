@@ -267,3 +267,33 @@ def test_keyed_table_batches_repeat_safely(spark, tmp_path):
         assert [r["v"] for r in table.before(2).collect()] == [1]
         table.write(spark.createDataFrame([(1, 2)], "k INT, v INT"), 2)
     assert [r["v"] for r in table.read().collect()] == [2] and table.version() == 2
+
+
+def test_an_update_writes_only_the_buckets_it_touches(spark, tmp_path):
+    """Ten records of ten thousand: their buckets get new files, all others are shared with the version
+    before; an emptied bucket goes, a repeated batch writes the same, old versions are removed."""
+    schema, root = "k STRING, v INT", tmp_path / "t"
+    table = KeyedTable(spark, str(root), schema, ["k"], buckets=16)
+    table.write(spark.range(10_000).selectExpr("'K' || id AS k", "0 AS v"), 1)
+    assert len(list(root.glob("v=1/bucket=*"))) == 16
+    ten = spark.range(0, 10_000, 3_500).selectExpr("'k' || id AS K2", "7 AS w")  # the case of a key does not move it
+
+    def merge(old):
+        return old.join(ten, F.lower("k") == F.col("K2"), "left").select("k", F.coalesce("w", "v").alias("v"))
+
+    for _ in range(2):
+        table.update(ten, 2, merge, ["K2"])
+        touched = {p.name for p in root.glob("v=2/bucket=*")}
+        assert 1 <= len(touched) <= 3 and {p.name for p in root.glob("v=1/bucket=*")} >= {f"bucket={i}" for i in range(16)}
+        assert table.read().groupBy("v").count().orderBy("v").collect() == [(0, 9_997), (7, 3)]
+        assert table.before(2).filter("v = 7").count() == 0
+    again = KeyedTable(spark, str(root), schema, ["k"], buckets=64)  # the number it was written with holds
+    again.update(spark.range(0).selectExpr("'x' AS k"), 3, lambda old: old)
+    assert again.read().count() == 10_000 and not list(root.glob("v=3/*"))
+    gone = spark.range(10_000).selectExpr("'K' || id AS k")
+    again.update(gone, 4, lambda old: old.filter("v = 7"))
+    assert again.read().count() == 3
+    again.update(spark.range(0).selectExpr("'x' AS k"), 5, lambda old: old)
+    again.update(spark.range(0).selectExpr("'x' AS k"), 6, lambda old: old)
+    assert again.read().count() == 3 and sorted(p.name for p in root.glob("v=*")) == ["v=4"]
+    assert sorted(p.name for p in (root / "_commits").glob("[0-9]*")) == ["4", "5", "6"]

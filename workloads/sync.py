@@ -9,10 +9,8 @@ from changesync.functions.values import canonical_json
 from changesync.operators import dedupe, metrics
 from changesync.plans.load import loaded_links
 from changesync.plans.sync import SyncConfig, SyncResult, sync_batch
-from changesync.schema import TARGET_ROW, XREF_ROW
 from changesync.session import ensure_checkpoint_dir
 from changesync.sources import ingest
-from changesync.storage import KeyedTable
 from changesync.streaming.pipeline import SyncTables, sync_stream
 from workloads import adapters as a
 from workloads.registry import workload
@@ -150,8 +148,8 @@ def stream_pipeline(spark, sf_dir) -> DataFrame:
     target tables on disk; what the history then holds."""
     root = f"{ensure_checkpoint_dir(spark)}/flow-{uuid.uuid4().hex}"
     tables = SyncTables(f"{root}/xref", f"{root}/target", f"{root}/history", f"{root}/dead")
-    KeyedTable(spark, tables.xref, XREF_ROW).write(a.xref(spark, sf_dir), 0)
-    KeyedTable(spark, tables.target, TARGET_ROW).write(a.target(spark, sf_dir), 0)
+    tables.links(spark).write(a.xref(spark, sf_dir), 0)
+    tables.records(spark).write(a.target(spark, sf_dir), 0)
     changes = dedupe.envelope(a.event_stream(spark, sf_dir).select(*a.CORE)).drop("session_id")
     query = sync_stream(
         changes, lambda: a.maps(spark), a.integration_users(spark), tables, SyncConfig(a.SYSTEMS), f"{root}/offsets",
