@@ -13,6 +13,7 @@ from changesync.session import ensure_checkpoint_dir
 from changesync.sources import ingest
 from changesync.streaming.pipeline import SyncTables, sync_stream
 from workloads import adapters as a
+from workloads.functions import M3_BODY, M3_FULL
 from workloads.registry import workload
 
 
@@ -123,6 +124,41 @@ def dlq_failed_events(spark, sf_dir) -> DataFrame:
     )
 
 
+# What a row writes, as text: whole bodies, or without the key where the key addresses the record.
+_BODY = f"""CASE WHEN map_name <> 'm3' THEN '{{"k":' || k || ',"ref":"' || ref || '"}}' ELSE {M3_FULL} END"""
+
+
+@workload("write_commands", f"""{REPLAY} SELECT correlation_id, target_system, target_entity, operation, other_id AS record_id, company,
+  map_name || ':' || source_record_id || ':' || ticks AS idempotency_key, outcome,
+  CASE WHEN map_name = 'm3' AND outcome = 'Updated' THEN {M3_BODY % ''}
+    WHEN map_name = 'm3' AND outcome = 'Created' AND company IS NOT NULL THEN replace({M3_FULL}, '"grade":', '"dataAreaId":"' || company || '","grade":')
+    ELSE {_BODY} END AS fields
+  FROM settled WHERE outcome IN ('Created', 'Updated', 'Deleted')""")
+def write_commands(spark, sf_dir) -> DataFrame:
+    """The write plan of the whole batch, over all maps."""
+    return run_batch(spark, sf_dir).writes.select(
+        "correlation_id", "target_system", "target_entity", "operation", "record_id", "company", "idempotency_key", "outcome",
+        canonical_json("fields").alias("fields"),
+    )
+
+
+@workload("link_states", f"""{REPLAY}, saved AS (
+    SELECT *, {_BODY} AS body FROM settled WHERE outcome IN ('Created', 'Updated') OR (outcome = 'Deleted' AND before)
+  ), ends AS (
+    SELECT g, arg_min(row(link0, user_id, source_system, source_record_id, target_system, other_id, pair_key), row(arrival_seq, map_name)) AS f,
+      arg_max(row(target_system, CASE WHEN operation = 'Delete' THEN '' ELSE upper(sha256(body)) END, occurred_at, source_system), row(arrival_seq, map_name)) AS l
+    FROM saved GROUP BY g
+  ) SELECT f[7] AS pair_key, CASE WHEN f[1] THEN 'erp' ELSE f[3] END AS system_a, CASE WHEN f[1] THEN 'a-' || f[2] ELSE f[4] END AS record_id_a,
+    CASE WHEN f[1] THEN 'crm' ELSE f[5] END AS system_b, CASE WHEN f[1] THEN 'c-' || f[2] ELSE f[6] END AS record_id_b,
+    l[1] AS written_to, l[2] AS hash, epoch_us(l[3]) AS at_us, l[4] AS writer FROM ends""")
+def link_states(spark, sf_dir) -> DataFrame:
+    """The links that a batch leaves changed, with their last state."""
+    return run_batch(spark, sf_dir).link_updates.select(
+        "pair_key", "system_a", "record_id_a", "system_b", "record_id_b", F.col("state.written_to_system").alias("written_to"),
+        F.col("state.written_payload_hash").alias("hash"), F.unix_micros("state.last_writer_at").alias("at_us"), F.col("state.last_writer_system").alias("writer"),
+    )
+
+
 # Everything copied to the CRM before the events drain: one link per customer, dated by the copy.
 LOADED = """links AS (SELECT c_custkey AS u, TRUE AS has_state, FALSE AS tomb,
     upper(sha256('{"k":' || (c_nationkey % 4) || ',"ref":"R' || c_custkey || '"}')) AS hash, TIMESTAMP '2024-01-08' + to_days(c_nationkey % 10) AS lw_at
