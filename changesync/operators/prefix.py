@@ -69,3 +69,17 @@ def position(df: DataFrame, keys: list[str], order: list[str], name: str = "posi
     return running_before(df, keys, order, {"_before": ("sum", F.lit(1).cast("bigint"))}).withColumn(
         name, F.col("_before") + 1
     ).drop("_before")
+
+
+def with_parts(df: DataFrame) -> DataFrame:
+    """Add `_part` and `_at`, the task and the place of each row as it is written; see `numbered`."""
+    return df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+
+
+def numbered(written: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """`name`: first, first + 1, ... along a table that was written `with_parts`, in the order in which its
+    rows lie. One row per task is summed up."""
+    parts = written.groupBy("_part").agg(F.min("_at").alias("_low"), F.count("*").alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0))
+    shifts = parts.select("_part", (before - F.col("_low") + first).alias("_shift"))
+    return written.join(shifts, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

@@ -23,6 +23,15 @@ def _files(spark: SparkSession, folder: str):
     return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def _text(spark: SparkSession, file: str) -> str:
+    fs, path = _files(spark, file)
+    stream = fs.open(path(file))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 # Scratch folders not deleted yet, with what it takes to delete them.
 _open: dict = {}
 
@@ -102,13 +111,7 @@ class KeyedTable:
         """bucket → batch that wrote it."""
         if version is None:
             return {}
-        fs, path = _files(self.spark, self.root)
-        stream = fs.open(path(f"{self.root}/_commits/{version}"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        found = json.loads(text)
+        found = json.loads(_text(self.spark, f"{self.root}/_commits/{version}"))
         self.buckets = found["buckets"]  # fixed when the table was first written
         return {int(b): v for b, v in found["written"].items()}
 
@@ -187,6 +190,28 @@ class KeyedTable:
                 fs.delete(folder.getPath(), True)
 
 
+class Published:
+    """Which batches of a streaming query were written to a log whole: an empty file each, beside the log.
+
+    Batch numbers mean something together with their checkpoint only. A log that another
+    checkpoint wrote to is refused, as its batches would be taken for those of this query.
+    """
+
+    def __init__(self, spark: SparkSession, log: str, checkpoint: str) -> None:
+        query = json.loads(_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+        self.fs, self.path = _files(spark, log)
+        root = f"{log.rstrip('/')}/_done"
+        self.folder = f"{root}/{query}"
+        if self.fs.exists(self.path(root)) and not self.fs.exists(self.path(self.folder)):
+            raise RuntimeError(f"{log} was written with another checkpoint than {checkpoint}")
+
+    def has(self, batch_id: int) -> bool:
+        return self.fs.exists(self.path(f"{self.folder}/{batch_id}"))
+
+    def add(self, batch_id: int) -> None:
+        self.fs.create(self.path(f"{self.folder}/{batch_id}"), True).close()
+
+
 def append_partitioned(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Append to a log partitioned by batch and `partitions`; a repeated batch replaces
     its own part only."""

@@ -1,16 +1,19 @@
-"""The live flow: payload stream → deduplicated change log → batches into the target."""
+"""The live flow: payload stream → change log and quarantine; change log → batches into the target.
+
+The two queries share nothing but the log, so each restarts where its own checkpoint stands.
+"""
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from changesync.operators import dedupe, history as log, xref as links, targets
+from changesync.operators import dedupe, history as log, prefix, xref as links, targets
 from changesync.plans.sync import SyncConfig, sync_batch
 from changesync.sources import ingest
-from changesync.schema import TARGET_ROW, XREF_ROW
-from changesync.storage import KeyedTable, append_partitioned
+from changesync.schema import BUS_COLUMNS, CHANGE_EVENT, TARGET_ROW, XREF_ROW
+from changesync.storage import KeyedTable, Published, Scratch, append_partitioned
 
 
 @dataclass
@@ -30,9 +33,51 @@ class SyncTables:
         return KeyedTable(spark, self.target, TARGET_ROW, ["system", "entity_name", "record_id"], self.buckets)
 
 
-def publish_changes(raw: DataFrame, parsers: Sequence[ingest.PayloadParser], keep: Sequence[str]) -> DataFrame:
-    """Raw payload stream (or batch) → enveloped change events; `keep` names the bus columns."""
-    return dedupe.envelope(ingest.accepted(ingest.parse_events(raw, parsers), *keep))
+# Sequence numbers that a batch of payloads may use.
+BATCH_BITS = 40
+
+CHANGE_LOG = f"{CHANGE_EVENT}, {BUS_COLUMNS}, session_id STRING, message_id STRING"
+
+
+def publish_changes(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Parsed payloads → enveloped change events; `keep` names the bus columns."""
+    return dedupe.envelope(ingest.accepted(parsed, *keep))
+
+
+def ingest_stream(
+    raw: DataFrame, parsers: Sequence[ingest.PayloadParser], change_log: str, quarantine: str, checkpoint: str, available_now: bool = False,
+) -> StreamingQuery:
+    """Start the ingestion of `raw` (see `ingest.read_raw`): what a parser reads goes to the change log,
+    the rest to the quarantine, each payload to exactly one of them.
+
+    Events are numbered in the order of batch, file and line. A batch that was published whole is
+    not published again; one that was cut off replaces what it had written. A change log belongs to its
+    checkpoint: with another one the query fails rather than publish payloads twice or skip some.
+    """
+    spark, bus = raw.sparkSession, ["arrival_seq", "enqueued_at", "delivery_count"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        done = Published(spark, change_log, checkpoint)
+        if done.has(batch_id):
+            return
+        scratch = Scratch(spark)
+        try:
+            stamped = batch.withColumns({"enqueued_at": F.current_timestamp(), "delivery_count": F.lit(1)})
+            parsed = scratch.keep(prefix.with_parts(ingest.parse_events(stamped, parsers)), "parsed")
+            parsed = prefix.numbered(parsed, "arrival_seq", batch_id << BATCH_BITS)
+            append_partitioned(ingest.quarantine(parsed, *bus), quarantine, batch_id)
+            append_partitioned(publish_changes(parsed, bus), change_log, batch_id)
+            done.add(batch_id)
+        finally:
+            scratch.delete()
+
+    writer = raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_changes(spark: SparkSession, change_log: str) -> DataFrame:
+    """The change log as a stream, for `sync_stream`."""
+    return spark.readStream.schema(CHANGE_LOG).option("ignoreMissingFiles", "true").parquet(change_log)
 
 
 def sync_stream(

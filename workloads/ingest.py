@@ -1,11 +1,15 @@
 """Raw payloads: recognising, parsing, quarantine, replay, publishing and duplicates."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changesync.functions import payload as p
 from changesync.functions.values import canonical_json, decode_str
 from changesync.operators import dedupe, prefix
+from changesync.session import ensure_checkpoint_dir
 from changesync.sources import ingest
+from changesync.streaming import pipeline as flow
 from workloads import adapters as a
 from workloads.functions import MESSAGE_ID
 from workloads.registry import workload
@@ -125,6 +129,25 @@ def quarantine(spark, sf_dir):
     return ingest.quarantine(parsed(spark, sf_dir), "event_id").select("event_id", "error")
 
 
+@workload("ingest_flow", f"""{READ} SELECT source_system, source_record_id, operation, at_us, body AS data, correlation_id, CAST(NULL AS VARCHAR) AS error FROM bodies WHERE {READABLE}
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, {ERROR} FROM ev WHERE NOT ({READABLE})""")
+def ingest_flow(spark, sf_dir):
+    """Payload files read as a stream, published to the change log or quarantined, in two batches; the
+    second start goes on where the first ended."""
+    root = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        payloads(spark, sf_dir).filter(F.col("event_id") % 2 == half).select("raw").write.mode("append").text(f"{root}/in")
+        flow.ingest_stream(
+            ingest.read_raw(spark, f"{root}/in", streaming=True), PARSERS, f"{root}/log", f"{root}/quarantine", f"{root}/offsets", available_now=True
+        ).awaitTermination()
+    events, bad = spark.read.parquet(f"{root}/log"), spark.read.parquet(f"{root}/quarantine")
+    read = events.select(
+        "source_system", "source_record_id", "operation", F.unix_micros("occurred_at").alias("at_us"), canonical_json("data").alias("data"),
+        "correlation_id", F.lit(None).cast("string").alias("error"),
+    )
+    return read.unionByName(bad.select("error"), allowMissingColumns=True)
+
+
 @workload("dlq_replay", f"""{READ} SELECT message_id, count(*) AS deliveries FROM (
     SELECT {MESSAGE_ID} AS message_id FROM (SELECT * REPLACE (make_timestamp(at_us) AS occurred_at), body AS data_json,
       at_us * 10 + 621355968000000000 AS ticks FROM bodies WHERE {READABLE})) GROUP BY message_id""")
