@@ -99,8 +99,8 @@ def select(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, toke
 
     `domain` and `tokens` are expressions over `docs`; by default the domain comes from the source and
     the tokens are the words of `text`. Names null, in lang or source, are the name "unknown". A text without words has no tokens
-    and is never taken; null texts are empty. Rows that tie in the order (equal doc_ids) start
-    at the same place of the pass. Integer shares are rounded down, so a family may leave a few
+    and is never taken; null texts are empty. Rows with equal doc_ids follow one another in
+    the order of the table, those without a doc_id stand each in a place of its own. Integer shares are rounded down, so a family may leave a few
     tokens. Columns of `docs` named like the new ones are replaced; an empty table gives an empty one.
     """
     keep = [c for c in docs.columns if c not in ("domain", "tokens", "whole_copies", "extra_tokens")]
@@ -113,7 +113,7 @@ def select(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, toke
     plan = leaf_budgets(narrow.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), mix).filter("tokens > 0")
     plan = scratch.keep(plan.select(*LEAF, F.expr("budget div tokens").alias("whole_copies"), F.expr("budget % tokens").alias("rest")), "plan")
 
-    order = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("whole_copies") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    order = F.md5(F.concat_ws("|", F.lit(mix.seed), F.col("whole_copies") + 1, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "row"))))
     rows = narrow.join(plan, LEAF).withColumn("digest", order).withColumn("base", F.lit(0).cast("long"))
     rows = rows.withColumns({"d1": F.substring("digest", 1, 3), "d2": F.substring("digest", 4, 3)})
     done, decided = [], F.when(F.col("end") <= F.col("rest"), F.col("tokens")).otherwise(F.lit(0))
@@ -123,9 +123,8 @@ def select(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None, toke
         ends_here = (F.col("start") < F.col("rest")) & (F.col("end") > F.col("rest"))
         done.append(rows.filter(~ends_here).select("row", "whole_copies", decided.alias("extra_tokens")))
         rows, keys = rows.filter(ends_here).withColumn("base", F.col("start")).drop("start", "end"), [*keys, digit]
-    upto = Window.partitionBy(*keys).orderBy("digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy(*keys, "digest")
-    start = F.col("base") + F.sum("tokens").over(upto) - F.sum("tokens").over(tied)
+    before = Window.partitionBy(*keys).orderBy("digest", "row").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("base") + F.coalesce(F.sum("tokens").over(before), F.lit(0))
     last = rows.withColumn("start", start).select("row", "whole_copies", F.least("tokens", F.greatest(F.lit(0), F.col("rest") - F.col("start"))).alias("extra_tokens"))
     taken = done[0].unionByName(done[1]).unionByName(last)
     out = named.join(taken, "row", "left")
@@ -141,8 +140,15 @@ def _name(column: str) -> Column:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixture itself: the rows of `docs`, each as often as it is taken. A document that the
-    prefix only partly takes is there whole."""
-    taken = select(docs, mix)
+    prefix only partly takes is there whole. All columns of `docs` stay as they are, those named like
+    the operator's own too."""
+    own = ("domain", "tokens", "whole_copies", "extra_tokens", "_copy")
+    clash, held = [c for c in docs.columns if c.lower() in own], "_held"
+    while held in docs.columns:
+        held += "_"
+    rest = [c for c in docs.columns if c not in clash]
+    taken = select(docs.select(*rest, F.struct(*clash).alias(held)) if clash else docs, mix)
     copies = (F.col("whole_copies") + (F.col("extra_tokens") > 0).cast("long")).cast("int")
     times = F.when((copies > 0) & (F.col("tokens") > 0), copies).otherwise(F.lit(0))
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    taken = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return taken.select(*[F.col(held)[c].alias(c) if c in clash else F.col(c) for c in docs.columns])

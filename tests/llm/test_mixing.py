@@ -70,3 +70,14 @@ def test_mixture_repeats_rows(small):
     for r in out.select("doc_id").collect():
         got[r.doc_id] += 1
     assert got == {i: c for i, c in copies.items() if c}
+
+
+def test_ties_and_columns_named_like_the_operators_own(spark):
+    """Rows without an id, and rows that share one, meet the budget to the token of one document."""
+    for doc_id in (None, 7):
+        docs = spark.range(1000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("a b c d e f g h i j").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+        taken = mixing.select(docs).agg(F.sum(F.col("tokens") * F.col("whole_copies") + F.col("extra_tokens")).alias("n")).first()["n"]
+        assert taken == 8000
+    named = docs.limit(5).selectExpr("*", "'MY-9' AS Domain", "'t' AS tokens", "'w' AS whole_copies", "'x' AS extra_tokens", "'c' AS _copy", "'h' AS _held")
+    rows = mixing.mixed(named).collect()
+    assert rows and all(tuple(r)[4:] == ("MY-9", "t", "w", "x", "c", "h") for r in rows) and list(rows[0].asDict()) == named.columns
