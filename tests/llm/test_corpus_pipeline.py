@@ -65,3 +65,12 @@ def test_decisions_hit_their_rows_when_splits_change(spark, tmp_path):
     finally:
         for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
             spark.conf.set(k, usual[k]) if k in usual else spark.conf.unset(k)
+
+
+def test_columns_named_like_the_stages_own_stay(spark, tmp_path):
+    spark.createDataFrame([(0, 0), (1, 1)], "doc_id LONG, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"some words of row {i} and more of them {i}", "en", "s", "A", "B", "C") for i in range(6)],
+                                 "doc_id LONG, text STRING, lang STRING, source STRING, __row STRING, __Toxicity STRING, __passages STRING")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {tuple(r)[4:] for r in out.collect()} <= {("A", "B", "C")}
