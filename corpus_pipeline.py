@@ -14,7 +14,6 @@ from changesync.llm import best_fit, grace_dedup, jaccard_join, mixing, tokens,
 from changesync.session import configure
 from changesync.storage import Lease, Scratch
 
-ROW = "__row"
 NEAR = jaccard_join.Join(width=5, percent=80)
 
 
@@ -43,30 +42,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled texts of `docs`; a document at or above the threshold goes."""
     how = toxicity.Settings()
     model = toxicity.fit(docs, configure(spark).read.parquet(f"{sf_dir}/labels.parquet"), how)
-    scored = toxicity.score(docs, model, how, score_as="__toxicity", passages_as="__passages")
-    return scored.filter(F.col("__toxicity") < how.threshold).select(*docs.columns)
+    score, passages = _free("__toxicity", docs), _free("__passages", docs)
+    scored = toxicity.score(docs, model, how, score_as=score, passages_as=passages)
+    return scored.filter(F.col(score) < how.threshold).select(*docs.columns)
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with the column ROW, as a written table: every read of it has the same numbers."""
-    return Scratch(configure(spark)).keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _free(name: str, docs: DataFrame) -> str:
+    """`name`, made longer until no column of `docs` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a column of row numbers, as a written table (every read of it has the same numbers), and
+    the column's name."""
+    row = _free("__row", docs)
+    return Scratch(configure(spark)).keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 @_freeing
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the row with the smallest doc_id stays."""
-    rows = _numbered(spark, docs)
-    decided = grace_dedup.dedup(rows, row=ROW)
-    return rows.join(decided.filter("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    rows, row = _numbered(spark, docs)
+    decided = grace_dedup.dedup(rows, row=row)
+    return rows.join(decided.filter("kept").select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 @_freeing
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts linked by five-word shingles at a Jaccard similarity of 0.8 or more, the
     row with the smallest doc_id stays; texts without words are alike in having none, and each stays."""
-    rows = _numbered(spark, docs)
-    decided = jaccard_join.classes(rows, NEAR, row=ROW, count_links=False)
-    return rows.join(decided.filter("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    rows, row = _numbered(spark, docs)
+    decided = jaccard_join.classes(rows, NEAR, row=row, count_links=False)
+    return rows.join(decided.filter("kept").select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 @_freeing
