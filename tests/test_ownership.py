@@ -67,7 +67,7 @@ def test_a_discarded_event_moves_no_link(spark):
         assert batches(spark, events, [], TARGET, cuts) == want
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_cuts_agree_with_one_batch_and_with_the_store(spark, seed):
     rnd = random.Random(seed)
     code = {"R0": "c0", "R1": "c1", "A": "c0", "B": "c0", "C": "c1", "D": "c0", "T0": "c0", "T1": "c1"}
