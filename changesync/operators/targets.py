@@ -65,9 +65,11 @@ def with_key_segment(rows: DataFrame, compiled: CompiledMaps | None = None) -> D
     return out.withColumn("key_segment", F.when(usable, key_segment("_parts"))).drop("_parts")
 
 
-def target_index(targets: DataFrame, maps: DataFrame, modes: dict[str, str]) -> DataFrame:
-    """`probe_key` → (`matches`, `match_id`): by_id records under each map's integration key,
-    by_key records under their id."""
+KEY_ENTRY = "probe_key STRING, record_id STRING"
+
+
+def key_entries(targets: DataFrame, maps: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """KEY_ENTRY rows: by_id records under each map's integration key, by_key records under their id."""
     wanted = with_mode(
         maps.select("map_name", "target_system", "target_entity", "integration_key"), modes
     )
@@ -81,10 +83,34 @@ def target_index(targets: DataFrame, maps: DataFrame, modes: dict[str, str]) ->
     direct = targets.filter(F.lower("system").isin(by_key_systems)).select(
         key_probe("system", "entity_name", "record_id").alias("probe_key"), "record_id"
     )
-    return (
-        ids.unionByName(direct).groupBy("probe_key")
-        .agg(F.count("*").alias("matches"), F.min("record_id").alias("match_id"))
-    )
+    return ids.unionByName(direct)
+
+
+def index_of(entries: DataFrame) -> DataFrame:
+    """`probe_key` → (`matches`, `match_id`)."""
+    return entries.groupBy("probe_key").agg(F.count("*").alias("matches"), F.min("record_id").alias("match_id"))
+
+
+def target_index(targets: DataFrame, maps: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """The index of a whole target snapshot."""
+    return index_of(key_entries(targets, maps, modes))
+
+
+def entry_changes(old: DataFrame, writes: DataFrame, maps: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """What net `writes` do to the entries of the records they name: KEY_ENTRY rows with `present`, those that
+    stay as they are left out. `old` has at least the records that `writes` name; others are passed over."""
+    named = _target_keys(writes, "target_system", "target_entity").select("_system", "_entity", "record_id")
+    mine = _target_keys(old, "system", "entity_name").join(named, ["_system", "_entity", "record_id"], "left_semi").drop("_system", "_entity")
+    gone = key_entries(mine, maps, modes).withColumn("present", F.lit(False))
+    new = key_entries(apply_writes(mine, writes), maps, modes).withColumn("present", F.lit(True))
+    both = gone.unionByName(new).groupBy("probe_key", "record_id").agg(F.min("present").alias("present"), F.max("present").alias("_any"))
+    return both.filter("present = _any").drop("_any")
+
+
+def apply_entries(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """The entries after `entry_changes`."""
+    kept = old.join(changes, ["probe_key", "record_id"], "left_anti")
+    return kept.unionByName(changes.filter("present").drop("present"))
 
 
 def id_probe(map_name, segment) -> Column:

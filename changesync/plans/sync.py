@@ -77,14 +77,14 @@ FACTS = [
 DECIDED = ["_row", "link_key", "counterpart", "link", "target_exists", "verdict", "has_link", "error", "outcome"]
 
 
-def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row per event and admitted map, up to the record it resolves to; the target index).
     The rows are wide and written once, with a number; all that follows works on a few columns."""
     active = route.active_maps(maps)
     compiled = mapping.CompiledMaps.load(active, config.transforms)
     mapped = route_and_map(events, maps, xref, users, config, compiled)
     keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
-    index = targets.target_index(target, active, config.systems)
+    index = targets.index_of(targets.key_entries(target, active, config.systems) if entries is None else entries)
     resolved = targets.resolve_targets(keyed, index).withColumn("_row", F.monotonically_increasing_id())
     return scratch.keep(resolved, "resolved"), index
 
@@ -158,12 +158,13 @@ def link_updates(rows: DataFrame) -> DataFrame:
     return per_link.select("first.pair_key", "first.s.*", "state", "save_order")
 
 
-def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_at=None) -> SyncResult:
+def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_at=None, entries: DataFrame | None = None) -> SyncResult:
     """Run one batch. `events` carry CHANGE_EVENT and bus columns; `xref`, `target`, `users`
-    are the tables laid out in `schema`. Only intermediate tables are written; the result holds what to
+    are the tables laid out in `schema`. With `entries`, the stored index entries of the target
+    (`targets.key_entries`), the target itself is not read. Only intermediate tables are written; the result holds what to
     write, and `close` removes them."""
     scratch = Scratch(events.sparkSession)
-    resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch)
+    resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries)
     decided = decide(resolved, index, config, scratch)
     rows = resolved.drop("link", "target_exists").join(decided, "_row").drop("_row")
     stamp = F.current_timestamp() if processed_at is None else processed_at

@@ -118,7 +118,7 @@ class KeyedTable:
     def version(self) -> int | None:
         return max(self._committed(), default=None)
 
-    def _older(self, batch_id: int) -> int | None:
+    def older(self, batch_id: int) -> int | None:
         """The version a batch starts from: the newest one older than it, so a repeated batch sees what
         its first run saw."""
         return max((v for v in self._committed() if v < batch_id), default=None)
@@ -133,11 +133,20 @@ class KeyedTable:
 
     def before(self, batch_id: int) -> DataFrame:
         """The state a batch starts from."""
-        return self._read(self._manifest(self._older(batch_id)))
+        return self._read(self._manifest(self.older(batch_id)))
 
     def _bucket(self, key: Sequence[str]) -> Column:
         return F.pmod(F.xxhash64(*[F.lower(F.col(c).cast("string")) for c in key]), F.lit(self.buckets)).cast("int")
 
+    def _touched(self, changes: DataFrame, key: Sequence[str]) -> set[int]:
+        return {r["b"] for r in changes.select(self._bucket(key or self.key).alias("b")).distinct().collect()}  # at most `buckets`
+
+    def before_of(self, changes: DataFrame, batch_id: int, key: Sequence[str] = ()) -> DataFrame:
+        """The rows a batch starts from, of the buckets that `changes` touch only."""
+        manifest = self._manifest(self.older(batch_id))
+        touched = self._touched(changes, key)
+        return self._read({b: v for b, v in manifest.items() if b in touched})
+
     def write(self, df: DataFrame, batch_id: int) -> None:
         """A whole new version."""
         self._commit(batch_id, {}, self._put(df, batch_id, self.buckets))
@@ -145,8 +154,8 @@ class KeyedTable:
     def update(self, changes: DataFrame, batch_id: int, merge: Callable[[DataFrame], DataFrame], key: Sequence[str] = ()) -> None:
         """A version in which the buckets of `changes` (found by `key`, the table's own if not given) hold what
         `merge` makes of their old rows. `merge` must keep rows of other keys and add none."""
-        manifest = self._manifest(self._older(batch_id))
-        touched = {r["b"] for r in changes.select(self._bucket(key or self.key).alias("b")).distinct().collect()}  # at most `buckets`
+        manifest = self._manifest(self.older(batch_id))
+        touched = self._touched(changes, key)
         written = set()
         if touched:
             old = self._read({b: v for b, v in manifest.items() if b in touched})

@@ -3,13 +3,15 @@
 The two queries share nothing but the log, so each restarts where its own checkpoint stands.
 """
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from changesync.operators import dedupe, history as log, prefix, xref as links, targets
+from changesync.operators import dedupe, history as log, metrics, prefix, route, targets, xref as links
 from changesync.plans.sync import SyncConfig, sync_batch
 from changesync.sources import ingest
 from changesync.schema import BUS_COLUMNS, CHANGE_EVENT, TARGET_ROW, XREF_ROW
@@ -24,7 +26,9 @@ class SyncTables:
     target: str
     history: str
     dead_letters: str
-    buckets: int = 64  # of the link and target tables, when they are first written
+    buckets: int = 64  # of the link, target and index tables, when they are first written
+    key_index: str | None = None  # where the integration-key index of the target is kept up; without it, it is built in each batch
+    latency: str | None = None  # where latency sketches per map and day are kept up
 
     def links(self, spark: SparkSession) -> KeyedTable:
         return KeyedTable(spark, self.xref, XREF_ROW, ["lookup_key"], self.buckets)
@@ -32,6 +36,19 @@ class SyncTables:
     def records(self, spark: SparkSession) -> KeyedTable:
         return KeyedTable(spark, self.target, TARGET_ROW, ["system", "entity_name", "record_id"], self.buckets)
 
+    def entries(self, spark: SparkSession, keys: str) -> KeyedTable | None:
+        return KeyedTable(spark, f"{self.key_index}/{keys}", targets.KEY_ENTRY, ["probe_key"], self.buckets) if self.key_index else None
+
+    def latencies(self, spark: SparkSession) -> KeyedTable | None:
+        return KeyedTable(spark, self.latency, metrics.LATENCY_SKETCH, ["map_name", "day"], self.buckets) if self.latency else None
+
+
+def key_definitions(active: DataFrame, config: SyncConfig) -> str:
+    """A name for what the entries of a target depend on: the integration keys of the active maps, and the upsert modes."""
+    wanted = ("map_name", "target_system", "target_entity", "integration_key")
+    maps = sorted(json.dumps([r[c] for c in wanted]) for r in active.select(*wanted).collect())  # a bounded read of configuration
+    return hashlib.sha256(json.dumps([maps, sorted(config.systems.items())]).encode()).hexdigest()[:16]
+
 
 # Sequence numbers that a batch of payloads may use.
 BATCH_BITS = 40
@@ -89,18 +106,39 @@ def sync_stream(
     One writer per batch; batch `n` reads the state left by the newest batch before it and
     writes version `n`, so a batch that runs again writes the same. It rewrites the buckets of the
     links and records it changes; the others pass into the new version as they lie.
+
+    With `tables.key_index` the index entries of the records a batch writes are brought up to date, and no batch scans the
+    target. They are built from the target when there are none yet for the maps as they are now, or
+    when batches ran without them.
     """
     spark = changes.sparkSession
-    xref, target = tables.links(spark), tables.records(spark)
+    xref, target, latencies = tables.links(spark), tables.records(spark), tables.latencies(spark)
+    key = ("target_system", "target_entity", "record_id")
+
+    def stored_entries(active: DataFrame, batch_id: int) -> KeyedTable | None:
+        stored = tables.entries(spark, key_definitions(active, config))
+        start = target.older(batch_id)
+        if stored and start is not None and stored.older(batch_id) != start:
+            stored.write(targets.key_entries(target.before(batch_id), active, config.systems), start)
+        return stored
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old_links, old_target = xref.before(batch_id + 1), target.before(batch_id + 1)
-        result = sync_batch(batch, maps(), old_links, old_target, users, config).persist()
+        old_links, old_target, documents = xref.before(batch_id + 1), target.before(batch_id + 1), maps()
+        active = route.active_maps(documents)
+        index = stored_entries(active, batch_id + 1)
+        entries = index.before(batch_id + 1) if index else None
+        result = sync_batch(batch, documents, old_links, old_target, users, config, entries=entries).persist()
         try:
             append_partitioned(log.to_append(result.history), tables.history, batch_id, "map_partition")
             append_partitioned(result.dead_letters(), tables.dead_letters, batch_id)
+            if latencies:
+                metrics.store_latency(latencies, result.history, batch_id + 1)
             writes = result.scratch.keep(targets.net_writes(result.writes), "writes")
-            target.update(writes, batch_id + 1, lambda old: targets.apply_writes(old, writes), ("target_system", "target_entity", "record_id"))
+            if index:
+                touched = target.before_of(writes, batch_id + 1, key)
+                moved = result.scratch.keep(targets.entry_changes(touched, writes, active, config.systems), "entries")
+                index.update(moved, batch_id + 1, lambda old: targets.apply_entries(old, moved))
+            target.update(writes, batch_id + 1, lambda old: targets.apply_writes(old, writes), key)
             saves = result.scratch.keep(result.link_updates, "saves")
             xref.update(links.mirrors(saves), batch_id + 1, lambda old: links.save(old, saves, "save_order"))
         finally:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from changesync.functions.values import canonical_json
 from changesync.operators import dedupe, history as log, metrics
-from changesync.plans import scheduled
+from changesync.plans import capture, scheduled
+from changesync.schema import FAILED
 from changesync.session import ensure_checkpoint_dir
 from changesync.sources import maps as map_store, pull
+from changesync.storage import KeyedTable
 from workloads import adapters as a
 from workloads.functions import MESSAGE_ID
 from workloads.ingest import deliveries_of
@@ -78,6 +80,29 @@ def initial_export(spark, sf_dir):
     return pull.export_entity(a.table(spark, sf_dir, "customer"), entity).select("record_id", canonical_json("data").alias("data"))
 
 
+# --- change capture by snapshots --------------------------------------------------------
+
+
+def captured(spark, sf_dir) -> capture.Capture:
+    """Two pulls of the orders, the first before 1998. Later, orders of the lowest priority are gone and
+    open ones have another total; the ones of 1998 are new."""
+    orders = a.table(spark, sf_dir, "orders")
+    then = orders.filter("o_orderdate < TIMESTAMP '1998-01-01'")
+    now = orders.filter("o_orderpriority <> '5-LOW'").withColumn(
+        "o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderstatus") == "O", 1).otherwise(0))
+    first = capture.capture(then, ORDERS, spark.createDataFrame([], capture.SNAPSHOT), F.expr(RUN_AT))
+    return capture.capture(now, ORDERS, first.snapshot, F.expr(RUN_AT))
+
+
+@workload("snapshot_changes", f"""WITH o AS (SELECT 'o_custkey=' || o_custkey || ',o_orderkey=' || o_orderkey AS source_record_id, o_orderdate < TIMESTAMP '1998-01-01' AS before,
+    o_orderpriority <> '5-LOW' AS alive, o_orderstatus = 'O' AS moved, epoch_us(o_orderdate) AS at_us, o_orderpriority AS company FROM orders)
+  SELECT source_record_id, CASE WHEN alive AND NOT before THEN 'Create' WHEN alive THEN 'Update' ELSE 'Delete' END AS operation,
+    CASE WHEN alive THEN at_us ELSE epoch_us({RUN_AT}) END AS at_us, company
+  FROM o WHERE CASE WHEN alive THEN NOT before OR moved ELSE before END""")
+def snapshot_changes(spark, sf_dir):
+    return _pulled(captured(spark, sf_dir).events)
+
+
 # --- scheduled runs ---------------------------------------------------------------------
 
 ACCOUNTS = pull.Entity("erp", "Accounts", ("u",), "changed", "company")
@@ -257,6 +282,17 @@ def metrics_latency(spark, sf_dir):
     return metrics.latency(history(spark, sf_dir))
 
 
+@workload("latency_quantiles")
+def latency_quantiles(spark, sf_dir):
+    """Quantiles from sketches that were stored by two batches of the history: its failures, and the rest."""
+    table = KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/latency-{uuid.uuid4().hex}", metrics.LATENCY_SKETCH, ["map_name", "day"], 8)
+    rows = history(spark, sf_dir)
+    failed = F.col("outcome") == FAILED
+    for batch, part in enumerate((rows.filter(failed), rows.filter(~failed))):
+        metrics.store_latency(table, part, batch)
+    return metrics.latency_quantiles(table.read())
+
+
 @workload("metrics_throughput", f"""WITH {a.EV} SELECT '5 minutes' AS width, source_system, epoch_us(time_bucket(INTERVAL 5 MINUTE, enqueued_at)) AS start_us, count(*) AS events, count(*) > 5000 AS over_limit FROM ev GROUP BY ALL
   UNION ALL SELECT '1 hour', source_system, epoch_us(time_bucket(INTERVAL 1 HOUR, enqueued_at)), count(*), count(*) > 50000 FROM ev GROUP BY ALL""")
 def metrics_throughput(spark, sf_dir):

@@ -11,6 +11,7 @@ from changesync.operators.mapping import CompiledMaps
 from changesync.schema import FIELD_MAP
 from changesync.session import ensure_checkpoint_dir
 from changesync.sources import catalog, maps as map_store, watermarks
+from changesync.storage import KeyedTable, Scratch
 from workloads import adapters as a
 from workloads.registry import workload
 
@@ -171,6 +172,24 @@ def resolve_integration_key(spark, sf_dir):
         F.when(exact, F.col("resolved_id")).alias("matched"), F.col("key_error").isNotNull().alias("ambiguous"))
 
 
+@workload("key_index_update", f"""{NET} SELECT 'match|m1|ref=''' || CASE WHEN c_custkey % 7 = 3 THEN 'Q' ELSE 'R' END || c_custkey || '''' AS probe_key, 'c-' || c_custkey AS record_id
+    FROM customer WHERE 'c-' || c_custkey NOT IN (SELECT record_id FROM d WHERE gone_at IS NOT NULL)
+  UNION ALL SELECT 'match|m2|ref=''R' || c_custkey || '''', 'a-' || c_custkey FROM customer
+  UNION ALL SELECT 'id|dw|account|ref=''R' || c_custkey || '''', 'ref=''R' || c_custkey || '''' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""")
+def key_index_update(spark, sf_dir):
+    """The stored index after a batch of writes: records written anew have no key field, nor have those that a
+    delete emptied before."""
+    table = KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/keys-{uuid.uuid4().hex}", targets.KEY_ENTRY, ["probe_key"], 8)
+    active, snapshot = route.active_maps(a.maps(spark)), a.target(spark, sf_dir)
+    table.write(targets.key_entries(snapshot, active, a.SYSTEMS), 0)
+    scratch = Scratch(spark)
+    changes = targets.entry_changes(snapshot, targets.net_writes(order_writes(spark, sf_dir)), active, a.SYSTEMS)
+    moved = scratch.keep(changes, "moved")
+    table.update(moved, 1, lambda old: targets.apply_entries(old, moved))
+    scratch.delete()
+    return table.read()
+
+
 # --- watermarks -------------------------------------------------------------------------
 
 STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00'"
