@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
@@ -116,6 +118,83 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert all(r.score <= 0 for r in got)
 
 
+def plain_model(texts, how):
+    """(training texts, model) by loops over tokens: the log10 probability of a text's words."""
+    full = 2**32
+
+    def tokens_of(words):
+        short = [xxhash.xxh3_64_intdigest(w.encode()) >> 32 for w in words]
+        kinds = [maxent_lm._kind(w.encode(), how.classes) for w in words] + [how.classes - 1]
+        for i, kind in enumerate(kinds):
+            one = short[i - 1] if i else 2
+            two = short[i - 2] if i > 1 else 3
+            pair = ((one * 0xC2B2AE3D % full) ^ (two * 0x27D4EB2F % full) ^ (one >> 15)) * 0x165667B1 % full
+            yield kind, [x >> (32 - how.features_log2) for x in (one * 0x9E3779B1 % full, (two * 0x85EBCA77 + 0x51ED270B) % full, pair)]
+
+    def chosen(features):
+        z = [bias[k] + sum(weight[f][k] for f in features) for k in range(how.classes)]
+        total = sum(math.exp(x) for x in z)
+        return [math.exp(x) / total for x in z]
+
+    seen = [[0] * how.classes for _ in range(how.cells)]
+    by_kind, counts = [0] * how.classes, [Counter() for _ in range(how.classes)]
+    for words in texts:
+        for (kind, features), word in zip(tokens_of(words), [*words, None]):
+            by_kind[kind] += 1
+            counts[kind][word] += 1
+            for f in features:
+                seen[f][kind] += 1
+    share = [(n + 1) / (sum(by_kind) + how.classes) for n in by_kind]
+    bias = [math.log(s) for s in share]
+    weight = [[how.start * math.log((n + how.smooth * s) / (sum(row) + how.smooth) / s) for n, s in zip(row, share)] for row in seen]
+    for _ in range(how.updates):
+        expected, modelled = [[0.0] * how.classes for _ in range(how.cells)], [0.0] * how.classes
+        for words in texts:
+            for _, features in tokens_of(words):
+                for k, p in enumerate(chosen(features)):
+                    modelled[k] += p
+                    for f in features:
+                        expected[f][k] += p
+        weight = [[w + how.rate * (n - e - how.decay * w) / ((n + e) / 2 + how.smooth) for w, n, e in zip(*rows)] for rows in zip(weight, seen, expected)]
+        bias = [b + how.rate * (n - m) / ((n + m) / 2 + 1) for b, n, m in zip(bias, by_kind, modelled)]
+
+    def score(words):
+        total = 0.0
+        for (kind, features), word in zip(tokens_of(words), [*words, None]):
+            total += math.log10(chosen(features)[kind]) + math.log10((counts[kind][word] + 1) / (by_kind[kind] + len(counts[kind]) + 1))
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_language_model_equals_plain_training(spark, parts):
+    rng = random.Random(11)
+    vocabulary = ["a", "ing", "going", "doing,", "the", "cathe", "x" * 40, "ünder", "zz1", "zz2"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 3 + i % 8]) for _ in range(rng.randrange(30)))) for i in range(60)] + [(60, None), (61, ""), (61, "a going")]
+    how = maxent_lm.Settings(classes=5, features_log2=5, updates=2, smooth=2.0, decay=0.5, batch=7, block_bytes=400)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words = [((t or "").split()) for _, t in rows]
+    score = plain_model([w for (i, _), w in zip(rows, words) if not held(i)], how)
+    got = maxent_lm.score(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(parts), how).collect()
+    assert sorted((r.doc_id, round(r.score, 3)) for r in got) == sorted((i, round(score(w), 3)) for (i, _), w in zip(rows, words))
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    two, many = ({r.doc_id: r for r in maxent_lm.score(docs.repartition(n)).collect()} for n in (2, 16))
+    assert two.keys() == many.keys()
+    for i, r in two.items():
+        assert (r.n_known, r.train_tokens) == (many[i].n_known, many[i].train_tokens)
+        assert math.isclose(r.score, many[i].score, rel_tol=1e-5) and math.isclose(r.base_score, many[i].base_score, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("wrong", [{"classes": 33}, {"classes": 1}, {"features_log2": 17}, {"features_log2": 0}])
+def test_language_model_settings_are_checked(wrong):
+    with pytest.raises(ValueError, match="must be"):
+        maxent_lm.Settings(**wrong)
+
+
 def test_language_model_has_its_classes(spark):
     how = maxent_lm.Settings()
     blocks = maxent_lm.coded(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), how).select("kinds").collect()
