@@ -6,23 +6,27 @@ components), with no link between different texts lost.
 1. Equal sets become one: a class of copies is represented by one row.
 2. Prefix index. Shingles have a global order, rarest first (by a count sketch of fixed size; any
    order is right, a good one makes lists short). Linked sets share a shingle among the first
-   |x| - ceil(0.85 |x|) + 1 of each. The index lists the sets per prefix shingle.
+   |x| - ceil(0.85 |x|) + 1 of each. The index lists the sets per prefix shingle, each with how
+   many elements it has from there on. In the list of the first shingle that two sets share, the
+   overlap is no larger than the smaller of these two numbers, so in any list a pair that its positions
+   rule out is skipped: if it links, its first list has it.
 3. Index-level skipping. A passage that many sets share gives one list per shingle, all equal:
-   equal lists are found by fingerprint and one is kept.
+   equal lists are found by fingerprint and the earliest in the order is kept, which has the
+   positions that count. Lists in which no set stands early enough to link are left out.
 4. Answer-level skipping. Per list a few centres, drawn at random, are compared with all
    members. A member's answers are then derived from its centre's: members of one class need no
    comparison, and by the triangle inequality of the Jaccard distance neither do members whose
    distances to a centre differ by more than 0.15.
 5. What is left of a list, pairs of different classes, is compared block by block of bounded
    size. The members of a block stand in the order of their sizes, so that a set skips from the
-   first position whose size it cannot link to.
+   first one whose size it cannot link to, and leaves out those that positions rule out.
 6. Once the classes are known, the links of each set are counted: linked sets are of one class, so
    every two blocks of a class meet once. A set goes there as its difference from the centre of its
    class. Distances to the centre decide what they can (too far apart, or near enough to it); for
    the other pairs the overlap follows from the two differences alone.
 
-Comparisons first bound the overlap by the parity of bit maps (exact: it never drops a link),
-then intersect the whole sets. Classes need stars, not all pairs; the counts of step 6 leave a
+Comparisons first bound the overlap by the parity of bit maps (exact: it never drops a link; a map
+has about as many bits as its set has elements, the larger of two is folded), then intersect the whole sets. Classes need stars, not all pairs; the counts of step 6 leave a
 block as one number per set, so no table holds a row per pair of a large group.
 """
 
@@ -45,7 +49,7 @@ class Join:
     width: int = 4  # words in a shingle
     percent: int = 85
     sketch_bits: int = 20  # 8 MB of counters, whatever the size of the data
-    map_bits: int = 2048  # of the parity bit map of a set
+    map_bits: int = 1 << 24  # of the parity bit map of a set at most, a power of two from 64
     centres: int = 3  # per list
     block: int = 512  # members of a list or class that are compared at a time
     block_elements: int = 1 << 20  # of the sets in a block of a class, on average
@@ -85,12 +89,34 @@ def shingle_counts(docs: DataFrame, how: Join) -> np.ndarray:
 SET = "row LONG, doc_id LONG, n LONG, sig BINARY, prefix ARRAY<LONG>, bits BINARY"
 
 
-def _parity(values: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
-    """The parity bit map of each set: bit i says whether an odd number of elements hash to it."""
-    rows = len(offsets) - 1
-    at = np.repeat(np.arange(rows), np.diff(offsets)) * bits + ((values >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64)
-    odd = np.bincount(at, minlength=rows * bits).reshape(rows, bits) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1)
+def _parity(values: np.ndarray, offsets: np.ndarray, most: int) -> list[bytes]:
+    """The parity bit map of each set: bit i says whether an odd number of elements hash to it. The
+    number of bits is the next power of two from the set's size on, 64 at least and `most` at most."""
+    n = np.diff(offsets)
+    bits = np.minimum(1 << np.maximum(np.ceil(np.log2(np.maximum(n, 1))), 6).astype(np.int64), most)
+    ends = np.cumsum(bits)
+    at = np.repeat(ends - bits, n) + ((values >> np.uint64(40)).astype(np.int64) & np.repeat(bits - 1, n))
+    odd = np.packbits((np.bincount(at, minlength=ends[-1] if len(ends) else 0) & 1).astype(np.uint8)).tobytes()
+    return [odd[(end - size) // 8 : end // 8] for size, end in zip(bits.tolist(), ends.tolist())]
+
+
+def _maps(found: list[bytes], size: int) -> np.ndarray:
+    """Bit maps of one length as rows of words, folded to `size` bytes."""
+    maps = np.frombuffer(b"".join(found), np.uint64).reshape(len(found), -1)
+    while maps.shape[1] * 8 > size:
+        maps = maps[:, : maps.shape[1] // 2] ^ maps[:, maps.shape[1] // 2 :]
+    return maps
+
+
+def _apart(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """The least size of the symmetric difference of the sets of each pair of bit maps."""
+    out, sizes = np.empty(len(xs), np.int64), {}
+    for i, size in enumerate(zip(map(len, xs), map(len, ys))):
+        sizes.setdefault(size, []).append(i)
+    for size, at in sizes.items():
+        x, y = (_maps([maps[i] for i in at], min(size)) for maps in (xs, ys))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def describe(docs: DataFrame, how: Join, counts: np.ndarray, row: str | None = None) -> DataFrame:
@@ -113,11 +139,10 @@ def describe(docs: DataFrame, how: Join, counts: np.ndarray, row: str | None = N
                     sigs.append(xxhash.xxh3_128_digest(mine.tobytes()) if b > a else None)
                 flat = np.concatenate(kept) if kept else np.empty(0, np.uint64)
                 cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                maps = _parity(values, offsets, how.map_bits)
                 rows = part.column("row") if row else pa.array(np.arange(first_row, first_row + len(n)))
                 yield pa.RecordBatch.from_arrays(
                     [rows, part.column("doc_id"), pa.array(n), pa.array(sigs, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64))), pa.array([m.tobytes() for m in maps], pa.binary())],
+                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64))), pa.array(_parity(values, offsets, how.map_bits), pa.binary())],
                     ["row", "doc_id", "n", "sig", "prefix", "bits"],
                 )
                 first_row += len(n)
@@ -125,25 +150,24 @@ def describe(docs: DataFrame, how: Join, counts: np.ndarray, row: str | None = N
     return _source(docs, row).mapInArrow(run, SET)
 
 
-def _alike(how: Join, n, m):
-    """Whether sets of these sizes can link."""
-    return 100 * F.least(n, m) >= how.percent * F.greatest(n, m)
-
-
 def _enough(how: Join, overlap, n, m):
     return 100 * overlap >= how.percent * (n + m - overlap)
 
 
-def index(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(token, rep, n, members): the lists with at least two sets, one of equal lists."""
-    postings = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
+def index(reps: DataFrame, how: Join, scratch: Scratch) -> DataFrame:
+    """(token, rep, n, left, members): the lists with at least two sets, one of equal lists. `left` is
+    the number of elements of the set from the token on, in the global order."""
+    postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.select("token", "rep", "n", (F.col("n") - F.col("pos")).alias("left"))
+    # The smaller set of a pair must stand early enough for one of its own size.
+    early = _enough(how, F.col("left"), F.col("n"), F.col("n"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("members"), F.bool_or(early).alias("early"))
     passing = Scratch(reps.sparkSession)
-    live = passing.keep(postings.join(shared, "token"), "postings")
+    live = passing.keep(postings.join(shared.filter("members > 1 AND early").drop("early"), "token"), "postings")
     prints = live.groupBy("token", "members").agg(
-        F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2")
+        F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2"), F.sum("left").alias("left")
     )
-    one = prints.groupBy("f1", "f2", "members").agg(F.min("token").alias("token")).select("token")
+    one = prints.groupBy("f1", "f2", "members").agg(F.max_by("token", F.struct("left", "token")).alias("token")).select("token")
     lists = scratch.keep(live.join(one, "token", "left_semi"), "lists")
     passing.delete()
     return lists
@@ -153,9 +177,10 @@ def stars(lists: DataFrame, how: Join) -> DataFrame:
     """Distinct (a, b) of list centres and the members they could link to."""
     pairs = None
     for seed in range(how.centres):
-        centre = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("draw"), "rep", "n")).alias("c"))
-        centre = centre.select("token", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"))
-        found = lists.join(centre, "token").filter((F.col("rep") != F.col("centre")) & _alike(how, F.col("n"), F.col("m")))
+        centre = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("draw"), "rep", "n", "left")).alias("c"))
+        centre = centre.select("token", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"), F.col("c.left").alias("beyond"))
+        can = _enough(how, F.least("left", "beyond"), F.col("n"), F.col("m"))
+        found = lists.join(centre, "token").filter((F.col("rep") != F.col("centre")) & can)
         found = found.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.distinct()
@@ -173,9 +198,8 @@ def by_bit_map(pairs: DataFrame, reps: DataFrame, how: Join) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(W.values(batch.column(c))), np.uint64).reshape(batch.num_rows, -1) for c in ("a_bits", "b_bits"))
             n, m = (batch.column(c).to_numpy() for c in ("a_n", "b_n"))
-            most = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+            most = (n + m - _apart(W.values(batch.column("a_bits")), W.values(batch.column("b_bits")))) // 2
             yield batch.select(["a", "b"]).filter(pa.array(_enough(how, most, n, m)))
 
     return _with(pairs, reps, "n", "bits").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(run, "a LONG, b LONG")
@@ -229,7 +253,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join, scra
 
 
 def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFrame, how: Join, most_each: int, scratch: Scratch) -> DataFrame:
-    """(a, b, more): pairs of one list and different classes that neither sizes, bit maps nor the
+    """(a, b, more): pairs of one list and different classes that neither sizes, positions, bit maps nor the
     distances to the list's first centre rule out. Of a set and the members of one class, the
     `most_each` likeliest; `more` says that there are others."""
     labelled = lists.filter("members > 2").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -240,7 +264,7 @@ def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFr
     rows = labelled.join(mixed, "token").withColumns({"a": F.least("rep", "centre"), "b": F.greatest("rep", "centre")})
     rows = rows.join(known.select("a", "b", "overlap", F.col("n").alias("_n"), F.col("m").alias("_m")), ["a", "b"], "left")
     distance = F.when(F.col("rep") == F.col("centre"), F.lit(0.0)).otherwise(1 - F.col("overlap") / (F.col("_n") + F.col("_m") - F.col("overlap")))
-    rows = scratch.keep(rows.select("token", "rep", "n", "root", "members", distance.alias("d")), "mixed")
+    rows = scratch.keep(rows.select("token", "rep", "n", "left", "root", "members", distance.alias("d")), "mixed")
 
     # Members are dealt to blocks, and every two blocks of a list meet in one small group.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / how.block)).cast("int")
@@ -248,14 +272,21 @@ def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFr
     meets = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = rows.withColumn("own", own).withColumn("other", meets)
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.join(reps.select("rep", "bits"), "rep").select("token", "i", "j", "own", "rep", "n", "root", "d", "bits")
+    dealt = dealt.join(reps.select("rep", "bits"), "rep").select("token", "i", "j", "own", "rep", "n", "left", "root", "d", "bits")
     reach = 1 - how.percent / 100 + 1e-9
 
     def run(key, table):
         table = table.sort_by([("n", "ascending"), ("rep", "ascending")])
-        rep, n, root, own = (table.column(c).to_numpy() for c in ("rep", "n", "root", "own"))
+        rep, n, left, root, own = (table.column(c).to_numpy() for c in ("rep", "n", "left", "root", "own"))
         d = table.column("d").to_numpy(zero_copy_only=False).astype(float)  # null: unknown
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(rep), -1)
+        bits = table.column("bits").to_pylist()
+        size = np.fromiter(map(len, bits), np.int64, len(bits))  # rises with n
+        maps = {}  # of each size: the first member with it, and the maps from there on as far as they can be met
+        for length in np.unique(size).tolist():
+            first, beyond = np.searchsorted(size, [length, length + 1]).tolist()
+            stop = int(np.searchsorted(n, n[beyond - 1] * 100 // how.percent, side="right"))
+            parts = np.split(np.arange(first, stop), np.flatnonzero(np.diff(size[first:stop])) + 1)
+            maps[length] = first, np.concatenate([_maps([bits[y] for y in part], length) for part in parts])
         i, j = key[1].as_py(), key[2].as_py()
         out = []
         for x in range(len(rep)):
@@ -264,17 +295,19 @@ def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFr
             ys = ys[root[ys] != root[x]]
             if i != j:
                 ys = ys[own[ys] != own[x]]
+            ys = ys[_enough(how, np.minimum(left[ys], left[x]), n[x], n[ys])]
             if not np.isnan(d[x]):
                 ys = ys[~(np.abs(d[ys] - d[x]) > reach)]
-            most = (n[x] + n[ys] - np.bitwise_count(bits[ys] ^ bits[x]).sum(axis=1, dtype=np.int64)) // 2
+            first, known_maps = maps[int(size[x])]
+            most = (n[x] + n[ys] - np.bitwise_count(known_maps[ys - first] ^ known_maps[x - first]).sum(axis=1, dtype=np.int64)) // 2
             fits = _enough(how, most, n[x], n[ys])
             ys, most = ys[fits], most[fits]
             if not len(ys):
                 continue
             order = np.lexsort((ys, -most, root[ys]))
             ys = ys[order]
-            first = np.flatnonzero(np.concatenate([[True], root[ys][1:] != root[ys][:-1]]))
-            rank = np.arange(len(ys)) - np.repeat(first, np.diff(np.append(first, len(ys))))
+            starts = np.flatnonzero(np.concatenate([[True], root[ys][1:] != root[ys][:-1]]))
+            rank = np.arange(len(ys)) - np.repeat(starts, np.diff(np.append(starts, len(ys))))
             more = bool((rank >= most_each).any())
             out.extend((min(rep[x], rep[y]), max(rep[x], rep[y]), more) for y in ys[rank < most_each].tolist())
         a, b, more = zip(*out) if out else ((), (), ())
@@ -379,12 +412,16 @@ def classes(docs: DataFrame, how: Join = Join(), row: str | None = None, count_l
     shingles, links with nothing and has its own doc_id. Repeated rows are linked copies. An
     empty table gives an empty one; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
-    every = scratch.keep(describe(docs, how, shingle_counts(docs, how), row), "described")
+    scratch, passing = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    described = passing.keep(describe(docs, how, shingle_counts(docs, how), row), "described")
+    every = scratch.keep(described.select("row", "doc_id", "n", "sig"), "rows")
     copies = every.filter("n > 0").groupBy("sig").agg(F.min("row").alias("rep"))
-    rep_rows = every.join(copies.select(F.col("rep").alias("row")), "row", "left_semi")
-    reps = scratch.keep(rep_rows.withColumnRenamed("row", "rep"), "reps")
-    lists = index(reps, scratch)
+    rep_rows = described.join(copies.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "rep")
+    reps = scratch.keep(rep_rows.drop("prefix"), "reps")
+    # Prefixes are joined to the sets anew, not carried along: only the index wants them.
+    prefixes = described.select(F.col("row").alias("rep"), "n", "prefix").join(reps.select("rep"), "rep", "left_semi")
+    lists = index(prefixes, how, scratch)
+    passing.delete()
     known, sets = verified(docs, reps, stars(lists, how), how, scratch)
     roots = components(known.filter("link").select("a", "b"), scratch)
     # Two near classes need one link, not all: first the likeliest pairs, more of them only
