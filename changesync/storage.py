@@ -2,16 +2,19 @@
 
 Parquet has no MERGE, so a batch writes the buckets it changes under `v=<batch>` and then puts a
 manifest in place that names the files of every bucket. Running a batch id again overwrites the
-same files and manifest, which makes a restarted batch exactly-once. A table format with MERGE
-can take the same deltas instead.
+same files and manifest, which makes a restarted batch exactly-once. Writers without batch ids
+commit against the version they read, and start over when another was faster. A table format with
+MERGE can take the same deltas instead.
 """
 
 import atexit
 import contextlib
 import json
+import random
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changesync.session import ensure_checkpoint_dir
@@ -84,6 +87,13 @@ class Lease:
             fs.delete(path(root), True)
 
 
+class StaleWriter(RuntimeError):
+    """The table has moved on from the version that a write was made for."""
+
+
+ATTEMPT_BITS = 40  # files of an attempt at version n lie under v = n << ATTEMPT_BITS and a random number
+
+
 class KeyedTable:
     """A versioned table under `root`; `schema` is used while nothing was written yet.
 
@@ -91,6 +101,9 @@ class KeyedTable:
     given). A version is a manifest that names, for each bucket, the batch that wrote it last, so
     an update writes the buckets it touches and shares all others with the version before.
     Versions older than the newest `keep` are removed with what only they refer to.
+
+    A table is written either in batches by one writer (`write`, `update`), of which one older than the
+    newest version is refused, or by any number of writers at a time (`change`).
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: Sequence[str] = (), buckets: int = 64, keep: int = 3) -> None:
@@ -147,13 +160,20 @@ class KeyedTable:
         touched = self._touched(changes, key)
         return self._read({b: v for b, v in manifest.items() if b in touched})
 
+    def _refuse_stale(self, batch_id: int) -> None:
+        newest = self.version()
+        if newest is not None and newest > batch_id:
+            raise StaleWriter(f"{self.root} is at version {newest}: batch {batch_id} came too late")
+
     def write(self, df: DataFrame, batch_id: int) -> None:
         """A whole new version."""
+        self._refuse_stale(batch_id)
         self._commit(batch_id, {}, self._put(df, batch_id, self.buckets))
 
     def update(self, changes: DataFrame, batch_id: int, merge: Callable[[DataFrame], DataFrame], key: Sequence[str] = ()) -> None:
         """A version in which the buckets of `changes` (found by `key`, the table's own if not given) hold what
         `merge` makes of their old rows. `merge` must keep rows of other keys and add none."""
+        self._refuse_stale(batch_id)
         manifest = self._manifest(self.older(batch_id))
         touched = self._touched(changes, key)
         written = set()
@@ -162,6 +182,28 @@ class KeyedTable:
             written = self._put(merge(old), batch_id, len(touched))
         self._commit(batch_id, {b: v for b, v in manifest.items() if b not in touched}, written)
 
+    def change(self, changes: DataFrame, merge: Callable[[DataFrame], DataFrame], key: Sequence[str] = (), attempts: int = 10) -> int:
+        """Like `update`, beside other writers; returns the version made. The commit goes through only
+        if the version that was read is still the newest; otherwise the buckets are read again and
+        `merge` runs anew, so it must not depend on anything but its argument. `StaleWriter` after
+        `attempts` lost races. Whether two commits can both go through depends on the store: it must not
+        rename onto an existing file."""
+        fs, path = _files(self.spark, self.root)
+        for _ in range(attempts):
+            base = self.version()
+            manifest, version = self._manifest(base), (base or 0) + 1
+            touched = self._touched(changes, key)
+            attempt, written = version << ATTEMPT_BITS | random.getrandbits(ATTEMPT_BITS), set()
+            if touched:
+                old = self._read({b: v for b, v in manifest.items() if b in touched})
+                written = self._put(merge(old), attempt, len(touched))
+            kept = {b: v for b, v in manifest.items() if b not in touched}
+            if self._place(fs, path, version, kept | dict.fromkeys(written, attempt), replace=False):
+                self._remove_old(fs, path)
+                return version
+            fs.delete(path(f"{self.root}/v={attempt}"), True)
+        raise StaleWriter(f"{self.root}: {attempts} attempts lost to other writers")
+
     def _put(self, df: DataFrame, batch_id: int, parts: int) -> set[int]:
         """Write the rows by bucket; returns the buckets that have any."""
         rows = df.select(*self.columns, self._bucket(self.key).alias("bucket")).repartition(parts, "bucket")
@@ -171,14 +213,32 @@ class KeyedTable:
         return {int(n.split("=")[1]) for n in names if n.startswith("bucket=")}
 
     def _commit(self, batch_id: int, kept: dict[int, int], written: set[int]) -> None:
+        self._refuse_stale(batch_id)
         fs, path = _files(self.spark, self.root)
-        draft, final = path(f"{self.root}/_commits/.{uuid.uuid4().hex}"), path(f"{self.root}/_commits/{batch_id}")
+        self._place(fs, path, batch_id, kept | dict.fromkeys(written, batch_id), replace=True)
+        self._remove_old(fs, path)
+
+    def _place(self, fs, path, version: int, manifest: dict[int, int], replace: bool) -> bool:
+        """Put a manifest in place whole. Without `replace`, False if the version is there already."""
+        draft, final = path(f"{self.root}/_commits/.{uuid.uuid4().hex}"), path(f"{self.root}/_commits/{version}")
         stream = fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"buckets": self.buckets, "written": kept | dict.fromkeys(written, batch_id)}).encode()))
+        stream.write(bytearray(json.dumps({"buckets": self.buckets, "written": manifest}).encode()))
         stream.close()
-        fs.delete(final, False)  # of a run of this batch that ended early
-        fs.rename(draft, final)
-        self._remove_old(fs, path)
+        if replace:
+            fs.delete(final, False)  # of a run of this batch that ended early
+            fs.rename(draft, final)
+            return True
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        plain = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)  # fails where the file exists
+        try:
+            hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(draft, final, plain)
+            return True
+        except Py4JJavaError as failed:
+            if "FileAlreadyExistsException" not in failed.java_exception.getClass().getName():
+                raise
+            fs.delete(draft, False)
+            return False
 
     def _remove_old(self, fs, path) -> None:
         versions = self._committed()
@@ -188,9 +248,12 @@ class KeyedTable:
         newest = versions[-1]
         for folder in fs.listStatus(path(self.root)):
             name = folder.getPath().getName()
-            if not name.startswith("v=") or int(name[2:]) > newest:
+            if not name.startswith("v="):
                 continue
             version, gone = int(name[2:]), 0
+            made_for = version >> ATTEMPT_BITS
+            if (made_for > versions[0]) if made_for else (version > newest):
+                continue  # may be under way
             inside = [s.getPath() for s in fs.listStatus(folder.getPath()) if s.getPath().getName().startswith("bucket=")]
             for bucket in inside:
                 if (version, int(bucket.getName().split("=")[1])) not in live:

@@ -11,7 +11,7 @@ from changesync.operators import history, targets, xref
 from changesync.plans import scheduled
 from changesync.schema import HISTORY, XREF_LINK, XREF_ROW
 from changesync.sources import catalog, maps, pull, watermarks
-from changesync.storage import KeyedTable
+from changesync.storage import KeyedTable, StaleWriter
 
 T = datetime(2024, 5, 1, tzinfo=timezone.utc)
 TOMB = ("crm", [], "", "erp", T)
@@ -297,3 +297,62 @@ def test_an_update_writes_only_the_buckets_it_touches(spark, tmp_path):
     again.update(spark.range(0).selectExpr("'x' AS k"), 6, lambda old: old)
     assert again.read().count() == 3 and sorted(p.name for p in root.glob("v=*")) == ["v=4"]
     assert sorted(p.name for p in (root / "_commits").glob("[0-9]*")) == ["4", "5", "6"]
+
+
+def test_writers_side_by_side_lose_nothing(spark, tmp_path):
+    """A second writer commits while the first one merges: the first reads again and both changes are there,
+    versions of the links counted up by each. What the lost attempt wrote is removed; a batch older than the table is refused."""
+    root = tmp_path / "links"
+    table = KeyedTable(spark, str(root), "k STRING, v INT, version INT", ["k"], buckets=2)
+    other = KeyedTable(spark, str(root), "k STRING, v INT, version INT", ["k"], buckets=2)
+    merges = []
+
+    def adding(n):
+        def merge(old):
+            return old.select("k", (F.col("v") + n).alias("v"), (F.col("version") + 1).alias("version"))
+        return merge
+
+    def slow(old):
+        merges.append(1)
+        if len(merges) == 1:  # the race: the other writer is through before this one commits
+            assert other.change(one, adding(10)) == 2
+        return adding(1)(old)
+
+    one = spark.createDataFrame([("x",)], "k STRING")
+    first = spark.createDataFrame([("x", 0, 1)], "k STRING, v INT, version INT")
+    assert table.change(first, lambda old: old.unionByName(first)) == 1
+    assert table.change(one, slow) == 3 and len(merges) == 2
+    assert [r[:] for r in table.read().collect()] == [("x", 11, 3)]
+    assert len(list(root.glob("v=*"))) == 3  # one folder a version, none of the lost attempt
+    for n in range(4):
+        table.change(one, adding(n))
+    assert [r[:] for r in other.read().collect()] == [("x", 17, 7)] and len(list(root.glob("v=*"))) <= 4
+
+    def beaten(old):
+        other.change(one, adding(0))
+        return old
+
+    with pytest.raises(StaleWriter):
+        table.change(one, beaten, attempts=2)
+    with pytest.raises(StaleWriter):
+        table.write(first, 1)
+    assert [r["v"] for r in table.read().collect()] == [17]
+
+
+def test_interleaved_savers_lose_no_link(spark, tmp_path):
+    """Both save a link of their own and one that they share; the slower one starts over on what the other saved."""
+    saved = f"{XREF_LINK}, save_order LONG"
+    row = lambda n, order: (*link(n), order)
+    mine, theirs = (spark.createDataFrame([row(n, i), row(9, i)], saved) for n, i in ((1, 1), (2, 2)))
+    tables = [KeyedTable(spark, str(tmp_path / "links"), XREF_ROW, ["lookup_key"], 2) for _ in range(2)]
+    entered = []
+
+    def slow(old):
+        entered.append(1)
+        if len(entered) == 1:
+            tables[1].change(xref.mirrors(theirs), lambda rows: xref.save(rows, theirs, "save_order"))
+        return xref.save(old, mine, "save_order")
+
+    tables[0].change(xref.mirrors(mine), slow)
+    got = {(r["record_id_a"], r["version"]) for r in tables[1].read().collect()}
+    assert len(entered) == 2 and got == {("A1", 1), ("A2", 1), ("A9", 2)} and tables[1].read().count() == 6
