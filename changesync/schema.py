@@ -31,7 +31,7 @@ ENTITY_MAP = (
     "schedule STRUCT<cron: STRING, mode: STRING, detect_deletes: BOOLEAN>"
 )
 
-# The same document as it lies on disk: one camelCase JSON file per map.
+# The same document as it lies on disk, in camelCase JSON.
 ENTITY_MAP_DOCUMENT = (
     "name STRING, sourceSystem STRING, sourceEntity STRING, targetSystem STRING, targetEntity STRING, "
     "direction STRING, status STRING, companies ARRAY<STRING>, "
@@ -40,6 +40,9 @@ ENTITY_MAP_DOCUMENT = (
     "schedule STRUCT<cron: STRING, mode: STRING, detectDeletes: BOOLEAN>"
 )
 
+# A file of them: one map, or a list of maps.
+ENTITY_MAP_FILE = f"{ENTITY_MAP_DOCUMENT}, maps ARRAY<STRUCT<{ENTITY_MAP_DOCUMENT}>>"
+
 XREF_LINK = (
     "pair_key STRING, system_a STRING, record_id_a STRING, system_b STRING, record_id_b STRING, "
     f"state {SYNC_STATE}"

@@ -243,6 +243,19 @@ def test_maps_round_trip(spark, tmp_path):
     assert maps.delete_maps(read, spark.createDataFrame([("zzz",)], "name STRING")).count() == 1
 
 
+def test_maps_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(maps, "FILE_MAPS", 4)
+    docs = [json.dumps({"name": f"m{i}", "companies": [], "fields": [{"source": "a", "target": "b", "defaultValue": i}]}) for i in range(10)]
+    some = maps.parse_maps(spark.createDataFrame([(d,) for d in [*docs, docs[0]]], "document STRING").coalesce(1))
+    maps.write_maps(some, str(tmp_path))
+    assert len(list(tmp_path.glob("*.json"))) == 3
+    (tmp_path / "own.json").write_text('{"name": "own",\n "fields": []}')
+    read = maps.read_maps(spark, str(tmp_path))
+    own = maps.parse_maps(spark.createDataFrame([('{"name": "own", "fields": []}',)], "document STRING"))
+    wanted = maps.to_documents(some.unionByName(own)).collect()
+    assert sorted(r["document"] for r in maps.to_documents(read).collect()) == sorted(r["document"] for r in wanted)
+
+
 def test_catalogs(spark):
     options = {"LogicalName": "f", "OptionSet": {"Options": []}, "GlobalOptionSet": {"Options": [{"Value": 2, "Label": None}, {"Value": 1, "Label": {"UserLocalizedLabel": {"Label": "one"}}}]}}
     sets = catalog.read_documents(spark.createDataFrame([(json.dumps(options),)], "document STRING"), catalog.CRM_OPTIONS)
