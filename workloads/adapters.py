@@ -16,11 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows of a task at most: a payload takes close to a millisecond to parse.
+TASK_ROWS = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """An input of fewer splits than cores (one small file) is spread over them; anything
-    larger already has splits enough and is left as it is."""
+    """The rows dealt evenly over tasks of `TASK_ROWS` rows at most, one a core at least. Splits of the input
+    say little: a row group lies in one of them whole, and their number follows bytes and cores, not rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // TASK_ROWS)))
 
 
 # --- change events ----------------------------------------------------------------------
