@@ -4,9 +4,13 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from changesync.functions.keys import sanitize_partition
 from changesync.functions.text import MAX_ERROR_LENGTH, truncate
+from changesync.operators import prefix
 from changesync.schema import OUTCOMES
+from changesync.storage import Scratch
 
 PAGE_SIZE = 50
+# Rows of a page that one task may collect.
+TASK_PAGE = 10_000
 
 # The CSV columns, in order.
 CSV_COLUMNS = (
@@ -37,8 +41,9 @@ def to_append(history: DataFrame) -> DataFrame:
 
 def append(history: DataFrame, path: str) -> None:
     """Append to the log, by map and day; files hold disjoint stretches of time, so their statistics
-    tell a reader which ones a page needs."""
-    rows = to_append(history).repartitionByRange("map_partition", "newest_first").sortWithinPartitions("map_partition", "newest_first")
+    tell a reader which ones a page needs. Rows of one time are divided by their number."""
+    order = ["map_partition", "newest_first", "row_id"]
+    rows = to_append(history).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.mode("append").partitionBy("map_partition", "day").parquet(path)
 
 
@@ -66,7 +71,8 @@ def page(history: DataFrame, map_name: str, before: Column | Row | None = None,
     """Newest rows of a map; `maybe_more` when the page is full. `before` is the last row of the
     page before, or a time that all rows must be older than. Of a stored log only the map's own
     folders up to the day of `before` are read, and a walk from page to page meets every row once; of
-    rows that were never stored, those equal in all order columns cannot be told apart."""
+    rows that were never stored, those equal in all order columns cannot be told apart. The end of a page of
+    more than TASK_PAGE rows is looked for at once, and no task collects the page."""
     rows = history.filter(F.col("map_name") == map_name)
     if "map_partition" in history.columns:
         rows = rows.filter(F.col("map_partition") == sanitize_partition(F.lit(map_name)))
@@ -75,10 +81,28 @@ def page(history: DataFrame, map_name: str, before: Column | Row | None = None,
         if "day" in history.columns:
             rows = rows.filter(F.col("day") <= F.to_date(time))
         rows = rows.filter(_after(rows, before) if isinstance(before, Row) else F.col("processed_at") < before)
+    if size > TASK_PAGE:
+        return _large_page(rows, size)
     top = rows.orderBy(*_place(rows)).limit(size)
     return top.withColumn("maybe_more", F.count("*").over(Window.partitionBy("map_name")) == size)
 
 
+def _large_page(rows: DataFrame, size: int) -> DataFrame:
+    """The first `size` rows: those up to the place of the last one, which the places alone tell."""
+    scratch, place = Scratch(rows.sparkSession), F.struct(*[c.alias(n) for c, n in zip(_place(rows), ORDER)])
+    try:
+        places = scratch.keep(prefix.with_parts(rows.select(place.alias("p")).select("p.*").orderBy(*ORDER)), "places")
+        last = prefix.numbered(places, "_n").filter(F.col("_n") == size - 1).select(*ORDER).first()
+        if last is None:
+            return rows.orderBy(*_place(rows)).withColumn("maybe_more", F.lit(False))
+        end = F.struct(*[F.lit(last[n]).cast(places.schema[n].dataType).alias(n) for n in ORDER])
+        before = places.filter(F.struct(*ORDER) < end).count()
+    finally:
+        scratch.delete()
+    found = rows.filter(place < end).unionByName(rows.filter(place == end).limit(size - before))
+    return found.orderBy(*_place(found)).withColumn("maybe_more", F.lit(True))
+
+
 def filter_outcome(history: DataFrame, outcome: str | None) -> DataFrame:
     return history if outcome is None else history.filter(F.col("outcome") == outcome)
 

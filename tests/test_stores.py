@@ -225,6 +225,29 @@ def test_a_walk_over_tied_rows_meets_each_once(spark, tmp_path):
     assert "day" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "GreaterThanOrEqual(newest_first" in scan
 
 
+def test_tied_rows_are_stored_by_several_tasks(spark, tmp_path):
+    rows = [("m/1", T, "Failed", "Update", "erp", "r", "crm", None, None, T, str(i), None, "c") for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        history.append(spark.createDataFrame(rows, HISTORY), f"{tmp_path}/log")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "log").rglob("*.parquet"))) > 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 20, 21])
+def test_large_pages_are_cut_like_small_ones(spark, tmp_path, monkeypatch, size):
+    rows = [("m/1", T if i % 3 else None, "Failed", "Update", "erp", None if i % 2 else "r", "crm", None, None, T, str(i), None, "c") for i in range(20)]
+    history.append(spark.createDataFrame(rows, HISTORY), f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    twice = spark.createDataFrame(rows + rows, HISTORY).drop("error")  # equal in all that orders them
+    small = [history.page(t, "m/1", size=size).collect() for t in (stored, twice)]
+    monkeypatch.setattr(history, "TASK_PAGE", 0)
+    large = [history.page(t, "m/1", size=size) for t in (stored, twice)]
+    assert [t.collect() for t in large] == small
+    assert "TakeOrdered" not in large[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_maps_round_trip(spark, tmp_path):
     doc = {"name": "m", "sourceSystem": "erp", "sourceEntity": "e", "targetSystem": "crm", "targetEntity": "f", "direction": "oneWay",
            "status": "paused", "companies": ["x"], "integrationKey": ["k"], "version": 8,
