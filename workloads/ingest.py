@@ -9,6 +9,7 @@ from changesync.functions.values import canonical_json, decode_str
 from changesync.operators import dedupe, prefix
 from changesync.session import ensure_checkpoint_dir
 from changesync.sources import ingest
+from changesync.storage import Scratch
 from changesync.streaming import pipeline as flow
 from workloads import adapters as a
 from workloads.functions import MESSAGE_ID
@@ -155,10 +156,11 @@ def dlq_replay(spark, sf_dir):
     """Dead letters and the live flow go through ingestion again together; duplicates collapse
     and what was unreadable stays out."""
     keep = ["arrival_seq", "enqueued_at", "delivery_count"]
-    raw = payloads(spark, sf_dir)
-    dead = ingest.replay(ingest.quarantine(ingest.parse_events(raw, PARSERS), *keep))
-    again = ingest.parse_events(raw.select("raw", *keep).unionByName(dead), PARSERS)
-    published = dedupe.envelope(ingest.accepted(again, *keep))
+    live = ingest.parse_events(payloads(spark, sf_dir).select("raw", *keep), PARSERS)
+    live = Scratch(spark).keep(live.withColumn("raw", F.when(F.col("error").isNotNull(), F.col("raw"))), "live")
+    dead = ingest.parse_events(ingest.replay(ingest.quarantine(live, *keep)), PARSERS)
+    again = ingest.accepted(live, *keep).unionByName(ingest.accepted(dead, *keep))
+    published = dedupe.envelope(again)
     return published.groupBy("message_id").agg(F.count("*").alias("deliveries"))
 
 
