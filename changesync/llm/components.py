@@ -4,8 +4,13 @@ Each round every vertex hooks to its smallest neighbour, the hooks are followed
 and the links are drawn again between roots. The number of vertices with links at least halves,
 so a few rounds end it, whatever the diameter. Nothing is gathered per vertex or on the driver;
 aggregations combine before they shuffle, joins have a unique right side.
+
+A large group has many links more than members, most of them needless: before the rounds, each task
+keeps a spanning forest of its share of the links, a bounded number of them.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from changesync.storage import Scratch
@@ -24,12 +29,40 @@ def _roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
             return parents.withColumnRenamed("parent", "root")
 
 
+TASK_LINKS = 1 << 18  # links of a task at most
+TASKS = 8  # at least
+
+
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """Some of `links` (a, b) that join the same nodes: of each task's share as many as it has nodes at most."""
+
+    def run(batches):
+        shares = [np.stack([b.column(c).to_numpy() for c in "ab"]) for b in batches]
+        if not shares:
+            return
+        share = np.concatenate(shares, axis=1)
+        up = list(range(len(nodes := np.unique(share))))
+        kept = []
+        for i, (a, b) in enumerate(zip(*np.searchsorted(nodes, share).tolist())):
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                kept.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array(share[0, kept]), pa.array(share[1, kept])], ["a", "b"])
+
+    return links.repartition(max(TASKS, -(-links.count() // TASK_LINKS))).mapInArrow(run, "a LONG, b LONG")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of `links` (a, b), root the smallest node of its component.
 
     Nodes are longs; links may repeat, in either direction, and may be loops.
     """
-    edges = scratch.keep(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    proper = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = scratch.keep(spanning_forest(proper).distinct(), "edges")
     label = None
     while not edges.isEmpty():
         # The larger end hooks to its smallest neighbour: no cycles, since parents are smaller.
