@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from changesync.llm import maxent_lm, tokens, toxicity, viterbi_count
+from changesync.llm.counters import tree_sum
 
 PIECES = tokens.public_path("piece_bpe_32k.model")
 
@@ -237,3 +238,14 @@ def test_count_tokens_adds_up(spark, awkward, nothing, clash):
     want = sorted((str(r.doc_id), sum(counter.segment("▁" + w.decode())[1] for w in (r.text or "").encode().split())) for r in awkward.collect())
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
     assert viterbi_count.count_tokens(nothing, PIECES).collect() == []
+
+
+def test_sums_reach_the_driver_as_one_array(spark, monkeypatch):
+    """Whatever the number of tasks; an array of each of several tasks did before, through an RDD."""
+    for size, dtype, parts in ((1000, "<i8", 40), (7, "<f4", 3), (1, "<i4", 1)):
+        arrays = np.random.default_rng(size).integers(0, 100, (parts, size)).astype(dtype)
+        rows = spark.createDataFrame([(a.tobytes(),) for a in arrays], "sums BINARY").repartition(parts)
+        with monkeypatch.context() as m:
+            m.setattr(type(rows), "rdd", property(lambda _: pytest.fail("an RDD")))
+            assert (tree_sum(rows, dtype) == arrays.sum(axis=0)).all()
+            assert tree_sum(rows.filter("false"), dtype) is None
