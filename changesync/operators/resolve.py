@@ -54,9 +54,6 @@ def _facts(rows: DataFrame, content_echo: bool) -> DataFrame:
     body = []
     if content_echo:
         body = [
-            F.when(~F.col("identity_echo"), F.map_entries("data")).alias("data"),
-            F.when(gone, F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array_sort(F.map_keys("mapped"))).alias("fields"),
-            F.when(gone, F.lit("")).otherwise(payload_hash("mapped")).alias("hash"),
             F.when(F.col("link").isNotNull(), F.struct(
                 F.lit(True).alias("has"), F.lower(state["written_to_system"]).alias("w"), state["written_fields"].alias("fields"),
                 state["written_payload_hash"].alias("hash"), micros(state["last_writer_at"]).alias("at"), F.lit(None).cast("bigint").alias("row"),
@@ -100,12 +97,15 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(rows: DataFrame, scratch: Scratch, fold_rows: int = FOLD_ROWS, content_echo: bool = True) -> DataFrame:
+def verdicts(
+    rows: DataFrame, scratch: Scratch, fold_rows: int = FOLD_ROWS, content_echo: bool = True, bodies: DataFrame | None = None,
+) -> DataFrame:
     """(_row, verdict, has_link, error) of every row: the verdict is an outcome or `Upserted`, has_link says
     whether the row found a link, error why it failed.
 
     Needs: _row (distinct), link_key, bucket, arrival_seq, map_name, source/target_system, operation,
-    occurred_at, data, mapped, identity_echo, system_error, map_error, key_error, link.
+    occurred_at, identity_echo, system_error, map_error, key_error, link, and of `bodies`, or `rows` themselves,
+    _row, data, mapped. Bodies are read for the rows of contested links only.
     """
     arrival = Window.partitionBy(*CHUNK).orderBy(*ORDER)
     inside = arrival.rowsBetween(*prefix.BEFORE)
@@ -125,7 +125,8 @@ def verdicts(rows: DataFrame, scratch: Scratch, fold_rows: int = FOLD_ROWS, cont
     quick = scanned if not content_echo else scanned.filter(~F.col("contested"))
     out = quick.withColumn("verdict", _verdict(quick, F.lit(False), F.col("seen_at"), F.col("has_link"))).select(*result)
     if content_echo and summaries.filter("contested").limit(1).count():
-        out = out.unionByName(_fold(scanned.filter("contested"), scratch).select(*result))
+        told = (rows if bodies is None else bodies).select("_row", "data", "mapped")
+        out = out.unionByName(_fold(scanned.filter("contested").join(told, "_row"), scratch).select(*result))
     reason = F.coalesce("broken", F.when(~F.col("has_link"), F.col("key_error")))
     return out.select("_row", "verdict", "has_link", F.when(F.col("verdict") == FAILED, reason).alias("error"))
 
@@ -194,14 +195,25 @@ def _walk(items: str, start: Column) -> Column:
     return F.aggregate(items, F.struct(start.alias("s"), done.alias("done")), step, lambda a: a["done"])
 
 
-_ITEM = [*ORDER, "_row", "source", "target", "ours", "sound", "gone", "broken", "key_error", "links", "at", "seen_at", "has_link", "data", "fields", "hash"]
+_ITEM = [*ORDER, "_row", "source", "target", "ours", "sound", "gone", "broken", "key_error", "links", "at", "seen_at", "has_link", "data"]
+
+
+def _written(item) -> list[Column]:
+    """The fields an item writes, and their hash: made once the items are gathered, since hashes do not compress."""
+    fields = F.when(item["gone"], F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.array_sort(F.transform(item["mapped"], lambda e: e["key"])))
+    hash_ = F.when(item["gone"], F.lit("")).otherwise(payload_hash(F.map_from_entries(item["mapped"])))
+    return [fields.alias("fields"), hash_.alias("hash")]
 
 
 def _fold(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(_row, verdict, has_link, broken, key_error) of the rows of contested links."""
     none = F.expr(f"CAST(NULL AS {STATE})")
-    pieces = scratch.keep(rows.groupBy(*PIECE).agg(
-        F.array_sort(F.collect_list(F.struct(*_ITEM))).alias("items"), F.first("start", ignorenulls=True).alias("start"),
+    told = rows.withColumns({"data": F.when(~F.col("ours"), F.map_entries("data")), "mapped": F.map_entries("mapped")})
+    gathered = told.groupBy(*PIECE).agg(
+        F.array_sort(F.collect_list(F.struct(*_ITEM, "mapped"))).alias("items"), F.first("start", ignorenulls=True).alias("start"),
+    )
+    pieces = scratch.keep(gathered.withColumn(
+        "items", F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in _ITEM], *_written(i)))
     ), "pieces")
     per_link = Window.partitionBy("link_key")
     starts = pieces.groupBy("link_key").agg(F.first("start", ignorenulls=True).alias("start"), F.count("*").alias("parts"))
@@ -211,7 +223,7 @@ def _fold(rows: DataFrame, scratch: Scratch) -> DataFrame:
     folded = whole.filter("parts = 1").select(F.explode(_walk("items", F.col("start"))).alias("r")).select("r.*")
     if not starts.filter("parts > 1").limit(1).count():
         return folded
-    long = whole.filter("parts > 1")
+    long = scratch.keep(whole.filter("parts > 1"), "long")  # few, and read several times
     entered = _entered(long.select(*PIECE, "items", "start"), scratch)
     split = long.select(*PIECE, "items").join(entered, PIECE).select(F.explode(_walk("items", F.col("entering"))).alias("r"))
     return folded.unionByName(split.select("r.*"))

@@ -55,48 +55,51 @@ class SyncResult:
 
 
 def route_and_map(
-    events: DataFrame, maps: DataFrame, xref: DataFrame, users: DataFrame, config: SyncConfig,
+    events: DataFrame, maps: DataFrame, users: DataFrame, config: SyncConfig,
     compiled: mapping.CompiledMaps | None = None,
 ) -> DataFrame:
-    """One row per event and admitted map, with its link and mapped body."""
+    """One row per event and admitted map, with its mapped body."""
     routed = route.company_filter(route.route_events(events, maps))
     if compiled is not None:
         routed = routed.drop("fields")
-    linked = echo.flag_identity_echo(links.lookup(routed, xref), users)
-    mapped = mapping.map_fields(linked, transforms=config.transforms) if compiled is None else compiled.map_fields(linked)
+    flagged = echo.flag_identity_echo(routed, users)
+    mapped = mapping.map_fields(flagged, transforms=config.transforms) if compiled is None else compiled.map_fields(flagged)
     known = F.lower("target_system").isin([s.lower() for s in config.systems])
     unknown = F.when(~known, F.concat(F.lit("no system registered as '"), F.col("target_system"), F.lit("'")))
     return mapped.withColumn("system_error", unknown).drop("companies", "fields")
 
 
-# What decides about a row, apart from the wide rest of it.
-FACTS = [
-    "_row", *resolve.ORDER, "pair_key", "source_system", "source_record_id", "target_system", "target_entity", "operation", "occurred_at", "data", "mapped",
-    "identity_echo", "system_error", "map_error", "key_error", "upsert_mode", "link", "link_target_id", "resolved_id", "target_exists",
+# What decides about a row, apart from its body and the wide rest of it.
+OWN = [
+    "_row", *resolve.ORDER, "pair_key", "source_system", "source_record_id", "target_system", "target_entity", "operation", "occurred_at",
+    "identity_echo", "system_error", "map_error", "key_error", "upsert_mode",
 ]
+FACTS = [*OWN, "link", "link_target_id", "resolved_id", "target_exists"]
 DECIDED = ["_row", "link_key", "counterpart", "link", "target_exists", "verdict", "has_link", "error", "outcome"]
 
 
-def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one row per event and admitted map, up to the record it resolves to; the target index).
-    The rows are wide and written once, with a number; all that follows works on a few columns."""
+def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one row per event and admitted map; its FACTS, up to the record it resolves to; the target index).
+    The rows are wide and written once, with a number, before anything is looked up; all that follows works on a few columns."""
     active = route.active_maps(maps)
     compiled = mapping.CompiledMaps.load(active, config.transforms)
-    mapped = route_and_map(events, maps, xref, users, config, compiled)
+    mapped = route_and_map(events, maps, users, config, compiled)
     keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
     index = targets.index_of(targets.key_entries(target, active, config.systems) if entries is None else entries)
-    resolved = targets.resolve_targets(keyed, index).withColumn("_row", F.monotonically_increasing_id())
-    return scratch.keep(resolved, "resolved"), index
+    wide = scratch.keep(keyed.withColumn("_row", F.monotonically_increasing_id()), "routed")
+    resolved = targets.resolve_targets(links.lookup(wide.select(*OWN, "key_segment"), xref), index)
+    return wide, scratch.keep(resolved.select(*FACTS), "resolved"), index
 
 
-def decide(resolved: DataFrame, index: DataFrame, config: SyncConfig, scratch: Scratch) -> DataFrame:
+def decide(wide: DataFrame, resolved: DataFrame, index: DataFrame, config: SyncConfig, scratch: Scratch) -> DataFrame:
     """The DECIDED columns of every resolved row, written."""
     def verdicts(rows, scratch):
-        return resolve.verdicts(rows, scratch, config.fold_rows, config.content_echo)
+        return resolve.verdicts(rows, scratch, config.fold_rows, config.content_echo, wide)
 
-    facts = prefix.with_bucket(resolved.select(*FACTS), rows=config.bucket_rows)
+    facts = prefix.with_bucket(resolved, rows=config.bucket_rows)
     owned = scratch.keep(ownership.with_links(facts, index, verdicts, scratch), "owned")
-    settled = owned.drop("data", "mapped").join(verdicts(owned, scratch), "_row")
+    sides = F.struct("link.system_a", "link.record_id_a", "link.system_b", "link.record_id_b")  # its state has done its part
+    settled = owned.withColumn("link", F.when(F.col("link").isNotNull(), sides)).join(verdicts(owned, scratch), "_row")
     return scratch.keep(resolve.outcomes(settled).select(*DECIDED), "decided")
 
 
@@ -164,9 +167,9 @@ def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_
     (`targets.key_entries`), the target itself is not read. Only intermediate tables are written; the result holds what to
     write, and `close` removes them."""
     scratch = Scratch(events.sparkSession)
-    resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries)
-    decided = decide(resolved, index, config, scratch)
-    rows = resolved.drop("link", "target_exists").join(decided, "_row").drop("_row")
+    wide, resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries)
+    decided = decide(wide, resolved, index, config, scratch)
+    rows = wide.drop("key_error").join(decided, "_row").drop("_row")
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
     return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures, scratch)
