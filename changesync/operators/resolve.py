@@ -46,14 +46,15 @@ def lww_discards(occurred_at, last_writer_at) -> Column:
     return F.coalesce(F.col(occurred_at) < F.col(last_writer_at), F.lit(False))
 
 
-def _facts(rows: DataFrame, content_echo: bool) -> DataFrame:
-    """What decides about a row, apart from the state it meets."""
+def _facts(rows: DataFrame, content_echo: bool, at: str) -> DataFrame:
+    """What decides about a row, apart from the state it meets. `at` names the key of its body."""
     sound = ~F.col("identity_echo") & F.col("system_error").isNull() & F.col("map_error").isNull()
     gone = F.col("operation") == "Delete"
     state = F.col("link.state")
     body = []
     if content_echo:
         body = [
+            F.col(at).alias("_at"),
             F.when(F.col("link").isNotNull(), F.struct(
                 F.lit(True).alias("has"), F.lower(state["written_to_system"]).alias("w"), state["written_fields"].alias("fields"),
                 state["written_payload_hash"].alias("hash"), micros(state["last_writer_at"]).alias("at"), F.lit(None).cast("bigint").alias("row"),
@@ -104,12 +105,12 @@ def verdicts(
     whether the row found a link, error why it failed.
 
     Needs: _row (distinct), link_key, bucket, arrival_seq, map_name, source/target_system, operation,
-    occurred_at, identity_echo, system_error, map_error, key_error, link, and of `bodies`, or `rows` themselves,
-    _row, data, mapped. Bodies are read for the rows of contested links only.
+    occurred_at, identity_echo, system_error, map_error, key_error, link, and data, mapped, or _at, a key of `bodies`
+    (_at, data, mapped) that several rows may share. Bodies are read for the rows of contested links only.
     """
     arrival = Window.partitionBy(*CHUNK).orderBy(*ORDER)
     inside = arrival.rowsBetween(*prefix.BEFORE)
-    flagged = _facts(rows, content_echo).withColumn("_h", F.coalesce(F.max("links").over(inside), F.lit(False)))
+    flagged = _facts(rows, content_echo, "_row" if bodies is None else "_at").withColumn("_h", F.coalesce(F.max("links").over(inside), F.lit(False)))
     # What was reached inside the chunk, if the link existed at its start and if it did not.
     chunked = scratch.keep(flagged.withColumns({
         "_linked_at": F.max(F.when(F.col("sound"), F.col("at"))).over(inside),
@@ -125,8 +126,9 @@ def verdicts(
     quick = scanned if not content_echo else scanned.filter(~F.col("contested"))
     out = quick.withColumn("verdict", _verdict(quick, F.lit(False), F.col("seen_at"), F.col("has_link"))).select(*result)
     if content_echo and summaries.filter("contested").limit(1).count():
-        told = (rows if bodies is None else bodies).select("_row", "data", "mapped")
-        out = out.unionByName(_fold(scanned.filter("contested").join(told, "_row"), scratch).select(*result))
+        told = rows.withColumn("_at", F.col("_row")) if bodies is None else bodies
+        whole = scanned.filter("contested").join(told.select("_at", "data", "mapped"), "_at")
+        out = out.unionByName(_fold(whole, scratch).select(*result))
     reason = F.coalesce("broken", F.when(~F.col("has_link"), F.col("key_error")))
     return out.select("_row", "verdict", "has_link", F.when(F.col("verdict") == FAILED, reason).alias("error"))
 

@@ -71,24 +71,25 @@ def route_and_map(
 
 # What decides about a row, apart from its body and the wide rest of it.
 OWN = [
-    "_row", *resolve.ORDER, "pair_key", "source_system", "source_record_id", "target_system", "target_entity", "operation", "occurred_at",
+    "_at", *resolve.ORDER, "pair_key", "source_system", "source_record_id", "target_system", "target_entity", "operation", "occurred_at",
     "identity_echo", "system_error", "map_error", "key_error", "upsert_mode",
 ]
-FACTS = [*OWN, "link", "link_target_id", "resolved_id", "target_exists"]
-DECIDED = ["_row", "link_key", "counterpart", "link", "target_exists", "verdict", "has_link", "error", "outcome"]
+FACTS = ["_row", *OWN, "link", "link_target_id", "resolved_id", "target_exists"]
+DECIDED = ["_at", "link_key", "counterpart", "link", "target_exists", "verdict", "has_link", "error", "outcome"]
 
 
 def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(one row per event and admitted map; its FACTS, up to the record it resolves to; the target index).
-    The rows are wide and written once, with a number, before anything is looked up; all that follows works on a few columns."""
+    The rows are wide and written once, with a number `_at`, before anything is looked up; all that follows works on a few columns.
+    Several facts may share a wide row, where its key has several links: each has a `_row` of its own."""
     active = route.active_maps(maps)
     compiled = mapping.CompiledMaps.load(active, config.transforms)
     mapped = route_and_map(events, maps, users, config, compiled)
     keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
     index = targets.index_of(targets.key_entries(target, active, config.systems) if entries is None else entries)
-    wide = scratch.keep(keyed.withColumn("_row", F.monotonically_increasing_id()), "routed")
+    wide = scratch.keep(keyed.withColumn("_at", F.monotonically_increasing_id()), "routed")
     resolved = targets.resolve_targets(links.lookup(wide.select(*OWN, "key_segment"), xref), index)
-    return wide, scratch.keep(resolved.select(*FACTS), "resolved"), index
+    return wide, scratch.keep(resolved.withColumn("_row", F.monotonically_increasing_id()).select(*FACTS), "resolved"), index
 
 
 def decide(wide: DataFrame, resolved: DataFrame, index: DataFrame, config: SyncConfig, scratch: Scratch) -> DataFrame:
@@ -169,7 +170,7 @@ def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_
     scratch = Scratch(events.sparkSession)
     wide, resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries)
     decided = decide(wide, resolved, index, config, scratch)
-    rows = wide.drop("key_error").join(decided, "_row").drop("_row")
+    rows = wide.drop("key_error").join(decided, "_at").drop("_at")
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
     return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures, scratch)

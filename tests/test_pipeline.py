@@ -182,3 +182,10 @@ def test_stream_in_batches_equals_one_batch(spark, tmp_path):
         return sorted((r["system"].lower(), r["record_id"], str(sorted(r["fields"].items()))) for r in df.collect())
 
     assert bodies(got_target) == bodies(want_target)
+
+
+def test_a_link_stored_twice_gives_a_row_for_each(spark):
+    """Look-ups come after the wide rows are numbered: what they repeat must not multiply in later joins."""
+    events = [event(), event(seq=2, correlation="c-2", data={"Name": '"Fabrikam"'})]
+    rows = run(spark, events, links=[link(state(NOW - timedelta(days=1)))] * 2, target=[("crm", "account", "T-1", {"name": '"Old"'})])
+    assert [(r["correlation_id"], r["outcome"], r["target_record_id"]) for r in rows] == [(f"c-{i}", "Updated", "T-1") for i in (1, 1, 2, 2)]

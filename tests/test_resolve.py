@@ -138,8 +138,8 @@ def test_bodies_are_read_apart(spark):
     """Verdicts from rows without their bodies, which stand in a table of their own: the facts that are shuffled stay narrow."""
     rows, links = sample(4, 300, 3, True, 0.6)
     scratch = Scratch(spark)
-    ready = prefix.with_bucket(frame(spark, rows, links), rows=10).withColumn("_row", F.monotonically_increasing_id())
-    wide = scratch.keep(ready, "wide")
+    ready = prefix.with_bucket(frame(spark, rows, links), rows=10).withColumn("_at", F.monotonically_increasing_id())
+    wide = scratch.keep(ready.withColumn("_row", F.col("_at") + 7), "wide")
     found = resolve.verdicts(wide.drop("data", "mapped"), scratch, 10, bodies=wide)
     got = {(r["arrival_seq"], r["map_name"]): (r["verdict"], r["has_link"]) for r in found.join(wide.select("_row", *resolve.ORDER), "_row").collect()}
     assert got == replay(rows, links)
