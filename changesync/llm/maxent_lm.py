@@ -41,11 +41,11 @@ class Settings:
     features_log2: int = 16  # at most 16: features are numbered in two bytes
     batch: int = 32_768  # tokens scored at a time
     block_bytes: int = 8 << 20  # text of a block, unless one text alone is longer
-    updates: int = 1  # gradient steps over all training texts
+    updates: int = 3  # gradient steps over all training texts
     smooth: float = 32.0  # uses of a feature at which its counts weigh as much as the class's share
     start: float = 0.6  # share of the log-odds in the first weights: the three features of a token overlap
     decay: float = 10.0  # of the weights, in uses
-    rate: float = 0.5
+    rate: float = 0.8
 
     def __post_init__(self) -> None:
         if not 2 <= self.classes <= KIND_MASK + 1:
@@ -106,7 +106,7 @@ def coded(docs: DataFrame, how: Settings) -> DataFrame:
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out")
     )
-    return source.mapInArrow(run, BLOCK)
+    return source.mapInArrow(W.trimmed(run), BLOCK)
 
 
 def _uses(blocks: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _uses(blocks: DataFrame) -> DataFrame:
                         ["word", "place", "seen"],
                     )
 
-    return blocks.select("block", "hashes", "kinds", "seen").mapInArrow(run, "word LONG, place LONG, seen LONG")
+    return blocks.select("block", "hashes", "kinds", "seen").mapInArrow(W.trimmed(run), "word LONG, place LONG, seen LONG")
 
 
 FEATURES = 3  # that a token has
@@ -138,7 +138,7 @@ class _Tokens:
 
     def __init__(self, row: dict, how: Settings) -> None:
         self.offsets = np.asarray(row["offsets"], np.int64)
-        codes = np.frombuffer(zstandard.decompress(row["codes"]), "<u4").astype(np.int64)
+        codes = np.frombuffer(zstandard.decompress(row["codes"]), "<u4")
         self.words = len(row["kinds"])  # the code of the end
         texts = len(self.offsets) - 1
         self.codes = np.insert(codes, self.offsets[1:], self.words)
@@ -159,54 +159,62 @@ class _Tokens:
         self.held = np.repeat(np.asarray(row["held_out"], bool), np.diff(self.starts))
 
 
+LARGE = 60.0  # single precision holds exp of this and of its negative, and sums of them
+
+
 def _logits(features: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = weights[features[0]]
-    z += weights[features[1]]
-    z += weights[features[2]]
+    """Up to a constant of each row, which is taken off where exp could leave its range."""
+    z = np.take(weights, features[0], axis=0)
+    for f in features[1:]:
+        z += np.take(weights, f, axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    if len(z) and (z.max() > LARGE or z.min() < -LARGE):
+        z -= z.max(axis=1, keepdims=True)
     return z
 
 
+def _row_sums(p: np.ndarray) -> np.ndarray:
+    return p @ np.ones(p.shape[1], p.dtype)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z)
-    p /= p.sum(axis=1, keepdims=True)
+    p *= (1 / _row_sums(p))[:, None]
     return p
 
 
 def _log_chosen(z: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Natural log of the softmax at one class of each row."""
-    return z[np.arange(len(z)), kinds] - np.log(np.exp(z).sum(axis=1))
+    return z[np.arange(len(z)), kinds] - np.log(_row_sums(np.exp(z)))
 
 
 def _counts(blocks, how: Settings) -> np.ndarray:
     """How often the training tokens of some blocks have each feature and class; `cells` by `classes`."""
-    out = np.zeros(how.cells * how.classes, np.int64)
+    out = np.zeros((how.classes, how.cells), np.int64)
     for row in blocks:
         t = _Tokens(row, how)
-        train = ~t.held
-        kinds = t.kinds[train].astype(np.int64)
-        for f in t.features:
-            out += np.bincount(f[train].astype(np.int64) * how.classes + kinds, minlength=len(out))
-    return out
+        kinds = np.where(t.held, how.classes, t.kinds)
+        for kind in range(how.classes):
+            mine = np.flatnonzero(kinds == kind)
+            for f in t.features:
+                out[kind] += np.bincount(f[mine], minlength=how.cells)
+    return out.T
 
 
 def _expected(blocks, weights: np.ndarray, bias: np.ndarray, how: Settings) -> np.ndarray:
     """The same numbers as the model expects them: sums of its class probabilities."""
-    out = np.zeros(weights.shape)
+    out = np.zeros((how.classes, how.cells))
     for row in blocks:
         t = _Tokens(row, how)
         train = np.flatnonzero(~t.held)
         for at in range(0, len(train), how.batch):
             take = train[at : at + how.batch]
-            features = [x[take] for x in t.features]
-            p = _softmax(_logits(features, weights, bias))
-            for f in features:
-                order = np.argsort(f, kind="stable")
-                sorted_f = f[order]
-                first = np.flatnonzero(np.concatenate([[True], sorted_f[1:] != sorted_f[:-1]]))
-                out[sorted_f[first]] += np.add.reduceat(p[order], first, axis=0)
-    return out.ravel()
+            features = [x[take].astype(np.int64) for x in t.features]
+            p = np.ascontiguousarray(_softmax(_logits(features, weights, bias)).T)
+            for kind in range(how.classes):
+                for f in features:
+                    out[kind] += np.bincount(f, weights=p[kind], minlength=how.cells)
+    return out.T
 
 
 def first_weights(seen: np.ndarray, how: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -226,22 +234,26 @@ def updated(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, expected: n
     return (weights + how.rate * step).astype(np.float32), (bias + how.rate * shift).astype(np.float32)
 
 
+TASK_BLOCKS = 8  # that a task of a pass reads at least
+
+
 def train(blocks: DataFrame, how: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, bias) of the class model, and the training tokens of each class."""
     spark = blocks.sparkSession
     # A task gives one array of fixed size however many blocks it reads, one after another, so their
-    # number follows the cluster and not the input.
-    tasks = 2 * spark.sparkContext.defaultParallelism
+    # number follows the cluster and not the input. Each pass leaves these arrays on disk: none for a few blocks.
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, blocks.count() // TASK_BLOCKS))
     read = blocks.select("doc_ids", "held_out", "offsets", "codes", "kinds", "hashes").coalesce(tasks)
 
     def total(part, dtype: str) -> np.ndarray:
         def run(batches):
             rows = (_row(batch, i) for batch in batches for i in range(batch.num_rows))
-            out = part(rows).astype(dtype)
+            out = np.ascontiguousarray(part(rows), dtype)
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+                ends = pa.py_buffer(np.array([0, out.nbytes], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(out)])], ["sums"])
 
-        found = tree_sum(read.mapInArrow(run, "sums BINARY"), dtype)
+        found = tree_sum(read.mapInArrow(W.trimmed(run), "sums BINARY"), dtype)
         shape = how.cells, how.classes
         return np.zeros(shape) if found is None else found.reshape(shape)
 

@@ -16,6 +16,8 @@ SETTINGS = {
     # HotSpot never compiles methods over 8000 bytes. Wide projections reach that, and then run
     # several times faster as separate expressions than as one interpreted method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A batch of 10,000 long texts is held several times over, outside the heap and in Python workers.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "7m",
     # A payload that repeats a member name is readable; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Duplicate detection may remember very many message ids: keep them on local disk, not on the heap.

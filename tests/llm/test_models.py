@@ -13,6 +13,7 @@ from tokenizers import Tokenizer, models
 
 from changesync.llm import maxent_lm, tokens, toxicity, viterbi_count
 from changesync.llm.counters import tree_sum
+from changesync.storage import Scratch
 
 PIECES = tokens.public_path("piece_bpe_32k.model")
 
@@ -181,6 +182,27 @@ def test_language_model_equals_plain_training(spark, parts):
     assert sorted((r.doc_id, round(r.score, 3)) for r in got) == sorted((i, round(score(w), 3)) for (i, _), w in zip(rows, words))
 
 
+def test_language_model_training_comes_near_its_end(spark):
+    """The gradient that training leaves is less than half of what it starts with."""
+    how, scratch = maxent_lm.Settings(), Scratch(spark)
+    blocks = scratch.keep(maxent_lm.coded(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), how), "blocks")
+    weights, bias, _ = maxent_lm.train(blocks, how)
+    rows = [r.asDict() for r in blocks.collect()]
+    scratch.delete()
+    seen = maxent_lm._counts(rows, how)
+
+    def gradient(weights, bias):
+        return np.abs(seen - maxent_lm._expected(rows, weights, bias, how) - how.decay * weights).sum()
+
+    assert gradient(weights, bias) < 0.5 * gradient(*maxent_lm.first_weights(seen, how))
+
+
+def test_logits_beyond_the_range_of_exp():
+    weights, bias = np.array([[200, 0], [-200, -190]], np.float32), np.zeros(2, np.float32)
+    p = maxent_lm._softmax(maxent_lm._logits([np.array([0, 1])] * 3, weights, bias))
+    assert np.allclose(p, [[1, 0], [0, 1]], atol=1e-6)
+
+
 def test_language_model_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     two, many = ({r.doc_id: r for r in maxent_lm.score(docs.repartition(n)).collect()} for n in (2, 16))
