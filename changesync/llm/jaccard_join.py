@@ -19,7 +19,9 @@ components), with no link between different texts lost.
    distances to a centre differ by more than 0.15.
 5. What is left of a list, pairs of different classes, is compared block by block of bounded
    size. The members of a block stand in the order of their sizes, so that a set skips from the
-   first one whose size it cannot link to, and leaves out those that positions rule out.
+   first one whose size it cannot link to, and leaves out those that positions rule out. A set
+   meets the likeliest few others first; once their classes are joined few pairs are of different ones,
+   and rounds go on until all that are left were compared.
 6. Once the classes are known, the links of each set are counted: linked sets are of one class, so
    every two blocks of a class meet once. A set goes there as its difference from the centre of its
    class. Distances to the centre decide what they can (too far apart, or near enough to it); for
@@ -252,10 +254,13 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join, scra
     return scratch.keep(found.withColumn("link", _enough(how, F.col("overlap"), F.col("n"), F.col("m"))), "verified"), sets
 
 
+CLASSES_EACH = 8  # other classes that a set meets in a block in the first round
+
+
 def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFrame, how: Join, most_each: int, scratch: Scratch) -> DataFrame:
     """(a, b, more): pairs of one list and different classes that neither sizes, positions, bit maps nor the
     distances to the list's first centre rule out. Of a set and the members of one class, the
-    `most_each` likeliest; `more` says that there are others."""
+    `most_each` likeliest, and of those for all classes `CLASSES_EACH` times as many; `more` says that there are others."""
     labelled = lists.filter("members > 2").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     centre = labelled.groupBy("token").agg(
         F.min(F.struct(F.xxhash64("rep", F.lit(0)).alias("draw"), "rep")).alias("c"), F.min("root").alias("_lo"), F.max("root").alias("_hi")
@@ -308,8 +313,10 @@ def leftovers(lists: DataFrame, roots: DataFrame, reps: DataFrame, known: DataFr
             ys = ys[order]
             starts = np.flatnonzero(np.concatenate([[True], root[ys][1:] != root[ys][:-1]]))
             rank = np.arange(len(ys)) - np.repeat(starts, np.diff(np.append(starts, len(ys))))
-            more = bool((rank >= most_each).any())
-            out.extend((min(rep[x], rep[y]), max(rep[x], rep[y]), more) for y in ys[rank < most_each].tolist())
+            near = rank < most_each
+            likeliest = ys[near][np.argsort(-most[order][near], kind="stable")[: CLASSES_EACH * most_each]]
+            more = len(likeliest) < len(ys)
+            out.extend((min(rep[x], rep[y]), max(rep[x], rep[y]), more) for y in likeliest.tolist())
         a, b, more = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 

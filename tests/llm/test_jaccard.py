@@ -85,6 +85,17 @@ def test_links_of_each_set(spark):
         assert {r.doc_id: r.n_links for r in jaccard_join.classes(docs, how).collect()} == want
 
 
+def test_sets_of_many_classes_meet_a_few_at_a_time(spark):
+    """Sixty sets of a list, all alike and none in a class yet: some pairs each, and word that there are more."""
+    n, how = 60, jaccard_join.Join()
+    reps = spark.createDataFrame([(i, 100, bytes(16)) for i in range(n)], "rep LONG, n LONG, bits BINARY")
+    lists = spark.createDataFrame([(7, i, 100, 100, n) for i in range(n)], "token LONG, rep LONG, n LONG, left LONG, members LONG")
+    roots, known = spark.createDataFrame([], "node LONG, root LONG"), spark.createDataFrame([], "a LONG, b LONG, overlap LONG, n LONG, m LONG")
+    few, every = (jaccard_join.leftovers(lists, roots, reps, known, how, most, Scratch(spark)).collect() for most in (1, 8))
+    assert n <= len(few) <= jaccard_join.CLASSES_EACH * n and any(r.more for r in few)
+    assert {(r.a, r.b) for r in every} == set(combinations(range(n), 2)) and not any(r.more for r in every)
+
+
 def test_awkward(awkward, clash, nothing):
     check(clash(awkward))
     check(nothing)
