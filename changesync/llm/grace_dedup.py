@@ -122,7 +122,7 @@ def prepare(docs: DataFrame, row: str | None = None) -> DataFrame:
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.col(row).alias("row")] if row else [])
     )
-    return source.mapInArrow(run, ROW)
+    return source.mapInArrow(W.trimmed(run), ROW)
 
 
 def level(records: DataFrame, depth: int, buckets: int, most: int) -> DataFrame:
@@ -155,7 +155,7 @@ def level(records: DataFrame, depth: int, buckets: int, most: int) -> DataFrame:
             )
 
     digits = F.xxhash64("sha", F.lit(depth))
-    return records.repartition(buckets, digits).mapInArrow(run, LEFT + ", keep_id LONG, keep_row LONG, group_size LONG")
+    return records.repartition(buckets, digits).mapInArrow(W.trimmed(run), LEFT + ", keep_id LONG, keep_row LONG, group_size LONG")
 
 
 def classes(records: DataFrame, scratch: Scratch, most: int = BUCKET_BYTES) -> DataFrame:

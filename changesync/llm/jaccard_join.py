@@ -79,12 +79,12 @@ def shingle_counts(docs: DataFrame, how: Join) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 4):
                 found, _ = _sets(part.column("text"), how)
                 total += np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
 
-    total = tree_sum(_source(docs).select("text").mapInArrow(run, "counts BINARY"), "<i8")
+    total = tree_sum(_source(docs).select("text").mapInArrow(W.trimmed(run), "counts BINARY"), "<i8")
     return np.zeros(size, np.int64) if total is None else total
 
 
@@ -149,7 +149,7 @@ def describe(docs: DataFrame, how: Join, counts: np.ndarray, row: str | None = N
                 )
                 first_row += len(n)
 
-    return _source(docs, row).mapInArrow(run, SET)
+    return _source(docs, row).mapInArrow(W.trimmed(run), SET)
 
 
 def _enough(how: Join, overlap, n, m):
@@ -204,7 +204,7 @@ def by_bit_map(pairs: DataFrame, reps: DataFrame, how: Join) -> DataFrame:
             most = (n + m - _apart(W.values(batch.column("a_bits")), W.values(batch.column("b_bits")))) // 2
             yield batch.select(["a", "b"]).filter(pa.array(_enough(how, most, n, m)))
 
-    return _with(pairs, reps, "n", "bits").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(run, "a LONG, b LONG")
+    return _with(pairs, reps, "n", "bits").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(W.trimmed(run), "a LONG, b LONG")
 
 
 def whole_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join) -> DataFrame:
@@ -216,7 +216,7 @@ def whole_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join) ->
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=W.SLICE_BYTES // 4):
                 values, offsets = _sets(part.column("text"), how)
                 raw = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -224,7 +224,7 @@ def whole_sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join) ->
                 )
 
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi").select("text")
-    found = texts.mapInArrow(run, "sig BINARY, elements BINARY")
+    found = texts.mapInArrow(W.trimmed(run), "sig BINARY, elements BINARY")
     return wanted.select("rep", "sig").join(found, "sig").dropDuplicates(["rep"]).select("rep", "elements")
 
 
@@ -243,7 +243,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             )
 
     joined = _with(pairs, sets, "elements").select("a", "b", "a_elements", "b_elements")
-    return joined.mapInArrow(run, "a LONG, b LONG, overlap LONG, n LONG, m LONG")
+    return joined.mapInArrow(W.trimmed(run), "a LONG, b LONG, overlap LONG, n LONG, m LONG")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, how: Join, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +377,7 @@ def _differences(members: DataFrame, centres: DataFrame) -> DataFrame:
             )
 
     both = members.join(centres.withColumnRenamed("elements", "centre"), "root").select("rep", "root", "elements", "centre")
-    return both.mapInArrow(run, "rep LONG, root LONG, n LONG, c LONG, diff BINARY")
+    return both.mapInArrow(W.trimmed(run), "rep LONG, root LONG, n LONG, c LONG, diff BINARY")
 
 
 def link_counts(roots: DataFrame, sets: DataFrame, how: Join, scratch: Scratch) -> DataFrame:

@@ -181,7 +181,7 @@ def _counted(training: DataFrame, how: Settings) -> np.ndarray | None:
         total = np.bincount((met >> rest).astype(np.int64), minlength=2 * size)
         return pa.table({"total": pa.array([total.astype("<i4").tobytes()], pa.binary())})
 
-    dealt = training.mapInArrow(keys, "shard INT, keys BINARY")
+    dealt = training.mapInArrow(W.trimmed(keys), "shard INT, keys BINARY")
     return tree_sum(dealt.groupBy("shard").applyInArrow(count, "total BINARY"), "<i4")
 
 
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Model
                     ["n", "scores", "toxic", "tokens", "moment"],
                 )
 
-    scanned = Scratch(spark).keep(training.mapInArrow(run, "n LONG, scores ARRAY<DOUBLE>, toxic INT, tokens LONG, moment ARRAY<DOUBLE>"), "scanned")
+    scanned = Scratch(spark).keep(training.mapInArrow(W.trimmed(run), "n LONG, scores ARRAY<DOUBLE>, toxic INT, tokens LONG, moment ARRAY<DOUBLE>"), "scanned")
     sums = scanned.filter("tokens > 0").select("tokens", F.posexplode("moment").alias("i", "v")).groupBy("i").agg(F.sum("v"), F.sum("tokens")).collect()
     mean = {r[0]: r[1] / r[2] for r in sums}  # one row per lambda of the grid
     lam = max((x for i, x in enumerate(LAMBDAS.tolist()) if mean.get(i, 0) <= 1), default=float(LAMBDAS[0]))
@@ -286,4 +286,4 @@ def score(docs: DataFrame, model: Model | None, how: Settings = Settings(), scor
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], [*part.schema.names, score_as, passages_as])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{score_as}` DOUBLE, `{passages_as}` {PASSAGES}")
+    return docs.mapInArrow(W.trimmed(run), f"{schema}, `{score_as}` DOUBLE, `{passages_as}` {PASSAGES}")
