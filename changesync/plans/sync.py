@@ -162,15 +162,19 @@ def link_updates(rows: DataFrame) -> DataFrame:
     return per_link.select("first.pair_key", "first.s.*", "state", "save_order")
 
 
-def sync_batch(events, maps, xref, target, users, config: SyncConfig, processed_at=None, entries: DataFrame | None = None) -> SyncResult:
+def sync_batch(
+    events, maps, xref, target, users, config: SyncConfig, processed_at=None, entries: DataFrame | None = None, keep_rows: bool = False,
+) -> SyncResult:
     """Run one batch. `events` carry CHANGE_EVENT and bus columns; `xref`, `target`, `users`
     are the tables laid out in `schema`. With `entries`, the stored index entries of the target
     (`targets.key_entries`), the target itself is not read. Only intermediate tables are written; the result holds what to
-    write, and `close` removes them."""
+    write, and `close` removes them. `keep_rows` makes the outcome rows one of them, for callers that read several results."""
     scratch = Scratch(events.sparkSession)
     wide, resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries)
     decided = decide(wide, resolved, index, config, scratch)
     rows = wide.drop("key_error").join(decided, "_at").drop("_at")
+    if keep_rows:
+        rows = scratch.keep(rows, "rows")
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
     return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures, scratch)

@@ -105,7 +105,12 @@ def sync_stream(
 
     One writer per batch; batch `n` reads the state left by the newest batch before it and
     writes version `n`, so a batch that runs again writes the same. It rewrites the buckets of the
-    links and records it changes; the others pass into the new version as they lie.
+    links and records it changes; the others pass into the new version as they lie. A batch without events, as
+    a stream makes to let its duplicate window run out, writes nothing.
+
+    A batch is written before anything is done with it. A stateful query plans its batches without
+    adaptive execution; what follows reads the written events in the caller's session, where partitions
+    are sized by what is in them.
 
     With `tables.key_index` the index entries of the records a batch writes are brought up to date, and no batch scans the
     target. They are built from the target when there are none yet for the maps as they are now, or
@@ -123,11 +128,20 @@ def sync_stream(
         return stored
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        landing = Scratch(spark)
+        try:
+            events = landing.keep(batch, "events")
+            if events.limit(1).count():
+                apply(events, batch_id)
+        finally:
+            landing.delete()
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
         old_links, old_target, documents = xref.before(batch_id + 1), target.before(batch_id + 1), maps()
         active = route.active_maps(documents)
         index = stored_entries(active, batch_id + 1)
         entries = index.before(batch_id + 1) if index else None
-        result = sync_batch(batch, documents, old_links, old_target, users, config, entries=entries).persist()
+        result = sync_batch(batch, documents, old_links, old_target, users, config, entries=entries, keep_rows=True)
         try:
             append_partitioned(log.to_append(result.history), tables.history, batch_id, "map_partition")
             append_partitioned(result.dead_letters(), tables.dead_letters, batch_id)

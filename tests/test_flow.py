@@ -55,3 +55,25 @@ def test_raw_files_reach_the_target_once(spark, tmp_path):
     done.unlink()
     publish()
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4 and done.exists()
+
+
+def test_batches_run_adaptively_and_only_with_events(spark, tmp_path, monkeypatch):
+    """A stateful query plans without adaptive execution, and ends with a batch that has no events."""
+    tables = flow.SyncTables(f"{tmp_path}/xref", f"{tmp_path}/target", f"{tmp_path}/history", f"{tmp_path}/dead", buckets=4)
+    docs = maps.parse_maps(spark.createDataFrame([(json.dumps(MAP),)], "document STRING"))
+    users = spark.createDataFrame([("svc",)], "user_id STRING")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(payload(i) for i in range(3)))
+    raw = ingest.read_raw(spark, f"{tmp_path}/in", streaming=True)
+    flow.ingest_stream(raw, [FlatParser()], f"{tmp_path}/log", f"{tmp_path}/bad", f"{tmp_path}/cp1", available_now=True).awaitTermination()
+    adaptive, whole = [], flow.sync_batch
+
+    def watched(events, *args, **kwargs):
+        adaptive.append(events.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return whole(events, *args, **kwargs)
+
+    monkeypatch.setattr(flow, "sync_batch", watched)
+    changes = flow.read_changes(spark, f"{tmp_path}/log")
+    flow.sync_stream(changes, lambda: docs, users, tables, SyncConfig({"crm": "by_id", "erp": "by_id"}), f"{tmp_path}/cp2", available_now=True).awaitTermination()
+    assert adaptive == [spark.conf.get("spark.sql.adaptive.enabled")] == ["true"]
+    assert spark.read.parquet(f"{tmp_path}/history").count() == 3 and tables.links(spark).version() == 1
