@@ -39,6 +39,8 @@ class Packing:
         return np.array(most, np.int64)
 
 
+SLICE_BYTES = 4 << 20  # text split and encoded at a time: a worker holds its words several times over
+
 PIECE = "row LONG, doc_id LONG, piece INT, start LONG, length LONG, ids_crc32 LONG"
 
 
@@ -52,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int, with_ids:
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=SLICE_BYTES):
                 ids, offsets = T.with_end(*T.encoder(tokenizer).ids(part.column("text")), end_id)
                 sizes = np.diff(offsets)
                 count = -(-sizes // longest)
@@ -74,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int, with_ids:
                 row += len(sizes)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, PIECE + (", ids ARRAY<INT>" if with_ids else ""))
+    return source.mapInArrow(W.trimmed(run), PIECE + (", ids ARRAY<INT>" if with_ids else ""))
 
 
 def fit(lengths: np.ndarray, how: Packing) -> np.ndarray:

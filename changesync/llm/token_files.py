@@ -44,7 +44,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, *order: str | Column) -
                     ["doc_id", "file", "start", "n_tokens", "ids"],
                 )
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(W.trimmed(run), SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, layout: dict[str, str] = LAYOUT) -> None:

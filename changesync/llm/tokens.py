@@ -7,6 +7,7 @@ remembers the ids of those it has met, which saves most of the encoding.
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,8 @@ import pyarrow.compute as pc
 
 from changesync.llm import words as W
 
-REMEMBERED = 1_000_000  # words a worker keeps; beyond it the memory starts afresh
+REMEMBERED = 300_000  # words that a worker keeps from before; as many again are gathered before the older ones go
+ENCODED = 5_000  # words handed to the tokenizer at once: what it returns is large
 
 MARKS = ".,;:!?"
 
@@ -30,16 +32,35 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _of_words(self, spelled: list[str]) -> list[bytes]:
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Words that are met again pass from the older ones to the newer, the rest are dropped in time: most
+        words are met once."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [w for w in spelled if w not in self.known]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = []
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    known[w] = ids
+        # A run of these marks after a letter is always a piece of its own.
+        stems = [w.rstrip(MARKS) for w in fresh]
+        cut = [(w, s, w[len(s):]) for w, s in zip(fresh, stems) if len(s) < len(w) and s and s[-1].isalpha()]
+        joined = {w for w, _, _ in cut}
+        single = dict.fromkeys(w for w in fresh if w not in joined)
+        single.update(dict.fromkeys(part for _, *parts in cut for part in parts if part not in known))
+        single = list(single)
+        for at in range(0, len(single), ENCODED):
+            part = single[at : at + ENCODED]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.known[w] for w in spelled]
+                known[w] = array("I", e.ids).tobytes()
+        for w, stem, marks in cut:
+            known[w] = known[stem] + known[marks]
+        return [known[w] for w in words]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids as unsigned 32-bit, offsets) of the texts; null counts as empty."""
@@ -48,14 +69,7 @@ class Encoder:
         # after it has looked for its special tokens, which are written "<|...|>".
         special = pc.any(pc.match_substring(texts, "<|")).as_py()
         split = W.split(texts, lower=not special)
-        # A run of these marks after a letter is always a piece of its own.
-        words = W.values(split.dictionary)
-        stem = [w.rstrip(MARKS) for w in words]
-        cut = [len(s) if s and s[-1].isalpha() else len(w) for w, s in zip(words, stem)]
-        heads = self._of_words([w[:n] for w, n in zip(words, cut)])
-        marks = sorted({w[n:] for w, n in zip(words, cut)})
-        tails = dict(zip(marks, self._of_words(marks)))
-        pieces = [h + tails[w[n:]] if n < len(w) else h for h, w, n in zip(heads, words, cut)]
+        pieces = self._of_words(W.values(split.dictionary))
         taken = pa.array(pieces, pa.large_binary()).take(split.codes)
         ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) // 4 if len(taken) else np.zeros(1, np.int64)
         raw = taken.buffers()[2]

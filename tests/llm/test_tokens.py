@@ -102,3 +102,22 @@ def test_sequences_hold_the_ids(spark, awkward, tokenizer):
     for r in placed.collect():
         assert crc(lists[r.sequence_id][r.offset : r.offset + r.length]) == r.ids_crc32
     assert placed.agg(F.sum("length")).first()[0] == sum(map(len, lists.values()))
+
+
+def test_word_memory_is_bounded(monkeypatch, tokenizer):
+    """It was cut at a million words only; what is met again stays, through any number of batches."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    encoder, batch = tokens.Encoder(PATH), 30
+    for at in range(0, 1_000, batch):
+        texts = [f"often, often w{i}x w{i}x." for i in range(at, at + batch)]
+        ids, offsets = encoder.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) + len(encoder.older) <= 2 * (50 + 2 * batch + 4) and "often," in encoder.known
+
+
+def test_query_reads_the_ids_once(spark, small, tmp_path):
+    from changesync.llm import queries
+
+    small.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.op2_token_files(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
