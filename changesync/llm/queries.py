@@ -38,8 +38,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark).root}/tokens"
     token_files.write_tokens(documents(spark, sf_dir), path, tokens.public_path(WORD_BPE), end_id=2)
-    rows = token_files.global_starts(token_files.read_tokens(spark, path))
-    return token_files.checksums(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    read = token_files.read_tokens(spark, path)
+    return token_files.global_starts(token_files.checksums(read), read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query("op3_toxicity")

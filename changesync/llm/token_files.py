@@ -65,10 +65,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def global_starts(rows: DataFrame) -> DataFrame:
+def global_starts(rows: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """`rows` with `start` counted from the first id of the first file. One row per file is
-    summed along the files; that needs the metadata columns only."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_size"))
+    summed along the files; that needs the metadata columns only, and reads no ids if `read` has
+    the rows as they lie in the files (`read_tokens`), where `rows` are made from ids."""
+    files = (rows if read is None else read).groupBy("file").agg(F.sum("n_tokens").alias("_size"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     first = files.select("file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
     joined = rows.join(first, "file")
