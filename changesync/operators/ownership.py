@@ -97,13 +97,14 @@ def _shared(rows: DataFrame, incident: DataFrame, index: DataFrame, verdicts, sc
     stored = rows.filter(F.col("stored").isNotNull()).groupBy(F.col("stored").alias("link_key")).agg(F.first("link").alias("link"))
     guess = incident.groupBy("side").agg(F.min(F.struct("key", "id")).alias("g"))
     own = F.when(F.col("claims"), _between("side", "other"))
-    met = scratch.keep(rows.join(guess, "side", "left").select(
+    met = assumed = scratch.keep(rows.join(guess, "side", "left").select(
         "_row", F.coalesce("stored", own, "g.key", "side").alias("link_key"),
         F.coalesce("link_target_id", F.when(F.col("claims"), F.col("resolved_id")), "g.id", "resolved_id").alias("counterpart"),
     ), "met")
     while True:
         assigned = rows.drop("link").join(met, "_row").join(stored, "link_key", "left")
-        found = verdicts(assigned, scratch).select("_row", "verdict", F.col("has_link").alias("found_link"))
+        step = Scratch(rows.sparkSession)
+        found = verdicts(assigned, step).select("_row", "verdict", F.col("has_link").alias("found_link"))
         saved = (F.col("verdict") == UPSERTED) | ((F.col("verdict") == DELETED) & F.col("found_link"))
         settled = assigned.join(found, "_row")
         far = _side("target_system", "counterpart")
@@ -122,6 +123,9 @@ def _shared(rows: DataFrame, incident: DataFrame, index: DataFrame, verdicts, sc
             (~F.col("link_key").eqNullSafe(F.coalesce("last.key", "stored", own, "side"))).alias("moved"),
             "link_key", "counterpart",
         ), "met")
+        step.delete()
+        scratch.free(assumed)
+        assumed = after
         met = after.select("_row", F.col("new_key").alias("link_key"), F.col("new_id").alias("counterpart"))
         if not after.filter("moved OR NOT counterpart <=> new_id").limit(1).count():
             break

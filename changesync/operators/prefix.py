@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKET_ROWS = 1_000_000
 MAX_BUCKETS = 1024
 
+# Rows of a slice: what a join of wide rows shuffles at a time.
+SLICE_ROWS = 3_000_000
+
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -38,6 +41,15 @@ def with_bucket(df: DataFrame, seq: str = "arrival_seq", rows: int = BUCKET_ROWS
     return df.withColumn("bucket", _bucket_of(F.col(seq), borders(df, seq, rows)))
 
 
+def slices(df: DataFrame, seq: str, rows: int = SLICE_ROWS) -> list[Column]:
+    """Conditions that cut `seq`, which has no nulls, into stretches of about `rows` rows. A join on `seq` that is written stretch by
+    stretch needs the disk for one of them; along a table that was written in this order each reads its own files only."""
+    cuts = borders(df, seq, rows)
+    after = [F.lit(True), *[F.col(seq) >= c for c in cuts]]
+    before = [*[F.col(seq) < c for c in cuts], F.lit(True)]
+    return [a & b for a, b in zip(after, before)]
+
+
 def running_before(
     df: DataFrame, keys: list[str], order: list[str], measures: dict[str, tuple[str, Column]]
 ) -> DataFrame:

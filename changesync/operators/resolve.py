@@ -18,6 +18,8 @@ and whatever it holds. That a late row is discarded is assumed in the functions
 chunks entered by another state than was assumed are folded again until none is left.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from changesync.functions.values import payload_hash, project_hash
@@ -100,13 +102,15 @@ def _chunk_summaries(rows: DataFrame) -> DataFrame:
 
 def verdicts(
     rows: DataFrame, scratch: Scratch, fold_rows: int = FOLD_ROWS, content_echo: bool = True, bodies: DataFrame | None = None,
+    slice_rows: int = prefix.SLICE_ROWS,
 ) -> DataFrame:
     """(_row, verdict, has_link, error) of every row: the verdict is an outcome or `Upserted`, has_link says
     whether the row found a link, error why it failed.
 
     Needs: _row (distinct), link_key, bucket, arrival_seq, map_name, source/target_system, operation,
     occurred_at, identity_echo, system_error, map_error, key_error, link, and data, mapped, or _at, a key of `bodies`
-    (_at, data, mapped) that several rows may share. Bodies are read for the rows of contested links only.
+    (_at, data, mapped) that several rows may share. Bodies are read for the rows of contested links only, those of
+    `slice_rows` rows at a time.
     """
     arrival = Window.partitionBy(*CHUNK).orderBy(*ORDER)
     inside = arrival.rowsBetween(*prefix.BEFORE)
@@ -127,12 +131,19 @@ def verdicts(
     out = quick.withColumn("verdict", _verdict(quick, F.lit(False), F.col("seen_at"), F.col("has_link"))).select(*result)
     if content_echo and summaries.filter("contested").limit(1).count():
         told = rows.withColumn("_at", F.col("_row")) if bodies is None else bodies
-        whole = scanned.filter("contested").join(told.select("_at", "data", "mapped"), "_at")
+        whole = _with_bodies(scanned.filter("contested"), told.select("_at", "data", "mapped"), scratch, slice_rows)
         out = out.unionByName(_fold(whole, scratch).select(*result))
     reason = F.coalesce("broken", F.when(~F.col("has_link"), F.col("key_error")))
     return out.select("_row", "verdict", "has_link", F.when(F.col("verdict") == FAILED, reason).alias("error"))
 
 
+def _with_bodies(rows: DataFrame, bodies: DataFrame, scratch: Scratch, slice_rows: int) -> DataFrame:
+    parts = [rows.filter(s).join(bodies.filter(s), "_at") for s in prefix.slices(bodies, "_at", slice_rows)]
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, [scratch.keep(p, "contested") for p in parts])
+
+
 def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """`rows` with `verdict`, `has_link` and `error` (see `verdicts`), which need no `_row` here."""
     scratch = scratch or Scratch(rows.sparkSession)

@@ -7,6 +7,7 @@ The same function serves a batch job and `foreachBatch`.
 """
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -16,7 +17,7 @@ from changesync.functions.transforms import Transforms
 from changesync.functions.values import payload_hash
 from changesync.operators import echo, mapping, ownership, prefix, resolve, route, targets, xref as links
 from changesync.schema import CREATED, DELETED, EVENT_COLUMNS, FAILED, UPDATED
-from changesync.storage import Scratch
+from changesync.storage import Scratch, freeing_shuffles
 
 
 @dataclass
@@ -27,6 +28,7 @@ class SyncConfig:
     transforms: Transforms = field(default_factory=Transforms)
     bucket_rows: int = prefix.BUCKET_ROWS
     fold_rows: int = resolve.FOLD_ROWS
+    slice_rows: int = prefix.SLICE_ROWS
     content_echo: bool = True
 
 
@@ -76,9 +78,17 @@ OWN = [
 ]
 FACTS = ["_row", *OWN, "link", "link_target_id", "resolved_id", "target_exists"]
 DECIDED = ["_at", "link_key", "counterpart", "link", "target_exists", "verdict", "has_link", "error", "outcome"]
+# What `outcomes` needs besides, and what the results of a batch read.
+SETTLED = [*DECIDED[:-1], *resolve.ORDER, "bucket", "target_system", "target_entity", "upsert_mode"]
+KEPT = [
+    *EVENT_COLUMNS, "map_name", "target_system", "target_entity", "pair_key", "integration_key", "upsert_mode", "mapped",
+    "link_key", "counterpart", "link", "has_link", "error", "outcome",
+]
 
 
-def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch: Scratch, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolved_rows(
+    events, maps, xref, target, users, config: SyncConfig, scratch: Scratch, entries: DataFrame | None = None, landing: Scratch | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(one row per event and admitted map; its FACTS, up to the record it resolves to; the target index).
     The rows are wide and written once, with a number `_at`, before anything is looked up; all that follows works on a few columns.
     Several facts may share a wide row, where its key has several links: each has a `_row` of its own."""
@@ -88,20 +98,43 @@ def resolved_rows(events, maps, xref, target, users, config: SyncConfig, scratch
     keyed = targets.with_key_segment(targets.with_mode(mapped, config.systems), compiled)
     index = targets.index_of(targets.key_entries(target, active, config.systems) if entries is None else entries)
     wide = scratch.keep(keyed.withColumn("_at", F.monotonically_increasing_id()), "routed")
+    if landing:
+        landing.delete()
     resolved = targets.resolve_targets(links.lookup(wide.select(*OWN, "key_segment"), xref), index)
     return wide, scratch.keep(resolved.withColumn("_row", F.monotonically_increasing_id()).select(*FACTS), "resolved"), index
 
 
 def decide(wide: DataFrame, resolved: DataFrame, index: DataFrame, config: SyncConfig, scratch: Scratch) -> DataFrame:
-    """The DECIDED columns of every resolved row, written."""
+    """The DECIDED columns of every resolved row, written. `resolved` and what lies between goes as soon as the next table is there."""
     def verdicts(rows, scratch):
-        return resolve.verdicts(rows, scratch, config.fold_rows, config.content_echo, wide)
+        return resolve.verdicts(rows, scratch, config.fold_rows, config.content_echo, wide, config.slice_rows)
 
+    spark = resolved.sparkSession
     facts = prefix.with_bucket(resolved, rows=config.bucket_rows)
-    owned = scratch.keep(ownership.with_links(facts, index, verdicts, scratch), "owned")
+    with Scratch(spark) as step:
+        owned = scratch.keep(ownership.with_links(facts, index, verdicts, step), "owned")
+    scratch.free(resolved)
     sides = F.struct("link.system_a", "link.record_id_a", "link.system_b", "link.record_id_b")  # its state has done its part
-    settled = owned.withColumn("link", F.when(F.col("link").isNotNull(), sides)).join(verdicts(owned, scratch), "_row")
-    return scratch.keep(resolve.outcomes(settled).select(*DECIDED), "decided")
+    with Scratch(spark) as step:
+        settled = owned.withColumn("link", F.when(F.col("link").isNotNull(), sides)).join(verdicts(owned, step), "_row")
+        settled = scratch.keep(settled.select(*SETTLED), "settled")
+    scratch.free(owned)
+    decided = scratch.keep(resolve.outcomes(settled).select(*DECIDED), "decided")
+    scratch.free(settled)
+    return decided
+
+
+def kept_rows(wide: DataFrame, decided: DataFrame, config: SyncConfig, scratch: Scratch) -> DataFrame:
+    """The outcome rows, written a slice at a time, as far as the results of a batch read them."""
+    bodies = {
+        "data": F.when(F.col("outcome") == FAILED, F.col("data")),
+        "mapped": F.when(F.col("outcome").isin(CREATED, UPDATED, DELETED), F.col("mapped")),
+    }
+    parts = [
+        scratch.keep(wide.filter(s).drop("key_error").join(decided.filter(s), "_at").withColumns(bodies).select(*KEPT), "rows")
+        for s in prefix.slices(wide, "_at", config.slice_rows)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def history_rows(rows: DataFrame, processed_at) -> DataFrame:
@@ -164,17 +197,22 @@ def link_updates(rows: DataFrame) -> DataFrame:
 
 def sync_batch(
     events, maps, xref, target, users, config: SyncConfig, processed_at=None, entries: DataFrame | None = None, keep_rows: bool = False,
+    landing: Scratch | None = None,
 ) -> SyncResult:
     """Run one batch. `events` carry CHANGE_EVENT and bus columns; `xref`, `target`, `users`
     are the tables laid out in `schema`. With `entries`, the stored index entries of the target
     (`targets.key_entries`), the target itself is not read. Only intermediate tables are written; the result holds what to
-    write, and `close` removes them. `keep_rows` makes the outcome rows one of them, for callers that read several results."""
+    write, and `close` removes them. `keep_rows` makes the outcome rows one of them, for callers that read several results: what these
+    read, with the event's body where it failed and the mapped one where it is written. Tables and shuffles go when their last reader
+    is written, and so does `landing`, a scratch that nothing but `events` needs."""
     scratch = Scratch(events.sparkSession)
-    wide, resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries)
-    decided = decide(wide, resolved, index, config, scratch)
-    rows = wide.drop("key_error").join(decided, "_at").drop("_at")
-    if keep_rows:
-        rows = scratch.keep(rows, "rows")
+    with freeing_shuffles(events.sparkSession):
+        wide, resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries, landing)
+        decided = decide(wide, resolved, index, config, scratch)
+        rows = wide.drop("key_error").join(decided, "_at").drop("_at")
+        if keep_rows:
+            rows = kept_rows(wide, decided, config, scratch)
+            scratch.free(wide, decided)
     stamp = F.current_timestamp() if processed_at is None else processed_at
     failures = rows.filter(F.col("outcome") == FAILED).drop("link", "mapped")
     return SyncResult(rows, history_rows(rows, stamp), write_plan(rows), link_updates(rows), failures, scratch)

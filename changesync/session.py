@@ -23,6 +23,8 @@ SETTINGS = {
     # Duplicate detection may remember very many message ids: keep them on local disk, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Ids are hashes in hex, of which lz4 makes nothing shorter.
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
 }
 
 

@@ -12,7 +12,7 @@ import contextlib
 import json
 import random
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -47,29 +47,60 @@ def _delete_left_overs() -> None:
             fs.delete(path(root), True)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gives its shuffle files back as soon as it is done. Left to Spark they lie on the executors' disks
+    until the driver's garbage collector meets their plan, so those of a whole batch add up. Only for results that are written:
+    one that is read twice would be shuffled twice."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 class Scratch:
     """Intermediate tables of one batch, in the shared checkpoint folder.
 
     Writing a result and reading it back cuts lineage, costs nothing when executors are
-    lost, and lets later readers prune columns. `delete` when the batch is done; what is
-    left goes when the program ends.
+    lost, and lets later readers prune columns. `free` a table when its last reader was written,
+    `delete` all of them when the batch is done (or enter the scratch); what is left goes when the program ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{ensure_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
-        self._count = 0
+        self._count, self._kept = 0, []
         _open[self.root] = _files(spark, self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
         path = f"{self.root}/{self._count}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((kept, path))
+        return kept
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete tables that `keep` returned. Nothing made of them can be read any more."""
+        fs, path = _files(self.spark, self.root)
+        for _, folder in [k for k in self._kept if any(k[0] is t for t in tables)]:
+            fs.delete(path(folder), True)
+        self._kept = [k for k in self._kept if not any(k[0] is t for t in tables)]
 
     def delete(self) -> None:
         fs, path = _open.pop(self.root, None) or _files(self.spark, self.root)
         fs.delete(path(self.root), True)
 
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.delete()
+
 
 class Lease:
     """The scratch folders that are opened while it is entered, to be deleted together."""
@@ -207,7 +238,8 @@ class KeyedTable:
     def _put(self, df: DataFrame, batch_id: int, parts: int) -> set[int]:
         """Write the rows by bucket; returns the buckets that have any."""
         rows = df.select(*self.columns, self._bucket(self.key).alias("bucket")).repartition(parts, "bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v={batch_id}")
+        with freeing_shuffles(self.spark):
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v={batch_id}")
         fs, path = _files(self.spark, self.root)
         names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/v={batch_id}"))]
         return {int(n.split("=")[1]) for n in names if n.startswith("bucket=")}

@@ -14,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from changesync.operators import dedupe, history as log, metrics, prefix, route, targets, xref as links
 from changesync.plans.sync import SyncConfig, sync_batch
 from changesync.sources import ingest
-from changesync.schema import BUS_COLUMNS, CHANGE_EVENT, TARGET_ROW, XREF_ROW
-from changesync.storage import KeyedTable, Published, Scratch, append_partitioned
+from changesync.schema import BUS_COLUMNS, CHANGE_EVENT, EVENT_COLUMNS, TARGET_ROW, XREF_ROW
+from changesync.storage import KeyedTable, Published, Scratch, append_partitioned, freeing_shuffles
 
 
 @dataclass
@@ -110,7 +110,8 @@ def sync_stream(
 
     A batch is written before anything is done with it. A stateful query plans its batches without
     adaptive execution; what follows reads the written events in the caller's session, where partitions
-    are sized by what is in them.
+    are sized by what is in them. Message ids end with duplicate detection, and every table and shuffle of a batch is
+    deleted when it was read for the last time.
 
     With `tables.key_index` the index entries of the records a batch writes are brought up to date, and no batch scans the
     target. They are built from the target when there are none yet for the maps as they are now, or
@@ -128,20 +129,17 @@ def sync_stream(
         return stored
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        landing = Scratch(spark)
-        try:
-            events = landing.keep(batch, "events")
+        with Scratch(spark) as landing, freeing_shuffles(spark):
+            events = landing.keep(batch.select(*EVENT_COLUMNS), "events")
             if events.limit(1).count():
-                apply(events, batch_id)
-        finally:
-            landing.delete()
+                apply(events, batch_id, landing)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, landing: Scratch) -> None:
         old_links, old_target, documents = xref.before(batch_id + 1), target.before(batch_id + 1), maps()
         active = route.active_maps(documents)
         index = stored_entries(active, batch_id + 1)
         entries = index.before(batch_id + 1) if index else None
-        result = sync_batch(batch, documents, old_links, old_target, users, config, entries=entries, keep_rows=True)
+        result = sync_batch(batch, documents, old_links, old_target, users, config, entries=entries, keep_rows=True, landing=landing)
         try:
             append_partitioned(log.to_append(result.history), tables.history, batch_id, "map_partition")
             append_partitioned(result.dead_letters(), tables.dead_letters, batch_id)
@@ -158,5 +156,6 @@ def sync_stream(
         finally:
             result.close()
 
-    writer = dedupe.drop_stream_duplicates(changes).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    messages = dedupe.drop_stream_duplicates(changes.select(*EVENT_COLUMNS, "message_id"))
+    writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
