@@ -103,7 +103,7 @@ def _shared(rows: DataFrame, incident: DataFrame, index: DataFrame, verdicts, sc
     ), "met")
     while True:
         assigned = rows.drop("link").join(met, "_row").join(stored, "link_key", "left")
-        step = Scratch(rows.sparkSession)
+        step = Scratch(rows.sparkSession, scratch.codec)
         found = verdicts(assigned, step).select("_row", "verdict", F.col("has_link").alias("found_link"))
         saved = (F.col("verdict") == UPSERTED) | ((F.col("verdict") == DELETED) & F.col("found_link"))
         settled = assigned.join(found, "_row")

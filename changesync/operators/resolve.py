@@ -131,17 +131,17 @@ def verdicts(
     out = quick.withColumn("verdict", _verdict(quick, F.lit(False), F.col("seen_at"), F.col("has_link"))).select(*result)
     if content_echo and summaries.filter("contested").limit(1).count():
         told = rows.withColumn("_at", F.col("_row")) if bodies is None else bodies
-        whole = _with_bodies(scanned.filter("contested"), told.select("_at", "data", "mapped"), scratch, slice_rows)
-        out = out.unionByName(_fold(whole, scratch).select(*result))
+        slices = _with_bodies(scanned.filter("contested"), told.select("_at", "data", "mapped"), scratch, slice_rows)
+        out = out.unionByName(_fold(reduce(DataFrame.unionByName, slices), scratch).select(*result))
+        scratch.free(*slices)
     reason = F.coalesce("broken", F.when(~F.col("has_link"), F.col("key_error")))
     return out.select("_row", "verdict", "has_link", F.when(F.col("verdict") == FAILED, reason).alias("error"))
 
 
-def _with_bodies(rows: DataFrame, bodies: DataFrame, scratch: Scratch, slice_rows: int) -> DataFrame:
+def _with_bodies(rows: DataFrame, bodies: DataFrame, scratch: Scratch, slice_rows: int) -> list[DataFrame]:
+    """`rows` with their bodies, written slice by slice if there is more than one."""
     parts = [rows.filter(s).join(bodies.filter(s), "_at") for s in prefix.slices(bodies, "_at", slice_rows)]
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, [scratch.keep(p, "contested") for p in parts])
+    return parts if len(parts) == 1 else [scratch.keep(p, "contested") for p in parts]
 
 
 def settle(rows: DataFrame, fold_rows: int = FOLD_ROWS, content_echo: bool = True, scratch: Scratch | None = None) -> DataFrame:

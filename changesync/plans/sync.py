@@ -71,6 +71,9 @@ def route_and_map(
     return mapped.withColumn("system_error", unknown).drop("companies", "fields")
 
 
+# Several wide tables of a batch lie side by side until it is done.
+CODEC = "zstd"
+
 # What decides about a row, apart from its body and the wide rest of it.
 OWN = [
     "_at", *resolve.ORDER, "pair_key", "source_system", "source_record_id", "target_system", "target_entity", "operation", "occurred_at",
@@ -100,8 +103,11 @@ def resolved_rows(
     wide = scratch.keep(keyed.withColumn("_at", F.monotonically_increasing_id()), "routed")
     if landing:
         landing.delete()
-    resolved = targets.resolve_targets(links.lookup(wide.select(*OWN, "key_segment"), xref), index)
-    return wide, scratch.keep(resolved.withColumn("_row", F.monotonically_increasing_id()).select(*FACTS), "resolved"), index
+    linked = scratch.keep(links.lookup(wide.select(*OWN, "key_segment"), xref), "linked")
+    resolved = targets.resolve_targets(linked, index).withColumn("_row", F.monotonically_increasing_id())
+    resolved = scratch.keep(resolved.select(*FACTS), "resolved")
+    scratch.free(linked)
+    return wide, resolved, index
 
 
 def decide(wide: DataFrame, resolved: DataFrame, index: DataFrame, config: SyncConfig, scratch: Scratch) -> DataFrame:
@@ -111,11 +117,11 @@ def decide(wide: DataFrame, resolved: DataFrame, index: DataFrame, config: SyncC
 
     spark = resolved.sparkSession
     facts = prefix.with_bucket(resolved, rows=config.bucket_rows)
-    with Scratch(spark) as step:
+    with Scratch(spark, CODEC) as step:
         owned = scratch.keep(ownership.with_links(facts, index, verdicts, step), "owned")
     scratch.free(resolved)
     sides = F.struct("link.system_a", "link.record_id_a", "link.system_b", "link.record_id_b")  # its state has done its part
-    with Scratch(spark) as step:
+    with Scratch(spark, CODEC) as step:
         settled = owned.withColumn("link", F.when(F.col("link").isNotNull(), sides)).join(verdicts(owned, step), "_row")
         settled = scratch.keep(settled.select(*SETTLED), "settled")
     scratch.free(owned)
@@ -205,7 +211,7 @@ def sync_batch(
     write, and `close` removes them. `keep_rows` makes the outcome rows one of them, for callers that read several results: what these
     read, with the event's body where it failed and the mapped one where it is written. Tables and shuffles go when their last reader
     is written, and so does `landing`, a scratch that nothing but `events` needs."""
-    scratch = Scratch(events.sparkSession)
+    scratch = Scratch(events.sparkSession, CODEC)
     with freeing_shuffles(events.sparkSession):
         wide, resolved, index = resolved_rows(events, maps, xref, target, users, config, scratch, entries, landing)
         decided = decide(wide, resolved, index, config, scratch)

@@ -69,9 +69,11 @@ class Scratch:
     Writing a result and reading it back cuts lineage, costs nothing when executors are
     lost, and lets later readers prune columns. `free` a table when its last reader was written,
     `delete` all of them when the batch is done (or enter the scratch); what is left goes when the program ends.
+    They are compressed as the session says, or by the codec given.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, codec: str | None = None) -> None:
+        self.codec = codec
         self.spark, self.root = spark, f"{ensure_checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
         self._count, self._kept = 0, []
         _open[self.root] = _files(spark, self.root)
@@ -79,7 +81,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
         path = f"{self.root}/{self._count}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=self.codec)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._kept.append((kept, path))
         return kept

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from changesync.operators import dedupe, history as log, metrics, prefix, route, targets, xref as links
-from changesync.plans.sync import SyncConfig, sync_batch
+from changesync.plans.sync import CODEC, SyncConfig, sync_batch
 from changesync.sources import ingest
 from changesync.schema import BUS_COLUMNS, CHANGE_EVENT, EVENT_COLUMNS, TARGET_ROW, XREF_ROW
 from changesync.storage import KeyedTable, Published, Scratch, append_partitioned, freeing_shuffles
@@ -129,7 +129,7 @@ def sync_stream(
         return stored
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        with Scratch(spark) as landing, freeing_shuffles(spark):
+        with Scratch(spark, CODEC) as landing, freeing_shuffles(spark):
             events = landing.keep(batch.select(*EVENT_COLUMNS), "events")
             if events.limit(1).count():
                 apply(events, batch_id, landing)

@@ -244,5 +244,5 @@ def test_slices_of_a_batch_give_the_same_rows(spark):
         finally:
             result.close()
 
-    whole, sliced = run(), run(slice_rows=200)
+    whole, sliced = run(), run(slice_rows=700)
     assert whole == sliced and all(whole)
