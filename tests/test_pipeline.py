@@ -213,8 +213,8 @@ def test_a_batch_frees_what_it_has_read(spark, tmp_path, monkeypatch):
 
     def watched(self, df, name):
         kept = whole(self, df, name)
-        time.sleep(0.3)  # shuffle files go in the background
-        seen[name] = (kept.columns, *_lying(work, *local))
+        time.sleep(2 * (name in ("rows", "saves")))  # shuffle files go in the background
+        seen.setdefault(name, (kept.columns, *_lying(work, *local)))
         return kept
 
     spark.sparkContext._jvm.System.gc()
@@ -223,7 +223,8 @@ def test_a_batch_frees_what_it_has_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Scratch, "keep", watched)
     sync_stream(stream, lambda: a.maps(spark), a.integration_users(spark), tables, SyncConfig(a.SYSTEMS), f"{tmp_path}/cp", available_now=True).awaitTermination()
     mine = {n: {t.split("-")[-1] for t in on_disk - before[0]} for n, (_, on_disk, _) in seen.items()}
-    assert mine["resolved"] == {"routed", "resolved"} and mine["rows"] == {"routed", "decided", "rows"} and mine["saves"] == {"rows", "writes", "saves"}
+    assert mine["resolved"] == {"routed", "linked", "resolved"} and mine["chunked"] == {"routed", "owned", "chunked"}
+    assert mine["rows"] == {"routed", "decided", "rows"} and mine["saves"] == {"rows", "writes", "saves"}
     assert not any("message_id" in columns for columns, _, _ in seen.values())
     # Of the shuffles only that of the stream is left, a file for each of its tasks, whatever was shuffled since.
     assert seen["rows"][2] <= seen["events"][2] and seen["saves"][2] <= seen["events"][2]
